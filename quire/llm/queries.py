@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bytebpe, decontam, media
+from quire.llm import bytebpe, decontam, langid, media, toxicity
 from quire.session import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), *vocabulary())
 
@@ -29,10 +33,16 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_payloads(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op4_decontamination": op4_decontamination,
+    "op5_language_id": op5_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_media_columns": op9_media_columns,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
