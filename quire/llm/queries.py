@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bytebpe, decontam, langid, media, toxicity
+from quire.llm import bytebpe, decontam, langid, licenses, media, toxicity, urlfilter, warc
+from quire.llm.text import shared_dir
 from quire.session import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +20,10 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -25,10 +32,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.evaluate(pages.withColumn("fetched_on", urlfilter.fetch_date()), urlfilter.entry_table(spark))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives stay in the shared folder: the result is read from them."""
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.archive(table(spark, sf_dir, "pages"), folder)
+    return warc.page_records(warc.read(spark, folder))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_payloads(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -38,11 +57,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
+    "op6_url_filter": op6_url_filter,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_warc": op8_warc,
     "op9_media_columns": op9_media_columns,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_license_scan": licenses.oracle(),
+    "op6_url_filter": urlfilter.ORACLE,
+    "op8_warc": """
+WITH x AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM x WHERE strlen(h) >= 100 GROUP BY h)
+SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM x LEFT JOIN f USING (h)""",
+}
