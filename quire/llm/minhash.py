@@ -189,7 +189,7 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
 
 
 def rarest(rows: DataFrame) -> DataFrame:
-    """node, token: of each set the shingles that cannot all be missing from a set like it, the rarest first.
+    """node, token, place, n: of each set of n the shingles that cannot all be missing from a set like it, the rarest first.
 
     Shingles are ordered by how often their slot of ``_SLOTS`` occurs in all these sets, then by hash: one order
     for all sets, which is all that the filter needs to be exact. The table of slots has a fixed size.
@@ -210,17 +210,18 @@ def rarest(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, token, size = [], [], []
+            node, token, place, size = [], [], [], []
             for i in range(batch.num_rows):
                 s = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64)
                 need = len(s) - -(-PERCENT * len(s) // 100) + 1
                 best = s[np.lexsort((s, shared.value[_slot(s)]))[:need]]
                 node += [batch.column(0)[i].as_py()] * len(best)
                 token.append(best.view(np.int64))
+                place += range(len(best))
                 size += [len(s)] * len(best)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(np.concatenate(token) if token else np.zeros(0, np.int64)), pa.array(size, pa.int64())], names=["node", "token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(np.concatenate(token) if token else np.zeros(0, np.int64)), pa.array(place, pa.int64()), pa.array(size, pa.int64())], names=["node", "token", "place", "n"])
 
-    return rows.select("node", "shingles").mapInArrow(run, "node binary, token long, n long")
+    return rows.select("node", "shingles").mapInArrow(run, "node binary, token long, place long, n long")
 
 
 def _slot(s: np.ndarray) -> np.ndarray:
@@ -263,8 +264,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tokens = tables.keep(rarest(rows).join(open_nodes, "node"))
         apart = tokens.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("token")
         some = tokens.join(apart, "token")
-        x, y = (some.select("token", F.col("node").alias(k), F.col("comp").alias(f"c{k}"), F.col("n").alias(f"n{k}")) for k in "uv")
-        close = (F.col("cu") < F.col("cv")) & (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * PERCENT)
+        x, y = (some.select("token", F.col("node").alias(k), F.col("comp").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("place").alias(f"p{k}")) for k in "uv")
+        # sets that are alike share so much that the first shingle they share comes this early in both
+        early = [(F.col(f"n{k}") - F.col(f"p{k}")) * (100 + PERCENT) >= PERCENT * (F.col("nu") + F.col("nv")) for k in "uv"]
+        close = (F.col("cu") < F.col("cv")) & (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * PERCENT) & early[0] & early[1]
         more = tables.keep(x.join(y, "token").filter(close).select("u", "v").distinct())
         links = links.union(tables.keep(verify(more, rows)))
         labels = tables.keep(components(links, tables))
