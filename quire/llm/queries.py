@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bytebpe, decontam, langid, licenses, media, toxicity, urlfilter, warc
+from quire.llm import bytebpe, decontam, langid, licenses, media, minhash, toxicity, urlfilter, warc
 from quire.llm.text import shared_dir
 from quire.session import table
 
@@ -24,6 +24,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -58,6 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
+    "op3_minhash": op3_minhash,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
