@@ -31,7 +31,8 @@ BANDS, ROWS = 40, 5
 SALTS = 16
 #: Rows of two ids that are sent to all executors at most; larger candidate tables are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
-_SLOTS = 1 << 16
+_SLOT_BITS = 20
+_SLOTS, _PART = 1 << _SLOT_BITS, 1 << 12
 _WEIGHTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -198,14 +199,21 @@ def rarest(rows: DataFrame) -> DataFrame:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SLOTS, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(_slot(np.frombuffer(x.as_buffer(), np.uint64)), minlength=_SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["slot", "n"])
-
-    often = np.zeros(_SLOTS, np.int64)
-    for r in rows.select("shingles").mapInArrow(tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        often[r["slot"]] = r["n"]
+            for low, high, data, _ in chunks(batch.column(0)):
+                total += np.bincount(_slot(np.ascontiguousarray(data).view(np.uint64)), minlength=_SLOTS)
+        parts = total.reshape(-1, _PART)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "counts"])
+
+    def total(table: pa.Table) -> pa.Table:
+        counts = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts"))
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    schema = "part int, counts binary"
+    often = np.zeros((_SLOTS // _PART, _PART), np.int64)
+    for r in rows.select("shingles").mapInArrow(tally, schema).groupBy("part").applyInArrow(total, schema).toLocalIterator():
+        often[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    often = np.minimum(often.ravel(), np.iinfo(np.int32).max).astype(np.int32)
     shared = rows.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +233,7 @@ def rarest(rows: DataFrame) -> DataFrame:
 
 
 def _slot(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(48)).astype(np.int64)
+    return (s >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
 
 def _node(rep: Column, key: Column) -> Column:
