@@ -1,33 +1,64 @@
-"""The corpus pipeline: language ID, near-duplicates, repeated passages, decontamination, encoding."""
+"""The corpus pipeline: language ID, near-duplicates, repeated passages, benchmark decontamination, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+Null or empty texts have no letters and go in the first stage; repeated rows are judged alike in every stage.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bytebpe, decontam
+from quire.llm import bytebpe, decontam, langid, minhash, repeats
 from quire.llm.queries import vocabulary
+from quire.llm.text import shared_dir
 from quire.session import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word in any benchmark window."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: those without a text or a letter go. ``lang`` stays as it was labelled."""
+    found = langid.identify(docs, carry=COLUMNS).filter(F.col("lang_pred") != langid.UNKNOWN)
+    return found.select(*[F.col(f"in_{c}").alias(c) for c in COLUMNS])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document with the smallest id."""
+    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.id), "left_semi").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that an earlier document has too; broken characters at the cuts go, as do documents of which nothing is left."""
+    found = repeats.remove_repeats(docs, carry=["doc_id", "lang", "source"], as_text=True).filter("n_bytes = 0 or kept != ''")
+    return found.select(F.col("in_doc_id").alias("doc_id"), F.col("kept").alias("text"), F.col("in_lang").alias("lang"), F.col("in_source").alias("source"), F.length("kept").cast("long").alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS).filter(~F.col("contaminated"))
+    return found.select(*[F.col(f"in_{c}").alias(c) for c in COLUMNS])
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bytebpe.round_trip(docs, *vocabulary())
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, with digests of the ids and of the decoded bytes."""
+    return bytebpe.round_trip(docs, *vocabulary(), with_ids=True)
 
 
-STAGES = [("decontamination", decontaminate), ("byte_bpe", encode)]
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]
+#: Networks, MinHash and BPE have no SQL; tests compare every stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        done = stage(spark, docs, sf_dir)
+        done.write.parquet(f"{folder}/{k}")
+        docs = spark.read.schema(done.schema).parquet(f"{folder}/{k}")
     return docs

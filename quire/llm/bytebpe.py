@@ -131,8 +131,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, "doc_id long, bytes binary, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row: doc_id, n_tokens, ids_sha256, decoded_sha256, from encoding and decoding in one pass.
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row for each row: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for), from encoding and decoding in one pass.
 
     Null is as empty: no tokens, the digests of nothing. Rows with equal ids stay apart; a null id stays null.
     """
@@ -144,8 +144,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 rows = batch.slice(part, 256)
                 got = [ids for ids, _ in bpe.encode([x or "" for x in rows.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).cast(pa.int64()), pa.array(map(len, got), pa.int64()), pa.array([hashlib.sha256(",".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest() for ids in got], pa.string()), pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in got], pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    [rows.column(0).cast(pa.int64()), pa.array(map(len, got), pa.int64()), pa.array([hashlib.sha256(",".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest() for ids in got], pa.string()), pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in got], pa.string()), *([pa.array(got, pa.list_(pa.int32()))] if with_ids else [])],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])],
                 )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -13,14 +13,14 @@ task holds one block's tables at a time, so neither side needs to fit in memory
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import NON_ALNUM, Words, chunks, mix
+from quire.llm.text import NON_ALNUM, Words, carried, chunks, mix, with_carried
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -118,8 +118,8 @@ def digest(items: set[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row for each document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, and the columns to carry under ``in_`` names.
 
     Null and empty texts have no words. Rows with equal ids are judged each by itself; a null id stays null.
     No items, or items without words, hit nothing. Other columns of either table are not read.
@@ -147,8 +147,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                 out["n_hit"] += (hits[words.rows[1:]] - hits[words.rows[:-1]]).tolist()
                 out["items"] += [hit_items.get(i, set()) for i in range(high - low)]
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(map(len, out["items"]), pa.int64()), pa.array(map(digest, out["items"]), pa.string()), pa.array([n > 0 for n in out["n_hit"]], pa.bool_()), pa.array(map(sorted, out["items"]), pa.list_(pa.int64()))],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+                [ids.cast(pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(map(len, out["items"]), pa.int64()), pa.array(map(digest, out["items"]), pa.string()), pa.array([n > 0 for n in out["n_hit"]], pa.bool_()), pa.array(map(sorted, out["items"]), pa.list_(pa.int64())), *batch.columns[2:]],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", *more],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(search, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>")
+    rows = docs.select(F.col(id_col), F.col(text_col), *carried(docs, carry))
+    more = rows.columns[2:]
+    return rows.mapInArrow(search, with_carried("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>", rows, more))

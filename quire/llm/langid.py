@@ -11,7 +11,7 @@ Arrays hold features by rows and segments by columns, so that one step of thousa
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import chunks
+from quire.llm.text import carried, chunks, with_carried
 
 SEGMENT = 64
 HIDDEN = 8
@@ -217,8 +217,8 @@ def has_letter(text: str) -> bool:
     return m is not None and (m[0].isalpha() or any(map(str.isalpha, text)))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """One row for each row: doc_id, held_out, lang_pred, score.
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each row: doc_id, held_out, lang_pred, score, and the columns to carry under ``in_`` names.
 
     ``und`` with score 0 for a null text, a text without a letter, or if no row has a language to learn from.
     A null id is in no fold (held_out is false, and such rows are learned from); rows with equal ids stay apart.
@@ -237,7 +237,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 best = p.argmax(axis=1)
                 langs += [net.langs[b] if net and k else UNKNOWN for b, k in zip(best.tolist(), known)]
                 scores += [min(1.0, float(x)) if net and k else 0.0 for x, k in zip(p[np.arange(len(p)), best], known)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *more])
 
     held = (fold(id_col) == HELD_OUT).alias("held_out")
-    return docs.select(F.col(id_col), F.col(text_col), held).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col(id_col), F.col(text_col), held, *carried(docs, carry))
+    more = rows.columns[3:]
+    return rows.mapInArrow(run, with_carried("doc_id long, held_out boolean, lang_pred string, score double", rows, more))

@@ -6,11 +6,13 @@ the bytes of row i. Rows are never cut, so a chunk is as long as its longest row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import StructType
 
 CHUNK = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -117,6 +119,16 @@ class Words:
         return b" ".join(self.word(k) for k in range(i, j))
 
 
+def carried(docs: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Columns that an operator passes on unchanged, renamed so that they clash with none of its own."""
+    return [docs[name].alias(f"in_{name}") for name in names]
+
+
+def with_carried(schema: str, rows: DataFrame, names: Sequence[str]) -> StructType:
+    """An operator's own columns and the carried ones."""
+    return StructType([*StructType.fromDDL(schema).fields, *(rows.schema[name] for name in names)])
+
+
 def shared_dir(spark) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
