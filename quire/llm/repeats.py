@@ -19,14 +19,14 @@ bucket's hashes number about ``BUCKET_ANCHORS`` whatever the input's size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import _POWERS, chunks, mix
+from quire.llm.text import _POWERS, carried, chunks, mix, with_carried
 
 LENGTH = 50
 GRAM = 24
@@ -288,11 +288,39 @@ def _gather(raw: bytes) -> np.ndarray:
     return np.cumsum(whole.view(">u8").ravel().astype(np.uint64))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers as planes of bytes, highest first, which compress well."""
+    return np.ascontiguousarray(values.astype(">i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays of numbers, and bytes, as one compressed value."""
+    parts = [x if isinstance(x, bytes) else _planes(x) for x in arrays]
+    head = np.array([-1 - len(x) if isinstance(x, bytes) else len(x) for x in arrays], "<i8")
+    raw = b"".join([np.array([len(arrays)], "<i8").tobytes(), head.tobytes(), *parts])
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpack(packed: bytes) -> list[np.ndarray | bytes]:
+    raw = pa.Codec("zstd").decompress(memoryview(packed)[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+    many = int(np.frombuffer(raw, "<i8", 1)[0])
+    at, out = 8 + 8 * many, []
+    for n in np.frombuffer(raw, "<i8", many, 8).tolist():
+        if n < 0:
+            out.append(raw[at : at - n - 1])
+            at += -n - 1
+        else:
+            out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(">i8").ravel().astype(np.int64))
+            at += 8 * n
+    return out
+
+
 class Block:
-    """The documents of a block and the runs of strings in them by anchor."""
+    """The documents of a block, in the order of id and text hash, and the runs of strings in them by anchor."""
 
     def __init__(self, table: pa.Table, buckets: int) -> None:
-        self.id, self.uid = (table.column(c).to_numpy() for c in ("doc", "uid"))
+        table = _in_order(table)
+        self.id = table.column("doc").to_numpy()
         self.texts = table.column("raw").combine_chunks() if table.num_rows else pa.array([], pa.binary())
         parts, self.data, self.low = [], [], []
         for low, high, data, bounds in chunks(self.texts, 1 << 18):
@@ -306,12 +334,13 @@ class Block:
         # the bucket is the high part of the hash times the number of buckets
         self.bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         self.key = h & _LOW
-        self.order = np.lexsort((self.id[self.row] if len(h) else h, self.key, self.bucket))
+        self.order = np.lexsort((self.key, self.bucket))
         b, k = self.bucket[self.order], self.key[self.order]
         new = np.r_[True, (b[1:] != b[:-1]) | (k[1:] != k[:-1])] if len(h) else np.zeros(0, bool)
         self.distinct = np.flatnonzero(new)
         self.nth = np.empty(len(h), np.int64)
         self.nth[self.order] = np.cumsum(new) - 1
+        # rows are in the order of ids, and the sort is stable: the first and the last of a key have its extreme ids
         last = np.r_[self.distinct[1:], len(h)] - 1
         doc = self.id[self.row[self.order]] if len(h) else h
         self.several = doc[self.distinct] != doc[last] if len(h) else new
@@ -328,10 +357,15 @@ class Block:
         return self.data[self.chunk[i]][at + start : at + end].tobytes()
 
 
+def _in_order(table: pa.Table) -> pa.Table:
+    """Rows in an order that every step finds again; rows that are equal in it are equal in id and text."""
+    return table.sort_by([("doc", "ascending"), ("uid", "ascending")])
+
+
 _ASK = "block long, bucket long, keys binary, several binary"
 _BITS_OF = "block long, bucket long, bits binary"
-_CONTEXT = "block long, bucket long, keys binary, docs binary, sizes binary, texts binary, of binary, uids binary, starts binary, m_uid binary, m_from binary, m_to binary"
-_MARKS = "block long, m_uid binary, m_from binary, m_to binary"
+_CONTEXT = "block long, bucket long, packed binary"
+_MARKS = "block long, packed binary"
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -391,17 +425,16 @@ def _contexts(buckets: int):
         head = np.flatnonzero(new)
         context = np.cumsum(new) - 1
         later = doc > doc[head][context]
-        uid = block.uid[block.row[use]]
-        start, end = block.first[use], block.last[use] + LENGTH
-        local = (uid[later], start[later], end[later])
+        row, start, end = block.row[use], block.first[use], block.last[use] + LENGTH
         bucket_of = block.bucket[use[head]]
         for k, (a, b) in enumerate(zip(*_pieces(bucket_of))):
             some = use[head[a:b]]
-            texts = [block.slice(i, s, e) for i, s, e in zip(some.tolist(), block.first[some].tolist(), (block.last[some] + LENGTH).tolist())]
+            text = b"".join(block.slice(i, s, e) for i, s, e in zip(some.tolist(), block.first[some].tolist(), (block.last[some] + LENGTH).tolist()))
             lo, hi = head[a], head[b] if b < len(head) else len(use)
             mine = np.arange(lo, hi)[~later[lo:hi]]
-            got = [x.tobytes() for x in local] if k == 0 else [b"", b"", b""]
-            rows.append((number, int(bucket_of[a]), block.key[some].tobytes(), doc[head[a:b]].tobytes(), np.array([len(t) for t in texts], np.uint8).tobytes(), b"".join(texts), (context[mine] - a).astype(np.uint32).tobytes(), uid[mine].tobytes(), start[mine].tobytes(), *got))
+            # what is later in the block itself needs no answer; it goes along with the first piece
+            own = later if k == 0 else np.zeros(0, np.int64)
+            rows.append((number, int(bucket_of[a]), _pack(np.diff(block.key[some].astype(np.int64), prepend=0), doc[head[a:b]], (block.last[some] - block.first[some]).astype(np.uint8).tobytes(), text, np.diff(context[mine] - a, prepend=0), row[mine], start[mine], row[own], start[own], end[own] - start[own])))
         return _table(rows, _CONTEXT)
 
     return run
@@ -431,23 +464,21 @@ def _hashes(block: Block, use: np.ndarray) -> np.ndarray:
 def _mark(table: pa.Table) -> pa.Table:
     """Match the contexts of a bucket and tell every block what to remove."""
     texts: list[bytes] = []
-    keys, docs, owner, of, uids, starts = [], [], [], [], [], []
+    keys, docs, owner, of, rows, starts = [], [], [], [], [], []
     marks: dict[int, list[tuple[np.ndarray, ...]]] = {}
-    array = lambda row, name, kind: np.frombuffer(row[name], kind)
-    for row in table.to_pylist():
-        n = row["block"]
-        ends = np.cumsum(array(row, "sizes", np.uint8).astype(np.int64)).tolist()
-        base = len(texts)
-        texts += [row["texts"][a:b] for a, b in zip([0, *ends[:-1]], ends)]
-        keys.append(array(row, "keys", np.uint64))
-        docs.append(array(row, "docs", np.int64))
-        of.append(array(row, "of", np.uint32).astype(np.int64) + base)
-        uids.append(array(row, "uids", np.int64))
-        starts.append(array(row, "starts", np.int64))
-        owner.append(np.full(len(of[-1]), n))
-        if row["m_uid"]:
-            marks.setdefault(n, []).append((array(row, "m_uid", np.int64), array(row, "m_from", np.int64), array(row, "m_to", np.int64)))
-    key, doc, of, uid, start, owner = map(np.concatenate, (keys, docs, of, uids, starts, owner))
+    for n, packed in zip(table.column("block").to_pylist(), table.column("packed")):
+        key, doc, size, text, context, row, start, m_row, m_from, m_size = _unpack(packed.as_py())
+        ends = np.cumsum(np.frombuffer(size, np.uint8).astype(np.int64) + LENGTH).tolist()
+        keys.append(np.cumsum(key).astype(np.uint64))
+        docs.append(doc)
+        of.append(np.cumsum(context) + len(texts))
+        rows.append(row)
+        starts.append(start)
+        owner.append(np.full(len(row), n))
+        texts += [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        if len(m_row):
+            marks.setdefault(n, []).append((m_row, m_from, m_from + m_size))
+    key, doc, of, row, start, owner = map(np.concatenate, (keys, docs, of, rows, starts, owner))
     # equal contexts of all blocks come together, with the smallest document of each
     number: dict[tuple[int, bytes], int] = {}
     same = np.fromiter((number.setdefault(pair, len(number)) for pair in zip(key.tolist(), texts)), np.int64, len(texts))
@@ -477,58 +508,78 @@ def _mark(table: pa.Table) -> pa.Table:
     bits = np.where(whole, (np.uint64(1) << strings.astype(np.uint64)) - np.uint64(1), mask[same[of]])
     on = np.flatnonzero(bits)
     full = whole[on] | (bits[on] == (np.uint64(1) << strings[on].astype(np.uint64)) - np.uint64(1))
-    parts = [(owner[on[full]], uid[on[full]], start[on[full]], start[on[full]] + strings[on[full]] - 1 + LENGTH)]
+    parts = [(owner[on[full]], row[on[full]], start[on[full]], start[on[full]] + strings[on[full]] - 1 + LENGTH)]
     some, places = on[~full], np.arange(64, dtype=np.uint64)
     if len(some):
         flag = ((bits[some][:, None] >> places) & np.uint64(1)).astype(np.int8)
         edge = np.diff(np.pad(flag, ((0, 0), (1, 1))), axis=1)
         which, a = np.nonzero(edge == 1)
         b = np.nonzero(edge == -1)[1]
-        parts.append((owner[some[which]], uid[some[which]], start[some[which]] + a, start[some[which]] + b - 1 + LENGTH))
+        parts.append((owner[some[which]], row[some[which]], start[some[which]] + a, start[some[which]] + b - 1 + LENGTH))
     n, u, a, b = (np.concatenate(x) for x in zip(*parts))
     by = np.argsort(n, kind="stable")
     for lo, hi in zip(*_pieces(n[by])):
         part = by[lo:hi]
         marks.setdefault(int(n[part[0]]), []).append((u[part], a[part], b[part]))
-    return _table([(k, *(np.concatenate(x).astype(np.int64).tobytes() for x in zip(*v))) for k, v in marks.items()], _MARKS)
-
-
-def _remove(docs: pa.Table, marks: pa.Table) -> pa.Table:
-    if not docs.num_rows:
-        return _table([], _OUT)
-    uid, a, b = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in marks.column(c)] or [np.zeros(0, np.int64)]) for c in ("m_uid", "m_from", "m_to"))
-    order = np.lexsort((a, uid))
-    uid, a, b = uid[order], a[order], b[order]
-    rows = []
-    for doc, own, raw in zip(docs.column("doc_id").to_pylist(), docs.column("uid").to_pylist(), docs.column("raw")):
-        text = raw.as_py()
-        lo, hi = np.searchsorted(uid, own), np.searchsorted(uid, own, side="right")
-        if lo == hi:
-            rows.append((doc, len(text), 0, 0, text))
-            continue
-        begin, end = a[lo:hi], np.maximum.accumulate(b[lo:hi])
-        fresh = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]])
-        begin, end = begin[fresh], end[np.r_[fresh[1:], hi - lo] - 1]
-        kept = b"".join(text[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(text)]))
-        rows.append((doc, len(text), int((end - begin).sum()), len(begin), kept))
-    return _table(rows, _OUT)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes that stay).
+    return _table([(k, _packed_marks(*(np.concatenate(x) for x in zip(*v)))) for k, v in marks.items()], _MARKS)
+
+
+def _packed_marks(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> bytes:
+    order = np.lexsort((begin, row))
+    return _pack(np.diff(row[order], prepend=0), begin[order], end[order] - begin[order])
+
+
+def _remove(as_text: bool, carry: list[str]):
+    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        docs = _in_order(docs)
+        got = [_unpack(x.as_py()) for x in marks.column("packed")] or [[np.zeros(0, np.int64)] * 3]
+        row, a, size = (np.concatenate(x) for x in zip(*((np.cumsum(r), f, n) for r, f, n in got)))
+        order = np.lexsort((a, row))
+        row, a, b = row[order], a[order], (a + size)[order]
+        cuts = np.searchsorted(row, np.arange(docs.num_rows + 1)).tolist()
+        # equal rows share what was found for the first of them
+        ids, uids = docs.column("doc").to_pylist(), docs.column("uid").to_pylist()
+        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
+        span = (0, 0)
+        for i, raw in enumerate(docs.column("raw")):
+            if not i or (ids[i], uids[i]) != (ids[i - 1], uids[i - 1]):
+                j = i
+                while j < docs.num_rows and (ids[j], uids[j]) == (ids[i], uids[i]):
+                    j += 1
+                span = (cuts[i], cuts[j])
+            text = raw.as_py()
+            kept, removed, spans = text, 0, 0
+            if span[0] < span[1]:
+                at = np.argsort(a[span[0] : span[1]], kind="stable") + span[0]
+                begin, end = a[at], np.maximum.accumulate(b[at])
+                fresh = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]])
+                begin, end = begin[fresh], end[np.r_[fresh[1:], len(at)] - 1]
+                kept = b"".join(text[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(text)]))
+                removed, spans = int((end - begin).sum()), len(begin)
+            for name, value in zip(out, (len(text), removed, spans, kept.decode("utf-8", "ignore") if as_text else kept)):
+                out[name].append(value)
+        columns = [docs.column("doc_id"), *(pa.array(x, pa.int64()) for x in list(out.values())[:3]), pa.array(out["kept"], pa.string() if as_text else pa.binary()), *(docs.column(c) for c in carry)]
+        return pa.table(dict(zip(["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry], columns)))
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
+    """One row for each row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes that stay), and the columns to carry under ``in_`` names.
 
     Null is as empty. Rows with equal ids do not count against each other; a null id is greater than all others.
-    Kept bytes may begin or end inside a character. Other columns are not read.
+    Kept bytes may begin or end inside a character; as text, such parts of characters go. Other columns are not read.
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"), *carried(docs, carry))
+    more = rows.columns[2:]
     total = rows.agg(F.sum(F.octet_length("raw").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     buckets = max(1, -(-total // (BUCKET_ANCHORS * (LENGTH - GRAM + 2) // 2)))
     doc = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    rows = rows.select(F.pmod(F.xxhash64(doc), F.lit(blocks)).alias("block"), "doc_id", doc.alias("doc"), F.xxhash64(doc, "raw").alias("uid"), "raw").repartition("block")
+    rows = rows.select(F.pmod(F.xxhash64(doc), F.lit(blocks)).alias("block"), "doc_id", doc.alias("doc"), F.xxhash64(doc, "raw").alias("uid"), "raw", *more).repartition("block")
     asked = rows.groupBy("block").applyInArrow(_ask(buckets), _ASK)
     answers = asked.groupBy("bucket").applyInArrow(_answer, _BITS_OF)
     contexts = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_contexts(buckets), _CONTEXT)
     marks = contexts.groupBy("bucket").applyInArrow(_mark, _MARKS)
-    return rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove, _OUT)
+    return rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove(as_text, more), with_carried(_OUT.replace("binary", "string") if as_text else _OUT, rows, more))
