@@ -1,16 +1,7 @@
 """Every registered query of the engine's own operators, with the SQL that checks it."""
 
-from __future__ import annotations
+from quire.catalog import ORACLES, QUERIES
+from quire.plans import analytics, documents, scalars, windows  # noqa: F401  each registers its queries
+from quire.plans.documents import review_queue
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quire.session import table
-
-
-def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("documents"))
-
-
-QUERIES = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "review_queue"]
