@@ -90,7 +90,7 @@ class CharacterModel:
             else:
                 letters = [(x, 1.0) for x in LEET.get(char, "")]
                 options = letters + [(x * 2, 1.2) for x, _ in letters if run > 1]
-                options += [("", 0.5 if char in SEPARATORS else 4.0)]
+                options += [("", 0.5 if char in SEPARATORS else 9.0)]
             step: dict[tuple[int, int, str], tuple[float, str]] = {}
             for (a, b, _), (total, path) in best.items():
                 for text, price in options:
