@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators that several plans share."""
