@@ -12,8 +12,8 @@ def greedy(candidates: DataFrame, by: list[str], left: str, right: str, order: l
     A group's candidates are folded in one array, as for the few sections of one template or document.
     """
     names = [f"o{i}" for i in range(len(order))]
-    ranked = candidates.select(*by, F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(n) for o, n in zip(order, names)], F.col(left).alias("l"), F.col(right).alias("r")).alias("c"))
-    listed = ranked.groupBy(*by).agg(F.array_sort(F.collect_list("c")).alias("all"))
-    kind = listed.schema["all"].dataType
-    taken = F.aggregate("all", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: (y["l"] == x["l"]) | (y["r"] == x["r"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return listed.select(*by, F.explode(taken).alias("t")).select(*by, F.col("t.l").alias(left), F.col("t.r").alias(right))
+    ranked = candidates.select(*by, F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(n) for o, n in zip(order, names)], F.col(left).alias("l"), F.col(right).alias("r")).alias("_candidate"))
+    listed = ranked.groupBy(*by).agg(F.array_sort(F.collect_list("_candidate")).alias("_all"))
+    kind = listed.schema["_all"].dataType
+    taken = F.aggregate("_all", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: (y["l"] == x["l"]) | (y["r"] == x["r"])), acc).otherwise(F.concat(acc, F.array(x))))
+    return listed.select(*by, F.explode(taken).alias("_taken")).select(*by, F.col("_taken.l").alias(left), F.col("_taken.r").alias(right))
