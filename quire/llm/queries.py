@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bytebpe, decontam, langid, licenses, media, minhash, repeats, toxicity, urlfilter, warc
+from quire.llm import bytebpe, decontam, langid, licenses, media, minhash, oracles, repeats, toxicity, urlfilter, warc
 from quire.llm.text import shared_dir
 from quire.session import table
 
@@ -80,6 +80,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_suffix_array_dedup": oracles.REPEATS,
+    "op3_minhash": oracles.NEAR_DUPLICATES,
+    "op4_decontamination": oracles.CONTAMINATION,
     "op2_license_scan": licenses.oracle(),
     "op6_url_filter": urlfilter.ORACLE,
     "op8_warc": """
