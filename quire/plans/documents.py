@@ -13,22 +13,27 @@ from quire.session import table
 HINT_ROWS = [(kind, i, hint) for i, (kind, hints) in enumerate(HINTS.items()) for hint in hints]
 
 
+def _scored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and an array of (score, order, kind) over all types.
+
+    The beginning of each text is lower-cased once, in a projection of its own: it is used by every hint, so Catalyst keeps it.
+    """
+    begins = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.substring(F.col(text_col), 1, 5000)).alias("begin"))
+    hits = lambda hints: F.size(F.filter(F.array(*map(F.lit, hints)), lambda h: F.col("begin").contains(h)))
+    return begins.select("doc_id", F.array(*[F.struct(hits(hints).alias("score"), F.lit(-i).alias("order"), F.lit(kind).alias("kind")) for i, (kind, hints) in enumerate(HINTS.items())]).alias("scores"))
+
+
 def hint_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, kind, pos, score: how many of a type's hints are in the first 5,000 characters; no row for no hints.
+    """doc_id, score, kind: how many of a type's hints are in the first 5,000 characters; no row for no hints.
 
     The hints are constants in the expression, so each text is read once and nothing is joined.
     """
-    text = F.lower(F.substring(F.col(text_col), 1, 5000))
-    scores = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("pos"), sum((text.contains(h).cast("int") for h in hints), F.lit(0)).alias("score")) for i, (kind, hints) in enumerate(HINTS.items())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.inline(F.filter(scores, lambda x: x["score"] > 0)))
+    return _scored(docs, id_col, text_col).select("doc_id", F.inline(F.filter("scores", lambda x: x["score"] > 0)))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, best, best_score, second_score, doc_type: the winner needs two hints and a lead, or one where no other type has any."""
-    text = F.lower(F.substring(F.col(text_col), 1, 5000))
-    score = lambda hints: sum((text.contains(h).cast("int") for h in hints), F.lit(0))
-    scores = F.array(*[F.struct(score(hints).alias("score"), F.lit(-i).alias("order"), F.lit(kind).alias("kind")) for i, (kind, hints) in enumerate(HINTS.items())])
-    ranked = docs.select(F.col(id_col).alias("doc_id"), F.slice(F.reverse(F.array_sort(scores)), 1, 2).alias("top")).select("doc_id", *[F.col("top")[i]["score"].alias(n) for i, n in enumerate(("best_score", "second_score"))], F.col("top")[0]["kind"].alias("kind"))
+    ranked = _scored(docs, id_col, text_col).select("doc_id", F.slice(F.sort_array("scores", asc=False), 1, 2).alias("top")).select("doc_id", *[F.col("top")[i]["score"].alias(n) for i, n in enumerate(("best_score", "second_score"))], F.col("top")[0]["kind"].alias("kind"))
     wins = ((F.col("best_score") >= 2) & (F.col("best_score") > F.col("second_score"))) | ((F.col("best_score") >= 1) & (F.col("second_score") == 0))
     return ranked.select("doc_id", F.when(F.col("best_score") > 0, F.col("kind")).alias("best"), "best_score", "second_score", F.when(wins, F.col("kind")).alias("doc_type"))
 
