@@ -306,3 +306,40 @@ def e22_category_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = table(spark, sf_dir, "lineitem").select("*", own.alias("own"))
     first = F.first("own").over(w)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.when(first.isNull(), F.coalesce("own", "l_returnflag")).otherwise(F.col("own")).alias("category"))
+
+
+@query(
+    "udtf_pages_to_lines",
+    """
+WITH a AS (SELECT item_id, replace(text, chr(10), chr(10) || '--- PAGE BREAK ---' || chr(10)) AS t FROM benchmark), p AS (SELECT item_id, unnest(string_split(t, '--- PAGE BREAK ---')) AS page, generate_subscripts(string_split(t, '--- PAGE BREAK ---'), 1) AS page_no FROM a),
+l AS (SELECT item_id, page_no, unnest(string_split(page, chr(10))) AS line, generate_subscripts(string_split(page, chr(10)), 1) AS line_no FROM p)
+SELECT item_id, page_no, line_no, line FROM l WHERE trim(line) <> ''""",
+)
+def udtf_pages_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function that SQL users have, joined laterally."""
+    from quire.functions import tables
+
+    tables.register(spark)
+    text = F.replace("text", F.lit("\n"), F.lit("\n--- PAGE BREAK ---\n"))
+    table(spark, sf_dir, "benchmark").select("item_id", text.alias("t")).createOrReplaceTempView("quire_benchmark_pages")
+    return spark.sql("SELECT item_id, l.page_no, l.line_no, l.line FROM quire_benchmark_pages, LATERAL pages_to_lines(t) l")
+
+
+def collapse(sections: DataFrame) -> DataFrame:
+    """Rows of the same section in several documents of a file as one list, documents in order: file, section, rows."""
+    ordered = F.array_sort(F.collect_list(F.struct("doc", "rows")))
+    return sections.groupBy("file", "section").agg(F.flatten(F.transform(ordered, lambda x: x["rows"])).alias("rows"))
+
+
+@query(
+    "u3_section_union",
+    """
+WITH d AS (SELECT o_custkey AS file, o_orderkey AS doc, l_returnflag AS section, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT file, section, count(*) AS n, string_agg(l_partkey, ',' ORDER BY doc, l_partkey) AS parts FROM d GROUP BY file, section""",
+)
+def u3_section_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("section"), "l_partkey")
+    d = items.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    per_doc = d.groupBy(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("doc"), "section").agg(F.array_sort(F.collect_list("l_partkey")).alias("rows"))
+    out = collapse(per_doc)
+    return out.select("file", "section", F.size("rows").alias("n"), F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("parts"))

@@ -68,3 +68,20 @@ def r6_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(log.schema).parquet(folder)
     watch.throttle(stream).writeStream.format("parquet").option("checkpointLocation", scratch(spark)).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("user long, id long, allowed boolean").parquet(out)
+
+
+@query("extra_event_windows", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS begins, event_type, count(*) AS n FROM events GROUP BY ALL")
+def extra_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extra: events counted in tumbling windows of six hours by a stream with a watermark, late by an hour at most."""
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    folder, out = _parts(spark, events.orderBy("ts"), 1), scratch(spark)
+    stream = spark.readStream.schema(events.schema).parquet(folder).withWatermark("ts", "1 hour")
+    counted = stream.groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count("*").alias("n"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.select(F.col("window.start").alias("begins"), "event_type", "n").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out)
+    newest = last.agg(F.max("batch").alias("batch"))
+    return last.join(F.broadcast(newest), "batch").select(F.col("begins").cast("timestamp_ntz").alias("begins"), "event_type", "n")
