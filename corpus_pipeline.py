@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import bytebpe, decontam, langid, minhash, repeats
 from quire.llm.queries import vocabulary
-from quire.llm.text import shared_dir
+from quire.llm.text import bounded_batches, shared_dir
 from quire.session import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,30 +21,35 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without a text or a letter go. ``lang`` stays as it was labelled."""
+    bounded_batches(spark)
     found = langid.identify(docs, carry=COLUMNS).filter(F.col("lang_pred") != langid.UNKNOWN)
     return found.select(*[F.col(f"in_{c}").alias(c) for c in COLUMNS])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document with the smallest id."""
+    bounded_batches(spark)
     kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id")).distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.id), "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that an earlier document has too; broken characters at the cuts go, as do documents of which nothing is left."""
+    bounded_batches(spark)
     found = repeats.remove_repeats(docs, carry=["doc_id", "lang", "source"], as_text=True).filter("n_bytes = 0 or kept != ''")
     return found.select(F.col("in_doc_id").alias("doc_id"), F.col("kept").alias("text"), F.col("in_lang").alias("lang"), F.col("in_source").alias("source"), F.length("kept").cast("long").alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
+    bounded_batches(spark)
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS).filter(~F.col("contaminated"))
     return found.select(*[F.col(f"in_{c}").alias(c) for c in COLUMNS])
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with digests of the ids and of the decoded bytes."""
+    bounded_batches(spark)
     return bytebpe.round_trip(docs, *vocabulary(), with_ids=True)
 
 

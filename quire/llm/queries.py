@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bytebpe, decontam, langid, licenses, media, minhash, oracles, repeats, toxicity, urlfilter, warc
-from quire.llm.text import shared_dir
+from quire.llm.text import bounded_batches, shared_dir
 from quire.session import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -66,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {
+_ALL = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_minhash": op3_minhash,
@@ -79,6 +80,17 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
+
+def _bounded(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return run(spark, sf_dir)
+
+    return query
+
+
+QUERIES = {name: _bounded(run) for name, run in _ALL.items()}
+
 ORACLES = {
     "op1_suffix_array_dedup": oracles.REPEATS,
     "op3_minhash": oracles.NEAR_DUPLICATES,

@@ -129,6 +129,13 @@ def with_carried(schema: str, rows: DataFrame, names: Sequence[str]) -> StructTy
     return StructType([*StructType.fromDDL(schema).fields, *(rows.schema[name] for name in names)])
 
 
+def bounded_batches(spark) -> None:
+    """Arrow batches of a few megabytes, unless the session has its own: by default each task's buffers hold 10,000 texts at both ends."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def shared_dir(spark) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
