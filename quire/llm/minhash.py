@@ -270,12 +270,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = open_nodes.select("node").join(classes.select("node", "rep", "set_key"), "node")
         rows = tables.keep(set_rows(docs, wanted, id_col, text_col))
         tokens = tables.keep(rarest(rows).join(open_nodes, "node"))
-        apart = tokens.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("token")
-        some = tokens.join(apart, "token")
-        x, y = (some.select("token", F.col("node").alias(k), F.col("comp").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("place").alias(f"p{k}")) for k in "uv")
+        # in each token's rows the largest component stays on one side: its own rows, which are linked already, do not meet
+        sizes = tokens.groupBy("token", "comp").agg(F.count("*").alias("size"))
+        major = sizes.groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("major"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
+        some = tokens.join(major, "token")
+        side = lambda k: [F.col("node").alias(k), F.col("comp").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("place").alias(f"p{k}")]
+        x, y = some.filter("comp != major").select("token", *side("u")), some.select("token", "major", *side("v"))
+        apart = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("major")) | (F.col("cu") < F.col("cv")))
         # sets that are alike share so much that the first shingle they share comes this early in both
         early = [(F.col(f"n{k}") - F.col(f"p{k}")) * (100 + PERCENT) >= PERCENT * (F.col("nu") + F.col("nv")) for k in "uv"]
-        close = (F.col("cu") < F.col("cv")) & (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * PERCENT) & early[0] & early[1]
+        close = apart & (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * PERCENT) & early[0] & early[1]
         more = tables.keep(x.join(y, "token").filter(close).select("u", "v").distinct())
         links = links.union(tables.keep(verify(more, rows)))
         labels = tables.keep(components(links, tables))
