@@ -343,3 +343,20 @@ def u3_section_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_doc = d.groupBy(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("doc"), "section").agg(F.array_sort(F.collect_list("l_partkey")).alias("rows"))
     out = collapse(per_doc)
     return out.select("file", "section", F.size("rows").alias("n"), F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("parts"))
+
+
+_ANSWERS = [(1, '{"table_rows": [{"a": "1"}], "fee_rows": [{"a": "2"}, {"b": "3"}]}'), (2, '{"table_rows": []}'), (3, "no json"), (4, None), (5, '{"rows": [{"a": "9"}], "tax_rows": [{"a": "4"}]}')]
+
+
+def collect_rows(answers: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """id, source, pos, row of every array of an answer whose key ends in ``_rows``, the table's own rows first, then by key."""
+    parsed = answers.select(F.col(id_col), F.explode(F.from_json(json_col, "map<string,array<map<string,string>>>")).alias("key", "list")).filter(F.col("key").endswith("_rows"))
+    listed = parsed.select(id_col, F.regexp_replace("key", "_rows$", "").alias("source"), F.posexplode("list").alias("i", "row"))
+    first = F.when(F.col("source") == "table", 0).otherwise(1)
+    return listed.select(id_col, "source", F.row_number().over(Window.partitionBy(id_col).orderBy(first, "source", "i")).alias("pos"), "row")
+
+
+@query("e16_collect_rows", f"SELECT * FROM {values_sql('id, source, pos, a, b', [(1, 'table', 1, '1', None), (1, 'fee', 2, '2', None), (1, 'fee', 3, None, '3'), (5, 'tax', 1, '4', None)])}")
+def e16_collect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = collect_rows(rows(spark, "id int, raw string", _ANSWERS), "id", "raw")
+    return out.select("id", "source", "pos", F.try_element_at("row", F.lit("a")).alias("a"), F.try_element_at("row", F.lit("b")).alias("b"))

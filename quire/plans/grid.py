@@ -187,3 +187,18 @@ def g18_cell_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g19_region_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of rows as sorted lists in JSON."""
     return G.section_label_rows(cells(spark)).groupBy("template").agg(F.to_json(F.struct(F.array_sort(F.collect_set("r")).alias("rows"))).alias("json"))
+
+
+@query("w14_column_headers", f"SELECT * FROM {values_sql('template, c, head_row, head_text', [(1, 0, 0, 'Current assets'), (1, 1, 0, 'Amount'), (1, 2, 0, 'Non current assets'), (1, 3, 0, 'Amount'), (1, 4, 9, 'Final Total'), (2, 1, 5, 'Qty'), (2, 2, 2, 'Due')])}")
+def w14_column_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topmost text of each column, where the cell below it is blank or a target."""
+    return G.roles(cells(spark)).filter("role = 'column_header'").select("template", "c", "head_row", "head_text")
+
+
+@query("t4_group_order", f"SELECT * FROM {values_sql('template, pos, label_col, start_row', [(1, 1, 0, 1), (1, 2, 2, 1), (1, 3, 0, 11), (1, 4, 2, 11)])}")
+def t4_group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column groups in the order of their first row and value column."""
+    from pyspark.sql import Window
+
+    pos = F.row_number().over(Window.partitionBy("template").orderBy("start_row", "value_col"))
+    return G.column_groups(cells(spark)).select("template", pos.alias("pos"), "label_col", "start_row")
