@@ -90,6 +90,24 @@ def j7_writer_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("template", "section").agg(F.min(F.struct(F.when(F.col("gn") == F.col("sn"), 0).otherwise(1).alias("tier"), "grp")).alias("b")).select("template", "section", F.col("b.grp").alias("grp"))
 
 
+def similar_labels(labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, k, score: ordered pairs of rows whose word sets have a Jaccard of 0.5 and a count ratio of 0.7 at least.
+
+    Equal word sets are one class. Classes meet on the rarest words of their sets, as many as a Jaccard of 0.5 needs
+    (of n words, n less half of n, and one); only classes that are alike are dealt back to their rows, so the work on
+    words does not grow with the copies of a label.
+    """
+    a = labels.select(F.col(id_col).alias("id"), F.array_sort(V.words(F.lower(text_col))).alias("w")).filter(F.size("w") > 0)
+    classes = a.select("w").distinct()
+    word = classes.select("w", F.explode("w").alias("word"))
+    count = word.groupBy("word").agg(F.count("*").alias("n"))
+    ranked = word.join(count, "word").groupBy("w").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("r"))
+    first = ranked.select("w", F.explode(F.slice("r", 1, F.size("r") - F.ceil(F.size("r") / 2).cast("int") + 1)).alias("s")).select("w", F.col("s.word").alias("word"))
+    meet = first.join(first.select(F.col("w").alias("v"), "word"), "word").filter("size(w) >= 0.7 * size(v) and size(v) >= 0.7 * size(w)").select("w", "v").distinct()
+    alike = meet.select("w", "v", V.jaccard(F.col("w"), F.col("v")).alias("score"), V.count_ratio(F.col("w"), F.col("v")).alias("ratio")).filter("score >= 0.5 and ratio >= 0.7")
+    return a.join(alike, "w").join(a.select(F.col("id").alias("k"), F.col("w").alias("v")), "v").filter("k != id").select("id", "k", F.round("score", 6).alias("score"))
+
+
 @query(
     "j10_j11_similar_labels",
     """
@@ -98,12 +116,15 @@ s AS (SELECT p_partkey, k, CAST(len(list_intersect(w, v)) AS DOUBLE) / len(list_
 SELECT p_partkey, k, round(score, 6) AS score FROM s WHERE score >= 0.5 AND ratio >= 0.7""",
 )
 def j10_similar_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of like word sets: pairs meet on shared words, so labels without a word in common are never paired."""
-    a = table(spark, sf_dir, "part").filter("p_partkey <= 300").select("p_partkey", V.words(F.lower("p_name")).alias("w"))
-    t = a.filter("p_partkey <= 40").select(F.col("p_partkey").alias("k"), F.col("w").alias("v"))
-    meet = a.select("p_partkey", "w", F.explode("w").alias("word")).join(t.select("k", "v", F.explode("v").alias("word")), "word").filter("k != p_partkey").drop("word").distinct()
-    scored = meet.select("p_partkey", "k", V.jaccard(F.col("w"), F.col("v")).alias("score"), V.count_ratio(F.col("w"), F.col("v")).alias("ratio"))
-    return scored.filter("score >= 0.5 and ratio >= 0.7").select("p_partkey", "k", F.round("score", 6).alias("score"))
+    """Labels of like word sets among the first ids, as the SQL has them; ``j10_j11_similar_labels_all`` is the whole job."""
+    a = table(spark, sf_dir, "part").filter("p_partkey <= 300")
+    return similar_labels(a, "p_partkey", "p_name").filter("k <= 40").withColumnRenamed("id", "p_partkey")
+
+
+@query("j10_j11_similar_labels_all")
+def j10_similar_labels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label with every other one; the SQL would be a cross product, so a test compares with one on few labels."""
+    return similar_labels(table(spark, sf_dir, "part"), "p_partkey", "p_name").withColumnRenamed("id", "p_partkey")
 
 
 def close_match(pairs: DataFrame, a: str, b: str, cutoff: float = 0.6) -> DataFrame:
