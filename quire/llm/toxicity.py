@@ -1,6 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A disguised token (figures and signs for letters, letters set apart, letters repeated) is a lattice of characters:
+A disguised token (figures and signs for letters, letters set apart, letters repeated; see ``readings`` for the signs at
+its ends) is a lattice of characters:
 each sign stands for some letters, for itself or for nothing, each run of a letter for one or two of it. Viterbi
 decoding finds the likeliest path under a character trigram model whose counts come from every byte of every
 document. Restored words and the words as they stand are then scored.
@@ -43,8 +44,15 @@ SEPARATORS = ".-_*~'`^:;,/\\|+=#"
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = _DIGIT[ord("@")] = True
+_ASCII = np.zeros(256, bool)
+_ASCII[97:123] = True
+_LEAD_OF_TWO = np.zeros(256, bool)
+_LEAD_OF_TWO[0xC2:0xE0] = True
+#: Every sign that can stand for a letter.
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(c) for c in LEET]] = True
+#: Runs of signs at either end of a token that are tried as letters one after the other; all of them together is tried as well.
+EDGE_RUNS = 8
 #: 1 to 26 for a-z, 27 for bytes of other letters, 0 for all else.
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[97:123] = np.arange(1, 27)
@@ -107,29 +115,37 @@ class CharacterModel:
         return min((total + cost[a][b][0], path) for (a, b, _), (total, path) in best.items())[1]
 
 
-def disguised(words: Words) -> list[tuple[int, str]]:
-    """(first byte, token) of blank-separated tokens that may be disguised, and of letters set apart by blanks."""
+def disguised(words: Words) -> list[tuple[np.ndarray, str]]:
+    """(first bytes, token) of blank-separated tokens that may be disguised, equal ones together, and of letters set apart by blanks."""
     low, starts, ends = words.lower, words.starts, words.ends
     if not len(starts):
         return []
     letter = _LETTER[low]
     after = np.r_[0, np.cumsum(letter)]
-    # between the first and the last letter or figure something is no letter, or a letter stands three times
-    sign = np.r_[0, np.cumsum(~letter)]
-    letters = after[ends] - after[starts]
+    # between the first and the last letter something is no letter, a sign for a letter stands before or behind them, or a letter is repeated
+    other = np.r_[0, np.cumsum(~letter)]
     nth = np.flatnonzero(letter)
-    has = letters > 0
+    has = after[ends] > after[starts]
     first = np.where(has, nth[np.minimum(after[starts], max(len(nth) - 1, 0))] if len(nth) else 0, starts)
     last = np.where(has, nth[np.maximum(after[ends] - 1, 0)] if len(nth) else 0, starts)
-    mixed = has & (sign[np.maximum(last, first)] - sign[first] > 0)
-    edge = has & (_DIGIT[low[np.maximum(first - 1, 0)]] & (first > starts) | _DIGIT[low[np.minimum(last + 1, len(low) - 1)]] & (last + 1 < ends))
-    triple = np.zeros(len(low) + 1, np.int64)
-    if len(low) > 2:
-        triple[3:] = np.cumsum(letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]))
-    thrice = (ends - starts > 2) & (triple[ends] - triple[np.minimum(starts + 2, len(low))] > 0)
-    odd = (mixed | edge | thrice) & (letters > 1)
-    out = [(int(starts[i]), low[starts[i] : ends[i]].tobytes().decode("utf-8", "ignore")) for i in np.flatnonzero(odd).tolist()]
-    single = (ends - starts == 1) & (letter[starts] | _DIGIT[low[starts]])
+    mixed = other[np.maximum(last, first)] - other[first] > 0
+    signs = np.r_[0, np.cumsum(_SIGN[low])]
+    edge = (signs[first] > signs[starts]) | (signs[ends] > signs[last])
+    again = np.zeros(len(low) + 1, np.int64)
+    pair = np.zeros(len(low), np.int64)
+    pair[1:] = _ASCII[low[1:]] & (low[1:] == low[:-1])
+    again[1:] = np.cumsum(pair)
+    repeated = again[ends] - again[np.minimum(starts + 1, len(low))] > 0
+    if len(low) > 3:
+        # the same for letters of two bytes
+        wide = np.zeros(len(low) + 1, np.int64)
+        wide[4:] = np.cumsum(_LEAD_OF_TWO[low[:-3]] & (low[:-3] == low[2:-1]) & (low[1:-2] == low[3:]))
+        repeated |= (ends - starts > 3) & (wide[ends] - wide[np.minimum(starts + 3, len(low))] > 0)
+    odd = np.flatnonzero((mixed | edge | repeated) & has)
+    _, one, which = np.unique(words.hashes()[odd], return_index=True, return_inverse=True)
+    homes = np.split(starts[odd][np.argsort(which, kind="stable")], np.cumsum(np.bincount(which, minlength=len(one)))[:-1]) if len(one) else []
+    out = [(home, low[starts[i] : ends[i]].tobytes().decode("utf-8", "ignore")) for home, i in zip(homes, odd[one].tolist())]
+    single = (ends - starts == 1) & (letter[starts] | _SIGN[low[starts]])
     row_start = np.zeros(len(starts) + 1, bool)
     row_start[words.rows] = True
     fresh = single & (np.r_[True, ~single[:-1]] | row_start[:-1])
@@ -137,10 +153,25 @@ def disguised(words: Words) -> list[tuple[int, str]]:
     closing = np.flatnonzero(single & (np.r_[~single[1:], True] | row_start[1:]))
     for a, b in zip(runs.tolist(), closing.tolist()):
         if b - a >= 2:
-            out.append((int(starts[a]), low[starts[a : b + 1]].tobytes().decode("latin-1")))
+            out.append((starts[a : a + 1], low[starts[a] : ends[b]].tobytes().decode("latin-1")))
     return out
 
 
+def readings(token: str) -> list[str]:
+    """The token with and without the signs before its first and behind its last letter, which may be letters or noise.
+
+    Letters alone, none of them repeated, are no disguise and are left out.
+    """
+    at = [i for i, c in enumerate(token) if _symbol(c)]
+    if not at:
+        return [token]
+    first, last = at[0], at[-1] + 1
+    heads = [i for i in range(first - 1, -1, -1) if token[i] in LEET and (i == 0 or token[i - 1] != token[i])]
+    tails = [i + 1 for i in range(last, len(token)) if token[i] in LEET and (i + 1 == len(token) or token[i + 1] != token[i])]
+    found = {token[a:b]: None for a in [first, *heads[:EDGE_RUNS], *heads[EDGE_RUNS:][-1:]] for b in [last, *tails[:EDGE_RUNS], *tails[EDGE_RUNS:][-1:]]}
+    return [x for x in found if not all(map(_symbol, x)) or any(c == d for c, d in zip(x, x[1:]))]
+
+
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, feature hash): what each word of at least three bytes begins with, and the word as a whole."""
     up, down = _POWERS.get(len(data) + 1)
@@ -164,16 +195,16 @@ class Model:
     share: np.ndarray
     base: float
     counts: np.ndarray
-    cache: dict[str, str] = field(default_factory=dict)
+    cache: dict[str, list[str]] = field(default_factory=dict)
     lm: CharacterModel | None = None
 
-    def restored(self, token: str) -> str:
+    def restored(self, token: str) -> list[str]:
         if self.lm is None:
             self.lm = CharacterModel(self.counts)
         if token not in self.cache:
             if len(self.cache) >= _CACHE:
                 self.cache.clear()
-            self.cache[token] = self.lm.restore(token)
+            self.cache[token] = list({self.lm.restore(x): None for x in readings(token)})
         return self.cache[token]
 
     def share_of(self, hashes: np.ndarray) -> np.ndarray:
@@ -183,7 +214,7 @@ class Model:
         return np.where(self.keys[at] == hashes, self.share[at], 0.0)
 
     def score(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        row, _, hashes = document_features(data, bounds, self)
+        row, _, hashes = document_features(data, bounds, self, known_only=True)
         p = self.share_of(hashes)
         hit = p > 0
         clean = np.zeros(len(bounds) - 1)
@@ -195,20 +226,35 @@ class Model:
         return 1 - (1 - self.base) * np.exp(clean)
 
 
-def document_features(data: np.ndarray, bounds: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word number, feature hash) of the words as they stand and of restored words."""
+def document_features(data: np.ndarray, bounds: np.ndarray, model: Model, known_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word number, feature hash) of the words as they stand and of restored words, of these with ``known_only`` the model's features."""
     plain = Words(data, bounds, NON_ALNUM)
     word, hashes = features(plain.lower, plain.starts, plain.ends)
     row = np.searchsorted(plain.rows, word, side="right") - 1
     odd = disguised(Words(data, bounds, BLANKS))
     if odd:
-        texts = [model.restored(token).encode() for _, token in odd]
-        ends = np.cumsum([len(t) for t in texts])
-        starts = np.r_[0, ends[:-1]]
-        again, more = features(np.frombuffer(b"".join(texts), np.uint8), starts, ends)
-        home = np.searchsorted(bounds, [at for at, _ in odd], side="right") - 1
-        word = np.concatenate([word, again + len(plain.starts)])
-        row, hashes = np.concatenate([row, home[again]]), np.concatenate([hashes, more])
+        texts, token = [], []
+        for i, (_, x) in enumerate(odd):
+            for text in model.restored(x):
+                texts.append(text.encode())
+                token.append(i)
+        if texts:
+            ends = np.cumsum([len(t) for t in texts])
+            starts = np.r_[0, ends[:-1]]
+            again, more = features(np.frombuffer(b"".join(texts), np.uint8), starts, ends)
+            if known_only:
+                on = model.share_of(more) > 0
+                again, more = again[on], more[on]
+            # each feature of a token for each place of the token; readings of one token are one word
+            at = np.asarray(token)[again]
+            places = np.array([len(h) for h, _ in odd])
+            begin = np.cumsum(places) - places
+            many = places[at]
+            spread = np.repeat(np.arange(len(at)), many)
+            nth = begin[at][spread] + np.arange(len(spread)) - np.repeat(np.cumsum(many) - many, many)
+            home = np.searchsorted(bounds, np.concatenate([h for h, _ in odd]), side="right") - 1
+            word = np.concatenate([word, nth + len(plain.starts)])
+            row, hashes = np.concatenate([row, home[nth]]), np.concatenate([hashes, more[spread]])
     return row, word, hashes
 
 
