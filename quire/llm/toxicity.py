@@ -8,8 +8,9 @@ document. Restored words and the words as they stand are then scored.
 
 Words are scored by what they begin with (4 to 7 bytes) and as a whole: each such feature has the share of toxic
 documents among the labelled documents that hold it, learned from a bounded sample of labels (``TOXIC_SAMPLE`` and
-``CLEAN_SAMPLE`` documents, chosen by a hash of the id); features in under ``MIN_PART`` of the toxic documents, such
-as words that a few copies share, are left out. A document's score is the noisy-or of its words' best
+``CLEAN_SAMPLE`` documents, chosen by a hash of the id). Equal texts count once, so that copies lend a word no support;
+a feature needs ``MIN_DOCS`` distinct toxic texts, and the lower end of its share's interval asks for more, but never
+for a part of all toxic documents. A document's score is the noisy-or of its words' best
 features and of the rate of toxicity without any.
 """
 
@@ -29,7 +30,7 @@ from quire.llm.text import _POWERS, BLANKS, NON_ALNUM, Words, chunks, mix
 TOXIC_SAMPLE, CLEAN_SAMPLE = 4000, 8000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-MIN_DOCS, MIN_PART = 3, 0.02
+MIN_DOCS = 3
 #: Features of at least the first share are taken first; weaker ones are learned from the documents without any of these.
 MIN_SHARES = (0.95, 0.75)
 PREFIXES = (4, 5, 6, 7)
@@ -290,7 +291,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     chance = F.when(F.col("y") > 0, part[1]).otherwise(part[0])
     # about TOXIC_SAMPLE + CLEAN_SAMPLE rows of two numbers, whatever the size of the table
     drawn = known.filter(F.pmod(F.xxhash64("k", F.lit("label")), F.lit(1 << 20)) < chance * (1 << 20))
-    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(drawn), "k").select("t", "y")
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(drawn), "k").groupBy("t").agg(F.max("y").alias("y"))
     # the lower end of the share's 90 % interval (Wilson), clean documents counted for those that were not drawn
     n = F.col("toxic") + F.col("clean") * part[1] / part[0]
     p, z = F.col("toxic") / n, 1.64
@@ -298,7 +299,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     model = empty
     for floor in MIN_SHARES:
         rows = feature_counts(texts, model).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        strong = rows.filter(F.col("toxic") >= max(MIN_DOCS, MIN_PART * part[1] * toxic)).select("feature", share.alias("share")).filter(F.col("share") >= floor).collect()
+        strong = rows.filter(F.col("toxic") >= MIN_DOCS).select("feature", share.alias("share")).filter(F.col("share") >= floor).collect()
         found = dict(zip(model.keys.tolist(), model.share.tolist())) | {r["feature"]: r["share"] for r in strong}
         keys = sorted(found)
         model = Model(np.array(keys, np.int64), np.array([found[k] for k in keys]), 0.0, counts)
