@@ -44,10 +44,17 @@ def r3_state_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOG = "l AS (SELECT user_id AS job, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE event_type END AS status, epoch(ts) AS moment FROM events WHERE event_id % 50 <> 0 OR event_type = 'purchase')"
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+_LOG_ALL = "l AS (SELECT user_id AS job, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE event_type END AS status, epoch(ts) AS moment FROM events)"
+
+
+def _log(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Events as job states; not ``whole``, without one in fifty, as the SQL has them."""
     status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type"))
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return table(spark, sf_dir, "events").filter("event_id % 50 != 0 or event_type = 'purchase'").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), status.alias("status"), at.alias("at"))
+    events = table(spark, sf_dir, "events")
+    if not whole:
+        events = events.filter("event_id % 50 != 0 or event_type = 'purchase'")
+    return events.select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), status.alias("status"), at.alias("at"))
 
 
 @query("r4_progress", f"WITH {_LOG} SELECT job, count(*) AS steps, (SELECT max(moment) FROM l) - max(moment) > 30 AS stale FROM l GROUP BY job")
@@ -55,11 +62,21 @@ def r4_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.progress(_log(spark, sf_dir))
 
 
+@query("r4_progress_all", f"WITH {_LOG_ALL} SELECT job, count(*) AS steps, (SELECT max(moment) FROM l) - max(moment) > 30 AS stale FROM l GROUP BY job")
+def r4_progress_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watch.progress(_log(spark, sf_dir, whole=True))
+
+
 @query("r5_job_states", f"WITH {_LOG} SELECT job, coalesce(arg_min(status, seq) FILTER (status IN ('completed', 'failed', 'cancelled')), arg_max(status, seq)) AS status FROM l GROUP BY job")
 def r5_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.job_states(_log(spark, sf_dir))
 
 
+@query("r5_job_states_all", f"WITH {_LOG_ALL} SELECT job, coalesce(arg_min(status, seq) FILTER (status IN ('completed', 'failed', 'cancelled')), arg_max(status, seq)) AS status FROM l GROUP BY job")
+def r5_job_states_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watch.job_states(_log(spark, sf_dir, whole=True))
+
+
 @query("r6_throttle")
 def r6_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every attempt of every user, by a stream with state; no SQL follows such a chain, so a test does by hand."""

@@ -3,8 +3,9 @@
 from collections import defaultdict
 
 from oracle import SF_DIR
+from pyspark.sql import functions as F
 
-from quire.plans import matching
+from quire.plans import analytics, matching, sources, streams
 from quire.session import table
 
 
@@ -28,3 +29,23 @@ def test_similar_labels_are_of_all_parts(spark):
     # labels have two words: one in common is a third, so pairs are those of equal sets
     assert all(len(n) == 2 for n in names) and got.count() == sum(n * (n - 1) for n in same.values())
     assert got.filter("p_partkey > 300 and k > 40").count() > 0
+
+
+def test_activity_counts_every_click(spark):
+    events = table(spark, SF_DIR, "events")
+    newest = events.agg(F.max(F.to_date("ts"))).first()[0]
+    want = events.filter(F.date_diff(F.lit(newest), F.to_date("ts")) < 14).count()
+    assert sum(r.n for r in analytics.a7_activity_all(spark, SF_DIR).collect()) == want
+
+
+def test_progress_counts_every_event(spark):
+    assert streams.r4_progress_all(spark, SF_DIR).agg(F.sum("steps")).first()[0] == table(spark, SF_DIR, "events").count()
+
+
+def test_every_text_is_paged_and_encoded(spark):
+    items = {r.item_id: len(r.text.encode()) + 1 for r in table(spark, SF_DIR, "benchmark").collect()}
+    assert {r.item_id for r in sources.s4_text_pages_all(spark, SF_DIR).collect()} == set(items)
+    got = sources.s5_page_images_all(spark, SF_DIR).collect()
+    assert {r.item_id: r.bytes for r in got} == items and len(got) == len(items)
+    assert all((r.error is None) != (r.kind is None) for r in got)
+    assert all(r.encoded == 4 * -(-r.bytes // 3) for r in got if r.kind == "raw")
