@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.license_digests import DIGESTS
+
 # Spellings that licence matching takes as equal.
 SPELLINGS = {
     "licence": "license", "sublicence": "sublicense", "organisation": "organization", "authorisation": "authorization", "authorised": "authorized",
@@ -64,7 +66,8 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, id_col: str = "d
     comma-joined, empty where there are none. Null is as empty: the digest of nothing, which is no licence. Rows with
     equal ids stay apart.
     """
-    table = known(docs.sparkSession, texts)
+    whole = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(digest).alias("digest")) for name, digest in DIGESTS])
+    table = known(docs.sparkSession, texts).unionByName(docs.sparkSession.range(1).select(F.inline(whole))).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     # a map of as many digests as there are known texts
     ids = docs.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(t).alias("t")) for n, t in texts]))).select("n", F.sha2(flat(canonical_lines(F.col("t"))), 256).alias("d")).collect()
     lookup: dict[str, str] = {}
