@@ -10,20 +10,27 @@ of a bucket:
 2. Classes whose buckets still hold more than one component are joined on their rarest shingles (a prefix filter,
    exact for the threshold: sets this similar share one of them), across components only, and compared likewise.
 
-Tables that several steps read are written to the shared folder. Rows carry one set at most, two when compared.
+Two classes at a similarity of exactly 0.75 share no band with a probability of 2 in 100,000 (at 0.8 it is 1 in 10
+million), so step 1 by itself can lose a link. With ``exact`` all classes take step 2, which loses none and costs the
+rarest quarter of all shingles in the shuffle.
+
+A set is its shingles' 64-bit hashes: comparisons are of these, and sets are one class if 128 bits of them agree.
+Tables that several steps read are written to the shared folder, and removed there once no later step reads them.
+Rows carry one set at most, two when compared.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import BLANKS, Words, chunks, mix, shared_dir
+from quire.llm.text import BLANKS, Words, carried, chunks, mix, remove_folder, shared_dir, with_carried
 
 WORDS = 5
 PERCENT = 75
@@ -32,7 +39,7 @@ SALTS = 16
 #: Rows of two ids that are sent to all executors at most; larger candidate tables are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 _SLOT_BITS = 20
-_SLOTS, _PART = 1 << _SLOT_BITS, 1 << 12
+_SLOTS, _PART, _LEAVES = 1 << _SLOT_BITS, 1 << 12, 1 << 10
 _WEIGHTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -90,8 +97,8 @@ def signatures(groups: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -
     return keys.T.view(np.int64)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_key, bands (null without shingles) of each row."""
+def sketch(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_shingles, set_key, bands (null without shingles) of each row, and the columns to carry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,11 +107,13 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 some = [g for g in groups if len(g)]
                 keys = iter(signatures(some) if some else ())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array(map(len, groups), pa.int64()), pa.array([set_key(g) for g in groups], pa.binary()), pa.array([next(keys).tolist() if len(g) else None for g in groups], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set_key", "bands"],
+                    [batch.column(0).slice(low, high - low), pa.array(map(len, groups), pa.int64()), pa.array([set_key(g) for g in groups], pa.binary()), pa.array([next(keys).tolist() if len(g) else None for g in groups], pa.list_(pa.int64())), *(c.slice(low, high - low) for c in batch.columns[2:])],
+                    names=["doc_id", "n_shingles", "set_key", "bands", *more],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col), *carried(docs, carry))
+    more = rows.columns[2:]
+    return rows.mapInArrow(run, with_carried("doc_id long, n_shingles long, set_key binary, bands array<long>", rows, more))
 
 
 def set_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,6 +166,11 @@ class Tables:
         df.write.parquet(f"{self.folder}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
+    def drop(self, low: int, high: int) -> None:
+        """Remove the tables from number ``low`` up to ``high``, not included; the caller has written all that was made of them."""
+        for n in range(low, high):
+            remove_folder(self.spark, f"{self.folder}/{n}")
+
 
 def components(links: DataFrame, tables: Tables) -> DataFrame:
     """node, comp (its component's smallest node) of every node in ``links`` (u, v), by alternating large and small stars.
@@ -183,6 +197,7 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
     while before[0]:
         links = tables.keep(star(star(links, True), False))
         after = mark(links)
+        tables.drop(tables.n - 1, tables.n)
         if after == before:
             break
         before = after
@@ -203,15 +218,17 @@ def rarest(rows: DataFrame) -> DataFrame:
                 total += np.bincount(_slot(np.ascontiguousarray(data).view(np.uint64)), minlength=_SLOTS)
         parts = total.reshape(-1, _PART)
         some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "counts"])
+        leaf = TaskContext.get().partitionId() % _LEAVES
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([leaf] * len(some), pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "leaf", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
         counts = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts"))
-        return pa.table({"part": table.column("part")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
+        return pa.table({"part": table.column("part")[:1], "leaf": table.column("leaf")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
 
-    schema = "part int, counts binary"
+    # sums in two levels: a group holds the slots of _PART from one task in _LEAVES, then of _LEAVES sums
+    schema = "part int, leaf int, counts binary"
     often = np.zeros((_SLOTS // _PART, _PART), np.int64)
-    for r in rows.select("shingles").mapInArrow(tally, schema).groupBy("part").applyInArrow(total, schema).toLocalIterator():
+    for r in rows.select("shingles").mapInArrow(tally, schema).groupBy("part", "leaf").applyInArrow(total, schema).groupBy("part").applyInArrow(total, schema).toLocalIterator():
         often[r["part"]] = np.frombuffer(r["counts"], np.int64)
     often = np.minimum(often.ravel(), np.iinfo(np.int32).max).astype(np.int32)
     shared = rows.sparkSession.sparkContext.broadcast(often)
@@ -242,16 +259,18 @@ def _node(rep: Column, key: Column) -> Column:
     return F.concat(F.unhex(F.lpad(F.hex(order), 16, "0")), F.substring(key, 1, 8))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), exact: bool = False) -> DataFrame:
+    """One row for each row: doc_id, n_shingles, component_id, kept, and the columns to carry under ``in_`` names.
 
     A text without words (or null) has no shingles, is linked with nothing and kept. Rows with equal ids and
     different texts are apart; with equal texts they are alike and all kept if theirs is the smallest id. Null ids
-    come after all others: such rows are kept only in components without an id. Other columns are not read.
+    come after all others: such rows are kept only in components without an id. Other columns are not read. Carried
+    columns are stored once more, so long ones are better joined. ``exact`` finds every link (see above).
     """
     spark = docs.sparkSession
     tables = Tables(spark)
-    sketches = tables.keep(sketch(docs, id_col, text_col))
+    sketches = tables.keep(sketch(docs, id_col, text_col, carry))
+    more = sketches.columns[4:]
     classes = sketches.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = tables.keep(classes.withColumn("node", _node(F.col("rep"), F.col("set_key"))))
 
@@ -265,8 +284,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     split = met.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = split.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("band")
-    open_nodes = tables.keep(split.join(mixed, "band").select("node", "comp").distinct())
+    still = classes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")) if exact else split.join(mixed, "band").select("node", "comp").distinct()
+    open_nodes = tables.keep(still)
+    tables.drop(3, 5)
     if open_nodes.limit(1).count():
+        begun = tables.n
         wanted = open_nodes.select("node").join(classes.select("node", "rep", "set_key"), "node")
         rows = tables.keep(set_rows(docs, wanted, id_col, text_col))
         tokens = tables.keep(rarest(rows).join(open_nodes, "node"))
@@ -280,17 +302,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # sets that are alike share so much that the first shingle they share comes this early in both
         early = [(F.col(f"n{k}") - F.col(f"p{k}")) * (100 + PERCENT) >= PERCENT * (F.col("nu") + F.col("nv")) for k in "uv"]
         close = apart & (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * PERCENT) & early[0] & early[1]
-        more = tables.keep(x.join(y, "token").filter(close).select("u", "v").distinct())
-        links = links.union(tables.keep(verify(more, rows)))
+        likely = tables.keep(x.join(y, "token").filter(close).select("u", "v").distinct())
+        links = links.union(tables.keep(verify(likely, rows)))
         labels = tables.keep(components(links, tables))
+        tables.drop(begun + 1, tables.n)
 
     # only classes with another id than their own, for every salt, so that a class of a third of all rows is many groups
     named = labels.join(classes.select(F.col("node").alias("comp"), F.col("rep").alias("component_id")), "comp")
     changed = classes.select("node", "set_key", "rep", "copies").join(named, "node", "left").select("set_key", F.when(F.col("comp").isNotNull(), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"), F.lit(True).alias("grouped"), (F.col("comp").isNotNull() | (F.col("copies") > 1)).alias("many")).filter("many").drop("many")
     changed = changed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = sketches.select("doc_id", "n_shingles", "set_key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(changed, ["set_key", "salt"], "left")
+    out = sketches.select("doc_id", "n_shingles", "set_key", *more, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(changed, ["set_key", "salt"], "left")
     component = F.when(F.col("grouped") & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more)
 
 
 def _of(classes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -136,10 +136,18 @@ def bounded_batches(spark) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+def remove_folder(spark, path: str) -> None:
+    """Delete a folder of intermediate tables, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shared_dir(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset in local mode, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
