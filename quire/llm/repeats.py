@@ -13,8 +13,16 @@ however far apart their documents are.
    stream matching statistics of the later half through it; matches of ``LENGTH`` or more are marked.
 3. Blocks remove what is marked in their documents.
 
-The text is shuffled once; all three steps read the same exchange. A block holds ``BLOCK_BYTES`` or one document, and a
-bucket's hashes number about ``BUCKET_ANCHORS`` whatever the input's size.
+An anchor that many blocks have in ever different contexts (a short passage in many surroundings) would bring all these
+contexts to one bucket. With its hashes each block sends a byte that tells its contexts apart, so step 1 finds such
+anchors (``HOT``), and step 2 deals their contexts anew: a string in which the anchor stands at place 2g or 2g + 1 goes
+under g and the 49 bytes that all such strings have in common. Strings that are equal still meet, and what is under one
+such key differs in one byte at either end only, so it has at most 65,536 contexts.
+
+The text is shuffled once; all three steps read the same exchange. A block holds ``BLOCK_BYTES``, one document, or the
+repetitions of one row; a bucket's hashes number about ``BUCKET_ANCHORS`` whatever the input's size, besides one entry
+for each block that has a passage. Contexts of a block are one if 64 bits of their hashes and their anchors' agree, and
+rows are repetitions if their ids and 64 bits of a hash of their texts agree; buckets compare contexts byte by byte.
 """
 
 from __future__ import annotations
@@ -32,6 +40,9 @@ LENGTH = 50
 GRAM = 24
 BLOCK_BYTES = 2 << 20
 BUCKET_ANCHORS = 1 << 18
+#: An anchor is hot if so many blocks have it, with so many of 256 signs of their contexts, or if so many have over ``DEEP`` contexts each.
+HOT = (64, 48, 16)
+DEEP = 64
 _PLACE = np.uint64((1 << 24) - 1)
 _SEGMENT = (1 << 24) - (1 << 12)
 _LOW = np.uint64((1 << 48) - 1)
@@ -59,10 +70,11 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def _runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor hash, first start, last start, row) of the runs of strings with one anchor, in a chunk of rows."""
+    """(anchor hash, first start, last start, row, anchor's place) of the runs of strings with one anchor, in a chunk of rows."""
     n = len(data) - LENGTH + 1
+    none = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
     if n < 1:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        return none
     h = _grams(data)
     least = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     span, want = 1, LENGTH - GRAM + 1
@@ -78,7 +90,7 @@ def _runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     np.add.at(valid, bounds[1:][long] - LENGTH + 1, -1)
     start = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
     if not len(start):
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        return none
     place = place[start]
     new = np.r_[True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)]
     row = np.searchsorted(bounds, start, side="right") - 1
@@ -86,7 +98,7 @@ def _runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(start)] - 1
     # least hashes are small: mixed again, they spread over the buckets
-    return mix(h[place[first]]), start[first], start[last], row[first]
+    return mix(h[place[first]]), start[first], start[last], row[first], place[first]
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -97,8 +109,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
         for at in range(a, max(b - LENGTH + 1, a + 1), _SEGMENT - LENGTH + 1):
             end = min(at + _SEGMENT, b)
-            h, first, last, _ = _runs(data[at:end], np.array([0, end - at]))
-            parts.append((h, first + at, last + at, np.full(len(h), row)))
+            h, first, last, _, place = _runs(data[at:end], np.array([0, end - at]))
+            parts.append((h, first + at, last + at, np.full(len(h), row), place + at))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -324,16 +336,14 @@ class Block:
         self.texts = table.column("raw").combine_chunks() if table.num_rows else pa.array([], pa.binary())
         parts, self.data, self.low = [], [], []
         for low, high, data, bounds in chunks(self.texts, 1 << 18):
-            h, first, last, row = anchors(data, bounds)
-            parts.append((h, first - bounds[row], last - bounds[row], row + low, np.full(len(h), len(self.data)), bounds[row]))
+            h, first, last, row, place = anchors(data, bounds)
+            parts.append((h, first - bounds[row], last - bounds[row], row + low, np.full(len(h), len(self.data)), bounds[row], place - bounds[row]))
             self.data.append(data)
         if not parts:
-            parts = [tuple(np.zeros(0, np.int64) for _ in range(6))]
-        h, self.first, self.last, self.row, self.chunk, self.base = (np.concatenate(x) for x in zip(*parts))
+            parts = [tuple(np.zeros(0, np.int64) for _ in range(7))]
+        h, self.first, self.last, self.row, self.chunk, self.base, self.place = (np.concatenate(x) for x in zip(*parts))
         h = h.astype(np.uint64)
-        # the bucket is the high part of the hash times the number of buckets
-        self.bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        self.key = h & _LOW
+        self.bucket, self.key = _home(h, buckets)
         self.order = np.lexsort((self.key, self.bucket))
         b, k = self.bucket[self.order], self.key[self.order]
         new = np.r_[True, (b[1:] != b[:-1]) | (k[1:] != k[:-1])] if len(h) else np.zeros(0, bool)
@@ -352,9 +362,39 @@ class Block:
         for a, b in zip(self.cuts.tolist(), ends):
             yield int(self.bucket[self.order[self.distinct[a]]]), a, b
 
-    def slice(self, i: int, start: int, end: int) -> bytes:
-        at = self.base[i]
-        return self.data[self.chunk[i]][at + start : at + end].tobytes()
+    def hashes(self, run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of bytes ``start`` to ``end`` of the row of each run, their number included."""
+        out = np.zeros(len(run), np.uint64)
+        chunk, base = self.chunk[run], self.base[run]
+        for c in np.unique(chunk).tolist():
+            on = np.flatnonzero(chunk == c)
+            data = self.data[c]
+            up, down = _POWERS.get(len(data) + 1)
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(mix(data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+            a, b = base[on] + start[on], base[on] + end[on]
+            out[on] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        return out
+
+    def contexts(self, use: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+        """(run, bucket, key, first start, last start) of the contexts of the runs in ``use``; those of hot anchors are dealt by two places of the anchor."""
+        plain, split = use[~hot], use[hot]
+        low, high = self.place[split] - self.last[split], self.place[split] - self.first[split]
+        many = high // 2 - low // 2 + 1
+        of = np.repeat(np.arange(len(split)), many)
+        g = low[of] // 2 + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        near, far = 2 * g, np.minimum(2 * g + 1, LENGTH - GRAM)
+        run, place = split[of], self.place[split][of]
+        core = self.hashes(run, place - near, place + LENGTH - far)
+        bucket, key = _home(mix(core + (g + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), buckets)
+        first, last = place - np.minimum(far, high[of]), place - np.maximum(near, low[of])
+        pairs = ((plain, run), (self.bucket[plain], bucket), (self.key[plain], key), (self.first[plain], first), (self.last[plain], last))
+        return tuple(np.concatenate(x) for x in pairs)
+
+
+def _home(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, key) of hashes: the high part times the number of buckets, and the low 48 bits."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), h & _LOW
 
 
 def _in_order(table: pa.Table) -> pa.Table:
@@ -362,7 +402,7 @@ def _in_order(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc", "ascending"), ("uid", "ascending")])
 
 
-_ASK = "block long, bucket long, keys binary, several binary"
+_ASK = "block long, bucket long, keys binary, several binary, signs binary, deep binary"
 _BITS_OF = "block long, bucket long, bits binary"
 _CONTEXT = "block long, bucket long, packed binary"
 _MARKS = "block long, packed binary"
@@ -380,29 +420,59 @@ def _ask(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         block, number = Block(table, buckets), table.column("block")[0].as_py()
         rows = []
+        if not len(block.key):
+            return _table(rows, _ASK)
+        every = np.arange(len(block.key))
+        mark = block.hashes(every, block.first, block.last + LENGTH)
+        by = np.lexsort((mark, block.nth))
+        nth, mark = block.nth[by], mark[by]
+        head = np.flatnonzero(np.r_[True, nth[1:] != nth[:-1]])
+        tail = np.r_[head[1:], len(by)] - 1
+        # the least and the greatest hash of an anchor's contexts: alike in blocks that have the same single context
+        signs = (mix(mark[head] * np.uint64(0xD1342543DE82EF95) + mark[tail]) >> np.uint64(56)).astype(np.uint8)
+        differ = np.cumsum(np.r_[True, (mark[1:] != mark[:-1]) | (nth[1:] != nth[:-1])])
+        deep = differ[tail] - differ[head] >= DEEP
         for bucket, a, b in block.by_bucket():
             at = block.order[block.distinct[a:b]]
-            rows.append((number, bucket, _spread(block.key[at]), np.packbits(block.several[a:b]).tobytes()))
+            rows.append((number, bucket, _spread(block.key[at]), np.packbits(block.several[a:b]).tobytes(), signs[a:b].tobytes(), np.packbits(deep[a:b]).tobytes()))
         return _table(rows, _ASK)
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Bits of the hashes that more than one block has, or one block in several documents."""
-    keys = [_gather(x.as_py()) for x in table.column("keys")]
-    own = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[: len(k)].astype(bool) for x, k in zip(table.column("several"), keys)]
-    flat = np.concatenate(keys)
-    order = np.argsort(flat, kind="stable")
-    same = flat[order][1:] == flat[order][:-1]
-    twice = np.zeros(len(flat), bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    # a key that is one block's own, and in several documents there
-    twice |= np.concatenate(own)
-    ends = np.cumsum([len(k) for k in keys])
-    rows = [(n, b, np.packbits(twice[e - len(k) : e]).tobytes()) for n, b, k, e in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), keys, ends.tolist()) if twice[e - len(k) : e].any()]
-    return _table(rows, _BITS_OF)
+def _answer(hot_blocks: int, hot_signs: int, deep_blocks: int):
+    """Bits of the hashes that more than one block has, or one block in several documents; after them, where there are any, bits of those that are hot."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [_gather(x.as_py()) for x in table.column("keys")]
+        bits = lambda name: np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[: len(k)].astype(bool) for x, k in zip(table.column(name), keys)])
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        same = flat[order][1:] == flat[order][:-1]
+        twice = np.zeros(len(flat), bool)
+        twice[order[1:]] |= same
+        twice[order[:-1]] |= same
+        # a key that is one block's own, and in several documents there
+        twice |= bits("several")
+        hot = np.zeros(len(flat), bool)
+        head = np.flatnonzero(np.r_[True, ~same])
+        many = np.diff(np.r_[head, len(flat)])
+        nth = np.repeat(np.arange(len(head)), many)
+        deep = np.bincount(nth, bits("deep")[order], len(head)) >= deep_blocks
+        wide = np.flatnonzero(many >= hot_blocks)
+        if len(wide) or deep.any():
+            sign = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("signs")])[order]
+            on = np.flatnonzero(np.isin(nth, wide))
+            distinct = np.bincount(np.unique(nth[on] * 256 + sign[on]) // 256, minlength=len(head))
+            hot[order] = ((distinct >= hot_signs) | deep)[nth]
+        rows, end = [], 0
+        for number, bucket, k in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), keys):
+            begin, end = end, end + len(k)
+            if twice[begin:end].any():
+                rows.append((number, bucket, np.packbits(twice[begin:end]).tobytes() + (np.packbits(hot[begin:end]).tobytes() if hot[begin:end].any() else b"")))
+        return _table(rows, _BITS_OF)
+
+    return run
 
 
 def _contexts(buckets: int):
@@ -412,29 +482,34 @@ def _contexts(buckets: int):
         block, number = Block(docs, buckets), docs.column("block")[0].as_py()
         bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
         rows, marks = [], []
-        repeated = np.zeros(len(block.distinct), bool)
+        repeated, hot = np.zeros(len(block.distinct), bool), np.zeros(len(block.distinct), bool)
         for bucket, a, b in block.by_bucket():
             if bucket in bits:
-                repeated[a:b] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8))[: b - a]
+                raw, size = np.frombuffer(bits[bucket], np.uint8), -(-(b - a) // 8)
+                repeated[a:b] = np.unpackbits(raw[:size])[: b - a]
+                if len(raw) > size:
+                    hot[a:b] = np.unpackbits(raw[size:])[: b - a]
         use = np.flatnonzero(repeated[block.nth])
-        mark = _hashes(block, use)
-        doc = block.id[block.row[use]]
-        order = np.lexsort((doc, mark, block.nth[use]))
-        use, mark, doc, nth = use[order], mark[order], doc[order], block.nth[use[order]]
-        new = np.r_[True, (nth[1:] != nth[:-1]) | (mark[1:] != mark[:-1])]
+        use, bucket, key, start, last = block.contexts(use, hot[block.nth[use]], buckets)
+        mark = block.hashes(use, start, last + LENGTH)
+        order = np.lexsort((block.id[block.row[use]], mark, key, bucket))
+        use, bucket, key, start, last, mark = (x[order] for x in (use, bucket, key, start, last, mark))
+        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])]
         head = np.flatnonzero(new)
         context = np.cumsum(new) - 1
+        row, end = block.row[use], last + LENGTH
+        doc = block.id[row]
         later = doc > doc[head][context]
-        row, start, end = block.row[use], block.first[use], block.last[use] + LENGTH
-        bucket_of = block.bucket[use[head]]
+        bucket_of = bucket[head]
         for k, (a, b) in enumerate(zip(*_pieces(bucket_of))):
-            some = use[head[a:b]]
-            text = b"".join(block.slice(i, s, e) for i, s, e in zip(some.tolist(), block.first[some].tolist(), (block.last[some] + LENGTH).tolist()))
+            at = head[a:b]
+            begins = block.base[use[at]] + start[at]
+            text = b"".join(block.data[c][s:e].tobytes() for c, s, e in zip(block.chunk[use[at]].tolist(), begins.tolist(), (begins + (end - start)[at]).tolist()))
             lo, hi = head[a], head[b] if b < len(head) else len(use)
             mine = np.arange(lo, hi)[~later[lo:hi]]
             # what is later in the block itself needs no answer; it goes along with the first piece
             own = later if k == 0 else np.zeros(0, np.int64)
-            rows.append((number, int(bucket_of[a]), _pack(np.diff(block.key[some].astype(np.int64), prepend=0), doc[head[a:b]], (block.last[some] - block.first[some]).astype(np.uint8).tobytes(), text, np.diff(context[mine] - a, prepend=0), row[mine], start[mine], row[own], start[own], end[own] - start[own])))
+            rows.append((number, int(bucket_of[a]), _pack(np.diff(key[at].astype(np.int64), prepend=0), doc[at], (last - start)[at].astype(np.uint8).tobytes(), text, np.diff(context[mine] - a, prepend=0), row[mine], start[mine], row[own], start[own], end[own] - start[own])))
         return _table(rows, _CONTEXT)
 
     return run
@@ -446,21 +521,6 @@ def _pieces(values: np.ndarray) -> tuple[list[int], list[int]]:
     return cut.tolist(), [*cut[1:].tolist(), len(values)] if len(cut) else []
 
 
-def _hashes(block: Block, use: np.ndarray) -> np.ndarray:
-    """A hash of the context of each run of strings, its length included."""
-    out = np.zeros(len(use), np.uint64)
-    for c in np.unique(block.chunk[use]).tolist():
-        on = np.flatnonzero(block.chunk[use] == c)
-        data = block.data[c]
-        up, down = _POWERS.get(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(mix(data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        i = use[on]
-        a, b = block.base[i] + block.first[i], block.base[i] + block.last[i] + LENGTH
-        out[on] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
-    return out
-
-
 def _mark(table: pa.Table) -> pa.Table:
     """Match the contexts of a bucket and tell every block what to remove."""
     texts: list[bytes] = []
@@ -564,7 +624,7 @@ def _remove(as_text: bool, carry: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), as_text: bool = False, block_bytes: int = BLOCK_BYTES, hot: tuple[int, int, int] = HOT) -> DataFrame:
     """One row for each row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes that stay), and the columns to carry under ``in_`` names.
 
     Null is as empty. Rows with equal ids do not count against each other; a null id is greater than all others.
@@ -574,12 +634,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"), *carried(docs, carry))
     more = rows.columns[2:]
     total = rows.agg(F.sum(F.octet_length("raw").cast("long"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
+    blocks = max(1, -(-total // block_bytes))
     buckets = max(1, -(-total // (BUCKET_ANCHORS * (LENGTH - GRAM + 2) // 2)))
     doc = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    rows = rows.select(F.pmod(F.xxhash64(doc), F.lit(blocks)).alias("block"), "doc_id", doc.alias("doc"), F.xxhash64(doc, "raw").alias("uid"), "raw", *more).repartition("block")
+    rows = rows.select("doc_id", doc.alias("doc"), F.xxhash64(doc, "raw").alias("uid"), "raw", *more)
+    # by id and text, so that rows without an id, or with one id, are dealt as well as others
+    rows = rows.select(F.pmod("uid", F.lit(blocks)).alias("block"), "doc_id", "doc", "uid", "raw", *more).repartition("block")
     asked = rows.groupBy("block").applyInArrow(_ask(buckets), _ASK)
-    answers = asked.groupBy("bucket").applyInArrow(_answer, _BITS_OF)
+    answers = asked.groupBy("bucket").applyInArrow(_answer(*hot), _BITS_OF)
     contexts = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_contexts(buckets), _CONTEXT)
     marks = contexts.groupBy("bucket").applyInArrow(_mark, _MARKS)
     return rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove(as_text, more), with_carried(_OUT.replace("binary", "string") if as_text else _OUT, rows, more))

@@ -7,6 +7,8 @@ import struct
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from quire.llm import bytebpe, decontam, media, minhash, repeats
@@ -46,6 +48,40 @@ def test_repeats(docs, texts):
     assert got == plain_repeats(texts)
 
 
+@pytest.mark.parametrize("hot", [(2, 1, 1), (10**9, 10**9, 10**9)])
+def test_repeats_of_hot_anchors(docs, texts, hot):
+    got = repeats.remove_repeats(docs, block_bytes=4000, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    assert sorted(((a, b, c, d, bytes(e)) for a, b, c, d, e in got.collect()), key=repr) == plain_repeats(texts)
+
+
+def test_a_passage_in_many_surroundings_makes_no_large_group():
+    """100 blocks of 1,000 documents each: one passage of 60 bytes, 100,000 surroundings. No key has many contexts, and all is marked that should be."""
+    rng = np.random.default_rng(8)
+    passage, around = b"a passage that stands in very many documents, of sixty bytes", rng.integers(97, 123, (100_000, 80), dtype=np.uint8)
+    blocks = []
+    for n in range(100):
+        raw = [x[:40].tobytes() + passage + x[40:].tobytes() for x in around[n * 1000 : n * 1000 + 1000]]
+        ids = np.arange(n * 1000, n * 1000 + 1000)
+        blocks.append(pa.table({"block": [n] * 1000, "doc_id": ids, "doc": ids, "uid": ids, "raw": pa.array(raw, pa.binary())}))
+    by_bucket = lambda tables: pa.concat_tables(tables)
+    answers = repeats._answer(*repeats.HOT)(by_bucket([repeats._ask(1)(b) for b in blocks]))
+    sent = [repeats._contexts(1)(b, answers.filter(pc.equal(answers.column("block"), n))) for n, b in enumerate(blocks)]
+    groups: dict[int, set] = {}
+    for t in sent:
+        for packed in t.column("packed"):
+            key, _, size, text, *_ = repeats._unpack(packed.as_py())
+            at = 0
+            for k, n in zip(np.cumsum(key).tolist(), np.frombuffer(size, np.uint8).tolist()):
+                groups.setdefault(k, set()).add(text[at : at + n + 50])
+                at += n + 50
+    assert max(map(len, groups.values())) < 1000 and sum(map(len, groups.values())) > 100_000
+    marks = repeats._mark(by_bucket(sent))
+    few = marks.filter(pc.is_in(marks.column("block"), pa.array([0, 99])))
+    for n, removed in ((0, 999), (99, 1000)):
+        out = repeats._remove(False, [])(blocks[n], few.filter(pc.equal(few.column("block"), n)))
+        assert sum(r >= 60 for r in out.column("n_removed").to_pylist()) == removed
+
+
 def test_repeats_carry_and_empty(docs, no_docs):
     out = repeats.remove_repeats(docs, carry=["kept", "block", "text"], as_text=True)
     assert {"in_kept", "in_block", "in_text", "kept"} <= set(out.columns) and out.count() == docs.count()
@@ -58,7 +94,7 @@ def test_long_rows_are_read_in_segments(monkeypatch):
     cut = repeats.anchors(data, np.array([0, 700, 1500]))
     monkeypatch.setattr(repeats, "_SEGMENT", 1 << 20)
     whole = repeats.anchors(data, np.array([0, 700, 1500]))
-    strings = lambda x: sorted((int(h), s, int(r)) for h, a, b, r in zip(*x) for s in range(a, b + 1))
+    strings = lambda x: sorted((int(h), s, int(r)) for h, a, b, r in zip(*x[:4]) for s in range(a, b + 1))
     assert strings(cut) == strings(whole)
 
 
@@ -156,11 +192,36 @@ def plain_contamination(texts, items, window=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 200])
-def test_contamination(spark, docs, texts, items, monkeypatch, limit):
-    monkeypatch.setattr(decontam.blocks, "__defaults__", (limit,))
+@pytest.mark.parametrize(("limit", "segment"), [(1 << 20, 1 << 14), (200, 1 << 14), (200, 7)])
+def test_contamination(spark, docs, texts, items, monkeypatch, limit, segment):
+    monkeypatch.setattr(decontam, "SEGMENT", segment)
     table = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id long")
-    assert rows(decontam.contamination(docs, table).drop("items")) == plain_contamination(texts, items)
+    assert rows(decontam.contamination(docs, table, block_bytes=limit).drop("items")) == plain_contamination(texts, items)
+
+
+def test_tables_of_a_block_are_bounded():
+    """Six blocks of 4 MB of words each: a worker that reads them one after the other stays within a few blocks' memory, and finds each block's strings."""
+    import resource
+
+    rng = np.random.default_rng(6)
+    peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+    raws, first = [], []
+    for k in range(6):
+        words = rng.integers(0, 10**6, 4 * (1 << 20) // 7)
+        texts = pa.array([" ".join(map(str, words[i : i + 2000])) for i in range(0, len(words), 2000)])
+        first.append(" ".join(map(str, words[:10])))
+        raws.append(decontam.packed(decontam.build(range(k * 1000, k * 1000 + len(texts)), [10] * len(texts), texts)))
+        assert len(raws[-1]) < 40 << 20
+    before = peak()
+    text = np.frombuffer(" ".join(first).encode(), np.uint8)
+    words = decontam.Words(text, np.array([0, len(text)]), decontam.NON_ALNUM)
+    found = set()
+    for raw in raws:
+        for s in decontam.unpacked(raw):
+            for string in s.find(words, words.hashes())[1].tolist():
+                found.update(s.items_of(string))
+    assert found == {k * 1000 for k in range(6)}
+    assert peak() - before < 200, "MB beyond what building them took"
 
 
 def test_contamination_of_nothing(spark, docs, no_docs):
