@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 SALTS = 8
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[^:]+://[^/?#]*/?([^?#]*)"
-#: Longer names are no hosts.
-MAX_HOST = 253
 
 #: Dated entries for the synthetic pages, whose hosts are under example.com, .net and .org.
 ENTRIES = [
@@ -46,15 +44,14 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def host(url: Column) -> Column:
-    found = F.regexp_extract(F.lower(url), HOST, 1)
-    return F.when(F.length(found) <= MAX_HOST, F.regexp_replace(found, r"\.$", "")).otherwise("")
+    return F.regexp_replace(F.regexp_extract(F.lower(url), HOST, 1), r"\.$", "")
 
 
-def keys(url: Column, depth: int) -> Column:
-    """The patterns that can match a URL: its host and the domains above, and the host with up to ``depth`` path segments."""
+def keys(url: Column, depth: int, parts: int) -> Column:
+    """The patterns that can match a URL: its domains of up to ``parts`` parts, and the host with up to ``depth`` path segments; no entry has more of either."""
     name = host(url)
     labels, n = F.split(name, r"\."), F.size(F.split(name, r"\."))
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    domains = F.transform(F.sequence(F.greatest(n - F.lit(parts - 1), F.lit(1)), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
     segments = F.filter(F.slice(F.split(F.regexp_extract(F.lower(url), PATH, 1), "/"), 1, depth), lambda s: s != "") if depth else F.array().cast("array<string>")
     paths = F.when(F.size(segments) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(segments), F.lit(1))), lambda i: F.concat(name, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(name != "", F.array_distinct(F.concat(domains, paths))).otherwise(F.array().cast("array<string>"))
@@ -64,13 +61,15 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     """One row for each capture: page_id, host, fetched_on, blocked, n_entries, lists.
 
     ``n_entries`` counts the intervals that hold, ``lists`` has their lists in order, comma-joined. A null or odd URL
-    has host '' and, as one without a date, is not blocked. Captures that are equal in id, URL and date are alike.
+    has host '' and, as one without a date, is not blocked. Captures that are equal in id, URL and date are alike. Hosts
+    and paths of any length are judged; the keys of a capture are as many as the longest pattern has parts.
     """
     valid = intervals(entries)
-    depth = valid.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
+    parts = F.size(F.split(F.substring_index("pattern", "/", 1), r"\."))
+    depth, most = (x or least for x, least in zip(valid.agg(F.max(F.size(F.split("pattern", "/")) - 1), F.max(parts)).first(), (0, 1)))
     valid = valid.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = captures.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(date_col).cast("date").alias("fetched_on"))
-    asked = rows.distinct().withColumns({"pattern": F.explode(keys(F.coalesce("url", F.lit("")), depth)), "salt": F.pmod(F.xxhash64("page_id", "url", "fetched_on"), F.lit(SALTS)).cast("int")})
+    asked = rows.distinct().withColumns({"pattern": F.explode(keys(F.coalesce("url", F.lit("")), depth, most)), "salt": F.pmod(F.xxhash64("page_id", "url", "fetched_on"), F.lit(SALTS)).cast("int")})
     active = (F.col("valid_from") <= F.col("fetched_on")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to")))
     found = asked.join(valid, ["pattern", "salt"]).filter(active).groupBy("page_id", "url", "fetched_on").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("names"))
     found = found.select(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("fetched_on").alias("f"), "n", "names")

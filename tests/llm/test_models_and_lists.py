@@ -183,7 +183,7 @@ def test_url_lists(spark):
     got = sorted(((r.page_id, str(r.fetched_on), r.lists, r.n_entries, r.blocked) for r in urlfilter.evaluate(df, urlfilter.entry_table(spark, entries)).collect()), key=repr)
     want = []
     for p, url, day, _ in rows:
-        lists = [] if url and len(url) > 300 else plain_blocked(url, day, entries)
+        lists = plain_blocked(url, day, entries)
         want.append((p, str(day), ",".join(sorted(set(lists))), len(lists), bool(lists)))
     assert got == sorted(want, key=repr)
 
