@@ -4,8 +4,9 @@ The vocabulary is a file of ranks (base64 token, rank). Each byte has one printa
 written in these characters, and every split of a token into two tokens of lower rank is a merge, in order of
 the token's rank, so that the library merges what a rank-based encoder would.
 
-Long texts are cut only before white space that follows something else, where no match of the pattern can cross,
-so a text of any length is encoded in pieces of bounded memory with the same ids.
+Long texts are cut only before a blank, tab or line end that follows something else, where no match of the pattern can
+cross, so a text of any length is encoded in pieces of bounded memory with the same ids. (U+001C to U+001F are white
+space to Python but not to the pattern, so nothing is cut before them.)
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ import base64
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.text import carried, with_carried
+
 PIECE_CHARS = 1 << 18
-_CUT = re.compile(r"(?<=\S)(?=\s)")
+_CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 
 
 def byte_table() -> list[str]:
@@ -131,8 +134,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, "doc_id long, bytes binary, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row for each row: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for), from encoding and decoding in one pass.
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each row: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for), from encoding and decoding in one pass, and the columns to carry under ``in_`` names.
 
     Null is as empty: no tokens, the digests of nothing. Rows with equal ids stay apart; a null id stays null.
     """
@@ -144,8 +147,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 rows = batch.slice(part, 256)
                 got = [ids for ids, _ in bpe.encode([x or "" for x in rows.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).cast(pa.int64()), pa.array(map(len, got), pa.int64()), pa.array([hashlib.sha256(",".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest() for ids in got], pa.string()), pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in got], pa.string()), *([pa.array(got, pa.list_(pa.int32()))] if with_ids else [])],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])],
+                    [rows.column(0).cast(pa.int64()), pa.array(map(len, got), pa.int64()), pa.array([hashlib.sha256(",".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest() for ids in got], pa.string()), pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in got], pa.string()), *([pa.array(got, pa.list_(pa.int32()))] if with_ids else []), *rows.columns[2:]],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []), *more],
                 )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    source = docs.select(F.col(id_col), F.col(text_col), *carried(docs, carry))
+    more = source.columns[2:]
+    return source.mapInArrow(run, with_carried("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, source, more))
