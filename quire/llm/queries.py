@@ -53,14 +53,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archives stay in the shared folder: the result is read from them."""
+    """The archives stay in the shared folder: the result is read from them, revisits by their headers alone."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.archive(table(spark, sf_dir, "pages"), folder)
-    return warc.page_records(warc.read(spark, folder))
+    return warc.archived_pages(spark, folder)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_payloads(media.store_texts(table(spark, sf_dir, "documents")))
+    """The images stay in the shared folder: the result is read from them."""
+    folder = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    stored = media.store_texts(table(spark, sf_dir, "documents"))
+    stored.write.parquet(folder)
+    return media.read_payloads(spark.read.schema(stored.schema).parquet(folder))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
