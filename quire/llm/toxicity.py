@@ -16,6 +16,7 @@ features and of the rate of toxicity without any.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +35,12 @@ MIN_DOCS = 3
 #: Features of at least the first share are taken first; weaker ones are learned from the documents without any of these.
 MIN_SHARES = (0.95, 0.75)
 PREFIXES = (4, 5, 6, 7)
-_CACHE = 200_000
+#: Characters of decoded tokens that a task keeps, besides the last token's.
+_CACHE = 4_000_000
+#: Signs after which the best path so far is taken even if several are left; no word has so many.
+STRETCH = 4096
+#: In longer tokens the signs at either end are read all as letters or all as noise.
+LONG = 1024
 
 # What a sign can stand for.
 LEET = {
@@ -54,6 +60,8 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LEET]] = True
 #: Runs of signs at either end of a token that are tried as letters one after the other; all of them together is tried as well.
 EDGE_RUNS = 8
+#: A sign that is no letter, or a letter that is repeated.
+_ODD = re.compile(r"[^a-z\x80-\U0010ffff]|(.)\1", re.DOTALL)
 #: 1 to 26 for a-z, 27 for bytes of other letters, 0 for all else.
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[97:123] = np.arange(1, 27)
@@ -87,33 +95,69 @@ class CharacterModel:
         self.cost = (-np.log(p3)).tolist()
 
     def restore(self, token: str) -> str:
-        """The likeliest letters of a disguised token."""
-        cost, best = self.cost, {(0, 0, ""): (0.0, "")}
+        """The likeliest letters of a disguised token.
+
+        Two letters in a row that stand for themselves leave one state, so what follows them is decided apart from what
+        was before: letters are copied up to the next sign or repetition, and back pointers are kept no farther than
+        to the last such place, or for ``STRETCH`` steps.
+        """
+        out: list[str] = []
+        states, back = {(0, 0): 0.0}, []
         i = 0
         while i < len(token):
+            if len(states) == 1 and not back:
+                odd = _ODD.search(token, i)
+                stop = odd.start() if odd else len(token)
+                if stop > i:
+                    out.append(token[i:stop])
+                    (last,) = states
+                    for c in token[max(i, stop - 2) : stop]:
+                        last = (last[1], _symbol(c))
+                    states, i = {last: 0.0}, stop
+                    continue
             char, run = token[i], 1
             while i + run < len(token) and token[i + run] == char:
                 run += 1
-            if _symbol(char):
-                options = [(char, 0.0)] if run == 1 else [(char, 0.4), (char * 2, 0.4)]
-            else:
-                letters = [(x, 1.0) for x in LEET.get(char, "")]
-                options = letters + [(x * 2, 1.2) for x, _ in letters if run > 1]
-                options += [("", 0.5 if char in SEPARATORS else 9.0)]
-            step: dict[tuple[int, int, str], tuple[float, str]] = {}
-            for (a, b, _), (total, path) in best.items():
-                for text, price in options:
-                    x, y, spent = a, b, total + price
-                    for c in text:
-                        s = _symbol(c)
-                        spent += cost[x][y][s]
-                        x, y = y, s
-                    key = (x, y, "")
-                    if key not in step or spent < step[key][0]:
-                        step[key] = (spent, path + text)
-            best = step
+            states, came = self._step(states, _options(char, run))
+            back.append(came)
             i += run
-        return min((total + cost[a][b][0], path) for (a, b, _), (total, path) in best.items())[1]
+            if len(states) == 1 or len(back) >= STRETCH:
+                best = min(states, key=lambda s: (states[s], s))
+                out.append(_path(back, best))
+                states, back = {best: 0.0}, []
+        if back:
+            out.append(_path(back, min(states, key=lambda s: (states[s] + self.cost[s[0]][s[1]][0], s))))
+        return "".join(out)
+
+    def _step(self, states: dict[tuple[int, int], float], options: list[tuple[str, float]]) -> tuple[dict, dict]:
+        """The states after one sign with their least costs, and for each the state before and the letters chosen."""
+        cost, after, came = self.cost, {}, {}
+        for (a, b), total in states.items():
+            for text, price in options:
+                x, y, spent = a, b, total + price
+                for c in text:
+                    s = _symbol(c)
+                    spent += cost[x][y][s]
+                    x, y = y, s
+                if (x, y) not in after or spent < after[x, y]:
+                    after[x, y], came[x, y] = spent, ((a, b), text)
+        return after, came
+
+
+def _options(char: str, run: int) -> list[tuple[str, float]]:
+    """What a run of one sign can stand for, with its price."""
+    if _symbol(char):
+        return [(char, 0.0)] if run == 1 else [(char, 0.4), (char * 2, 0.4)]
+    letters = [(x, 1.0) for x in LEET.get(char, "")]
+    return [*letters, *((x * 2, 1.2) for x, _ in letters if run > 1), ("", 0.5 if char in SEPARATORS else 9.0)]
+
+
+def _path(back: list[dict], state: tuple[int, int]) -> str:
+    parts = []
+    for came in reversed(back):
+        state, text = came[state]
+        parts.append(text)
+    return "".join(reversed(parts))
 
 
 def disguised(words: Words) -> list[tuple[np.ndarray, str]]:
@@ -169,7 +213,8 @@ def readings(token: str) -> list[str]:
     first, last = at[0], at[-1] + 1
     heads = [i for i in range(first - 1, -1, -1) if token[i] in LEET and (i == 0 or token[i - 1] != token[i])]
     tails = [i + 1 for i in range(last, len(token)) if token[i] in LEET and (i + 1 == len(token) or token[i + 1] != token[i])]
-    found = {token[a:b]: None for a in [first, *heads[:EDGE_RUNS], *heads[EDGE_RUNS:][-1:]] for b in [last, *tails[:EDGE_RUNS], *tails[EDGE_RUNS:][-1:]]}
+    near = 0 if len(token) > LONG else EDGE_RUNS
+    found = {token[a:b]: None for a in [first, *heads[:near], *heads[near:][-1:]] for b in [last, *tails[:near], *tails[near:][-1:]]}
     return [x for x in found if not all(map(_symbol, x)) or any(c == d for c, d in zip(x, x[1:]))]
 
 
@@ -197,15 +242,18 @@ class Model:
     base: float
     counts: np.ndarray
     cache: dict[str, list[str]] = field(default_factory=dict)
+    held: int = 0
     lm: CharacterModel | None = None
 
     def restored(self, token: str) -> list[str]:
         if self.lm is None:
             self.lm = CharacterModel(self.counts)
         if token not in self.cache:
-            if len(self.cache) >= _CACHE:
+            if self.held >= _CACHE:
                 self.cache.clear()
+                self.held = 0
             self.cache[token] = list({self.lm.restore(x): None for x in readings(token)})
+            self.held += len(token) + sum(map(len, self.cache[token]))
         return self.cache[token]
 
     def share_of(self, hashes: np.ndarray) -> np.ndarray:
@@ -333,7 +381,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row for each row: doc_id, held_out, score, predicted.
 
     Null and empty texts, and texts without a known word, get the low rate of toxicity that such texts have; without
-    any toxic label every score is 0. A null id is in no fold. Rows with equal ids stay apart; of labels with equal
+    any toxic label every score is 0. Texts and tokens of any length are read whole, in time in proportion to their
+    length. A null id is in no fold and has no label. Other columns are not read. Rows with equal ids stay apart; of labels with equal
     ids the largest counts, and null labels do not.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, label_id, label_col))
