@@ -4,6 +4,7 @@ The network reads each text in segments of ``SEGMENT`` bytes, one direction from
 a distribution over languages, and a text's distribution is the mean over all its bytes. It is trained in numpy by
 backpropagation through time, on a bounded sample: about ``SAMPLE`` texts of each language, chosen by a hash of
 the id over the whole table, ``SPANS`` spans of each at hashed places. Prediction reads every byte of every text.
+Of very many labels the ``LANGS`` most frequent are learned. State begins anew with every segment.
 
 Arrays hold features by rows and segments by columns, so that one step of thousands of segments is one product.
 """
@@ -25,6 +26,7 @@ SEGMENT = 64
 HIDDEN = 8
 SAMPLE = 500
 SPANS = 3
+LANGS = 256
 STEPS = 260
 BATCH = 128
 FOLDS, HELD_OUT = 5, 0
@@ -202,13 +204,13 @@ def fold(id_col: str | Column, folds: int = FOLDS) -> Column:
 def sample_spans(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> list[tuple[str, bytes]]:
     """About ``sample`` texts of each language outside the held-out fold, a few spans of each, at hashed places of the text."""
     learn = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), fold(id_col).alias("f")).filter((F.col("f") != HELD_OUT) & F.col("l").isNotNull() & (F.length("t") > 0))
-    share = {r["l"]: sample / r["n"] for r in learn.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    share = {r["l"]: sample / r["n"] for r in learn.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGS).collect()}
     if not share:
         return []
     chance = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("l"))
     room = F.greatest(F.length("t") - SEGMENT, F.lit(0)) + 1
     spots = [F.substring(F.col("t"), (F.pmod(F.xxhash64("k", F.lit(i)), room) + 1).cast("int"), F.lit(SEGMENT)) for i in range(SPANS)]
-    rows = learn.filter(F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 20)) < chance * (1 << 20)).select("l", F.array(*spots).alias("s")).collect()
+    rows = learn.filter(F.coalesce(F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 20)) < chance * (1 << 20), F.lit(False))).select("l", F.array(*spots).alias("s")).collect()
     return [(r["l"], s.encode()[:SEGMENT]) for r in rows for s in r["s"]]
 
 
@@ -221,7 +223,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row for each row: doc_id, held_out, lang_pred, score, and the columns to carry under ``in_`` names.
 
     ``und`` with score 0 for a null text, a text without a letter, or if no row has a language to learn from.
-    A null id is in no fold (held_out is false, and such rows are learned from); rows with equal ids stay apart.
+    A null id is in no fold (held_out is false, and such rows are learned from); rows with equal ids stay apart. A text
+    of any length is read whole, a bounded number of segments at a time.
     """
     net = train(sample_spans(docs, id_col, text_col, lang_col, sample))
     shared = docs.sparkSession.sparkContext.broadcast(net)
