@@ -14,10 +14,10 @@ however far apart their documents are.
 3. Blocks remove what is marked in their documents.
 
 An anchor that many blocks have in ever different contexts (a short passage in many surroundings) would bring all these
-contexts to one bucket. With its hashes each block sends a byte that tells its contexts apart, so step 1 finds such
-anchors (``HOT``), and step 2 deals their contexts anew: a string in which the anchor stands at place 2g or 2g + 1 goes
-under g and the 49 bytes that all such strings have in common. Strings that are equal still meet, and what is under one
-such key differs in one byte at either end only, so it has at most 65,536 contexts.
+contexts to one bucket. With its hashes each block sends four bits that tell its contexts apart, so step 1 finds such
+anchors (``HOT``), and step 2 deals their contexts anew: a string in which the anchor stands at place 3g to 3g + 2 goes
+under g and the 48 bytes that all such strings have in common. Strings that are equal still meet, and what is under one
+such key differs in two bytes at either end only, however many surroundings there are.
 
 The text is shuffled once; all three steps read the same exchange. A block holds ``BLOCK_BYTES``, one document, or the
 repetitions of one row; a bucket's hashes number about ``BUCKET_ANCHORS`` whatever the input's size, besides one entry
@@ -40,9 +40,11 @@ LENGTH = 50
 GRAM = 24
 BLOCK_BYTES = 2 << 20
 BUCKET_ANCHORS = 1 << 18
-#: An anchor is hot if so many blocks have it, with so many of 256 signs of their contexts, or if so many have over ``DEEP`` contexts each.
-HOT = (64, 48, 16)
+#: An anchor is hot if so many blocks have it, with so many of 16 signs of their contexts, or if so many have over ``DEEP`` contexts each.
+HOT = (64, 12, 16)
 DEEP = 64
+#: Places of the anchor in a string that go under one key.
+NEAR = 3
 _PLACE = np.uint64((1 << 24) - 1)
 _SEGMENT = (1 << 24) - (1 << 12)
 _LOW = np.uint64((1 << 48) - 1)
@@ -300,6 +302,17 @@ def _gather(raw: bytes) -> np.ndarray:
     return np.cumsum(whole.view(">u8").ravel().astype(np.uint64))
 
 
+def _nibbles(values: np.ndarray) -> bytes:
+    """Numbers under 16, two to a byte."""
+    even = np.concatenate([values, np.zeros(len(values) % 2, np.uint8)])
+    return (even[::2] << 4 | even[1::2]).tobytes()
+
+
+def _from_nibbles(raw: bytes, many: int) -> np.ndarray:
+    two = np.frombuffer(raw, np.uint8)
+    return np.stack([two >> 4, two & 15], axis=1).ravel()[:many]
+
+
 def _planes(values: np.ndarray) -> bytes:
     """64-bit numbers as planes of bytes, highest first, which compress well."""
     return np.ascontiguousarray(values.astype(">i8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -377,13 +390,13 @@ class Block:
         return out
 
     def contexts(self, use: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
-        """(run, bucket, key, first start, last start) of the contexts of the runs in ``use``; those of hot anchors are dealt by two places of the anchor."""
+        """(run, bucket, key, first start, last start) of the contexts of the runs in ``use``; those of hot anchors are dealt by ``NEAR`` places of the anchor."""
         plain, split = use[~hot], use[hot]
         low, high = self.place[split] - self.last[split], self.place[split] - self.first[split]
-        many = high // 2 - low // 2 + 1
+        many = high // NEAR - low // NEAR + 1
         of = np.repeat(np.arange(len(split)), many)
-        g = low[of] // 2 + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-        near, far = 2 * g, np.minimum(2 * g + 1, LENGTH - GRAM)
+        g = low[of] // NEAR + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        near, far = NEAR * g, np.minimum(NEAR * g + NEAR - 1, LENGTH - GRAM)
         run, place = split[of], self.place[split][of]
         core = self.hashes(run, place - near, place + LENGTH - far)
         bucket, key = _home(mix(core + (g + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), buckets)
@@ -429,12 +442,12 @@ def _ask(buckets: int):
         head = np.flatnonzero(np.r_[True, nth[1:] != nth[:-1]])
         tail = np.r_[head[1:], len(by)] - 1
         # the least and the greatest hash of an anchor's contexts: alike in blocks that have the same single context
-        signs = (mix(mark[head] * np.uint64(0xD1342543DE82EF95) + mark[tail]) >> np.uint64(56)).astype(np.uint8)
+        signs = (mix(mark[head] * np.uint64(0xD1342543DE82EF95) + mark[tail]) >> np.uint64(60)).astype(np.uint8)
         differ = np.cumsum(np.r_[True, (mark[1:] != mark[:-1]) | (nth[1:] != nth[:-1])])
         deep = differ[tail] - differ[head] >= DEEP
         for bucket, a, b in block.by_bucket():
             at = block.order[block.distinct[a:b]]
-            rows.append((number, bucket, _spread(block.key[at]), np.packbits(block.several[a:b]).tobytes(), signs[a:b].tobytes(), np.packbits(deep[a:b]).tobytes()))
+            rows.append((number, bucket, _spread(block.key[at]), np.packbits(block.several[a:b]).tobytes(), _nibbles(signs[a:b]), np.packbits(deep[a:b]).tobytes()))
         return _table(rows, _ASK)
 
     return run
@@ -461,9 +474,9 @@ def _answer(hot_blocks: int, hot_signs: int, deep_blocks: int):
         deep = np.bincount(nth, bits("deep")[order], len(head)) >= deep_blocks
         wide = np.flatnonzero(many >= hot_blocks)
         if len(wide) or deep.any():
-            sign = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("signs")])[order]
+            sign = np.concatenate([_from_nibbles(x.as_py(), len(k)) for x, k in zip(table.column("signs"), keys)])[order]
             on = np.flatnonzero(np.isin(nth, wide))
-            distinct = np.bincount(np.unique(nth[on] * 256 + sign[on]) // 256, minlength=len(head))
+            distinct = np.bincount(np.unique(nth[on] * 16 + sign[on]) // 16, minlength=len(head))
             hot[order] = ((distinct >= hot_signs) | deep)[nth]
         rows, end = [], 0
         for number, bucket, k in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), keys):
