@@ -257,6 +257,9 @@ def column_groups(cells: DataFrame) -> DataFrame:
     joined = fill.join(headers, ["template", "l"], "left").groupBy("template", "l", "v", "r").agg(F.max(F.when(F.col("h") < F.col("r"), F.struct("h", "section"))).alias("head"))
     named = joined.join(data.groupBy("template", F.col("c").alias("l")).agg(F.max("head_text").alias("lh")), ["template", "l"], "left")
     groups = named.groupBy("template", "l", "v", F.coalesce("head.h", F.lit(-1)).alias("h")).agg(F.min("r").alias("start_row"), F.max("r").alias("end_row"), F.max(F.coalesce("head.section", "lh", F.lit(""))).alias("section"))
+    # a group without a heading is named by its number: pairs in the order of their columns, then from the top
+    number = F.row_number().over(Window.partitionBy("template").orderBy("l", "v", "h"))
+    groups = groups.withColumn("section", F.when(F.col("section") == "", F.concat(F.lit("section_"), number.cast("string"))).otherwise(F.col("section")))
     totals = binding.filter("role = 'value_target'").select("template", F.col("c").alias("v"), F.col("r").alias("t"))
     near = groups.join(totals, ["template", "v"], "left").groupBy(*groups.columns).agg(F.min(F.when(F.col("t").between(F.col("end_row") + 1, F.col("end_row") + 3), F.col("t"))).alias("total_row"))
     band = near.groupBy("template", "start_row", "end_row").agg(F.count("*").alias("k")).filter("k >= 2").withColumn("parallel_id", F.row_number().over(Window.partitionBy("template").orderBy("start_row", "end_row"))).drop("k")

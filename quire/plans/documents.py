@@ -13,14 +13,15 @@ from quire.session import table
 HINT_ROWS = [(kind, i, hint) for i, (kind, hints) in enumerate(HINTS.items()) for hint in hints]
 
 
-def _scored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and an array of (score, order, kind) over all types.
+def _scored(docs: DataFrame, id_col: str, text_col: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, an array of (score, order, kind) over all types, and more columns of the documents.
 
     The beginning of each text is lower-cased once, in a projection of its own: it is used by every hint, so Catalyst keeps it.
     """
-    begins = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.substring(F.col(text_col), 1, 5000)).alias("begin"))
+    own = [c.alias(name) for name, c in (more or {}).items()]
+    begins = docs.select(F.col(id_col).alias("doc_id"), *own, F.lower(F.substring(F.col(text_col), 1, 5000)).alias("begin"))
     hits = lambda hints: F.size(F.filter(F.array(*map(F.lit, hints)), lambda h: F.col("begin").contains(h)))
-    return begins.select("doc_id", F.array(*[F.struct(hits(hints).alias("score"), F.lit(-i).alias("order"), F.lit(kind).alias("kind")) for i, (kind, hints) in enumerate(HINTS.items())]).alias("scores"))
+    return begins.select("doc_id", *(more or {}), F.array(*[F.struct(hits(hints).alias("score"), F.lit(-i).alias("order"), F.lit(kind).alias("kind")) for i, (kind, hints) in enumerate(HINTS.items())]).alias("scores"))
 
 
 def hint_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,11 +32,11 @@ def hint_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _scored(docs, id_col, text_col).select("doc_id", F.inline(F.filter("scores", lambda x: x["score"] > 0)))
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, best, best_score, second_score, doc_type: the winner needs two hints and a lead, or one where no other type has any."""
-    ranked = _scored(docs, id_col, text_col).select("doc_id", F.slice(F.sort_array("scores", asc=False), 1, 2).alias("top")).select("doc_id", *[F.col("top")[i]["score"].alias(n) for i, n in enumerate(("best_score", "second_score"))], F.col("top")[0]["kind"].alias("kind"))
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, best, best_score, second_score, doc_type, and more columns of the documents: the winner needs two hints and a lead, or one where no other type has any."""
+    ranked = _scored(docs, id_col, text_col, more).select("doc_id", *(more or {}), F.slice(F.sort_array("scores", asc=False), 1, 2).alias("top")).select("doc_id", *(more or {}), *[F.col("top")[i]["score"].alias(n) for i, n in enumerate(("best_score", "second_score"))], F.col("top")[0]["kind"].alias("kind"))
     wins = ((F.col("best_score") >= 2) & (F.col("best_score") > F.col("second_score"))) | ((F.col("best_score") >= 1) & (F.col("second_score") == 0))
-    return ranked.select("doc_id", F.when(F.col("best_score") > 0, F.col("kind")).alias("best"), "best_score", "second_score", F.when(wins, F.col("kind")).alias("doc_type"))
+    return ranked.select("doc_id", F.when(F.col("best_score") > 0, F.col("kind")).alias("best"), "best_score", "second_score", F.when(wins, F.col("kind")).alias("doc_type"), *(more or {}))
 
 
 _SCORES = f"""
@@ -66,9 +67,7 @@ SELECT doc_type, count(*) AS documents, count_if(needs_review AND NOT reviewed)
 )
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by type, with how many wait for review and how many were told apart with confidence."""
-    docs = table(spark, sf_dir, "documents")
-    short = docs.select("doc_id", (F.length(F.trim("text")) <= 50).alias("short"))
-    typed = classify(docs).join(short, "doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    typed = classify(table(spark, sf_dir, "documents"), more={"short": F.length(F.trim("text")) <= 50}).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     review = (F.col("short") | (F.coalesce("quality", F.lit(1)) == 0)) & ~(F.coalesce("toxic", F.lit(0)) == 1)
     return typed.groupBy(F.coalesce("doc_type", F.lit("other")).alias("doc_type")).agg(F.count("*").alias("documents"), F.count_if(review).alias("pending"), F.count_if(F.col("best_score") >= 2).alias("high_confidence"))
 
@@ -164,11 +163,13 @@ def parse_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw")).select("doc_id", "line_no", V.strip(F.col("raw")).alias("line"))
     lines = lines.filter((F.col("line") != "") & ~F.col("line").startswith("---"))
-    label = value = F.lit("")
-    for p in reversed(LINE_PATTERNS):
-        label = F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 1)).otherwise(label)
-        value = F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 2)).otherwise(value)
-    found = lines.select("doc_id", "line_no", "line", V.strip(F.regexp_replace(V.strip(label), ":+$", "")).alias("label"), F.replace(value, F.lit(","), F.lit("")).alias("plain"), value.alias("value")).filter("label != '' and value != ''")
+    # the place of the first pattern that the line matches, then one extract for the label and one for the value
+    which = F.lit(None).cast("int")
+    for i, p in reversed(list(enumerate(LINE_PATTERNS))):
+        which = F.when(F.col("line").rlike(p), i).otherwise(which)
+    lines = lines.withColumn("which", which).filter("which is not null")
+    part = lambda n: F.coalesce(*[F.when(F.col("which") == i, F.regexp_extract("line", p, n)) for i, p in enumerate(LINE_PATTERNS)])
+    found = lines.select("doc_id", "line_no", "line", part(1).alias("label"), part(2).alias("value")).select("doc_id", "line_no", "line", V.strip(F.regexp_replace(V.strip(F.col("label")), ":+$", "")).alias("label"), F.replace("value", F.lit(","), F.lit("")).alias("plain"), "value").filter("label != '' and value != ''")
     # brackets count where the amount was printed without commas, or with them inside the brackets
     negative = F.col("line").contains(F.concat(F.lit("("), F.col("plain"), F.lit(")"))) | F.col("line").contains(F.concat(F.lit("($"), F.col("plain"), F.lit(")"))) | F.col("line").contains(F.concat(F.lit("("), F.col("value"), F.lit(")")))
     found = found.select("doc_id", "line_no", label_key(F.col("label")).alias("label"), F.when(negative & ~F.col("plain").startswith("-"), F.concat(F.lit("-"), F.col("plain"))).otherwise(F.col("plain")).alias("value")).filter("label != ''")
@@ -345,18 +346,31 @@ def u3_section_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("file", "section", F.size("rows").alias("n"), F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("parts"))
 
 
-_ANSWERS = [(1, '{"table_rows": [{"a": "1"}], "fee_rows": [{"a": "2"}, {"b": "3"}]}'), (2, '{"table_rows": []}'), (3, "no json"), (4, None), (5, '{"rows": [{"a": "9"}], "tax_rows": [{"a": "4"}]}')]
-
-
 def collect_rows(answers: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """id, source, pos, row of every array of an answer whose key ends in ``_rows``, the table's own rows first, then by key."""
-    parsed = answers.select(F.col(id_col), F.explode(F.from_json(json_col, "map<string,array<map<string,string>>>")).alias("key", "list")).filter(F.col("key").endswith("_rows"))
-    listed = parsed.select(id_col, F.regexp_replace("key", "_rows$", "").alias("source"), F.posexplode("list").alias("i", "row"))
-    first = F.when(F.col("source") == "table", 0).otherwise(1)
-    return listed.select(id_col, "source", F.row_number().over(Window.partitionBy(id_col).orderBy(first, "source", "i")).alias("pos"), "row")
+    """id, source, pos, row of every array of an answer whose key ends in ``_rows``: ``table_rows`` first, then in the order of the keys.
+
+    Keys of other kinds of values, and items of an array that are no objects, are passed over. What is no JSON object gives no row.
+    """
+    keys = answers.select(F.col(id_col), F.posexplode(F.from_json(json_col, "map<string,string>")).alias("nth", "key", "list")).filter(F.col("key").endswith("_rows"))
+    listed = keys.select(id_col, F.replace("key", F.lit("_rows"), F.lit("")).alias("source"), F.when(F.col("key") == "table_rows", -1).otherwise(F.col("nth")).alias("nth"), F.posexplode(F.from_json("list", "array<string>")).alias("i", "item"))
+    objects = listed.filter(F.ltrim("item").startswith("{"))
+    return objects.select(id_col, "source", F.row_number().over(Window.partitionBy(id_col).orderBy("nth", "i")).alias("pos"), F.from_json("item", "map<string,string>").alias("row"))
 
 
-@query("e16_collect_rows", f"SELECT * FROM {values_sql('id, source, pos, a, b', [(1, 'table', 1, '1', None), (1, 'fee', 2, '2', None), (1, 'fee', 3, None, '3'), (5, 'tax', 1, '4', None)])}")
+@query(
+    "e16_collect_rows",
+    """
+WITH l AS (SELECT l_orderkey AS id, CASE l_linenumber % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'z' ELSE 'a' END AS source, l_linenumber, l_partkey FROM lineitem)
+SELECT id, source, row_number() OVER (PARTITION BY id ORDER BY CASE source WHEN 'table' THEN 0 WHEN 'z' THEN 1 ELSE 2 END, l_linenumber, l_partkey) AS pos, l_partkey AS part, CASE WHEN source = 'z' THEN l_linenumber END AS line FROM l""",
+)
 def e16_collect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = collect_rows(rows(spark, "id int, raw string", _ANSWERS), "id", "raw")
-    return out.select("id", "source", "pos", F.try_element_at("row", F.lit("a")).alias("a"), F.try_element_at("row", F.lit("b")).alias("b"))
+    """Each order's answer has scalar keys, three arrays whose keys are not in the order of their names, and an item that is no object."""
+    part, line = F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")
+    third = F.col("l_linenumber") % 3
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", third.alias("third"), F.struct("l_linenumber", "l_partkey", F.when(third == 1, F.struct(part.alias("part"), line.alias("line"))).otherwise(F.struct(part.alias("part"), F.lit(None).cast("string").alias("line"))).alias("row")).alias("x"))
+    rows_of = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col("third") == n, F.col("x")))), lambda x: F.to_json(x["row"]))
+    array = lambda n: F.concat(F.lit("["), F.array_join(rows_of(n), ", "), F.lit("]"))
+    raw = F.concat(F.lit('{"confidence": "high", "z_rows": '), array(1), F.lit(', "total": 7, "notes": {"x_rows": 1}, "table_rows": '), array(0), F.lit(', "a_rows": '), F.regexp_replace(array(2), r"\]$", ', "none"]'), F.lit(', "empty_rows": [], "odd_rows": "text"}'))
+    raw = F.replace(raw, F.lit("[, "), F.lit("["))
+    out = collect_rows(lines.groupBy(F.col("l_orderkey").alias("id")).agg(raw.alias("raw")), "id", "raw")
+    return out.select("id", "source", "pos", F.try_element_at("row", F.lit("part")).cast("bigint").alias("part"), F.try_element_at("row", F.lit("line")).cast("bigint").alias("line"))

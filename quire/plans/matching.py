@@ -108,21 +108,8 @@ def similar_labels(labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return a.join(alike, "w").join(a.select(F.col("id").alias("k"), F.col("w").alias("v")), "v").filter("k != id").select("id", "k", F.round("score", 6).alias("score"))
 
 
-@query(
-    "j10_j11_similar_labels",
-    """
-WITH a AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_partkey <= 300), t AS (SELECT p_partkey AS k, w AS v FROM a WHERE p_partkey <= 40),
-s AS (SELECT p_partkey, k, CAST(len(list_intersect(w, v)) AS DOUBLE) / len(list_distinct(list_concat(w, v))) AS score, CAST(least(len(w), len(v)) AS DOUBLE) / greatest(len(w), len(v)) AS ratio FROM a, t WHERE k <> p_partkey)
-SELECT p_partkey, k, round(score, 6) AS score FROM s WHERE score >= 0.5 AND ratio >= 0.7""",
-)
+@query("j10_j11_similar_labels")
 def j10_similar_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of like word sets among the first ids, as the SQL has them; ``j10_j11_similar_labels_all`` is the whole job."""
-    a = table(spark, sf_dir, "part").filter("p_partkey <= 300")
-    return similar_labels(a, "p_partkey", "p_name").filter("k <= 40").withColumnRenamed("id", "p_partkey")
-
-
-@query("j10_j11_similar_labels_all")
-def j10_similar_labels_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every label with every other one; the SQL would be a cross product, so a test compares with one on few labels."""
     return similar_labels(table(spark, sf_dir, "part"), "p_partkey", "p_name").withColumnRenamed("id", "p_partkey")
 
@@ -252,21 +239,32 @@ def j21_ref_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("p_partkey", F.coalesce("l2", "l3", "l5", F.concat(F.lit("B"), k.cast("string"))).alias("label"))
 
 
-def drop_redundant(sections: DataFrame) -> DataFrame:
-    """Sections (doc, section, labels array, matched) without those that a longer one repeats: nine tenths of a matched section's labels, at most one more.
+def drop_redundant(sections: DataFrame, order: str = "section") -> DataFrame:
+    """Sections (doc, section, labels array, matched) without those that repeat a matched one: they have more rows, nine tenths of its labels, and one label more at most.
 
-    The sections of a document are folded in order; one that was dropped drops no other.
+    The sections of a document are folded in order; one that was dropped drops no other. Sections without labels stay.
     """
-    listed = sections.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("section", "labels", "matched"))).alias("all"))
-    covers = lambda big, small: small["matched"] & (F.size(big["labels"]) > F.size(small["labels"])) & (F.size(F.array_intersect(big["labels"], small["labels"])) >= 0.9 * F.size(small["labels"])) & (F.size(F.array_except(big["labels"], small["labels"])) <= 1)
-    kept = F.filter("all", lambda big: ~F.exists("all", lambda small: (small["section"] != big["section"]) & covers(big, small)))
-    return listed.select("doc", F.explode(F.transform(kept, lambda x: x["section"])).alias("section"))
+    listed = sections.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "section", "labels", "matched"))).alias("all"))
+    small_size = lambda small: F.size(F.array_distinct(small["labels"]))
+    covers = lambda big, small: small["matched"] & (small_size(small) > 0) & (F.size(big["labels"]) > F.size(small["labels"])) & (F.size(F.array_intersect(big["labels"], small["labels"])) >= 0.9 * small_size(small)) & (F.size(F.array_except(big["labels"], small["labels"])) <= 1)
+    dropped = lambda gone, big: F.when(F.exists("all", lambda small: (small["section"] != big["section"]) & ~F.array_contains(gone, small["section"]) & covers(big, small)), F.concat(gone, F.array(big["section"]))).otherwise(gone)
+    gone = F.aggregate("all", F.array().cast(f"array<{sections.schema['section'].dataType.simpleString()}>"), dropped)
+    return listed.select("doc", F.explode(F.array_except(F.transform("all", lambda x: x["section"]), gone)).alias("section"))
 
 
-_SHEETS = [(1, "a", ["x", "y", "z"], True), (1, "b", ["x", "y", "z", "w"], False), (1, "c", ["q"], True), (2, "a", ["x"], False), (2, "b", ["x", "y"], False), (3, "a", ["k", "l"], True), (3, "b", ["k", "l", "m", "n"], False)]
-
-
-@query("u5_redundant_sections", f"SELECT * FROM {values_sql('doc, section', [(1, 'a'), (1, 'c'), (2, 'a'), (2, 'b'), (3, 'a'), (3, 'b')])}")
+@query(
+    "u5_redundant_sections",
+    """
+WITH RECURSIVE n AS (SELECT l_orderkey AS doc, max(l_linenumber) AS n FROM lineitem GROUP BY 1),
+s AS (SELECT doc, k AS section, CASE WHEN doc % 2 = 0 THEN k ELSE n + 1 - k END AS pos, (doc + k) % 3 <> 0 AS matched FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM n)),
+c AS (SELECT b.doc, b.pos, b.section, list(a.section) FILTER (a.section IS NOT NULL) AS covered FROM s b LEFT JOIN s a ON a.doc = b.doc AND a.matched AND b.section = a.section + 1 GROUP BY ALL),
+r AS (SELECT doc, 0 AS i, []::BIGINT[] AS gone FROM n UNION ALL
+  SELECT r.doc, i + 1, CASE WHEN len(list_filter(coalesce(covered, []), lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, c.section) ELSE gone END FROM r JOIN c ON c.doc = r.doc AND c.pos = r.i + 1)
+SELECT s.doc, s.section FROM s JOIN r ON r.doc = s.doc JOIN n ON n.doc = s.doc AND n.n = r.i WHERE NOT list_contains(gone, s.section)""",
+)
 def u5_redundant_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = rows(spark, "doc int, section string, joined string, matched boolean", [(d, s, ",".join(ls), m) for d, s, ls, m in _SHEETS])
-    return drop_redundant(base.select("doc", "section", F.split("joined", ",").alias("labels"), "matched"))
+    """Section k of an order has the labels 1 to k; orders run up or down, and every third section is not matched."""
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.max("l_linenumber").cast("long").alias("n"))
+    s = n.select("doc", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("section"))
+    s = s.select("doc", "section", F.when(F.col("doc") % 2 == 0, F.col("section")).otherwise(F.col("n") + 1 - F.col("section")).alias("pos"), F.sequence(F.lit(1).cast("long"), F.col("section")).alias("labels"), ((F.col("doc") + F.col("section")) % 3 != 0).alias("matched"))
+    return drop_redundant(s, "pos")

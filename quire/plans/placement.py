@@ -144,15 +144,24 @@ def x7_fallback_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluate(formulas: DataFrame, cells: DataFrame) -> DataFrame:
-    """``formulas`` (sheet, id, formula) with the value of ``=SUM(A1:A9)`` (its first column) or ``=SUM(A1,B2)`` over cells (sheet, ref, num), rounded to cents; null for other formulas and where no cell is there."""
+    """``formulas`` (sheet, id, formula) with the value of ``=SUM(A1:A9)`` (its first column) or ``=SUM(A1,B2)`` over cells (sheet, ref, num), rounded to cents; null for other formulas and where no cell is there.
+
+    A range is joined by its sheet and column with the cells whose row lies in it, so its length makes no rows.
+    """
     area = r"(?i)^=SUM\(([A-Z]+)(\d+):([A-Z]+)(\d+)\)$"
     f = F.trim("formula")
     part = lambda i: F.regexp_extract(f, area, i)
-    ranged = F.when(f.rlike(area), F.transform(F.sequence(part(2).try_cast("int"), F.greatest(part(2).try_cast("int"), part(4).try_cast("int"))), lambda r: F.concat(F.upper(part(1)), r.cast("string"))))
-    listed = F.when(f.rlike(r"(?i)^=SUM\([^):]+\)$"), F.transform(F.split(F.regexp_extract(f, r"(?i)^=SUM\(([^)]+)\)$", 1), ","), lambda x: F.upper(F.trim(x))))
-    refs = formulas.select("*", F.explode_outer(F.coalesce(ranged, listed)).alias("ref"))
-    joined = refs.join(cells, ["sheet", "ref"], "left").groupBy("sheet", "id", "formula").agg(F.sum(F.col("num").cast("decimal(18,4)")).alias("total"))
-    return joined.select("sheet", "id", "formula", F.round("total", 2).cast("double").alias("value"))
+    low = part(2).try_cast("int")
+    span = lambda col, a, b: F.struct(F.upper(col).alias("letters"), a.alias("low"), b.alias("high"))
+    ranged = F.when(f.rlike(area), F.array(span(part(1), low, F.greatest(low, part(4).try_cast("int")))))
+    single = lambda x: span(F.regexp_extract(x, r"^([A-Za-z]+)\d+$", 1), F.regexp_extract(x, r"^[A-Za-z]+(\d+)$", 1).try_cast("int"), F.regexp_extract(x, r"^[A-Za-z]+(\d+)$", 1).try_cast("int"))
+    listed = F.when(f.rlike(r"(?i)^=SUM\([^):]+\)$"), F.transform(F.split(F.regexp_extract(f, r"(?i)^=SUM\(([^)]+)\)$", 1), ","), lambda x: single(F.trim(x))))
+    asked = formulas.select("*", F.inline_outer(F.coalesce(ranged, listed)))
+    placed = cells.select(F.col("sheet").alias("s"), F.regexp_extract("ref", r"^([A-Z]+)\d+$", 1).alias("letters"), F.regexp_extract("ref", r"^[A-Z]+(\d+)$", 1).try_cast("int").alias("r"), F.col("num").cast("decimal(18,4)").alias("num"))
+    inside = (F.col("sheet") == F.col("s")) & (asked.letters == placed.letters) & placed.r.between(asked.low, asked.high)
+    joined = asked.join(placed, inside, "left")
+    total = joined.groupBy("sheet", "id", "formula").agg(F.sum("num").alias("total"))
+    return total.select("sheet", "id", "formula", F.round("total", 2).cast("double").alias("value"))
 
 
 _FORMULAS = [(1, "=SUM(B1:B4)"), (2, "=sum(B1, B3 ,C9)"), (3, "=SUM(C1:D2)"), (4, "=SUM(Z1:Z9)"), (5, "=B1+B2"), (6, "text")]

@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +21,11 @@ from quire.sources import files, images, sinks
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A new folder that driver and executors share; a temporary one where none is set in local mode, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or "file://" + tempfile.gettempdir()
     return f"{base}/quire-{uuid.uuid4().hex}"
 
 
@@ -28,7 +34,7 @@ def written(spark: SparkSession, sf_dir: str) -> str:
     path = scratch(spark)
     k = F.col("item_id") % 3
     kind = F.when(k == 0, "pdf").when(k == 1, "png").otherwise("txt")
-    table(spark, sf_dir, "benchmark").select("text", kind.alias("kind"), "item_id").coalesce(1).write.partitionBy("item_id", "kind").text(path)
+    table(spark, sf_dir, "benchmark").select("text", kind.alias("kind"), "item_id").write.partitionBy("item_id", "kind").text(path)
     return path
 
 
@@ -52,39 +58,52 @@ def s3_upload_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.uploads(offered, "batch", "p_partkey").select("p_partkey", "reason")
 
 
-@query("s4_s7_text_pages", "SELECT item_id, 2 AS pages, length(text) AS size FROM benchmark WHERE item_id % 3 = 0")
+@query("s4_s7_text_pages", "SELECT item_id, CAST(1 + item_id % 4 AS INTEGER) AS pages, length(regexp_replace(text, '\\s+', ' ', 'g')) AS size FROM benchmark")
 def s4_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the texts, as the SQL has them; ``s4_s7_text_pages_all`` is the whole job."""
-    return paged(spark, table(spark, sf_dir, "benchmark").filter("item_id % 3 = 0"))
-
-
-@query("s4_s7_text_pages_all", "SELECT item_id, 2 AS pages, length(regexp_replace(text, '\\s+', ' ', 'g')) AS size FROM benchmark")
-def s4_text_pages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paged(spark, table(spark, sf_dir, "benchmark"))
 
 
 def paged(spark: SparkSession, b: DataFrame) -> DataFrame:
-    """Pages of text files; a file without a break is one page."""
+    """Pages of text files, one to four of them, parted by form feeds; a file without a break is one page."""
     path = scratch(spark)
-    b.select(F.concat(F.regexp_replace("text", "\\s+", " "), F.lit(f"\f{files.PAGE_BREAK[:0]}end")).alias("t"), "item_id").coalesce(1).write.partitionBy("item_id").text(path)
+    more = F.array_join(F.array_repeat(F.lit("\fend"), (F.col("item_id") % 4).cast("int")), "")
+    b.select(F.concat(F.regexp_replace("text", "\\s+", " "), more).alias("t"), "item_id").write.partitionBy("item_id").text(path)
     pages = files.text_pages(files.folder(spark, path, ["txt"]))
-    return pages.groupBy(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id")).agg(F.count("*").cast("int").alias("pages"), F.max(F.when(F.col("page_no") == 1, F.length("page"))).alias("size"))
+    # the writer ends the last page with a line end
+    size = F.max(F.when(F.col("page_no") == 1, F.length(F.rtrim(F.col("page"), F.lit("\n")))))
+    return pages.groupBy(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id")).agg(F.count("*").cast("int").alias("pages"), size.alias("size"))
 
 
-@query("s5_page_images", "SELECT item_id, true AS encoded FROM benchmark WHERE item_id % 3 = 1")
-def s5_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image files as base64; what is no image has an error instead."""
-    pictures = files.folder(spark, written(spark, sf_dir), ["txt"]).filter(F.col("path").contains("kind=png"))
-    out = images.page_images(pictures)
-    return out.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), (F.col("image").isNotNull() | F.col("error").isNotNull()).alias("encoded"))
+def pictures(items: DataFrame) -> DataFrame:
+    """name, content of a PNG file for each item, of a width and height by its id; every tenth is text instead."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            raw = []
+            for i in batch["item_id"].tolist():
+                width, height = i * 97 % 3000 + 1, i * 13 % 40 + 1
+                image = (np.arange(height * width * 3) * (i + 1) % 251).astype(np.uint8).reshape(height, width, 3)
+                raw.append(b"no picture" if i % 10 == 3 else images.png(image))
+            yield pd.DataFrame({"name": [f"{i}.png" for i in batch["item_id"]], "content": raw})
 
-@query("s5_page_images_all")
-def s5_page_images_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every file encoded: its bytes, the kind and length of the base64, or the error; an image library decides, so a test checks it."""
-    found = files.folder(spark, written(spark, sf_dir), ["txt"])
-    out = images.page_images(found).join(found.select("path", F.col("length").alias("bytes")), "path")
-    return out.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), "bytes", "kind", F.length("image").alias("encoded"), "error")
+    return items.select("item_id").mapInPandas(run, "name string, content binary")
+
+
+@query(
+    "s5_page_images",
+    """
+WITH i AS (SELECT item_id, item_id * 97 % 3000 + 1 AS w, item_id * 13 % 40 + 1 AS h FROM benchmark),
+s AS (SELECT *, greatest(w, h) AS long, least(w, h) AS short, 2048 * least(w, h) // greatest(w, h) AS low FROM i),
+f AS (SELECT *, CASE WHEN long <= 2048 THEN short WHEN low > 0 AND abs(long / short - 2048 / low) <= abs(long / short - 2048 / (low + 1)) THEN low ELSE low + 1 END AS side FROM s)
+SELECT item_id, item_id % 10 = 3 AS failed, CAST(CASE WHEN item_id % 10 <> 3 THEN CASE WHEN w >= h THEN least(long, 2048) ELSE side END END AS INTEGER) AS width,
+  CAST(CASE WHEN item_id % 10 <> 3 THEN CASE WHEN w >= h THEN side ELSE least(long, 2048) END END AS INTEGER) AS height FROM f""",
+)
+def s5_page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picture files written, found by extension, made to fit 2,048 samples and encoded; the sizes are read from what was encoded."""
+    path = scratch(spark)
+    files.write_files(pictures(table(spark, sf_dir, "benchmark")), path)
+    out = images.page_images(files.folder(spark, path, ["png"]))
+    return out.select(F.regexp_extract("path", "/([0-9]+)\\.png$", 1).cast("long").alias("item_id"), F.col("error").isNotNull().alias("failed"), "width", "height")
 
 
 _CLIENT = {"invoice": {"fields": [{"name": "number", "required": True}, {"name": "date", "type": "date"}], "line_items": [{"name": "item"}]}, "receipt": {"fields": [{"name": "total", "type": "number", "required": True}]}}
@@ -122,18 +141,38 @@ def _line_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k1_flat_sheet", f"SELECT l_orderkey AS doc_id, {', '.join(f'CAST(CAST(sum(l_quantity) FILTER (l_linenumber = {n}) AS BIGINT) AS VARCHAR) AS c{n}' for n in _LABELS)} FROM lineitem GROUP BY l_orderkey")
 def k1_flat_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = sinks.flat_sheet(_line_values(spark, sf_dir), _LABELS)
-    return flat.withColumnsRenamed({n: f"c{n}" for n in _LABELS})
+    """The columns are the labels that occur, in the order in which documents first have them."""
+    values = _line_values(spark, sf_dir).withColumn("pos", F.col("label").cast("int"))
+    found = sinks.key_union(values, "doc_id", "pos")
+    flat = sinks.flat_sheet(values, found)
+    return flat.withColumnsRenamed({n: f"c{n}" for n in found})
 
 
 @query(
     "k2_combined_sheet",
-    """SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'Review' ELSE 'OK' END AS status, CAST(sum(l_quantity) FILTER (l_linenumber = 1) AS BIGINT) AS first FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""",
+    """
+WITH v AS (SELECT l_orderkey AS doc, sum(l_quantity) FILTER (l_linenumber = 1) AS a, sum(l_quantity) FILTER (l_linenumber = 2) AS b FROM lineitem GROUP BY 1)
+SELECT 'order' || o_orderkey || '.pdf' AS "File", CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'order' END AS "Doc Type", CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE '' END AS "Confidence",
+  CASE WHEN o_orderpriority LIKE '1%' THEN 'Review' ELSE 'OK' END AS "Status", coalesce(CAST(CAST(a AS BIGINT) AS VARCHAR), '') AS "1", coalesce(CAST(CAST(b AS BIGINT) AS VARCHAR), '') AS "2" FROM orders LEFT JOIN v ON doc = o_orderkey""",
 )
 def k2_combined_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = sinks.flat_sheet(_line_values(spark, sf_dir), ["1"]).select(F.col("doc_id").alias("o_orderkey"), F.col("1").try_cast("bigint").alias("first"))
-    status = F.when(F.col("o_orderpriority").startswith("1"), "Review").otherwise("OK")
-    return table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status")).join(flat, "o_orderkey", "left")
+    """One row a document: file, type, confidence, status, then a column for every key that occurs; what is missing is empty."""
+    key = F.col("o_orderkey")
+    docs = table(spark, sf_dir, "orders").select(
+        key.alias("doc_id"), F.concat(F.lit("order"), key.cast("string"), F.lit(".pdf")).alias("file"), F.when(key % 5 != 0, "order").alias("doc_type"),
+        F.when(key % 3 == 0, "high").when(key % 3 == 1, "low").alias("confidence"), F.col("o_orderpriority").startswith("1").alias("needs_review"),
+    )
+    values = _line_values(spark, sf_dir).filter("label in ('1', '2')").withColumn("pos", F.col("label").cast("int"))
+    return sinks.combined_sheet(docs, values, "doc_id", "pos")
+
+
+@query(
+    "k2_summary_sheet",
+    """SELECT o_custkey AS job, count(*) AS "Total Documents", count_if(o_orderstatus <> 'P') AS "Successful", count_if(o_orderstatus = 'P') AS "Failed", count_if(o_orderpriority LIKE '1%') AS "Needs Review" FROM orders GROUP BY 1""",
+)
+def k2_summary_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job"), (F.col("o_orderstatus") == "P").alias("failed"), F.col("o_orderpriority").startswith("1").alias("needs_review"))
+    return sinks.summary_sheet(docs, "job")
 
 
 @query("k3_per_file_rows", "SELECT p_partkey, unnest(['p_name', 'p_brand', 'p_size']) AS field, unnest([p_name, p_brand, CAST(p_size AS VARCHAR)]) AS value FROM part")
@@ -141,23 +180,42 @@ def k3_per_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.per_file(table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_size"])
 
 
-@query("k4_typed_sheets", "SELECT p_brand AS doc_type, count(*) AS n, 'Part Name' AS first_header, (SELECT count(*) FROM lineitem JOIN part q ON q.p_partkey = l_partkey WHERE q.p_brand = p.p_brand) AS line_rows FROM part p GROUP BY p_brand")
+@query(
+    "k4_typed_sheets",
+    """
+WITH d AS (SELECT o_orderkey AS doc, o_orderpriority AS type, 'order' || o_orderkey || '.pdf' AS file, CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'unknown' END AS confidence, o_orderstatus, round(o_totalprice, 2) AS total, o_orderpriority LIKE '1%' AS review,
+  row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders),
+l AS (SELECT d.type, file, l_linenumber, l_partkey, row_number() OVER (PARTITION BY d.type ORDER BY doc, l_linenumber, l_partkey) AS r FROM lineitem JOIN d ON doc = l_orderkey),
+x AS (SELECT type AS sheet, r, unnest([0, 1, 2, 3, 4, 5]) AS c, unnest([file, confidence, CASE WHEN review THEN 'Yes' ELSE 'No' END, o_orderstatus, printf('%.2f', total), CASE WHEN review THEN ' | ERRORS: urgent' ELSE '' END]) AS value FROM d
+  UNION ALL SELECT type, 0, unnest([0, 1, 2, 3, 4, 5]), unnest(['Source File', 'Confidence', 'Needs Review', 'Order Status *', 'Total Price', 'Notes']) FROM (SELECT DISTINCT type FROM d)
+  UNION ALL SELECT left(type || '_lines', 31), r, unnest([0, 1, 2]), unnest([file, CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR)]) FROM l
+  UNION ALL SELECT left(type || '_lines', 31), 0, unnest([0, 1, 2]), unnest(['Source File', 'Line', 'Part Key']) FROM (SELECT DISTINCT type FROM l))
+SELECT sheet, CAST(r AS BIGINT) AS row, CAST(c AS INTEGER) AS col, value FROM x""",
+)
 def k4_typed_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sheet for each type and one for its lines: the rows that each would hold."""
-    part = table(spark, sf_dir, "part")
-    line_rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")).join(part.select("p_partkey", "p_brand"), "p_partkey").groupBy("p_brand").agg(F.count("*").alias("line_rows"))
-    heads = sinks.title_row(["part_name"])
-    out = part.groupBy("p_brand").agg(F.count("*").alias("n")).join(line_rows, "p_brand", "left")
-    return out.select(F.col("p_brand").alias("doc_type"), "n", heads[0].alias("first_header"), F.coalesce("line_rows", F.lit(0)).alias("line_rows"))
-
-
-@query("k5_k6_workbooks", "SELECT o_custkey AS job, 1 AS files, CAST(6 * count(*) AS BIGINT) AS cells FROM orders GROUP BY o_custkey")
+    """Every cell of a typed workbook: a sheet for each type, with notes, and one for its lines."""
+    key = F.col("o_orderkey")
+    review = F.col("o_orderpriority").startswith("1")
+    docs = table(spark, sf_dir, "orders").select(
+        key.alias("doc"), F.col("o_orderpriority").alias("doc_type"), F.concat(F.lit("order"), key.cast("string"), F.lit(".pdf")).alias("file"),
+        F.when(key % 3 == 0, "high").when(key % 3 == 1, "low").alias("confidence"), review.alias("needs_review"), F.lit("").alias("notes"), F.when(review, F.array(F.lit("urgent"))).alias("errors"),
+        F.col("o_orderstatus").alias("order_status"), F.format_string("%.2f", F.round("o_totalprice", 2)).alias("total_price"),
+    )
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part_key"))
+    return sinks.typed_sheets(docs, {"order_status": True, "total_price": False}, lines, ["line", "part_key"])
+
+
+@query("k5_k6_workbooks", "SELECT o_custkey AS job, CAST(count(*) AS INTEGER) AS files, CAST(6 * count(*) AS BIGINT) AS cells FROM orders GROUP BY o_custkey")
 def k5_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form writer's cells as a spreadsheet file for each job, in a ZIP."""
-    books = sinks.workbooks(placement.x2_form_placement(spark, sf_dir), "job")
-    named = books.withColumn("name", F.concat(F.lit("job"), F.col("job").cast("string"), F.lit(".xlsx")))
-    zipped = sinks.archive(named, "name", "job").filter(F.length("zip") > 100)
-    return zipped.join(books.select("job", "cells"), "job").select("job", F.col("files").cast("int").alias("files"), "cells")
+    """The form writer's cells as a spreadsheet file for each document, and a ZIP of the files of each job; what the ZIP holds is read back from it."""
+    key = F.col("o_orderkey")
+    cell = lambda r, c, text, num: F.struct(F.lit(r).cast("long").alias("row"), F.lit(c).alias("col"), F.lit(text).alias("text") if isinstance(text, str) else text.alias("text"), num.alias("num"))
+    none, nothing = F.lit(None).cast("double"), F.lit(None).cast("string")
+    filled = F.array(cell(0, 0, "Order", none), cell(0, 1, nothing, key.cast("double")), cell(2, 0, "Priority", none), cell(2, 1, F.col("o_orderpriority"), none), cell(4, 0, "Total", none), cell(4, 1, nothing, F.round("o_totalprice", 2)))
+    orders = table(spark, sf_dir, "orders")
+    books = sinks.workbooks(orders.select(key.alias("doc"), F.inline(filled)), "doc").join(orders.select(key.alias("doc"), F.col("o_custkey").alias("job")), "doc")
+    named = books.withColumn("name", F.concat(F.lit("order"), F.col("doc").cast("string"), F.lit(".xlsx")))
+    return sinks.listed(sinks.archive(named, "name", "job"), "job").groupBy("job").agg(F.count("*").cast("int").alias("files"), F.sum("cells").alias("cells"))
 
 
 @query("k7_json_rows", """SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS json FROM nation""")

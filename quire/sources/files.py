@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -38,6 +40,21 @@ def uploads(files: DataFrame, batch: str, order: str, length: str = "length", pa
     return files.withColumn("reason", F.when(file_type(F.col(path)).isNull(), "type").when(F.col(length) > MAX_BYTES, "size").when(nth > MAX_FILES, "batch"))
 
 
+def write_files(files: DataFrame, path: str) -> None:
+    """One file for each row (name, content) in a folder that executors share; a task that runs again writes the same files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+                    out.write(bytes(content))
+            yield batch[["name"]]
+
+    files.select("name", "content").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+
+
 def text_pages(files: DataFrame) -> DataFrame:
     """path, page_no, page of text files, whose pages are parted by form feeds or by the page-break line."""
     text = F.decode("content", "UTF-8")

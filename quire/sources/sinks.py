@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import values as V
@@ -24,11 +24,52 @@ def per_file(wide: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     return wide.select(by, F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])))
 
 
-def workbook(rows: list[tuple[int, int, object]]) -> bytes:
-    """A minimal spreadsheet file of (row, column, value) cells, by the standard library alone."""
-    by_row: dict[int, list[tuple[int, object]]] = {}
-    for r, c, v in sorted(rows, key=lambda x: x[:2]):
-        by_row.setdefault(r, []).append((c, v))
+def key_union(values: DataFrame, by: str, order: str) -> list[str]:
+    """The labels of all documents in the order in which they are first met: documents by id, labels by ``order`` in each; private ones left out.
+
+    One aggregate; only the distinct labels, which become columns, come to the driver.
+    """
+    first = values.filter(~F.col("label").startswith("_")).groupBy("label").agg(F.min(F.struct(by, order)).alias("met"))
+    return [r["label"] for r in first.orderBy("met", "label").select("label").collect()]
+
+
+def combined_sheet(docs: DataFrame, values: DataFrame, by: str, order: str) -> DataFrame:
+    """File, Doc Type, Confidence, Status and a column for each label of ``values`` (by, label, value), empty where a document has none."""
+    names = key_union(values, by, order)
+    wide = docs.join(flat_sheet(values, names, by), by, "left")
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return wide.select(F.col("file").alias("File"), empty(F.col("doc_type")).alias("Doc Type"), empty(F.col("confidence")).alias("Confidence"), F.when(F.coalesce("needs_review", F.lit(False)), "Review").otherwise("OK").alias("Status"), *[empty(F.col(f"`{n}`")).alias(n) for n in names])
+
+
+def summary_sheet(docs: DataFrame, by: str) -> DataFrame:
+    """The counts of the summary sheet of each job, from documents with failed and needs_review."""
+    return docs.groupBy(by).agg(F.count("*").alias("Total Documents"), F.count_if(~F.col("failed")).alias("Successful"), F.count_if("failed").alias("Failed"), F.count_if("needs_review").alias("Needs Review"))
+
+
+def typed_sheets(docs: DataFrame, fields: dict[str, bool], lines: DataFrame, line_fields: Sequence[str]) -> DataFrame:
+    """sheet, row, col, value of a workbook with a sheet for each type and one for its lines, headings in row 0.
+
+    ``docs`` has doc, doc_type, file, confidence, needs_review, notes, errors and the fields (true: required, marked in
+    the heading); ``lines`` has doc and the line fields, in whose order the lines of a document come. Row numbers run
+    over a type, so a window over each type's documents is needed; it carries ids only.
+    """
+    cell = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    notes = F.concat(cell(F.col("notes")), F.when(F.size("errors") > 0, F.concat(F.lit(" | ERRORS: "), F.array_join("errors", "; "))).otherwise(""))
+    own = [F.col("file"), F.coalesce("confidence", F.lit("unknown")), F.when(F.coalesce("needs_review", F.lit(False)), "Yes").otherwise("No"), *[cell(F.col(f)) for f in fields], notes]
+    heads = [F.lit(h) for h in ("Source File", "Confidence", "Needs Review")] + [F.concat(V.title(F.lit(f)), F.lit(" *" if need else "")) for f, need in fields.items()] + [F.lit("Notes")]
+    sheet = F.substring(F.col("doc_type"), 1, 31)
+    numbered = lambda df, *order: df.withColumn("row", F.row_number().over(Window.partitionBy("doc_type").orderBy(*order)).cast("long"))
+    main = numbered(docs, "doc").select(sheet.alias("sheet"), "row", F.posexplode(F.array(*own)).alias("col", "value"))
+    child = numbered(lines.join(docs.select("doc", "doc_type", "file"), "doc"), "doc", *line_fields)
+    line_sheet = F.substring(F.concat("doc_type", F.lit("_lines")), 1, 31)
+    rest = child.select(line_sheet.alias("sheet"), "row", F.posexplode(F.array("file", *[cell(F.col(f)) for f in line_fields])).alias("col", "value"))
+    top = lambda df, name, cells: df.select("doc_type").distinct().select(name.alias("sheet"), F.lit(0).cast("long").alias("row"), F.posexplode(F.array(*cells)).alias("col", "value"))
+    return main.unionByName(top(docs, sheet, heads)).unionByName(rest).unionByName(top(child, line_sheet, [F.lit("Source File"), *title_row(line_fields)]))
+
+
+def workbook(rows: list[tuple[int, int, object]] | dict[str, list[tuple[int, int, object]]]) -> bytes:
+    """A minimal spreadsheet file of (row, column, value) cells, by sheet name or of one sheet, by the standard library alone."""
+    sheets = rows if isinstance(rows, dict) else {"Sheet1": rows}
 
     def ref(r: int, c: int) -> str:
         letters = ""
@@ -41,17 +82,26 @@ def workbook(rows: list[tuple[int, int, object]]) -> bytes:
             return f'<c r="{ref(r, c)}"><v>{v}</v></c>'
         return f'<c r="{ref(r, c)}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
 
-    data = "".join(f'<row r="{r + 1}">{"".join(cell(r, c, v) for c, v in cells)}</row>' for r, cells in by_row.items())
+    def data(cells: list[tuple[int, int, object]]) -> str:
+        by_row: dict[int, list[tuple[int, object]]] = {}
+        for r, c, v in sorted(cells, key=lambda x: x[:2]):
+            by_row.setdefault(r, []).append((c, v))
+        return "".join(f'<row r="{r + 1}">{"".join(cell(r, c, v) for c, v in found)}</row>' for r, found in by_row.items())
+
     spread = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
+    number = list(enumerate(sheets, 1))
+    named = lambda template: "".join(template.format(i=i, name=escape(name, {'"': "&quot;"})) for i, name in number)
+    types = named('<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>')
+    listed = named('<sheet name="{name}" sheetId="{i}" r:id="r{i}"/>')
+    related = named(f'<Relationship Id="r{{i}}" Type="{office}/worksheet" Target="worksheets/sheet{{i}}.xml"/>')
     parts = {
-        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{types}</Types>',
         "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="{spread}" xmlns:r="{office}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{spread}"><sheetData>{data}</sheetData></worksheet>',
-    }
+        "xl/workbook.xml": f'<workbook xmlns="{spread}" xmlns:r="{office}"><sheets>{listed}</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships">{related}</Relationships>',
+    } | {f"xl/worksheets/sheet{i}.xml": f'<worksheet xmlns="{spread}"><sheetData>{data(sheets[name])}</sheetData></worksheet>' for i, name in number}
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
@@ -60,26 +110,56 @@ def workbook(rows: list[tuple[int, int, object]]) -> bytes:
 
 
 def workbooks(cells: DataFrame, by: str) -> DataFrame:
-    """One spreadsheet file for each document from its output cells (row, col, text, num); a document's cells are bounded by its sheet."""
+    """One spreadsheet file for each document from its output cells (row, col, text, num, and sheet if there are several); a document's cells are bounded by its sheets."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = workbook([(int(r), int(c), float(n) if pd.notna(n) else t) for r, c, t, n in zip(pdf["row"], pdf["col"], pdf["text"], pdf["num"]) if pd.notna(n) or t is not None])
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "file": [raw], "cells": [len(pdf)]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            raw = []
+            for found in batch["found"]:
+                sheets: dict[str, list[tuple[int, int, object]]] = {}
+                for x in found:
+                    if x["num"] is not None or x["text"] is not None:
+                        sheets.setdefault(x["sheet"], []).append((x["row"], x["col"], x["text"] if x["num"] is None else float(x["num"])))
+                raw.append(workbook(sheets or {"Sheet1": []}))
+            yield pd.DataFrame({by: batch[by], "file": raw, "cells": batch["found"].map(len)})
 
-    return cells.select(by, "row", "col", "text", "num").groupBy(by).applyInPandas(one, f"{by} {cells.schema[by].dataType.simpleString()}, file binary, cells long")
+    sheet = F.col("sheet") if "sheet" in cells.columns else F.lit("Sheet1").alias("sheet")
+    grouped = cells.select(by, sheet, "row", "col", "text", "num").groupBy(by).agg(F.array_sort(F.collect_list(F.struct("sheet", "row", "col", "text", "num"))).alias("found"))
+    return grouped.mapInPandas(run, f"{by} {cells.schema[by].dataType.simpleString()}, file binary, cells long")
 
 
 def archive(files: DataFrame, name: str, group: str) -> DataFrame:
-    """One ZIP for each group of files (name, file)."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for label, raw in sorted(zip(pdf[name], pdf["file"])):
-                z.writestr(zipfile.ZipInfo(label), bytes(raw))
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "zip": [out.getvalue()], "files": [len(pdf)]})
-
-    return files.select(group, name, "file").groupBy(group).applyInPandas(one, f"{group} {files.schema[group].dataType.simpleString()}, zip binary, files long")
+    """One ZIP for each group of files (name, file), which one task holds: groups are to be as large as a user takes home."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            zips = []
+            for found in batch["found"]:
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    for x in found:
+                        z.writestr(zipfile.ZipInfo(x["name"]), bytes(x["file"]))
+                zips.append(out.getvalue())
+            yield pd.DataFrame({group: batch[group], "zip": zips, "files": batch["found"].map(len)})
+
+    grouped = files.select(group, F.col(name).alias("name"), "file").groupBy(group).agg(F.array_sort(F.collect_list(F.struct("name", "file"))).alias("found"))
+    return grouped.mapInPandas(run, f"{group} {files.schema[group].dataType.simpleString()}, zip binary, files long")
+
+
+def listed(archives: DataFrame, group: str) -> DataFrame:
+    """group, name, cells of the workbooks in each archive, read from its bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, raw in zip(batch[group], batch["zip"]):
+                with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
+                    for name in z.namelist():
+                        with zipfile.ZipFile(io.BytesIO(z.read(name))) as book:
+                            out.append((key, name, sum(book.read(part).count(b"<c r=") for part in book.namelist() if part.startswith("xl/worksheets/"))))
+            yield pd.DataFrame(out, columns=[group, "name", "cells"])
+
+    return archives.select(group, "zip").mapInPandas(run, f"{group} {archives.schema[group].dataType.simpleString()}, name string, cells long")
 
 
 def title_row(columns: Sequence[str]) -> list:

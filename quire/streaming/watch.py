@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-ATTEMPTS, LOCK_MINUTES = 5, 15
+ATTEMPTS, LOCK_MINUTES, KEEP_DAYS = 5, 15, 30
 TERMINAL = ["completed", "failed", "cancelled"]
 
 
@@ -52,10 +52,15 @@ def throttle(attempts: DataFrame, attempts_allowed: int = ATTEMPTS, minutes: int
     """user, id, allowed of a stream of attempts (user, id, at in seconds, failed): after five failures a user is locked out for fifteen minutes.
 
     A success clears the count. Attempts while locked out are refused and count for nothing. State is two numbers a user;
-    within a batch a user's attempts are taken in order of time.
+    within a batch a user's attempts are taken in order of time. With a watermark on a column of the stream, a user that
+    is silent for ``KEEP_DAYS`` of event time beyond it is forgotten, with the failures counted so far.
     """
+    timed = any(m == "seen" for m in attempts.columns)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         fails, until = state.get if state.exists else (0, 0.0)
         rows = pd.concat(list(batches)).sort_values(["at", "id"], kind="stable")
         allowed = []
@@ -73,9 +78,11 @@ def throttle(attempts: DataFrame, attempts_allowed: int = ATTEMPTS, minutes: int
                 if fails >= attempts_allowed:
                     until = float(at) + 60 * minutes
         state.update((int(fails), float(until)))
+        if timed:
+            state.setTimeoutTimestamp(max(int(rows["at"].max() * 1000), state.getCurrentWatermarkMs()) + KEEP_DAYS * 86_400_000)
         yield pd.DataFrame({"user": rows["user"], "id": rows["id"], "allowed": allowed})
 
-    return attempts.groupBy("user").applyInPandasWithState(step, "user long, id long, allowed boolean", "fails int, until double", "append", GroupStateTimeout.NoTimeout)
+    return attempts.groupBy("user").applyInPandasWithState(step, "user long, id long, allowed boolean", "fails int, until double", "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
 
 
 def latest(log: DataFrame, by: str, order: str) -> DataFrame:

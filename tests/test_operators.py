@@ -14,7 +14,7 @@ from quire.catalog import rows
 from quire.functions import values as V
 from quire.operators import model
 from quire.operators.assign import greedy
-from quire.plans import documents, placement, streams, windows
+from quire.plans import documents, matching, placement, streams, windows
 from quire.session import table
 from quire.sources import files, sinks
 
@@ -116,3 +116,112 @@ def test_plans_stay_declarative(spark):
     assert "ReadSchema: struct<lang:string,source:string>" in plan
     plan = documents.a15_hint_scores(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_rows_are_collected_in_the_order_of_keys(spark):
+    answers = [
+        (1, '{"table_rows": [{"a": "1"}], "confidence": "high"}'), (2, '{"z_rows": [{"a": 1}, "x", null, [1], {"b": {"c": 2}}], "n": 5, "a_rows": [{"a": "2"}], "table_rows": [{"a": "3"}]}'),
+        (3, "no json"), (4, None), (5, "[1]"), (6, '{"rows": [{"a": 1}], "x_rows": {"a": 1}, "y_rows": null, "q_rows": []}'), (7, '{"p_rows_rows": [{"a": "7"}]}'),
+    ]
+    df = documents.collect_rows(spark.createDataFrame(answers, "id int, raw string"), "id", "raw")
+    got = sorted((r.id, r.pos, r.source, tuple(sorted(r.row.items()))) for r in df.collect())
+    assert got == [(1, 1, "table", (("a", "1"),)), (2, 1, "table", (("a", "3"),)), (2, 2, "z", (("a", "1"),)), (2, 3, "z", (("b", '{"c":2}'),)), (2, 4, "a", (("a", "2"),)), (7, 1, "p", (("a", "7"),))]
+
+
+def plain_kept(sections):
+    """The fold by loops: sections in order, each with its rows' labels."""
+    drop = set()
+    for i, (big, rows_, _) in enumerate(sections):
+        for j, (small, others, matched) in enumerate(sections):
+            if i != j and big not in drop and small not in drop and set(rows_) and set(others):
+                both = len(set(rows_) & set(others))
+                if both / len(set(others)) >= 0.9 and len(rows_) > len(others) and matched and len(set(rows_) - set(others)) <= 1:
+                    drop.add(big)
+    return [name for name, *_ in sections if name not in drop]
+
+
+def test_redundant_sections_are_folded(spark):
+    import random
+
+    rng = random.Random(2)
+    docs = {0: [("a", ["x", "y", "z"], True), ("b", ["x", "y", "z", "w"], True), ("c", ["x", "y", "z", "w", "v"], False)]}
+    for d in range(1, 200):
+        base = [f"l{k}" for k in range(12)]
+        docs[d] = [(f"s{k}", [rng.choice(base[: 3 + k]) for _ in range(rng.randint(0, 6))] if rng.random() < 0.4 else base[: rng.randint(1, 12)], rng.random() < 0.7) for k in range(rng.randint(1, 7))]
+    df = spark.createDataFrame([(d, pos, name, labels, matched) for d, s in docs.items() for pos, (name, labels, matched) in enumerate(s)], "doc int, pos int, section string, labels array<string>, matched boolean")
+    got = defaultdict(list)
+    for r in documents_order(matching.drop_redundant(df, "pos"), df):
+        got[r.doc].append(r.section)
+    assert {d: plain_kept(s) for d, s in docs.items()} == {d: got[d] for d in docs} and got[0] == ["a", "c"]
+
+
+def documents_order(kept, sections):
+    return kept.join(sections, ["doc", "section"]).orderBy("doc", "pos").collect()
+
+
+def test_long_ranges_make_no_rows(spark):
+    cells = rows(spark, "sheet int, ref string, num double", [(1, "A1", 1.0), (1, "A900000", 2.5), (1, "AA7", 4.0)])
+    asked = rows(spark, "sheet int, id int, formula string", [(1, 1, "=SUM(A1:A1000000)"), (1, 2, "=SUM(A1,A1, AA7)"), (1, 3, "=SUM(AA1:AA5)"), (1, 4, "=SUM(A5:A1)"), (1, 5, "=SUM(x,A1)")])
+    assert {r.id: r.value for r in placement.evaluate(asked, cells).collect()} == {1: 3.5, 2: 6.0, 3: None, 4: None, 5: 1.0}
+
+
+def test_pictures():
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from quire.sources import images
+
+    image = np.random.default_rng(1).integers(0, 256, (7, 5, 3), dtype=np.uint8)
+    assert (images.read_png(images.png(image)) == image).all() and images.dimensions(images.png(image)) == (5, 7)
+    # every filter of the format, written by its definition
+    lines, above = b"", np.zeros(15, int)
+    for y, kind in enumerate([0, 1, 2, 3, 4, 4, 3]):
+        line = image[y].ravel().astype(int)
+        left, corner = np.r_[0, 0, 0, line[:-3]], np.r_[0, 0, 0, above[:-3]]
+        near = left + above - corner
+        paeth = np.where((abs(near - left) <= abs(near - above)) & (abs(near - left) <= abs(near - corner)), left, np.where(abs(near - above) <= abs(near - corner), above, corner))
+        lines += bytes([kind]) + bytes(((line - [0 * left, left, above, (left + above) // 2, paeth][kind]) & 255).tolist())
+        above = line
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    raw = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 7, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    assert (images.read_png(raw) == image).all()
+    assert images.fitted(4096, 100, 2048) == (2048, 50) and images.fitted(10, 5000, 2048) == (4, 2048) and images.fitted(3, 4, 2048) == (3, 4)
+    assert images.shrunk(np.full((10, 8, 3), 9, np.uint8), 4, 5).tolist() == np.full((5, 4, 3), 9).tolist()
+    assert images.dimensions(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x01\x02\x03\x04" + b"\0" * 9) == (0x0304, 0x0102)
+    for bad in (b"", b"GIF89a", raw[:40], raw.replace(b"IDAT", b"IDAX")):
+        with pytest.raises(images.ImageError):
+            images.dimensions(bad) and images.read_png(bad)
+
+
+def test_workbook_of_several_sheets():
+    raw = sinks.workbook({"a & \"b\"": [(0, 0, "x")], "lines": [(1, 1, 2)]})
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        assert 'name="a &amp; &quot;b&quot;"' in z.read("xl/workbook.xml").decode()
+        assert 'r="B2"' in z.read("xl/worksheets/sheet2.xml").decode() and len([n for n in z.namelist() if "sheets/" in n]) == 2
+
+
+def test_keys_are_in_the_order_they_are_met(spark):
+    values = rows(spark, "doc_id int, label string, value string, pos int", [(2, "b", "1", 0), (2, "a", "2", 1), (1, "c", "3", 0), (1, "b", None, 1), (3, "_x", "4", 0), (3, "a b.c", "5", 0)])
+    assert sinks.key_union(values, "doc_id", "pos") == ["c", "b", "a", "a b.c"]
+    docs = rows(spark, "doc_id int, file string, doc_type string, confidence string, needs_review boolean", [(1, "f1", None, None, None), (2, "f2", "t", "low", True), (3, "f3", "t", None, False), (4, "f4", None, None, None)])
+    got = sinks.combined_sheet(docs, values, "doc_id", "pos")
+    assert got.columns == ["File", "Doc Type", "Confidence", "Status", "c", "b", "a", "a b.c"]
+    assert sorted(map(tuple, got.collect())) == [("f1", "", "", "OK", "3", "", "", ""), ("f2", "t", "low", "Review", "", "1", "2", ""), ("f3", "t", "", "OK", "", "", "", "5"), ("f4", "", "", "OK", "", "", "", "")]
+
+
+def test_silent_users_are_forgotten(spark, tmp_path):
+    """Four failures, a month of others' attempts, a fifth failure: not locked out, as the four were forgotten."""
+    from quire.streaming import watch
+
+    day = 86400.0
+    first = [(1, i, float(i), True) for i in range(4)]
+    batches = [first, [(2, 10, 100 * day, False)], [(2, 11, 101 * day, False)], [(1, 20, 101 * day, True), (1, 21, 101 * day + 1, True)]]
+    schema = "user long, id long, at double, failed boolean"
+    for n, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in").withColumn("seen", F.timestamp_micros((F.col("at") * 1e6).cast("long"))).withWatermark("seen", "1 day")
+        watch.throttle(stream).writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/c").option("path", f"file://{tmp_path}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {r.id: r.allowed for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert got == dict.fromkeys([0, 1, 2, 3, 10, 11, 20, 21], True)
