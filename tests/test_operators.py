@@ -216,7 +216,7 @@ def test_silent_users_are_forgotten(spark, tmp_path):
     from quire.streaming import watch
 
     day = 86400.0
-    first = [(1, i, float(i), True) for i in range(4)]
+    first = [(1, i, 1.0 + i, True) for i in range(4)]
     batches = [first, [(2, 10, 100 * day, False)], [(2, 11, 101 * day, False)], [(1, 20, 101 * day, True), (1, 21, 101 * day + 1, True)]]
     schema = "user long, id long, at double, failed boolean"
     for n, b in enumerate(batches):
