@@ -187,12 +187,18 @@ def e6_statement_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_lines(statements(spark, sf_dir))
 
 
-_BROKEN = [(1, "Net 7513.0\n3\nend"), (2, "Net 7513.03\n3\nend"), (3, "751.0\n3\n"), (4, "12345.\n67\nx"), (5, "9999\n12\n"), (6, ""), (7, None)]
-
-
-@query("e2_decimal_repair", f"SELECT id, regexp_replace(text, '(\\d{{4,}}\\.\\d?)\\n(\\d{{1,2}})\\n', '\\1\\2' || chr(10), 'g') AS text FROM {values_sql('id, text', _BROKEN)}")
+@query(
+    "e2_decimal_repair",
+    """
+WITH t AS (SELECT o_orderkey AS id, 'Net ' || o_orderkey || '.' || CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 10 AS VARCHAR) ELSE '' END AS head, CAST(o_orderkey % 70 AS VARCHAR) AS tail FROM orders)
+SELECT id, CASE WHEN id >= 1000 THEN head || tail ELSE head || chr(10) || tail END || chr(10) || 'end' AS text FROM t UNION ALL SELECT -1, NULL""",
+)
 def e2_decimal_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, "id int, text string", _BROKEN).select("id", V.decimal_repair(F.col("text")).alias("text"))
+    """Numbers of four figures or more that break off after the point are joined with the figures on the next line."""
+    key = F.col("o_orderkey")
+    broken = F.concat(F.lit("Net "), key.cast("string"), F.lit("."), F.when(key % 2 == 0, (key % 10).cast("string")).otherwise(""), F.lit("\n"), (key % 70).cast("string"), F.lit("\nend"))
+    texts = table(spark, sf_dir, "orders").select(key.alias("id"), broken.alias("text")).unionByName(rows(spark, "id bigint, text string", [(-1, None)]))
+    return texts.select("id", V.decimal_repair(F.col("text")).alias("text"))
 
 
 def join_pages(pages: DataFrame) -> DataFrame:
@@ -255,13 +261,13 @@ def e12_json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(parsed, "$.k", "string").alias("k"), (F.schema_of_variant(parsed).startswith("OBJECT")).alias("ok")).select("event_id", "k", F.coalesce("ok", F.lit(False)).alias("parsed"))
 
 
-_WRAPPED = [(1, '{"documents": [{"a": 1}, {"a": 2}]}'), (2, '{"a": 3}'), (3, '{"documents": []}'), (4, '{"documents": 5, "a": 4}'), (5, "[1]"), (6, "x"), (7, None)]
-
-
-@query("e13_unwrap", "SELECT * FROM (VALUES (1, 1), (2, 3), (3, NULL), (4, 4), (5, NULL), (6, NULL), (7, NULL)) t(id, a)")
+@query("e13_unwrap", "SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN o_custkey WHEN 1 THEN o_custkey WHEN 3 THEN 4 END AS a FROM orders")
 def e13_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = F.try_parse_json(F.col("raw"))
-    return rows(spark, "id int, raw string", _WRAPPED).select("id", F.coalesce(F.try_variant_get(parsed, "$.documents[0].a", "int"), F.try_variant_get(parsed, "$.a", "int")).alias("a"))
+    """The first document of an answer that lists documents, else the answer itself; what is no object has nothing."""
+    k, n = F.col("o_orderkey") % 7, F.col("o_custkey").cast("string")
+    raw = F.when(k == 0, F.concat(F.lit('{"documents": [{"a": '), n, F.lit('}, {"a": 2}]}'))).when(k == 1, F.concat(F.lit('{"a": '), n, F.lit("}"))).when(k == 2, '{"documents": []}').when(k == 3, '{"documents": 5, "a": 4}').when(k == 4, "[1]").when(k == 5, "x")
+    parsed = F.try_parse_json("raw")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw")).select("id", F.coalesce(F.try_variant_get(parsed, "$.documents[0].a", "bigint"), F.try_variant_get(parsed, "$.a", "bigint")).alias("a"))
 
 
 def truncate(text: Column, kind: Column, limit: int = 8000, form: int = 3000, head: int = 1500, section: int = 2000) -> Column:

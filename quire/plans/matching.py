@@ -61,32 +61,53 @@ def j8_label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_labels(pairs, LABELS)
 
 
-_GROUPS = [(1, 1, "Current assets"), (1, 2, "Assets"), (1, 3, "Liabilities"), (2, 1, "Equity"), (2, 2, ""), (2, 3, "Equity"), (3, 1, "Income")]
-_SECTIONS = [(1, 1, "TOTAL ASSETS"), (1, 2, "Current Assets:"), (1, 3, "long-term liabilities"), (2, 1, "Stockholders' equity"), (2, 2, "equity"), (3, 1, "Expenses")]
-_MATCHED = [(1, 1, 2), (1, 2, 1), (1, 3, 3), (2, 1, 2), (2, 3, 1)]
+_NAMES = ["Current assets", "Assets", "Liabilities", "Equity", "", "Income", "Current liabilities"]
+_HEADINGS = ["TOTAL ASSETS", "Current Assets:", "long-term liabilities", "equity", "Income tax", "Expenses", "ASSETS", "Stockholders' equity"]
+_SIDES = f"""
+n AS (SELECT o_orderkey AS template, unnest(range(4)) AS k FROM orders),
+g AS (SELECT template, k AS grp, regexp_replace(lower({_NAMES!r}[1 + (template + k * (1 + template % 3)) % 7]), '[^a-z0-9]+', '', 'g') AS gn FROM n),
+s AS (SELECT template, k AS section, regexp_replace(lower({[h.replace("'", "’") for h in _HEADINGS]!r}[1 + (template * 3 + k * (1 + template % 5)) % 8]), '[^a-z0-9]+', '', 'g') AS sn FROM n)"""
 
 
-@query("j6_greedy_sections", f"SELECT * FROM {values_sql('template, grp, section', _MATCHED)}")
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Four groups and four sections for each order, named by its key from the lists, squeezed."""
+    n = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("template"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    t, k = F.col("template"), F.col("k")
+    pick = lambda names, at: V.squeeze(F.get(F.array(*map(F.lit, names)), at.cast("int")))
+    return n.select("template", k.alias("grp"), pick(_NAMES, (t + k * (1 + t % 3)) % 7).alias("gn")), n.select("template", k.alias("section"), pick(_HEADINGS, (t * 3 + k * (1 + t % 5)) % 8).alias("sn"))
+
+
+@query(
+    "j6_greedy_sections",
+    f"""
+WITH RECURSIVE {_SIDES},
+c AS (SELECT template, grp, list(section ORDER BY CASE WHEN gn = sn THEN 0 ELSE 1 END, section) AS cand FROM g JOIN s USING (template) WHERE gn <> '' AND (contains(gn, sn) OR contains(sn, gn)) GROUP BY ALL),
+r AS (SELECT o_orderkey AS template, -1 AS i, []::BIGINT[] AS taken, CAST(NULL AS BIGINT) AS section FROM orders UNION ALL
+  SELECT template, i + 1, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick FROM (SELECT r.template, r.i, taken, list_filter(coalesce(cand, []), lambda x: NOT list_contains(taken, x))[1] AS pick FROM r LEFT JOIN c ON c.template = r.template AND c.grp = r.i + 1 WHERE r.i < 3))
+SELECT template, i AS grp, section FROM r WHERE section IS NOT NULL""",
+)
 def j6_greedy_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups in order take the first section of their name, else the first whose name holds theirs or lies in it; each section once.
 
     A group tries its exact sections before the others, and all its tries come before the next group's.
     """
-    g = rows(spark, "template int, grp int, label string", _GROUPS).withColumn("gn", V.squeeze(F.col("label")))
-    s = rows(spark, "template int, section int, heading string", _SECTIONS).withColumn("sn", V.squeeze(F.col("heading")))
+    g, s = _sides(spark, sf_dir)
     exact = (F.col("gn") == F.col("sn")) & (F.col("sn") != "")
     near = (F.col("gn") != "") & (F.col("gn").contains(F.col("sn")) | F.col("sn").contains(F.col("gn")))
     candidates = g.join(s, "template").filter(exact | near).withColumn("tier", F.when(exact, 0).otherwise(1))
     return greedy(candidates, ["template"], "grp", "section", ["grp", "tier", "section"])
 
 
-@query("j7_writer_sections", f"""WITH g AS (SELECT *, regexp_replace(lower(label), '[^a-z0-9]+', '', 'g') AS gn FROM {values_sql('template, grp, label', _GROUPS)}), s AS (SELECT *, regexp_replace(lower(heading), '[^a-z0-9]+', '', 'g') AS sn FROM {values_sql('template, section, heading', _SECTIONS)})
-SELECT template, section, grp FROM (SELECT *, row_number() OVER (PARTITION BY template, section ORDER BY CASE WHEN gn = sn THEN 0 ELSE 1 END, grp) AS n FROM s JOIN g USING (template) WHERE gn <> '' AND (gn = sn OR contains(gn, sn) OR contains(sn, gn))) WHERE n = 1""")
+@query(
+    "j7_writer_sections",
+    f"""
+WITH {_SIDES}
+SELECT template, section, grp FROM (SELECT *, row_number() OVER (PARTITION BY template, section ORDER BY CASE WHEN gn = sn THEN 0 ELSE 1 END, grp) AS n FROM s JOIN g USING (template) WHERE gn <> '' AND (gn = sn OR contains(gn, sn) OR contains(sn, gn))) WHERE n = 1""",
+)
 def j7_writer_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every section goes to one group, by name or containment; several may go to one."""
-    g = rows(spark, "template int, grp int, label string", _GROUPS).withColumn("gn", V.squeeze(F.col("label"))).filter("gn != ''")
-    s = rows(spark, "template int, section int, heading string", _SECTIONS).withColumn("sn", V.squeeze(F.col("heading")))
-    both = s.join(g, "template").filter((F.col("gn") == F.col("sn")) | F.col("gn").contains(F.col("sn")) | F.col("sn").contains(F.col("gn")))
+    g, s = _sides(spark, sf_dir)
+    both = s.join(g.filter("gn != ''"), "template").filter((F.col("gn") == F.col("sn")) | F.col("gn").contains(F.col("sn")) | F.col("sn").contains(F.col("gn")))
     return both.groupBy("template", "section").agg(F.min(F.struct(F.when(F.col("gn") == F.col("sn"), 0).otherwise(1).alias("tier"), "grp")).alias("b")).select("template", "section", F.col("b.grp").alias("grp"))
 
 

@@ -36,15 +36,20 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLOCKS = "d AS (SELECT o_custkey AS job, o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS block, o_totalprice, o_orderpriority FROM orders)"
 _LINES = "i AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS i, CAST(l_partkey AS VARCHAR) AS item, l_extendedprice AS price FROM lineitem)"
 
-_ROUTES = [(1, True, "structural", False, "form_kv"), (2, False, "structural", False, "table"), (3, False, "labeled", True, "table"), (4, False, "mixed", True, "mixed"), (5, False, None, True, "form_kv"), (6, False, None, False, "table"), (7, False, None, False, "parallel_groups")]
 
-
-@query("x1_writer_routes", f"SELECT * FROM {values_sql('id, writer', [(1, 'form'), (2, 'layout'), (3, 'table'), (4, 'mixed'), (5, 'layout'), (6, 'table'), (7, 'form')])}")
+@query(
+    "x1_writer_routes",
+    """
+WITH t AS (SELECT p_partkey AS id, p_partkey % 5 = 0 AS cell_map, ['structural', 'labeled', 'mixed', NULL][1 + p_partkey % 4] AS type, p_size % 2 = 0 AS sections, ['form_kv', 'table', 'mixed', 'parallel_groups', NULL][1 + p_size % 5] AS mode FROM part)
+SELECT id, CASE WHEN cell_map THEN 'form' WHEN type = 'structural' OR (type IS NULL AND sections) THEN 'layout' WHEN mode = 'table' THEN 'table' WHEN mode = 'mixed' THEN 'mixed' ELSE 'form' END AS writer FROM t""",
+)
 def x1_writer_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell-map tables go to the form writer, structural templates and untyped ones with sections to the layout writer, the rest by mode."""
+    pick = lambda k, *values: F.get(F.array(*map(F.lit, values)), k)
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 5 == 0).alias("cell_map"), pick((F.col("p_partkey") % 4).cast("int"), "structural", "labeled", "mixed", None).alias("type"), (F.col("p_size") % 2 == 0).alias("sections"), pick(F.col("p_size") % 5, "form_kv", "table", "mixed", "parallel_groups", None).alias("mode"))
     by_mode = F.when(F.col("mode").isin("table", "mixed"), F.col("mode")).otherwise("form")
     writer = F.when(F.col("cell_map"), "form").when(F.col("type") == "structural", "layout").when(F.col("type").isNull() & F.col("sections"), "layout").otherwise(by_mode)
-    return rows(spark, "id int, cell_map boolean, type string, sections boolean, mode string", _ROUTES).select("id", writer.alias("writer"))
+    return t.select("id", writer.alias("writer"))
 
 
 FORM_ROWS, FORM_GAP = 4, 5
@@ -193,12 +198,17 @@ def x9_formula_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", shift_formula(F.lit("=SUM(B9:AB11)+C1*2"), F.col("p_size")).alias("formula"))
 
 
-_RAW = [(1, "$1,234.50"), (2, "(500)"), (3, " ₹ 12 "), (4, "12a"), (5, ""), (6, None), (7, "1.2.3"), (8, "-7."), (9, "€(1,000.25)")]
-
-
-@query("x10_cell_values", f"SELECT id, text, CAST(num AS DOUBLE) AS num FROM {values_sql('id, text, num', [(1, None, 1234.5), (2, None, -500), (3, None, 12), (4, '12a', None), (5, '', None), (6, None, None), (7, '1.2.3', None), (8, None, -7), (9, None, -1000.25)])}")
+@query(
+    "x10_cell_values",
+    """
+WITH p AS (SELECT o_orderkey AS id, o_orderkey % 9 AS k, round(o_totalprice, 2) AS price FROM orders)
+SELECT id, CASE k WHEN 3 THEN id || 'a' WHEN 4 THEN '' WHEN 6 THEN '1.2.3' END AS text, CASE k WHEN 0 THEN price WHEN 1 THEN -price WHEN 2 THEN 12 WHEN 7 THEN -7 WHEN 8 THEN -price END AS num FROM p""",
+)
 def x10_cell_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, "id int, raw string", _RAW).select("id", *cell_value(F.col("raw")))
+    """Texts as they come from documents: numbers with signs of currency, brackets and commas, and what is no number."""
+    k, price = F.col("o_orderkey") % 9, F.format_number(F.round("o_totalprice", 2), 2)
+    raw = F.when(k == 0, F.concat(F.lit("$"), price)).when(k == 1, F.concat(F.lit("("), F.replace(price, F.lit(","), F.lit("")), F.lit(")"))).when(k == 2, " ₹ 12 ").when(k == 3, F.concat(F.col("o_orderkey").cast("string"), F.lit("a"))).when(k == 4, "").when(k == 6, "1.2.3").when(k == 7, "-7.").when(k == 8, F.concat(F.lit("€("), price, F.lit(")")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), *cell_value(raw))
 
 
 # -- text sections to zones, words to cells -----------------------------------------------------------------------------------------------
@@ -253,9 +263,20 @@ def _statements(spark: SparkSession) -> DataFrame:
     return rows(spark, "doc_id int, text string", [(1, _STATEMENT), (2, ""), (3, "CURRENT ASSETS\nno items\n"), (4, None)])
 
 
-@query("e8_section_parse", f"SELECT 1 AS doc_id, * FROM {values_sql('zone, pos, label, value', _ITEMS)}")
+@query(
+    "e8_section_parse",
+    """
+WITH l AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 2 = 0 THEN 'Current assets' ELSE 'Current liabilities' END AS zone, 'Item ' || l_partkey AS label, printf('%.2f', l_extendedprice) AS value, l_linenumber, l_partkey, l_extendedprice FROM lineitem)
+SELECT doc_id, zone, row_number() OVER (PARTITION BY doc_id, zone ORDER BY l_linenumber, l_partkey, l_extendedprice) AS pos, label, value FROM l""",
+)
 def e8_section_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_sections(_statements(spark), ZONES)
+    """A statement for each order, with a heading, a section of assets in capitals, one of liabilities, their totals and a stray line."""
+    price = F.concat(F.lit("Item "), F.col("l_partkey").cast("string"), F.lit(" $"), F.format_number("l_extendedprice", 2))
+    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", price.alias("line"))))
+    side = lambda n: F.array_join(F.transform(F.filter("all", lambda x: x["l_linenumber"] % 2 == n), lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(listed.alias("all"))
+    text = F.concat(F.lit("ACME LTD\nBALANCE SHEET\n\nCURRENT ASSETS\n"), side(0), F.lit("Total Current Assets $5\n--- page\nCurrent  Liabilities\n"), side(1), F.lit("Total liabilities 9\nstray 7"))
+    return parse_sections(docs.select("doc_id", text.alias("text")), ZONES)
 
 
 _SLOTS = [("Current assets", 1, "A2", "B2"), ("Non current assets", 1, "C2", "D2"), ("Current liabilities", 1, "A12", "B12"), ("Non current liabilities", 1, "C12", "D12"), ("Non current liabilities", 2, "C13", "D13")]

@@ -249,12 +249,10 @@ def e17_normalised_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.groupBy("source").agg(F.count("*").alias("n"), F.sum("num").cast("double").alias("total"))
 
 
-_RESULT = [(1, "a", 0), (2, "b", 1), (3, None, 2)]
-
-
-@query("s6_types_inferred", f"SELECT id, CASE id WHEN 1 THEN 'number' WHEN 2 THEN 'date' ELSE 'string' END AS type FROM {values_sql('id, x, y', _RESULT)}")
+@query("s6_types_inferred", "SELECT p_partkey AS id, ['string', 'number', 'date', 'string'][1 + p_partkey % 4] AS type FROM part")
 def s6_types_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column types guessed from a first value: numbers, ten characters with two dashes, else text."""
-    first = F.when(F.col("id") == 1, "12.5").when(F.col("id") == 2, "2024-01-31")
+    k = F.col("p_partkey") % 4
+    first = F.when(k == 0, F.col("p_name")).when(k == 1, F.format_string("%.2f", "p_retailprice")).when(k == 2, F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")).cast("string"))
     kind = F.when(first.try_cast("double").isNotNull(), "number").when((F.length(first) == 10) & (F.length(F.regexp_replace(first, "[^-]", "")) == 2), "date").otherwise("string")
-    return rows(spark, "id int, x string, y int", _RESULT).select("id", kind.alias("type"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), kind.alias("type"))

@@ -156,13 +156,21 @@ def join_split_decimals(pairs: Column) -> Column:
     return F.aggregate(indexed, start, step)["out"]
 
 
-_FIELDS = [(1, 1, "Net", "7513.0"), (1, 2, "u", "3"), (1, 3, "Tax", "12"), (2, 1, "a", "1,204."), (2, 2, "b", "55"), (2, 3, "c", "9.5"), (2, 4, "d", "7"), (3, 1, "x", "10.25"), (3, 2, "y", "3"), (4, 1, "z", None), (5, 1, "p", "1.0"), (5, 2, "q", "2"), (5, 3, "r", "3")]
-_JOINED = [(1, 0, "Net", "7513.03"), (1, 1, "Tax", "12"), (2, 0, "a", "1204.55"), (2, 1, "c", "9.57"), (3, 0, "x", "10.25"), (3, 1, "y", "3"), (4, 0, "z", None), (5, 0, "p", "1.02"), (5, 1, "r", "3")]
-
-
-@query("w10_split_decimals", f"SELECT * FROM {values_sql('doc_id, pos, k, v', _JOINED)}")
+@query(
+    "w10_split_decimals",
+    """
+WITH n AS (SELECT l_orderkey AS doc_id, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS n FROM lineitem),
+f AS (SELECT doc_id, n, 'k' || n AS k, CASE n % 3 WHEN 1 THEN l_partkey || '.' || l_partkey % 10 WHEN 2 THEN CAST(l_partkey % 10 AS VARCHAR) ELSE '12' END AS v FROM n),
+j AS (SELECT a.doc_id, a.n, a.k, a.v || coalesce(b.v, '') AS v FROM f a LEFT JOIN f b ON b.doc_id = a.doc_id AND b.n = a.n + 1 AND a.n % 3 = 1 WHERE a.n % 3 <> 2)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS pos, k, v FROM j""",
+)
 def w10_split_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = rows(spark, "doc_id int, n int, k string, v string", _FIELDS).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "k", "v"))).alias("f"))
+    """An amount that breaks off after one figure takes the single figure in the next field; what follows stays."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    part, third = F.col("l_partkey"), F.col("n") % 3
+    numbered = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_partkey", F.row_number().over(w).alias("n"))
+    value = F.when(third == 1, F.concat(part.cast("string"), F.lit("."), (part % 10).cast("string"))).when(third == 2, (part % 10).cast("string")).otherwise("12")
+    fields = numbered.select("doc_id", F.struct("n", F.concat(F.lit("k"), F.col("n").cast("string")).alias("k"), value.alias("v")).alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("f"))
     pairs = F.transform("f", lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))
     return fields.select("doc_id", join_split_decimals(pairs).alias("out")).select("doc_id", F.posexplode("out").alias("pos", "p")).select("doc_id", "pos", "p.k", "p.v")
 
