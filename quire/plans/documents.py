@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog import query, rows, values_sql
 from quire.functions import values as V
-from quire.functions.registry import HINTS, SPANNING, TABLE_HEAVY
+from quire.functions.registry import HINTS, SPANNING
 from quire.session import table
 
 HINT_ROWS = [(kind, i, hint) for i, (kind, hints) in enumerate(HINTS.items()) for hint in hints]
@@ -270,21 +270,56 @@ def e13_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw")).select("id", F.coalesce(F.try_variant_get(parsed, "$.documents[0].a", "bigint"), F.try_variant_get(parsed, "$.a", "bigint")).alias("a"))
 
 
-def truncate(text: Column, kind: Column, limit: int = 8000, form: int = 3000, head: int = 1500, section: int = 2000) -> Column:
-    """What is sent to a model: short texts whole; forms their beginning; types with tables their beginning and the lines with figures after it."""
-    tail = F.filter(F.split(F.substring(text, head + 1, 1 << 30), "\n"), lambda line: line.rlike("[0-9]"))
-    rest = F.concat(F.substring(text, 1, head), F.lit("\n"), F.substring(F.array_join(tail, "\n"), 1, section))
-    return F.when(F.length(text) <= limit, text).when(kind.isin(TABLE_HEAVY), rest).otherwise(F.substring(text, 1, form))
+PAGE_LABEL = "\n\n=== DOCUMENT CONTINUES ON NEXT PAGE — ALL CONTENT BELOW IS PART OF THE SAME DOCUMENT ===\n\n"
 
 
-@query(
-    "e24_truncation",
+def truncate(text: Column, form: Column, regions: list[tuple[list[str], str]], whole: int = 8000, short: int = 3000, head: int = 1500, section: int = 2000, lines: int = 100) -> Column:
+    """What is sent to a model: short texts whole; of long forms the beginning; else the beginning, a snippet for each table region, and what follows the beginning up to the limit.
+
+    A region's snippet begins at the first line that has one of its first two column names or its label, without case;
+    it has ``lines`` lines and ``section`` characters at most, and less as the limit comes near. Regions are folded in order.
     """
-SELECT doc_id, CASE WHEN length(text) <= 8000 THEN length(text) WHEN doc_id % 2 = 0 THEN 1501 + least(2000, length(array_to_string(list_filter(string_split(text[1501:], chr(10)), lambda l: regexp_matches(l, '[0-9]')), chr(10)))) ELSE 3000 END AS size FROM documents""",
-)
+    text = F.replace(F.coalesce(text, F.lit("")), F.lit("--- PAGE BREAK ---"), F.lit(PAGE_LABEL))
+    split = F.split(text, "\n")
+    kinds = "struct<used:int,out:string>"
+
+    def step(acc: Column, region: Column) -> Column:
+        has = lambda line: F.exists(region["terms"], lambda t: F.lower(line).contains(t))
+        start = F.array_position(F.transform(split, has), F.lit(True)).cast("int")
+        budget = F.least(F.lit(section), whole - acc["used"] - 100)
+        snippet = F.substring(F.array_join(F.slice(split, F.greatest(start, F.lit(1)), F.lit(lines)), "\n"), F.lit(1), F.greatest(budget, F.lit(0)))
+        more = F.struct((acc["used"] + F.length(snippet)).alias("used"), F.concat(acc["out"], F.lit("\n\n--- SECTION: "), region["label"], F.lit(" ---\n"), snippet).alias("out")).cast(kinds)
+        return F.when((start > 0) & (budget > 0), more).otherwise(acc)
+
+    known = F.array(*[F.struct(F.array(*[F.lit(t.lower()) for t in [*names[:2], label] if t]).alias("terms"), F.lit(label or "Table").alias("label")) for names, label in regions if names])
+    begin = F.struct(F.lit(head).alias("used"), F.substring(text, 1, head).alias("out")).cast(kinds)
+    rest = lambda acc: F.when(acc["used"] < whole, F.concat(acc["out"], F.lit("\n"), F.substring(text, F.lit(head + 1), whole - acc["used"]))).otherwise(acc["out"])
+    parts = F.substring(F.aggregate(known, begin, step, rest), 1, whole) if any(names for names, _ in regions) else F.substring(F.concat(F.substring(text, 1, head), F.lit("\n"), F.substring(text, head + 1, whole - head)), 1, whole)
+    return F.when(F.length(text) <= whole, text).when(form, F.substring(text, 1, short)).otherwise(parts)
+
+
+_REGIONS = [(["total", "qty", "price"], "Items"), (["the", "and"], ""), (["no such column"], ""), (["Licensed"], "Licence"), (["IN "], "In"), (["de", "la"], "De"), (["a"], "A")]
+
+
+def _truncated_sql() -> str:
+    """The same rule for DuckDB, a step for each region."""
+    steps, last = "", "s0"
+    for i, (names, label) in enumerate(_REGIONS, 1):
+        has = " OR ".join(f"contains(x, '{t.lower()}')" for t in [*names[:2], label] if t)
+        steps += f""", p{i} AS (SELECT *, coalesce(list_position(list_transform(low, lambda x: {has}), true), 0) AS pos, least(2000, 8000 - used - 100) AS budget FROM {last}),
+q{i} AS (SELECT *, CASE WHEN pos > 0 AND budget > 0 THEN substring(array_to_string(lines[pos:pos + 99], chr(10)), 1, budget) END AS snippet FROM p{i}),
+s{i} AS (SELECT doc_id, t, lines, low, used + coalesce(length(snippet), 0) AS used, out || CASE WHEN snippet IS NULL THEN '' ELSE chr(10) || chr(10) || '--- SECTION: {label or "Table"} ---' || chr(10) || snippet END AS out FROM q{i})"""
+        last = f"s{i}"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s0 AS (SELECT doc_id, t, string_split(t, chr(10)) AS lines, string_split(lower(t), chr(10)) AS low, 1500 AS used, substring(t, 1, 1500) AS out FROM d){steps}
+SELECT doc_id, length(x) AS size, md5(x) AS digest FROM (SELECT doc_id, CASE WHEN length(t) <= 8000 THEN t WHEN doc_id % 3 = 0 THEN substring(t, 1, 3000)
+  ELSE substring(out || CASE WHEN used < 8000 THEN chr(10) || substring(t, 1501, 8000 - used) ELSE '' END, 1, 8000) END AS x FROM {last})"""
+
+
+@query("e24_truncation", _truncated_sql())
 def e24_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("doc_id") % 2 == 0, "payslip").otherwise("cheque")
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(truncate(F.col("text"), kind)).alias("size"))
+    text = truncate(F.col("text"), F.col("doc_id") % 3 == 0, _REGIONS)
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("x")).select("doc_id", F.length("x").alias("size"), F.md5("x").alias("digest"))
 
 
 @query(

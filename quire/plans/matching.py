@@ -111,6 +111,37 @@ def j7_writer_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("template", "section").agg(F.min(F.struct(F.when(F.col("gn") == F.col("sn"), 0).otherwise(1).alias("tier"), "grp")).alias("b")).select("template", "section", F.col("b.grp").alias("grp"))
 
 
+_ZONES = ["current assets", "non current assets", "total current assets", "other assets", "long term liabilities", "current liabilities", "equity"]
+_PRINTED = ["Current Assets", "NON-CURRENT ASSETS", "Total current assets:", "Assets current", "Long-term liabilities", "Liabilities", "Equity"]
+
+
+def zone_sections(zones: DataFrame, sections: DataFrame) -> DataFrame:
+    """doc, zone, section: zones in order take the free section whose words are most like theirs, from 0.6 on and with like numbers of words; of equal ones the first."""
+    words = lambda c: V.words(F.trim(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))))
+    z, s = zones.select("doc", "zone", words("label").alias("zw")).filter("size(zw) > 0"), sections.select("doc", "section", words("heading").alias("sw")).filter("size(sw) > 0")
+    both = z.join(s, "doc").withColumn("score", V.jaccard(F.col("zw"), F.col("sw"))).filter((F.col("score") >= 0.6) & (V.count_ratio(F.col("zw"), F.col("sw")) >= 0.7))
+    return greedy(both, ["doc"], "zone", "section", ["zone", -F.col("score"), "section"])
+
+
+@query(
+    "j10_zone_sections",
+    f"""
+WITH RECURSIVE n AS (SELECT o_orderkey AS doc, unnest(range(4)) AS k FROM orders),
+z AS (SELECT doc, k AS zone, list_distinct(string_split({_ZONES!r}[1 + (doc + k * (1 + doc % 3)) % 7], ' ')) AS zw FROM n),
+s AS (SELECT doc, k AS section, list_distinct(string_split(trim(regexp_replace(lower({_PRINTED!r}[1 + (doc * 3 + k * (1 + doc % 5)) % 7]), '[^a-z0-9]+', ' ', 'g')), ' ')) AS sw FROM n),
+b AS (SELECT doc, zone, section, len(list_intersect(zw, sw)) / len(list_distinct(list_concat(zw, sw))) AS score FROM z JOIN s USING (doc) WHERE least(len(zw), len(sw)) / greatest(len(zw), len(sw)) >= 0.7),
+c AS (SELECT doc, zone, list(section ORDER BY score DESC, section) AS cand FROM b WHERE score >= 0.6 GROUP BY ALL),
+r AS (SELECT o_orderkey AS doc, -1 AS i, []::BIGINT[] AS taken, CAST(NULL AS BIGINT) AS section FROM orders UNION ALL
+  SELECT doc, i + 1, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick FROM (SELECT r.doc, r.i, taken, list_filter(coalesce(cand, []), lambda x: NOT list_contains(taken, x))[1] AS pick FROM r LEFT JOIN c ON c.doc = r.doc AND c.zone = r.i + 1 WHERE r.i < 3))
+SELECT doc, i AS zone, section FROM r WHERE section IS NOT NULL""",
+)
+def j10_zone_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    d, k = F.col("doc"), F.col("k")
+    pick = lambda names, at: F.get(F.array(*map(F.lit, names)), at.cast("int"))
+    return zone_sections(n.select("doc", k.alias("zone"), pick(_ZONES, (d + k * (1 + d % 3)) % 7).alias("label")), n.select("doc", k.alias("section"), pick(_PRINTED, (d * 3 + k * (1 + d % 5)) % 7).alias("heading")))
+
+
 def similar_labels(labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, k, score: ordered pairs of rows whose word sets have a Jaccard of 0.5 and a count ratio of 0.7 at least.
 

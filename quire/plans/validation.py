@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +149,57 @@ def v5_section_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("o_orderkey", "declared", total.alias("total")).filter((F.col("declared") > 0) & (F.abs(F.col("total") - F.col("declared")) / F.col("declared") > 0.01))
 
 
+def table_rules(lines: DataFrame, by: str, minimum: int, filled: list[str], numeric: list[str], positive: list[str], keywords: list[tuple[str, list[str]]]) -> DataFrame:
+    """by, check, ok of the rules of a table's rows, by one aggregate: enough rows, columns filled in four rows of five, figures where there should be, and rows that must occur."""
+    value = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    figure = lambda c: F.regexp_replace(value(c), "[,$€£ ]", "").try_cast("double")
+    share = lambda c: F.count_if(value(c) != "") / F.count("*")
+    checks = {"table:rows": F.count("*") >= minimum}
+    checks |= {f"filled:{c}": share(c) >= 0.8 for c in filled}
+    checks |= {f"numeric:{c}": F.count_if((value(c) != "") & figure(c).isNull()) == 0 for c in numeric}
+    checks |= {f"positive:{c}": F.count_if((value(c) != "") & ~F.coalesce(figure(c) > 0, F.lit(False))) == 0 for c in positive}
+    speaks = lambda c, words: functools.reduce(Column.__or__, [F.lower(value(c)).contains(w) for w in words])
+    checks |= {f"row:{words[0]}": F.bool_or(speaks(c, words)) for c, words in keywords}
+    done = lines.groupBy(by).agg(*[x.alias(f"c{i}") for i, x in enumerate(checks.values())])
+    return done.select(by, F.inline(F.array(*[F.struct(F.lit(name).alias("check"), F.col(f"c{i}").alias("ok")) for i, name in enumerate(checks)])))
+
+
+@query(
+    "v14_table_rules",
+    """
+WITH l AS (SELECT l_orderkey, CASE WHEN l_partkey % 4 = 0 THEN ' ' ELSE 'part ' || l_partkey END AS name, CASE WHEN l_partkey % 50 = 0 THEN 'n/a' WHEN l_partkey % 9 = 0 THEN '' ELSE printf('%.0f', l_quantity) END AS qty, CASE WHEN l_linenumber % 5 = 0 THEN -l_extendedprice ELSE l_extendedprice END AS price, l_shipdate FROM lineitem),
+a AS (SELECT l_orderkey, count(*) >= 3 AS r, count_if(name <> ' ') / count(*) >= 0.8 AS f, count_if(qty = 'n/a') = 0 AS q, count_if(price <= 0) = 0 AS p, bool_or(name LIKE '%t 1%' OR name LIKE '%99%') AS k FROM l GROUP BY 1)
+SELECT l_orderkey, unnest(['table:rows', 'filled:name', 'numeric:qty', 'positive:price', 'row:t 1']) AS "check", unnest([r, f, q, p, k]) AS ok FROM a""",
+)
+def v14_table_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.col("l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.when(part % 4 == 0, " ").otherwise(F.concat(F.lit("Part "), part.cast("string"))).alias("name"), F.when(part % 50 == 0, "n/a").when(part % 9 == 0, "").otherwise(F.format_string("%.0f", "l_quantity")).alias("qty"),
+        F.concat(F.lit("$"), F.when(F.col("l_linenumber") % 5 == 0, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).cast("decimal(18,2)").cast("string")).alias("price"),
+    )
+    return table_rules(lines, "l_orderkey", 3, ["name"], ["qty"], ["price"], [("name", ["t 1", "99"])])
+
+
+def against_truth(values: DataFrame, truth: DataFrame) -> DataFrame:
+    """doc_id, name, status of every expected value: MISSING without one, PASS where the two are equal but for blanks around them, else FAIL."""
+    got = F.trim("value")
+    joined = truth.join(values.select("doc_id", "name", "value"), ["doc_id", "name"], "left")
+    return joined.select("doc_id", "name", F.when(F.coalesce(got, F.lit("")) == "", "MISSING").when(got == F.trim("expected"), "PASS").otherwise("FAIL").alias("status"))
+
+
+@query(
+    "v14_ground_truth",
+    """
+SELECT o_orderkey AS doc_id, 'status' AS name, CASE o_orderkey % 5 WHEN 0 THEN 'MISSING' WHEN 1 THEN 'FAIL' WHEN 3 THEN 'MISSING' ELSE 'PASS' END AS status FROM orders""",
+)
+def v14_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(key.alias("doc_id"), F.lit("status").alias("name"), "o_orderstatus")
+    found = F.when(F.col("doc_id") % 5 == 1, "?").when(F.col("doc_id") % 5 == 3, "  ").otherwise(F.concat(F.lit(" "), F.col("o_orderstatus")))
+    values = orders.filter("doc_id % 5 != 0").select("doc_id", "name", found.alias("value"))
+    return against_truth(values, orders.select("doc_id", "name", F.concat("o_orderstatus", F.lit(" ")).alias("expected")))
+
+
 @query("v14_row_product", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_extendedprice <> 0 AND abs(l_quantity * p_retailprice - l_extendedprice) / abs(l_extendedprice) <= 0.02")
 def v14_row_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose quantity times price is within two per cent of the subtotal."""
