@@ -227,29 +227,35 @@ def parse_sections(docs: DataFrame, zones: list[str]) -> DataFrame:
     start = F.struct(F.lit(None).cast("string").alias("open"), F.array().cast("array<struct<zone:string,label:string,value:string>>").alias("items")).cast(state)
     amount = r"^(.*?)\s+\(?\$?([-]?[0-9][0-9,]*(?:\.[0-9]{0,2})?)\)?$"
 
-    def step(acc: Column, raw: Column) -> Column:
+    def facts(raw: Column) -> Column:
+        """What a line says by itself; computed once for each line, before the fold."""
         line = V.strip(raw)
-        w = V.words(norm(line))
-        like = F.filter(names, lambda z: (V.jaccard(z["w"], w) >= 0.5) & (V.count_ratio(z["w"], w) >= 0.7))
-        best = F.element_at(F.array_sort(F.transform(like, lambda z: F.struct((-V.jaccard(z["w"], w)).alias("s"), F.array_position(names, z).alias("p"), z["zone"].alias("zone")))), 1)["zone"]
-        capitals = F.coalesce(V.upper_share(line) > 0.5, F.lit(False))
-        kind = V.stem(line)
-        spoken = F.filter(names, lambda z: (z["stem"] == kind) & ~F.exists(acc["items"], lambda i: i["zone"] == z["zone"]))
-        opened = F.coalesce(F.when(F.size(like) > 0, best), F.when(capitals & ~line.contains("&") & kind.isNotNull() & (F.size(spoken) > 0), F.get(spoken, F.lit(0))["zone"]))
-        has_amount = line.rlike(amount)
-        closes = F.lower(line).startswith("total") | (capitals & ~has_amount)
-        item = F.struct(acc["open"].alias("zone"), F.regexp_extract(line, amount, 1).alias("label"), F.replace(F.regexp_extract(line, amount, 2), F.lit(","), F.lit("")).alias("value"))
+        return F.struct(line.alias("line"), V.words(norm(line)).alias("w"), F.coalesce(V.upper_share(line) > 0.5, F.lit(False)).alias("capitals"), V.stem(line).alias("kind"), line.rlike(amount).alias("has_amount"))
+
+    def like(x: Column) -> Column:
+        near = F.filter(names, lambda z: (V.jaccard(z["w"], x["w"]) >= 0.5) & (V.count_ratio(z["w"], x["w"]) >= 0.7))
+        best = F.element_at(F.array_sort(F.transform(near, lambda z: F.struct((-V.jaccard(z["w"], x["w"])).alias("s"), F.array_position(names, z).alias("p"), z["zone"].alias("zone")))), 1)["zone"]
+        # a zone is looked for only where a line can open one
+        return x.withField("best", F.when(~x["has_amount"] & (F.size(near) > 0), best)).withField("label", F.when(x["has_amount"], F.regexp_extract(x["line"], amount, 1))).withField("value", F.when(x["has_amount"], F.replace(F.regexp_extract(x["line"], amount, 2), F.lit(","), F.lit(""))))
+
+    def step(acc: Column, x: Column) -> Column:
         same = F.struct(acc["open"].alias("open"), acc["items"].alias("items")).cast(state)
+        opens = lambda zone: F.struct(zone.alias("open"), acc["items"].alias("items")).cast(state)
+        spoken = F.filter(names, lambda z: (z["stem"] == x["kind"]) & ~F.exists(acc["items"], lambda i: i["zone"] == z["zone"]))
+        heading = ~x["has_amount"] & x["capitals"] & ~x["line"].contains("&") & x["kind"].isNotNull()
+        item = F.struct(acc["open"].alias("zone"), x["label"].alias("label"), x["value"].alias("value"))
         return (
-            F.when((line == "") | line.startswith("---"), same)
-            .when(opened.isNotNull() & ~has_amount, F.struct(opened.alias("open"), acc["items"].alias("items")).cast(state))
+            F.when(x["line"].startswith("---"), same)
+            .when(x["best"].isNotNull(), opens(x["best"]))
+            .when(heading & (F.size(spoken) > 0), opens(F.get(spoken, F.lit(0))["zone"]))
             .when(acc["open"].isNull(), same)
-            .when(closes, F.struct(F.lit(None).cast("string").alias("open"), acc["items"].alias("items")).cast(state))
-            .when(has_amount, F.struct(acc["open"].alias("open"), F.concat(acc["items"], F.array(item)).alias("items")).cast(state))
+            .when(F.lower(x["line"]).startswith("total") | (x["capitals"] & ~x["has_amount"]), opens(F.lit(None).cast("string")))
+            .when(x["has_amount"], F.struct(acc["open"].alias("open"), F.concat(acc["items"], F.array(item)).alias("items")).cast(state))
             .otherwise(same)
         )
 
-    out = docs.select("doc_id", F.aggregate(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), start, step)["items"].alias("items"))
+    read = docs.select("doc_id", F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), facts).alias("f")).select("doc_id", F.transform("f", like).alias("f"))
+    out = read.select("doc_id", F.aggregate("f", start, step)["items"].alias("items"))
     w = Window.partitionBy("doc_id", "zone").orderBy("at")
     return out.select("doc_id", F.posexplode("items").alias("at", "x")).select("doc_id", "x.zone", "at", "x.label", "x.value").withColumn("pos", F.row_number().over(w)).drop("at")
 

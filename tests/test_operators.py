@@ -225,3 +225,25 @@ def test_silent_users_are_forgotten(spark, tmp_path):
         watch.throttle(stream).writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/c").option("path", f"file://{tmp_path}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     got = {r.id: r.allowed for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert got == dict.fromkeys([0, 1, 2, 3, 10, 11, 20, 21], True)
+
+
+def test_sections_of_a_statement(spark):
+    got = placement.parse_sections(placement._statements(spark), placement.ZONES).collect()
+    assert sorted((r.doc_id, r.zone, r.pos, r.label, r.value) for r in got) == sorted((1, *x) for x in placement._ITEMS)
+
+
+def test_split_decimals_of_odd_fields(spark):
+    fields = [(1, [("Net", "7513.0"), ("u", "3"), ("Tax", "12")]), (2, [("a", "1,204."), ("b", "55"), ("c", "9.5"), ("d", "7")]), (3, [("x", "10.25"), ("y", "3")]), (4, [("z", None)]), (5, [("p", "1.0"), ("q", "2"), ("r", "3")]), (6, [])]
+    df = spark.createDataFrame(fields, "id int, f array<struct<k:string,v:string>>").select("id", windows.join_split_decimals(F.col("f")).alias("out"))
+    got = {r.id: [tuple(x) for x in r.out] for r in df.collect()}
+    assert got == {1: [("Net", "7513.03"), ("Tax", "12")], 2: [("a", "1204.55"), ("c", "9.57")], 3: [("x", "10.25"), ("y", "3")], 4: [("z", None)], 5: [("p", "1.02"), ("r", "3")], 6: []}
+
+
+def test_truncation_of_pages_and_short_texts(spark):
+    text = F.col("text")
+    df = spark.createDataFrame([(1, None), (2, "a\n--- PAGE BREAK ---\nb"), (3, "x" * 9000), (4, "h" * 1600 + "\nITEMS\nq\n" + "z" * 9000)], "id int, text string")
+    out = {r.id: r.x for r in df.select("id", documents.truncate(text, F.col("id") == 3, [(["item"], "")]).alias("x")).collect()}
+    assert out[1] == "" and "CONTINUES ON NEXT PAGE" in out[2] and out[3] == "x" * 3000
+    assert out[4].startswith("h" * 1500 + "\n\n--- SECTION: Table ---\nITEMS\nq\nzz") and len(out[4]) == 8000
+    plain = df.select("id", documents.truncate(text, F.lit(False), []).alias("x")).filter("id = 4").first().x
+    assert plain == ("h" * 1500 + "\n" + "h" * 100 + "\nITEMS\nq\n" + "z" * 9000)[:8000]
