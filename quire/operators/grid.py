@@ -233,7 +233,7 @@ def column_groups(cells: DataFrame) -> DataFrame:
     valued = F.exists(F.array(*map(F.lit, VALUE_WORDS)), lambda w: F.lower("head_text").contains(w))
     cols = data.groupBy("template", "c").agg(F.bool_or(valued).alias("valued")).groupBy("template").agg(F.array_sort(F.collect_list(F.struct("c", "valued"))).alias("cols"))
     kind = "array<struct<l:int,v:int>>"
-    used = lambda acc, c: F.exists(acc, lambda p: (p["l"] == c) | (p["v"] == c))
+    used = lambda acc, c: F.exists(acc, lambda p: p["l"].eqNullSafe(c) | p["v"].eqNullSafe(c))
 
     def pair_left(acc: Column, x: Column) -> Column:
         free = F.filter("cols", lambda y: (y["c"] < x["c"]) & ~used(acc, y["c"]))

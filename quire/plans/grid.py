@@ -1,204 +1,290 @@
-"""Structure of the fixture templates: a balance sheet, an invoice, a two-column form, a transposed table, an empty sheet."""
+"""Structure of templates made from ``customer``: one template for each customer, of five layouts (mixed cells, parallel
+pairs of columns, a table under a merged title, rows of labels, a form above a table), every 97th with broken JSON.
 
-from __future__ import annotations
+The layout follows from the key by arithmetic that Spark and SQL share; the answers are computed by each on its own.
+"""
 
-import json
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.catalog import query, rows, values_sql
+from quire.catalog import query
 from quire.functions import values as V
+from quire.functions.registry import GENERIC_COLUMNS, SECTIONED
 from quire.operators import grid as G
-
-
-def _sheet(texts: dict[tuple[int, int], str], blanks: list[tuple[int, int]] = (), targets: list[tuple[int, int]] = (), spans: dict[tuple[int, int], int] | None = None) -> str:
-    cells = {f"{r},{c}": {"value": v} for (r, c), v in texts.items()} | {f"{r},{c}": {"value": ""} for r, c in blanks} | {f"{r},{c}": {"value": None, "extractTarget": True} for r, c in targets}
-    for (r, c), width in (spans or {}).items():
-        cells[f"{r},{c}"]["mergeSpan"] = {"rows": 1, "cols": width}
-    return json.dumps({"cells": cells})
-
-
-_BALANCE = {(0, 0): "Current assets", (0, 1): "Amount", (0, 2): "Non current assets", (0, 3): "Amount", (9, 0): "Total", (9, 2): "Total", (9, 4): "Final Total", (10, 0): "Current liabilities", (10, 2): "Non current liabilities", (20, 0): "Total", (20, 2): "Total", (20, 4): "Final Total"}
-_INVOICE = {(0, 0): "Invoice", (1, 0): "Invoice No", (2, 0): "Date", (2, 2): "Due", (4, 0): "Items", (5, 0): "Description", (5, 1): "Qty", (5, 2): "Amount"}
-SHEETS = [
-    (1, "balance_sheet", _sheet(_BALANCE, [(r, c) for r in [*range(1, 9), *range(11, 20)] for c in range(4)] + [(9, 1), (9, 3), (9, 5), (10, 1), (10, 3), (20, 1), (20, 3), (20, 5)])),
-    (2, "sales_invoice", _sheet(_INVOICE, [(6, c) for c in range(3)] + [(7, c) for c in range(3)], [(1, 1), (2, 1), (2, 3)], {(0, 0): 4, (4, 0): 3})),
-    (3, "cheque", _sheet({(0, 0): "Payee", (0, 1): "Bank", (1, 0): "Memo", (1, 1): "Drawer", (2, 0): "Net pay"}, [(0, 2), (0, 3), (1, 2), (1, 3), (2, 1)])),
-    (4, "payslip", _sheet({(0, 0): "Name", (0, 1): "Ann", (0, 2): "Bo", (1, 0): "Dept", (1, 1): "HR", (1, 2): "IT", (2, 0): "Salary", (2, 1): "5", (2, 2): "6"})),
-    (5, "other", '{"cells": {"x,1": {"value": "no"}, "1": {"value": "no"}, "0,0": {"value": " "}}}'),
-    (6, "other", "not json"),
-]
-
-
-def sheets(spark: SparkSession) -> DataFrame:
-    return rows(spark, "template int, kind string, sheet string", SHEETS)
-
-
-def cells(spark: SparkSession) -> DataFrame:
-    return G.parse_cells(sheets(spark), "template", "sheet")
-
-
-def _cell_values() -> list[tuple]:
-    out = []
-    for t, _, sheet in SHEETS[:5]:
-        for key, x in json.loads(sheet)["cells"].items():
-            if key.replace(",", "").isdigit() and "," in key:
-                r, c = map(int, key.split(","))
-                out.append((t, r, c, (x.get("value") or "").strip(), bool(x.get("extractTarget")), (x.get("mergeSpan") or {}).get("cols", 1)))
-    return out
-
-
-CELLS_SQL = f"cells AS (SELECT * FROM {values_sql('template, r, c, value, target, span_cols', _cell_values())})"
-_REF = "chr(65 + {c}) || CAST({r} + 1 AS VARCHAR)"
-
-
-@query("f16_cell_parse", f"WITH {CELLS_SQL} SELECT template, r, c, value, target, span_cols FROM cells")
+from quire.session import table
+
+ROWS, COLS, BROKEN, ODD_KEYS = 10, 6, 97, 11
+_MIX = "(({t} * 31 + {r} * 17 + {c} * 7 + ({t} * ({r} + 1) * ({c} + 3)) % 101) % 100)"
+_STATE = """CASE {t} % 5
+  WHEN 0 THEN CASE WHEN {h} < 20 THEN 'none' WHEN {h} < 45 THEN 'blank' WHEN {h} < 55 THEN 'target' WHEN {h} < 96 THEN 'text' ELSE 'wide' END
+  WHEN 1 THEN CASE WHEN {c} >= 4 THEN CASE WHEN {h} < 10 THEN 'text' ELSE 'none' END WHEN {c} % 2 = 0 AND {h} < 70 THEN 'text' ELSE 'blank' END
+  WHEN 2 THEN CASE WHEN {c} >= 3 + {t} % 3 THEN 'none' WHEN {r} < {t} % 4 THEN CASE WHEN {r} = 0 AND {c} = 0 THEN 'wide' ELSE 'none' END
+    WHEN {r} = {t} % 4 OR ({r} = 9 AND {c} = 0) OR ({r} = 6 AND {h} < 30) THEN 'text' ELSE 'blank' END
+  WHEN 3 THEN CASE WHEN {c} = 0 AND {r} < 2 + {t} % 7 THEN 'text' WHEN {c} BETWEEN 1 AND 3 AND {h} < 60 THEN 'text' WHEN {c} < 4 THEN 'blank' ELSE 'none' END
+  ELSE CASE WHEN {r} < 4 AND {c} = 0 THEN 'text' WHEN {r} < 4 AND {c} = 1 THEN CASE WHEN {h} < 80 THEN 'target' ELSE 'blank' END
+    WHEN {r} = 5 AND {c} < 4 THEN 'text' WHEN {r} BETWEEN 6 AND 8 AND {c} < 4 THEN 'blank' WHEN {r} = 9 AND {h} < 50 THEN 'text' ELSE 'none' END END"""
+_WORDS = ["Amount", "Name", "Description", "Qty", "{name}", "Date", "Net pay", "12.50", "2024", "Current assets", "Total", "Rate", "Particulars", "Grand Total", " Address ", "Type"]
+_TEXT = "CASE ({h} + {r} + {c}) % 16 " + " ".join(f"WHEN {k} THEN " + (w if w == "{name}" else f"'{w}'") for k, w in enumerate(_WORDS)) + " END"
+_VALUE = f"CASE {{s}} WHEN 'text' THEN {_TEXT} WHEN 'wide' THEN {_TEXT} WHEN 'target' THEN CASE WHEN {{h}} % 5 = 0 THEN {_TEXT} END ELSE '' END"
+_SPAN = "CASE WHEN {s} = 'wide' THEN CASE WHEN {t} % 5 = 2 THEN 3 ELSE 2 END END"
+_KIND = "CASE {t} % 3 WHEN 0 THEN 'balance_sheet' WHEN 1 THEN 'payslip' ELSE 'sales_invoice' END"
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """template, kind, sheet: the grid as JSON, built within the row."""
+    at = {"t": "c_custkey", "r": "x.r", "c": "x.c", "h": "x.h", "s": "x.s", "name": "c_name"}
+    places = f"transform(sequence(0L, {ROWS * COLS - 1}L), i -> named_struct('r', i div {COLS}, 'c', i % {COLS}))"
+    mixed = f"transform({places}, x -> named_struct('r', x.r, 'c', x.c, 'h', {_MIX.format(**at)}))"
+    stated = f"filter(transform({mixed}, x -> named_struct('r', x.r, 'c', x.c, 'h', x.h, 's', {_STATE.format(**at)})), x -> x.s <> 'none')"
+    cell = f"named_struct('value', {_VALUE.format(**at)}, 'extractTarget', CASE WHEN x.s = 'target' THEN true END, 'mergeSpan', CASE WHEN x.s = 'wide' THEN named_struct('rows', 1, 'cols', {_SPAN.format(**at)}) END)"
+    entries = f"transform({stated}, x -> named_struct('k', concat(x.r, ',', x.c), 'v', {cell}))"
+    odd = f"CASE WHEN c_custkey % {ODD_KEYS} = 0 THEN array(named_struct('k', 'x,1', 'v', {cell.replace('x.s', 's').replace('x.h', '0').replace('x.r', '0').replace('x.c', '0')})) ELSE array() END"
+    grid = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit("blank").alias("s")).select("c_custkey", F.expr(f"to_json(named_struct('cells', map_from_entries(concat({entries}, {odd}))))").alias("grid"))
+    sheet = F.when(F.col("c_custkey") % BROKEN == 0, "not json").otherwise(F.col("grid"))
+    return grid.select(F.col("c_custkey").alias("template"), F.expr(_KIND.format(t="c_custkey")).alias("kind"), sheet.alias("sheet"))
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.parse_cells(sheets(spark, sf_dir), "template", "sheet")
+
+
+_AT = {"t": "t", "r": "r", "c": "c", "h": "h", "s": "s", "name": "name"}
+CELLS = f"""kinds AS (SELECT c_custkey AS template, {_KIND.format(t="c_custkey")} AS kind FROM customer),
+places AS (SELECT c_custkey AS t, c_name AS name, r, c FROM customer, range({ROWS}) a(r), range({COLS}) b(c) WHERE c_custkey % {BROKEN} <> 0),
+mixed AS (SELECT *, {_MIX.format(**_AT)} AS h FROM places),
+stated AS (SELECT *, {_STATE.format(**_AT)} AS s FROM mixed),
+cells AS MATERIALIZED (SELECT t AS template, r, c, trim(coalesce({_VALUE.format(**_AT)}, '')) AS value, s = 'target' AS target, coalesce({_SPAN.format(**_AT)}, 1) AS span_cols,
+  trim(coalesce({_VALUE.format(**_AT)}, '')) <> '' AND s <> 'target' AS lab FROM stated WHERE s <> 'none')"""
+_REF = "chr(CAST(65 + {c} AS INTEGER)) || CAST({r} + 1 AS VARCHAR)"
+# targets, pairs and tables, as the rules put them
+TARGETS = f"""targets AS MATERIALIZED (SELECT k.template, {_REF.format(r="k.r", c="k.c")} AS ref, k.r, k.c, coalesce(
+    (SELECT arg_max(value, l.c) FROM cells l WHERE l.template = k.template AND l.r = k.r AND l.c BETWEEN k.c - 3 AND k.c - 1 AND l.value <> ''),
+    (SELECT max(value) FROM cells u WHERE u.template = k.template AND u.r = k.r - 1 AND u.c = k.c AND u.value <> ''), 'field at ' || {_REF.format(r="k.r", c="k.c")}) AS label
+  FROM cells k WHERE k.target AND k.value = '' AND NOT EXISTS (SELECT 1 FROM cells h WHERE h.template = k.template AND h.r = k.r AND h.lab AND h.span_cols >= 2))"""
+PAIRS = f"""pairs AS MATERIALIZED (SELECT a.template, a.r, a.c, a.value AS label, {_REF.format(r="b.r", c="b.c")} AS value_ref
+  FROM cells a JOIN cells b ON b.template = a.template AND b.r = a.r AND b.c = a.c + 1 WHERE a.lab AND (b.target OR b.value = ''))"""
+DOUBLE = f"""doubles AS (SELECT a.template, a.r, a.value AS left_label, b.value AS right_label, {_REF.format(r="a.r", c="a.c + 2")} AS left_ref, {_REF.format(r="a.r", c="a.c + 3")} AS right_ref
+  FROM cells a JOIN cells b ON b.template = a.template AND b.r = a.r AND b.c = a.c + 1 AND b.lab JOIN cells x ON x.template = a.template AND x.r = a.r AND x.c = a.c + 2 AND (x.target OR x.value = '')
+  JOIN cells y ON y.template = a.template AND y.r = a.r AND y.c = a.c + 3 AND (y.target OR y.value = '') WHERE a.lab)"""
+TABLES = """lines AS MATERIALIZED (SELECT template, r, count(*) FILTER (lab) AS n, bool_or(target) AS targeted, bool_or(lab AND span_cols >= 2) AS merged, min(c) FILTER (lab) AS start_col, max(c) FILTER (lab) AS end_col,
+    string_agg(value, '|' ORDER BY c) FILTER (lab) AS names FROM cells GROUP BY template, r),
+heads AS MATERIALIZED (SELECT * FROM lines l WHERE NOT targeted AND n >= 2 AND (SELECT count(*) FROM lines b WHERE b.template = l.template AND b.r IN (l.r + 1, l.r + 2) AND b.n > 0) < 2),
+tabs AS MATERIALIZED (SELECT template, r AS header_row, start_col, end_col, names, coalesce(
+    (SELECT arg_min(value, (h.r - l.r) * 100 + l.c) FROM cells l WHERE l.template = h.template AND l.r IN (h.r - 1, h.r - 2) AND l.r > 0 AND l.lab AND l.c BETWEEN h.start_col AND h.end_col AND (l.span_cols >= 2 OR l.r = h.r - 1)),
+    'Table ' || row_number() OVER (PARTITION BY template ORDER BY r)) AS section FROM heads h WHERE NOT merged),
+above AS MATERIALIZED (SELECT template, r FROM lines l WHERE NOT targeted AND EXISTS (SELECT 1 FROM heads h WHERE h.template = l.template AND h.r BETWEEN l.r + 1 AND l.r + 4)),
+labelled AS MATERIALIZED (SELECT DISTINCT template, r FROM cells l WHERE value <> '' AND NOT EXISTS (SELECT 1 FROM cells k WHERE k.template = l.template AND k.r = l.r AND k.target)
+  AND NOT EXISTS (SELECT 1 FROM tabs h WHERE h.template = l.template AND h.header_row = l.r) AND EXISTS (SELECT 1 FROM tabs h WHERE h.template = l.template AND h.header_row IN (l.r + 1, l.r + 2)))"""
+BANDS = """bands AS (SELECT template, c AS label_col, count(*) AS items, list(r) AS rs, min(r) AS first_row FROM pairs GROUP BY template, c HAVING count(*) >= 3),
+alike AS (SELECT DISTINCT a.template FROM bands a JOIN bands b ON a.template = b.template AND a.label_col < b.label_col WHERE len(list_intersect(a.rs, b.rs)) / (a.items + b.items - len(list_intersect(a.rs, b.rs))) >= 0.4),
+bandnames AS MATERIALIZED (SELECT template, row_number() OVER (PARTITION BY template ORDER BY label_col) AS group_id, label_col, items,
+    (SELECT arg_max(value, l.r) FROM cells l WHERE l.template = b.template AND l.c = b.label_col AND l.lab AND l.r < b.first_row) AS head
+  FROM bands b WHERE template IN (SELECT template FROM alike) AND template IN (SELECT template FROM pairs GROUP BY template HAVING count(*) >= 4))"""
+# every cell of the box and its role
+ROLES = """boxes AS (SELECT template, max(r) AS mr, max(c) AS mc FROM cells GROUP BY template),
+box AS MATERIALIZED (SELECT b.template, x.r, y.c, coalesce(k.value, '') AS value, coalesce(k.target, false) AS target, coalesce(k.span_cols, 1) AS span_cols
+  FROM boxes b JOIN range(10) x(r) ON x.r <= b.mr JOIN range(6) y(c) ON y.c <= b.mc LEFT JOIN cells k ON k.template = b.template AND k.r = x.r AND k.c = y.c),
+tops AS (SELECT template, c, min(r) AS r FROM box WHERE value <> '' GROUP BY template, c),
+colheads AS MATERIALIZED (SELECT t.template, t.c, t.r AS head_row, b.value AS head_text FROM tops t JOIN box b USING (template, r, c)
+  LEFT JOIN box u ON u.template = t.template AND u.c = t.c AND u.r = t.r + 1 WHERE u.template IS NULL OR u.value = '' OR u.target),
+covered AS (SELECT DISTINCT w.template, w.r, w.c + d.d AS c FROM cells w JOIN range(1, 6) d(d) ON d.d < w.span_cols),
+crowded AS (SELECT DISTINCT x.template, x.r + a.d AS r, x.c + b.d AS c FROM box x, range(-1, 2) a(d), range(-1, 2) b(d) WHERE x.value <> ''),
+roles AS MATERIALIZED (SELECT x.template, x.r, x.c, x.value, h.head_row, h.head_text, CASE WHEN v.template IS NOT NULL THEN 'merged_child' WHEN x.value <> '' AND x.span_cols >= 2 THEN 'section_header'
+    WHEN x.value <> '' AND h.head_row = x.r THEN 'column_header' WHEN x.value <> '' AND (ri.template IS NULL OR ri.value = '' OR ri.target OR dn.template IS NULL OR dn.value = '' OR dn.target) THEN 'label'
+    WHEN x.value <> '' THEN 'static_text' WHEN le.value <> '' AND lh.head_row IS DISTINCT FROM x.r AND h.head_row IS DISTINCT FROM x.r THEN 'value_target' WHEN up.value <> '' AND h.head_row IS NULL THEN 'value_target'
+    WHEN h.head_row < x.r THEN 'table_data' WHEN w.template IS NULL THEN 'section_spacer' ELSE 'unknown' END AS role
+  FROM box x LEFT JOIN colheads h ON h.template = x.template AND h.c = x.c LEFT JOIN colheads lh ON lh.template = x.template AND lh.c = x.c - 1 LEFT JOIN covered v ON v.template = x.template AND v.r = x.r AND v.c = x.c
+  LEFT JOIN box ri ON ri.template = x.template AND ri.r = x.r AND ri.c = x.c + 1 LEFT JOIN box dn ON dn.template = x.template AND dn.r = x.r + 1 AND dn.c = x.c
+  LEFT JOIN box le ON le.template = x.template AND le.r = x.r AND le.c = x.c - 1 LEFT JOIN box up ON up.template = x.template AND up.r = x.r - 1 AND up.c = x.c
+  LEFT JOIN crowded w ON w.template = x.template AND w.r = x.r AND w.c = x.c)"""
+_OR = lambda column, words: "(" + " OR ".join(f"contains(lower({column}), '{w}')" for w in words) + ")"
+# value columns take the nearest free column to their left, then the rest the next free one; header rows cut the rows
+GROUPS = f"""RECURSIVE_MARK datacols AS (SELECT template, c, bool_or({_OR("head_text", G.VALUE_WORDS)}) AS valued, max(head_text) AS head_text FROM roles WHERE role = 'table_data' GROUP BY template, c),
+packed AS (SELECT template, list(c ORDER BY c) AS cols, list(valued ORDER BY c) AS valued FROM datacols GROUP BY template),
+fold AS (SELECT template, cols, valued, 1 AS k, []::BIGINT[] AS used, []::STRUCT(l BIGINT, v BIGINT)[] AS found FROM packed
+  UNION ALL SELECT template, cols, valued, k + 1, CASE WHEN act THEN list_concat(used, CASE WHEN other IS NULL THEN [x] ELSE [x, other] END) ELSE used END,
+    CASE WHEN act AND other IS NOT NULL THEN list_concat(found, [CASE WHEN k <= len(cols) THEN {{'l': other, 'v': x}} ELSE {{'l': x, 'v': other}} END]) ELSE found END
+  FROM (SELECT *, NOT list_contains(used, x) AND (k > len(cols) OR ok) AS act, CASE WHEN k <= len(cols) THEN list_max([q FOR q IN cols IF q < x AND NOT list_contains(used, q)]) ELSE list_min([q FOR q IN cols IF q > x AND NOT list_contains(used, q)]) END AS other
+    FROM (SELECT *, cols[(k - 1) % len(cols) + 1] AS x, valued[(k - 1) % len(cols) + 1] AS ok FROM fold WHERE k <= 2 * len(cols)))),
+sides AS MATERIALIZED (SELECT template, p.l AS l, p.v AS v FROM (SELECT template, unnest(found) AS p FROM fold WHERE k = 2 * len(cols) + 1)),
+cuts AS MATERIALIZED (SELECT b.template, b.c AS l, b.r AS h, b.value AS section FROM box b LEFT JOIN box u ON u.template = b.template AND u.c = b.c AND u.r = b.r + 1
+  WHERE b.value <> '' AND coalesce(u.value, '') = '' AND NOT {_OR("b.value", G.TOTAL_WORDS)} AND NOT regexp_matches(regexp_replace(b.value, '[,.$%-]', '', 'g'), '^[0-9]+$')),
+dealt AS (SELECT s.template, s.l, s.v, d.r, coalesce((SELECT max(h) FROM cuts k WHERE k.template = s.template AND k.l = s.l AND k.h < d.r), -1) AS h FROM sides s JOIN roles d ON d.template = s.template AND d.c = s.v AND d.role = 'table_data'),
+banded AS (SELECT template, l, v, h, min(r) AS start_row, max(r) AS end_row, row_number() OVER (PARTITION BY template ORDER BY l, v, h) AS n FROM dealt GROUP BY template, l, v, h),
+twice AS (SELECT template, start_row, end_row, row_number() OVER (PARTITION BY template ORDER BY start_row, end_row) AS parallel_id FROM banded GROUP BY template, start_row, end_row HAVING count(*) >= 2),
+groups AS MATERIALIZED (SELECT b.template, b.l AS label_col, b.v AS value_col, b.start_row, b.end_row, coalesce(k.section, nullif(d.head_text, ''), 'section_' || b.n) AS section,
+    (SELECT min(r) FROM roles t WHERE t.template = b.template AND t.c = b.v AND t.role = 'value_target' AND t.r BETWEEN b.end_row + 1 AND b.end_row + 3) AS total_row, t.parallel_id
+  FROM banded b LEFT JOIN cuts k ON k.template = b.template AND k.l = b.l AND k.h = b.h LEFT JOIN datacols d ON d.template = b.template AND d.c = b.l LEFT JOIN twice t ON t.template = b.template AND t.start_row = b.start_row AND t.end_row = b.end_row)"""
+
+
+def _with(*parts: str) -> str:
+    """A WITH clause of the parts in their order."""
+    text = ",\n".join([CELLS, *parts])
+    return f"WITH RECURSIVE {text.replace('RECURSIVE_MARK ', '')}\n" if "RECURSIVE_MARK " in text else f"WITH {text}\n"
+
+
+TYPES = """counted AS (SELECT template, count(*) FILTER (role = 'value_target') AS vt, count(*) FILTER (role = 'table_data') AS td FROM roles GROUP BY template),
+types AS MATERIALIZED (SELECT template, CASE WHEN td = 0 THEN 'labeled' WHEN vt = 0 THEN 'structural' WHEN 2 * vt <= td AND template IN (SELECT template FROM groups) THEN 'structural' ELSE 'mixed' END AS type, vt, td FROM counted)"""
+
+
+@query("f16_cell_parse", _with() + "SELECT template, r, c, value, target, span_cols FROM cells")
 def f16_cell_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(spark).select("template", "r", "c", "value", "target", "span_cols")
+    return cells(spark, sf_dir).select("template", "r", "c", "value", "target", "span_cols")
 
 
-@query("g1_header_rows", f"WITH {CELLS_SQL} SELECT DISTINCT template, r FROM cells WHERE value <> '' AND NOT target AND span_cols >= 2")
+@query("g1_header_rows", _with() + "SELECT DISTINCT template, r FROM cells WHERE lab AND span_cols >= 2")
 def g1_header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.header_rows(cells(spark))
+    return G.header_rows(cells(spark, sf_dir))
 
 
-@query(
-    "g2_targets",
-    f"""
-WITH {CELLS_SQL}, t AS (SELECT * FROM cells k WHERE target AND value = '' AND NOT EXISTS (SELECT 1 FROM cells h WHERE h.template = k.template AND h.r = k.r AND h.value <> '' AND NOT h.target AND h.span_cols >= 2))
-SELECT t.template, {_REF.format(r="t.r", c="t.c")} AS ref, t.r, t.c, coalesce(
-  (SELECT arg_max(value, c) FROM cells l WHERE l.template = t.template AND l.r = t.r AND l.c BETWEEN t.c - 3 AND t.c - 1 AND value <> ''),
-  (SELECT max(value) FROM cells u WHERE u.template = t.template AND u.r = t.r - 1 AND u.c = t.c AND value <> ''), 'field at ' || {_REF.format(r="t.r", c="t.c")}) AS label FROM t""",
-)
+@query("g2_targets", _with(TARGETS) + "SELECT template, ref, r, c, label FROM targets")
 def g2_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.targets(cells(spark))
+    return G.targets(cells(spark, sf_dir))
 
 
-@query("g3_j14_pairs", f"WITH {CELLS_SQL} SELECT a.template, a.r, a.c, a.value AS label, {_REF.format(r='b.r', c='b.c')} AS value_ref FROM cells a JOIN cells b ON b.template = a.template AND b.r = a.r AND b.c = a.c + 1 WHERE a.value <> '' AND NOT a.target AND (b.target OR b.value = '')")
+@query("g3_j14_pairs", _with(PAIRS) + "SELECT template, r, c, label, value_ref FROM pairs")
 def g3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.pairs(cells(spark))
+    return G.pairs(cells(spark, sf_dir))
 
 
-@query("g4_double_pairs", f"SELECT * FROM {values_sql('template, r, left_label, right_label, left_ref, right_ref', [(3, 0, 'Payee', 'Bank', 'C1', 'D1'), (3, 1, 'Memo', 'Drawer', 'C2', 'D2')])}")
+@query("g4_double_pairs", _with(DOUBLE) + "SELECT template, r, left_label, right_label, left_ref, right_ref FROM doubles")
 def g4_double_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.double_pairs(cells(spark))
-
-
-_TABLES = [(1, 0, 0, 3, "Current assets|Amount|Non current assets|Amount", "Table 1"), (1, 9, 0, 4, "Total|Total|Final Total", "Table 2"), (1, 10, 0, 2, "Current liabilities|Non current liabilities", "Total"), (1, 20, 0, 4, "Total|Total|Final Total", "Table 4"), (2, 5, 0, 2, "Description|Qty|Amount", "Items"), (3, 1, 0, 1, "Memo|Drawer", "Table 1"), (4, 1, 0, 2, "Dept|HR|IT", "Table 1"), (4, 2, 0, 2, "Salary|5|6", "Dept")]
+    return G.double_pairs(cells(spark, sf_dir))
 
 
-@query("g5_g6_tables", f"SELECT * FROM {values_sql('template, header_row, start_col, end_col, names, section', _TABLES)}")
+@query("g5_g6_tables", _with(TABLES) + "SELECT template, header_row, start_col, end_col, names, section FROM tabs")
 def g5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.tables(cells(spark)).withColumn("names", F.array_join("names", "|"))
+    return G.tables(cells(spark, sf_dir)).withColumn("names", F.array_join("names", "|"))
 
 
-@query("g7_above_headers", f"SELECT template, r FROM {values_sql('template, r', [(1, r) for r in [*range(5, 10), *range(16, 20)]] + [(2, 3), (2, 4), (3, 0), (4, 0), (4, 1)])} WHERE NOT (template = 2 AND r = 3)")
+@query("g7_above_headers", _with(TABLES) + "SELECT template, r FROM above")
 def g7_above_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only rows that hold cells can hold labels; the empty rows between are left out."""
-    return G.above_headers(cells(spark), 4).join(cells(spark).select("template", "r").distinct(), ["template", "r"], "left_semi")
+    found = cells(spark, sf_dir)
+    return G.above_headers(found, 4).join(found.select("template", "r").distinct(), ["template", "r"], "left_semi")
 
 
-@query("g8_section_label_rows", f"SELECT * FROM {values_sql('template, r', [(2, 4), (3, 0), (4, 0)])}")
+@query("g8_section_label_rows", _with(TABLES) + "SELECT template, r FROM labelled")
 def g8_section_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.section_label_rows(cells(spark))
+    return G.section_label_rows(cells(spark, sf_dir))
 
 
-@query("g9_transposed", f"SELECT * FROM {values_sql('template, start_row, end_row, data_cols', [(1, 0, 20, '2,4'), (3, 0, 2, '1'), (4, 0, 2, '1,2')])}")
+@query(
+    "g9_transposed",
+    _with()
+    + """, firsts AS (SELECT template, r FROM cells WHERE c = 0 AND lab), spans AS (SELECT template, count(*) AS n, min(r) AS start_row, max(r) AS end_row FROM firsts GROUP BY template HAVING count(*) >= 3),
+filled AS (SELECT k.template, k.c, count(*) AS n FROM cells k JOIN firsts f ON f.template = k.template AND f.r = k.r WHERE k.value <> '' AND k.c BETWEEN 1 AND 19 GROUP BY k.template, k.c)
+SELECT s.template, start_row, end_row, string_agg(f.c, ',' ORDER BY f.c) AS data_cols FROM spans s JOIN filled f ON f.template = s.template AND 2 * f.n >= s.n GROUP BY s.template, start_row, end_row""",
+)
 def g9_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.transposed(cells(spark)).withColumn("data_cols", F.array_join(F.transform("data_cols", lambda c: c.cast("string")), ","))
+    return G.transposed(cells(spark, sf_dir)).withColumn("data_cols", F.array_join(F.transform("data_cols", lambda c: c.cast("string")), ","))
 
 
-@query("g10_parallel_groups", f"SELECT * FROM {values_sql('template, group_id, label_col, items, section', [(1, 1, 0, 3, 'Current assets'), (1, 2, 2, 3, 'Non current assets')])}")
+@query("g10_parallel_groups", _with(PAIRS, BANDS) + "SELECT template, group_id, label_col, items, coalesce(head, 'Group ' || group_id || ' (columns ' || chr(CAST(65 + label_col AS INTEGER)) || '-' || chr(CAST(66 + label_col AS INTEGER)) || ')') AS section FROM bandnames")
 def g10_parallel_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.parallel_groups(cells(spark))
+    return G.parallel_groups(cells(spark, sf_dir))
 
 
-@query("g11_modes", f"SELECT * FROM {values_sql('template, mode', [(1, 'parallel_groups'), (2, 'mixed'), (3, 'mixed'), (4, 'table'), (5, 'unguided')])}")
+@query(
+    "g11_modes",
+    _with(TARGETS, PAIRS, DOUBLE, TABLES, BANDS)
+    + """, facts AS (SELECT template, template IN (SELECT template FROM bandnames) AS g, template IN (SELECT template FROM targets) AS t, template IN (SELECT template FROM tabs) AS tab, template IN (SELECT template FROM doubles) AS d,
+  template IN (SELECT template FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM above a WHERE a.template = p.template AND a.r = p.r)) AS k FROM (SELECT DISTINCT template FROM cells))
+SELECT template, CASE WHEN g THEN 'parallel_groups' WHEN tab AND (t OR k) THEN 'mixed' WHEN t THEN 'form_with_targets' WHEN k THEN 'form_kv' WHEN tab THEN 'table' WHEN d THEN 'form_kv' ELSE 'unguided' END AS mode FROM facts""",
+)
 def g11_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.modes(cells(spark)).select("template", "mode")
-
+    return G.modes(cells(spark, sf_dir)).select("template", "mode")
 
-_ROLE_COUNTS = [(2, "merged_child", 5), (2, "section_header", 2)]
 
-
-@query("g12_j15_roles_merged", f"SELECT * FROM {values_sql('template, role, n', _ROLE_COUNTS)}")
+@query("g12_j15_roles_merged", _with(ROLES) + "SELECT template, role, count(*) AS n FROM roles WHERE role IN ('merged_child', 'section_header') GROUP BY template, role")
 def g12_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.roles(cells(spark)).filter("role in ('merged_child', 'section_header')").groupBy("template", "role").agg(F.count("*").alias("n"))
-
-
-#: Roles row by row: Header, Data, Unknown, Spacer, Label, Value target, static Text, Merged child, section header X.
-_CODES = {"H": "column_header", "D": "table_data", "U": "unknown", "S": "section_spacer", "L": "label", "V": "value_target", "T": "static_text", "M": "merged_child", "X": "section_header"}
-_ROLES = {1: "HHHHUS DDDDUS DDDDSS DDDDSS DDDDSS DDDDSS DDDDSS DDDDSS DDDDUU LVLVHU LVLVDU DDDDDS DDDDDS DDDDDS DDDDDS DDDDDS DDDDDS DDDDDS DDDDDS DDDDDU LVLVLV", 2: "XMMM LVUU LVHU VUDU XMMU LHLV VDDU SDDS", 3: "TLVS TLVS LVUS", 4: "TTL TTL LLL", 5: "S"}
-_ROLE_ROWS = [(t, f"{chr(65 + c)}{r + 1}", _CODES[x]) for t, text in _ROLES.items() for r, line in enumerate(text.split()) for c, x in enumerate(line)]
+    return G.roles(cells(spark, sf_dir)).filter("role in ('merged_child', 'section_header')").groupBy("template", "role").agg(F.count("*").alias("n"))
 
 
-@query("g12_roles", f"SELECT * FROM {values_sql('template, ref, role', _ROLE_ROWS)}")
+@query("g12_roles", _with(ROLES) + f"SELECT template, {_REF.format(r='r', c='c')} AS ref, role FROM roles")
 def g12_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.roles(cells(spark)).select("template", V.cell_ref(F.col("r"), F.col("c")).alias("ref"), "role")
+    return G.roles(cells(spark, sf_dir)).select("template", V.cell_ref(F.col("r"), F.col("c")).alias("ref"), "role")
 
 
-_SECTION_RUNS = [(1, 0, 8, "current_assets"), (1, 9, 9, "total"), (1, 10, 19, "current_liabilities"), (1, 20, 20, "total"), (2, 0, 1, "invoice"), (2, 2, 3, "date"), (2, 4, 4, "items"), (2, 5, 7, "description"), (3, 0, 1, "payee"), (3, 2, 2, "net_pay"), (4, 0, 1, "name"), (4, 2, 2, "salary"), (5, 0, 0, "section")]
-
-
-@query("g12_w1_row_sections", f"SELECT * FROM {values_sql('template, r, section', [(t, r, s) for t, a, b, s in _SECTION_RUNS for r in range(a, b + 1)])}")
+@query(
+    "g12_w1_row_sections",
+    _with(ROLES)
+    + """, firsts AS (SELECT template, r, max(value) FILTER (c = 0) AS c0, bool_or(c = 0 AND target) AS t0, bool_or(value <> '' OR target) AS content FROM box GROUP BY template, r),
+opened AS (SELECT a.template, a.r, a.c0 FROM firsts a LEFT JOIN firsts n ON n.template = a.template AND n.r = a.r + 1 LEFT JOIN firsts p ON p.template = a.template AND p.r = a.r - 1
+  WHERE a.c0 <> '' AND (coalesce(n.c0, '') = '' OR n.t0 OR NOT coalesce(p.content, false)))
+SELECT a.template, a.r, coalesce(nullif((SELECT regexp_replace(regexp_replace(lower(arg_max(o.c0, o.r)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') FROM opened o WHERE o.template = a.template AND o.r <= a.r), ''), 'section') AS section FROM firsts a""",
+)
 def g12_row_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.row_sections(cells(spark))
-
+    return G.row_sections(cells(spark, sf_dir))
 
-_GROUPS = [(1, 0, 1, 1, 8, "Current assets", 9, 1), (1, 2, 3, 1, 8, "Non current assets", 9, 1), (1, 0, 1, 11, 19, "Current liabilities", 20, 2), (1, 2, 3, 11, 19, "Non current liabilities", 20, 2)]
 
-
-@query("g13_g14_column_groups", f"SELECT * FROM {values_sql('template, label_col, value_col, start_row, end_row, section, total_row, parallel_id', _GROUPS)}")
+@query("g13_g14_column_groups", _with(ROLES, GROUPS) + "SELECT template, label_col, value_col, start_row, end_row, section, total_row, parallel_id FROM groups")
 def g13_column_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.column_groups(cells(spark))
+    return G.column_groups(cells(spark, sf_dir))
 
 
-@query("g15_kv_groups", f"SELECT * FROM {values_sql('template, ref', [(1, 'B11'), (1, 'D11'), (1, 'F21'), (2, 'B2'), (2, 'B3'), (2, 'A4'), (2, 'D6'), (2, 'A7'), (3, 'C1'), (3, 'C2'), (3, 'B3')])}")
+@query(
+    "g15_kv_groups",
+    _with(ROLES, GROUPS)
+    + f"""SELECT x.template, {_REF.format(r="x.r", c="x.c")} AS ref FROM roles x WHERE x.role = 'value_target' AND NOT EXISTS (SELECT 1 FROM groups g WHERE g.template = x.template
+  AND ((x.c IN (g.label_col, g.value_col) AND x.r BETWEEN g.start_row AND g.end_row) OR (x.c = g.value_col AND x.r = g.total_row)))""",
+)
 def g15_kv_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value targets outside the column groups' bands and totals."""
-    found = G.roles(cells(spark)).filter("role = 'value_target'").select("template", "r", "c")
-    groups = G.column_groups(cells(spark))
+    found = cells(spark, sf_dir)
+    open_ = G.roles(found).filter("role = 'value_target'").select("template", "r", "c")
+    groups = G.column_groups(found)
     sides = groups.select("template", F.explode(F.array("label_col", "value_col")).alias("c"), "start_row", "end_row")
     inside = sides.select("template", "c", F.explode(F.sequence("start_row", "end_row")).alias("r")).union(groups.filter("total_row is not null").select("template", F.col("value_col"), F.col("total_row"))).distinct()
-    return found.join(inside, ["template", "r", "c"], "left_anti").select("template", V.cell_ref(F.col("r"), F.col("c")).alias("ref"))
+    return open_.join(inside, ["template", "r", "c"], "left_anti").select("template", V.cell_ref(F.col("r"), F.col("c")).alias("ref"))
 
 
-@query("g16_template_types", f"SELECT * FROM {values_sql('template, type, vt, td', [(1, 'structural', 7, 78), (2, 'mixed', 5, 5), (3, 'labeled', 3, 0), (4, 'labeled', 0, 0), (5, 'labeled', 0, 0)])}")
+@query("g16_template_types", _with(ROLES, GROUPS, TYPES) + "SELECT template, type, vt, td FROM types")
 def g16_template_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.template_types(cells(spark))
+    return G.template_types(cells(spark, sf_dir))
 
 
-@query("g17_context_risk", f"SELECT * FROM {values_sql('template, risk', [(1, True), (2, False), (3, False), (4, False), (5, False), (6, False)])}")
+@query(
+    "g17_context_risk",
+    _with(TARGETS, PAIRS, TABLES)
+    + f""", names AS (SELECT template, count(*) AS n FROM (SELECT template, unnest(string_split(names, '|')) AS name FROM tabs) WHERE {_OR("name", GENERIC_COLUMNS)} GROUP BY template),
+shown AS (SELECT template, label FROM targets UNION ALL SELECT template, label FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM above a WHERE a.template = p.template AND a.r = p.r)),
+labels AS (SELECT template, count(*) AS n FROM shown WHERE {_OR("label", GENERIC_COLUMNS)} GROUP BY template)
+SELECT k.template, kind IN ({", ".join(f"'{s}'" for s in SECTIONED)}) AND (coalesce(a.n, 0) >= 2 OR coalesce(b.n, 0) >= 3) AS risk FROM kinds k LEFT JOIN names a ON a.template = k.template LEFT JOIN labels b ON b.template = k.template""",
+)
 def g17_context_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.context_risk(cells(spark), sheets(spark).select("template", "kind"))
+    found = sheets(spark, sf_dir)
+    return G.context_risk(G.parse_cells(found, "template", "sheet"), found.select("template", "kind"))
 
 
-_MAPS = [(1, 4, 0, "mixed"), (2, 4, 1, "mixed"), (3, 9, 0, "structural"), (4, 6, 0, "labeled"), (5, 0, 0, "labeled")]
-
-
-@query("g18_cell_maps", f"SELECT id, NOT (cells < 5 AND tables = 0) AND kind <> 'structural' AS valid FROM {values_sql('id, cells, tables, kind', _MAPS)}")
+@query(
+    "g18_cell_maps",
+    _with(ROLES, GROUPS, TYPES, TABLES) + "SELECT template, type <> 'structural' AND (vt >= 5 OR template IN (SELECT template FROM tabs)) AS valid FROM types",
+)
 def g18_cell_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored cell map holds with five cells or a table, and never for structural templates."""
-    return rows(spark, "id int, cells int, tables int, kind string", _MAPS).select("id", (~((F.col("cells") < 5) & (F.col("tables") == 0)) & (F.col("kind") != "structural")).alias("valid"))
+    """A stored cell map holds with five value cells or a table, and never for structural templates."""
+    found = cells(spark, sf_dir)
+    tables = G.tables(found).groupBy("template").agg(F.count("*").alias("tables"))
+    known = G.template_types(found).join(tables, "template", "left")
+    return known.select("template", (~((F.col("vt") < 5) & F.col("tables").isNull()) & (F.col("type") != "structural")).alias("valid"))
 
 
-@query("g19_region_json", """SELECT template, '{"rows":[' || string_agg(r, ',' ORDER BY r) || ']}' AS json FROM (SELECT * FROM (VALUES (2, 4), (3, 0), (4, 0)) t(template, r)) GROUP BY template""")
+@query("g19_region_json", _with(TABLES) + """SELECT template, '{"rows":[' || string_agg(r, ',' ORDER BY r) || ']}' AS json FROM labelled GROUP BY template""")
 def g19_region_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of rows as sorted lists in JSON."""
-    return G.section_label_rows(cells(spark)).groupBy("template").agg(F.to_json(F.struct(F.array_sort(F.collect_set("r")).alias("rows"))).alias("json"))
+    return G.section_label_rows(cells(spark, sf_dir)).groupBy("template").agg(F.to_json(F.struct(F.array_sort(F.collect_set("r")).alias("rows"))).alias("json"))
 
 
-@query("w14_column_headers", f"SELECT * FROM {values_sql('template, c, head_row, head_text', [(1, 0, 0, 'Current assets'), (1, 1, 0, 'Amount'), (1, 2, 0, 'Non current assets'), (1, 3, 0, 'Amount'), (1, 4, 9, 'Final Total'), (2, 1, 5, 'Qty'), (2, 2, 2, 'Due')])}")
+@query("w14_column_headers", _with(ROLES) + "SELECT template, c, head_row, head_text FROM roles WHERE role = 'column_header'")
 def w14_column_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The topmost text of each column, where the cell below it is blank or a target."""
-    return G.roles(cells(spark)).filter("role = 'column_header'").select("template", "c", "head_row", "head_text")
+    return G.roles(cells(spark, sf_dir)).filter("role = 'column_header'").select("template", "c", "head_row", "head_text")
 
 
-@query("t4_group_order", f"SELECT * FROM {values_sql('template, pos, label_col, start_row', [(1, 1, 0, 1), (1, 2, 2, 1), (1, 3, 0, 11), (1, 4, 2, 11)])}")
+@query("t4_group_order", _with(ROLES, GROUPS) + "SELECT template, row_number() OVER (PARTITION BY template ORDER BY start_row, value_col) AS pos, label_col, start_row FROM groups")
 def t4_group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column groups in the order of their first row and value column."""
-    from pyspark.sql import Window
-
     pos = F.row_number().over(Window.partitionBy("template").orderBy("start_row", "value_col"))
-    return G.column_groups(cells(spark)).select("template", pos.alias("pos"), "label_col", "start_row")
+    return G.column_groups(cells(spark, sf_dir)).select("template", pos.alias("pos"), "label_col", "start_row")
