@@ -181,14 +181,27 @@ HEADERS = ["qty", "unit price", "description of goods", "line total", "sku code"
 COLUMNS = ["Qty", "Price", "Descripton of good", "Total", "Skucode", "Weight"]
 
 
-@query("j9_column_headers", f"SELECT * FROM {values_sql('col, header', [('Qty', 0), ('Price', 1), ('Descripton of good', 2), ('Total', 3), ('Skucode', 4)])}")
+def match_columns(pairs: DataFrame) -> DataFrame:
+    """tbl, col, header from pairs(tbl, col, header, h): equal, else the first that holds the other, else the closest by matching blocks from 0.6 on; of equally close ones the text that sorts last."""
+    pairs = pairs.withColumns({"c": F.lower("col"), "h": F.lower("h")})
+    sure = pairs.withColumn("tier", F.when(F.col("c") == F.col("h"), 0).when(F.col("h").contains(F.col("c")) | F.col("c").contains(F.col("h")), 1)).filter("tier is not null")
+    known = sure.groupBy("tbl", "col").agg(F.min(F.struct("tier", "header"))["header"].alias("header"))
+    rest = pairs.join(known.select("tbl", "col"), ["tbl", "col"], "left_anti").select("tbl", "col", "c", "h", "header")
+    near = close_match(rest, "c", "h").groupBy("tbl", "col").agg(F.max(F.struct("ratio", "h", (-F.col("header")).alias("first")))["first"].alias("first"))
+    return known.union(near.select("tbl", "col", -F.col("first")))
+
+
+@query(
+    "j9_column_headers",
+    f"""
+SELECT c_custkey AS tbl, col, CAST((place + 5 - c_custkey % 5) % 5 AS INTEGER) AS header
+FROM customer, {values_sql("col, place", [("Qty", 0), ("Price", 1), ("Descripton of good", 2), ("Total", 3), ("Skucode", 4)])}""",
+)
 def j9_column_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Template columns to printed headers: equal, else the first that holds the other, else the closest by matching blocks from 0.6 on."""
-    pairs = rows(spark, "col string", [(c,) for c in COLUMNS]).join(rows(spark, "header int, h string", list(enumerate(HEADERS)))).withColumn("c", F.lower("col"))
-    sure = pairs.withColumn("tier", F.when(F.col("c") == F.col("h"), 0).when(F.col("h").contains(F.col("c")) | F.col("c").contains(F.col("h")), 1)).filter("tier is not null").select("col", "tier", F.lit(0.0).alias("ratio"), "header")
-    rest = pairs.join(sure.select("col").distinct(), "col", "left_anti").select("col", "c", "h", "header")
-    near = close_match(rest, "c", "h").select("col", F.lit(2).alias("tier"), (-F.col("ratio")).alias("ratio"), "header")
-    return sure.union(near).groupBy("col").agg(F.min(F.struct("tier", "ratio", "header")).alias("b")).select("col", F.col("b.header").alias("header"))
+    """A printed table for each customer, its headers turned by as many places as the key says."""
+    turned = F.transform(F.sequence(F.lit(0), F.lit(len(HEADERS) - 1)), lambda i: F.get(F.array(*map(F.lit, HEADERS)), ((i + F.col("c_custkey")) % len(HEADERS)).cast("int")))
+    printed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tbl"), F.posexplode(turned).alias("header", "h"))
+    return match_columns(printed.select("tbl", "header", "h", F.explode(F.array(*map(F.lit, COLUMNS))).alias("col")))
 
 
 BANDS = [(1, -1000.0, 0.0), (2, 0.0, 2500.0), (3, 2500.0, 6000.0), (4, 6000.0, 10000.0)]

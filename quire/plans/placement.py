@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog import query, rows, values_sql
 from quire.functions import values as V
+from quire.plans.matching import match_columns
 from quire.session import table
 
 
@@ -269,61 +270,106 @@ def _statements(spark: SparkSession) -> DataFrame:
     return rows(spark, "doc_id int, text string", [(1, _STATEMENT), (2, ""), (3, "CURRENT ASSETS\nno items\n"), (4, None)])
 
 
-@query(
-    "e8_section_parse",
-    """
-WITH l AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 2 = 0 THEN 'Current assets' ELSE 'Current liabilities' END AS zone, 'Item ' || l_partkey AS label, printf('%.2f', l_extendedprice) AS value, l_linenumber, l_partkey, l_extendedprice FROM lineitem)
-SELECT doc_id, zone, row_number() OVER (PARTITION BY doc_id, zone ORDER BY l_linenumber, l_partkey, l_extendedprice) AS pos, label, value FROM l""",
-)
-def e8_section_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SIDES = "l AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 2 = 0 THEN 'Current assets' ELSE 'Current liabilities' END AS zone, 'Item ' || l_partkey AS label, printf('%.2f', l_extendedprice) AS value, l_linenumber, l_partkey, l_extendedprice FROM lineitem)"
+
+
+def order_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statement for each order, with a heading, a section of assets in capitals, one of liabilities, their totals and a stray line."""
     price = F.concat(F.lit("Item "), F.col("l_partkey").cast("string"), F.lit(" $"), F.format_number("l_extendedprice", 2))
     listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", price.alias("line"))))
     side = lambda n: F.array_join(F.transform(F.filter("all", lambda x: x["l_linenumber"] % 2 == n), lambda x: F.concat(x["line"], F.lit("\n"))), "")
     docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(listed.alias("all"))
     text = F.concat(F.lit("ACME LTD\nBALANCE SHEET\n\nCURRENT ASSETS\n"), side(0), F.lit("Total Current Assets $5\n--- page\nCurrent  Liabilities\n"), side(1), F.lit("Total liabilities 9\nstray 7"))
-    return parse_sections(docs.select("doc_id", text.alias("text")), ZONES)
+    return docs.select("doc_id", text.alias("text"))
 
 
-_SLOTS = [("Current assets", 1, "A2", "B2"), ("Non current assets", 1, "C2", "D2"), ("Current liabilities", 1, "A12", "B12"), ("Non current liabilities", 1, "C12", "D12"), ("Non current liabilities", 2, "C13", "D13")]
+@query("e8_section_parse", f"WITH {_SIDES} SELECT doc_id, zone, row_number() OVER (PARTITION BY doc_id, zone ORDER BY l_linenumber, l_partkey, l_extendedprice) AS pos, label, value FROM l")
+def e8_section_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_sections(order_statements(spark, sf_dir), ZONES)
+
+
+_SLOTS = [(zone, k + 1, f"{left}{k + first}", f"{right}{k + first}") for zone, left, right, first, n in [("Current assets", "A", "B", 2, 3), ("Non current assets", "C", "D", 2, 3), ("Current liabilities", "A", "B", 12, 2)] for k in range(n)]
 
 
-@query("e9_dynamic_fill", f"SELECT * FROM {values_sql('doc_id, ref, value', [(1, 'A2', 'Cash'), (1, 'B2', '1200'), (1, 'C2', 'Plant'), (1, 'D2', '2000'), (1, 'A12', 'Payables'), (1, 'B12', '40'), (1, 'C12', 'Loan'), (1, 'D12', '900')])}")
+@query(
+    "e9_dynamic_fill",
+    f"""
+WITH {_SIDES}, i AS (SELECT doc_id, zone, row_number() OVER (PARTITION BY doc_id, zone ORDER BY l_linenumber, l_partkey, l_extendedprice) AS pos, label, value FROM l),
+p AS (SELECT doc_id, label, value, label_ref, value_ref FROM i JOIN {values_sql("zone, pos, label_ref, value_ref", _SLOTS)} USING (zone, pos))
+SELECT doc_id, label_ref AS ref, label AS value FROM p UNION ALL SELECT doc_id, value_ref, value FROM p""",
+)
 def e9_dynamic_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The i-th item of a zone goes into its i-th free row; what is over is left out."""
     slots = rows(spark, "zone string, pos int, label_ref string, value_ref string", _SLOTS)
-    placed = parse_sections(_statements(spark), ZONES).join(F.broadcast(slots), ["zone", "pos"])
+    placed = parse_sections(order_statements(spark, sf_dir), ZONES).join(F.broadcast(slots), ["zone", "pos"])
     return placed.select("doc_id", F.inline(F.array(F.struct(F.col("label_ref").alias("ref"), F.col("label").alias("value")), F.struct(F.col("value_ref").alias("ref"), F.col("value").alias("value")))))
 
 
-_WORDS = [(1, "Description", 10.0, 80.0, 100.0), (1, "Amount", 200.0, 250.0, 101.0), (1, "Blue", 12.0, 40.0, 120.0), (1, "pen", 42.0, 60.0, 121.5), (1, "3.50", 210.0, 240.0, 120.4), (1, "Ink", 11.0, 30.0, 141.0), (1, "7", 215.0, 222.0, 140.0), (1, "banner across the page", 5.0, 500.0, 10.0)]
+_RANKED = "k AS (SELECT l_orderkey AS page, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS i FROM lineitem)"
 
 
-@query("e10_spatial_cells", f"SELECT * FROM {values_sql('page, line_no, col_no, text', [(1, 1, 1, 'Description'), (1, 1, 2, 'Amount'), (1, 2, 1, 'Blue pen'), (1, 2, 2, '3.50'), (1, 3, 1, 'Ink'), (1, 3, 2, '7')])}")
+def ranked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page, i, part, qty, price: the lines of each order by number."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.row_number().over(w).alias("i"), F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").cast("int").cast("string").alias("qty"), F.col("l_extendedprice").alias("price"))
+
+
+@query("e10_spatial_cells", f"WITH {_RANKED} SELECT page, i AS line_no, 1 AS col_no, 'Part ' || l_partkey AS text FROM k UNION ALL SELECT page, i, 2, printf('%.2f', l_extendedprice) FROM k")
 def e10_spatial_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words with their places to lines (multiples of four points) and columns (gaps of over twenty), wide words left out."""
+    """Words with their places to lines (multiples of four points) and columns (gaps of over twenty), wide words left out; a page for each order."""
     from quire.plans.windows import islands
 
-    words = rows(spark, "page int, text string, x0 double, x1 double, top double", _WORDS).filter("x1 - x0 <= 0.6 * 600").withColumn("line", F.bround(F.col("top") / 4, 0) * 4)
+    number = F.regexp_replace(F.format_number("price", 2), ",", "")
+    word = lambda text, x0, x1, shift: F.struct(text.alias("text"), F.lit(x0).alias("x0"), x1.cast("double").alias("x1"), (F.col("i") * 20 + 100 + F.col("i") % 3 * shift).cast("double").alias("top"))
+    banner = F.struct(F.lit("banner across the page").alias("text"), F.lit(5.0).alias("x0"), F.lit(500.0).alias("x1"), F.lit(10.0).alias("top"))
+    printed = F.array(word(F.lit("Part"), 10.0, F.lit(40), 0.5), word(F.col("part"), 42.0, F.length("part") * 6 + 42, -0.5), word(number, 200.0, F.length(number) * 6 + 200, 0.25), banner)
+    words = ranked_lines(spark, sf_dir).select("page", F.inline(printed)).filter("x1 - x0 <= 0.6 * 600").withColumn("line", F.bround(F.col("top") / 4, 0) * 4)
     order = ["x0", "x1", "top"]
     cols = words.withColumn("new", islands(F.col("x0"), F.col("x1"), 20, ["page"], order)).withColumn("col_no", F.sum("new").over(Window.partitionBy("page").orderBy(*order)))
     cell = cols.groupBy("page", "line", "col_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("text"))
     return cell.select("page", F.dense_rank().over(Window.partitionBy("page").orderBy("line")).alias("line_no"), F.col("col_no").cast("int").alias("col_no"), "text")
 
 
-_GRID = [(1, 0, "Statement|x|"), (1, 1, "Item|Qty|Price"), (1, 2, "Pen|2|3.5"), (1, 3, "Subtotal||7"), (1, 4, "Ink|1|4"), (2, 0, "a|b|c"), (2, 1, "d|e|f")]
+SKIPPED = ["subtotal", "grand total", "shipping", "discount", "charges", "refund", "paid", "free", "balance due"]
 
 
-@query("e11_header_row", f"SELECT * FROM {values_sql('tbl, header, score, data_rows', [(1, 1, 3, 2)])}")
-def e11_header_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The header of a printed table: the row of the first eight that names most columns, half of them at least; items below it without summary rows."""
-    names = ["item", "qty", "price"]
-    g = rows(spark, "tbl int, r int, line string", _GRID).withColumn("v", F.transform(F.split("line", r"\|"), lambda x: F.lower(F.trim(x))))
-    hit = lambda n: F.exists("v", lambda x: (x != "") & (x.contains(n) | F.lit(n).contains(x))).cast("int")
+def table_rows(printed: DataFrame, names: list[str]) -> DataFrame:
+    """tbl, r, cells (map of name to text) from printed(tbl, r, line array): rows below the header that name something.
+
+    The header is the first of the first eight rows that names most columns, half of them (and one) at least; tables
+    without one give no rows. Rows without a first cell, of summaries, or that begin with a number of up to four figures
+    are left out; amounts lose a leading ``$`` and their commas.
+    """
+    g = printed.select("tbl", "r", F.transform("line", V.collapse).alias("v"))
+    hit = lambda n: F.exists("v", lambda x: (x != "") & (F.lower(x).contains(n.lower()) | F.lit(n.lower()).contains(F.lower(x)))).cast("int")
     scored = g.filter("r < 8").withColumn("score", sum((hit(n) for n in names), F.lit(0)))
-    head = scored.groupBy("tbl").agg(F.max(F.struct("score", (-F.col("r")).alias("first"))).alias("b")).select("tbl", (-F.col("b.first")).alias("header"), F.col("b.score").alias("score")).filter(F.col("score") >= max(1, len(names) // 2)).filter("score > 1 or tbl < 0")
-    below = g.join(head, "tbl").filter(F.col("r") > F.col("header")).filter(~F.exists(F.array(F.lit("subtotal"), F.lit("paid"), F.lit("free")), lambda w: F.get(F.col("v"), F.lit(0)).contains(w)))
-    return below.groupBy("tbl", "header", "score").agg(F.count("*").alias("data_rows"))
+    head = scored.groupBy("tbl").agg(F.max(F.struct("score", (-F.col("r")).alias("first"), "v")).alias("b")).filter(F.col("b.score") >= max(1, len(names) // 2))
+    head = head.select("tbl", (-F.col("b.first")).alias("header_row"), F.col("b.v").alias("headers"))
+    pairs = head.select("tbl", F.posexplode("headers").alias("header", "h")).select("tbl", "header", "h", F.explode(F.array(*map(F.lit, names))).alias("col"))
+    places = match_columns(pairs).groupBy("tbl").agg(F.map_from_entries(F.collect_list(F.struct("col", "header"))).alias("at"))
+    below = g.join(head.select("tbl", "header_row"), "tbl").join(places, "tbl").filter("r > header_row")
+    first = F.coalesce(F.get("v", F.lit(0)), F.lit(""))
+    kept = below.filter((first != "") & ~F.exists(F.array(*map(F.lit, SKIPPED)), lambda w: F.lower(first).contains(w)) & ~first.rlike("^[0-9]{1,4}$"))
+    text = lambda n: F.coalesce(F.regexp_replace(F.regexp_replace(F.get("v", F.col("at")[n]), "^[$]", ""), ",", ""), F.lit(""))
+    return kept.select("tbl", "r", F.create_map(*[x for n in names for x in (F.lit(n), text(n))]).alias("cells")).filter(F.exists(F.map_values("cells"), lambda x: x != ""))
+
+
+@query(
+    "e11_header_row",
+    f"""
+WITH {_RANKED.replace("l_partkey, l_extendedprice, row", "l_partkey, l_quantity, l_extendedprice, row")}
+SELECT page AS tbl, CAST(i + 1 AS INTEGER) AS r, 'Part ' || l_partkey AS item, CASE WHEN page % 3 = 1 THEN '' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS qty, printf('%.2f', l_extendedprice) AS price
+FROM k WHERE page % 3 <> 2""",
+)
+def e11_header_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a printed table for each order: with a title, one of three headers (the last names no column), a subtotal, a gift, a page number and a row without a first cell."""
+    cell = lambda *x: F.array(*[F.lit(c) if isinstance(c, str) else c for c in x])
+    line = cell(F.concat(F.lit("Part  "), F.col("part")), F.col("qty"), F.concat(F.lit("$"), F.format_number("price", 2)))
+    header = F.when(F.col("page") % 3 == 0, cell("Item", "Qty", "Unit price")).when(F.col("page") % 3 == 1, cell("Name of item", "Quantity", "Pricing")).otherwise(cell("Product", "Rate", "Sum"))
+    lines_ = ranked_lines(spark, sf_dir).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("all"))
+    whole = F.concat(F.array(cell("ACME", " ", ""), header), F.transform("all", lambda x: x["line"]), F.array(cell("Subtotal", "", "$7"), cell("Free gift", "1", "0"), cell("12", "1", "2"), cell("", "1", "2")))
+    found = table_rows(lines_.select(F.col("page").alias("tbl"), F.posexplode(whole).alias("r", "line")), ["item", "qty", "price"])
+    return found.select("tbl", "r", *[F.col("cells")[n].alias(n) for n in ("item", "qty", "price")])
 
 
 @query(
