@@ -262,14 +262,6 @@ def parse_sections(docs: DataFrame, zones: list[str]) -> DataFrame:
 
 
 ZONES = ["Current assets", "Non current assets", "Current liabilities", "Non current liabilities"]
-_STATEMENT = "ACME LTD\nBALANCE SHEET\nCURRENT ASSETS\nCash $1,200\nInventory 300.50\nTotal Current Assets $1,500.50\nNON-CURRENT ASSETS\nNon current assets\nPlant (2,000)\nTOTAL 2,000\nLIABILITIES & EQUITY\nCurrent Liabilities\nPayables 40\nLONG-TERM LIABILITIES\nLoan 900\nnothing here\nTotal liabilities 940"
-_ITEMS = [("Current assets", 1, "Cash", "1200"), ("Current assets", 2, "Inventory", "300.50"), ("Non current assets", 1, "Plant", "2000"), ("Current liabilities", 1, "Payables", "40"), ("Non current liabilities", 1, "Loan", "900")]
-
-
-def _statements(spark: SparkSession) -> DataFrame:
-    return rows(spark, "doc_id int, text string", [(1, _STATEMENT), (2, ""), (3, "CURRENT ASSETS\nno items\n"), (4, None)])
-
-
 _SIDES = "l AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 2 = 0 THEN 'Current assets' ELSE 'Current liabilities' END AS zone, 'Item ' || l_partkey AS label, printf('%.2f', l_extendedprice) AS value, l_linenumber, l_partkey, l_extendedprice FROM lineitem)"
 
 

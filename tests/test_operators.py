@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog import rows
 from quire.functions import values as V
-from quire.operators import model
+from quire.operators import grid, model
 from quire.operators.assign import greedy
 from quire.plans import documents, matching, placement, streams, windows
 from quire.session import table
@@ -227,9 +227,28 @@ def test_silent_users_are_forgotten(spark, tmp_path):
     assert got == dict.fromkeys([0, 1, 2, 3, 10, 11, 20, 21], True)
 
 
+STATEMENT = "ACME LTD\nBALANCE SHEET\nCURRENT ASSETS\nCash $1,200\nInventory 300.50\nTotal Current Assets $1,500.50\nNON-CURRENT ASSETS\nNon current assets\nPlant (2,000)\nTOTAL 2,000\nLIABILITIES & EQUITY\nCurrent Liabilities\nPayables 40\nLONG-TERM LIABILITIES\nLoan 900\nnothing here\nTotal liabilities 940"
+
+
 def test_sections_of_a_statement(spark):
-    got = placement.parse_sections(placement._statements(spark), placement.ZONES).collect()
-    assert sorted((r.doc_id, r.zone, r.pos, r.label, r.value) for r in got) == sorted((1, *x) for x in placement._ITEMS)
+    docs = rows(spark, "doc_id int, text string", [(1, STATEMENT), (2, ""), (3, "CURRENT ASSETS\nno items\n"), (4, None)])
+    got = placement.parse_sections(docs, placement.ZONES).collect()
+    assert sorted((r.doc_id, r.zone, r.pos, r.label, r.value) for r in got) == [(1, "Current assets", 1, "Cash", "1200"), (1, "Current assets", 2, "Inventory", "300.50"), (1, "Current liabilities", 1, "Payables", "40"), (1, "Non current assets", 1, "Plant", "2000"), (1, "Non current liabilities", 1, "Loan", "900")]
+
+
+def test_value_column_without_a_label_leaves_the_others_free(spark):
+    texts = [(0, 0, "Amount"), (0, 1, "Name"), (0, 2, "Kind"), *((r, c, "") for r in (1, 2) for c in range(3))]
+    cells = rows(spark, "template int, r int, c int, value string, target boolean, span_rows int, span_cols int", [(1, r, c, v, False, 1, 1) for r, c, v in texts])
+    assert [(g.label_col, g.value_col, g.start_row, g.end_row, g.section) for g in grid.column_groups(cells).collect()] == [(1, 2, 1, 2, "Name")]
+
+
+def test_printed_tables(spark):
+    printed = [(1, 0, ["a", "b", "c"]), (1, 1, ["pen", "2", "3"]), (2, 0, ["x", "z"]), (2, 1, ["pen", "2"]), (3, 0, ["Item", "Qty"]), (3, 1, [None, "4"]), (3, 2, [" ink  blue ", "$1,000"]), (3, 3, ["1234", "1"]), (3, 4, ["12345", "1"]), (3, 5, ["Paid in full", "9"]), (3, 6, ["ok"]), (4, 0, None)]
+    df = spark.createDataFrame(printed, "tbl int, r int, line array<string>")
+    got = {(x.tbl, x.r): (x.cells["item"], x.cells["qty"]) for x in placement.table_rows(df, ["item", "qty"]).collect()}
+    assert got == {(3, 2): ("ink blue", "1000"), (3, 4): ("12345", "1"), (3, 6): ("ok", "")}
+    near = spark.createDataFrame([(1, "colour", 0, "color"), (1, "colour", 1, "colors"), (1, "colour", 2, "color"), (1, "size", 0, "color"), (2, "Qty", 0, "QTY ordered"), (2, "Qty", 1, "qty")], "tbl int, col string, header int, h string")
+    assert {(x.tbl, x.col): x.header for x in matching.match_columns(near).collect()} == {(1, "colour"): 0, (2, "Qty"): 1}
 
 
 def test_split_decimals_of_odd_fields(spark):
