@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bytebpe, decontam, langid, licenses, media, minhash, oracles, repeats, toxicity, urlfilter, warc
+from quire.llm import bytebpe, decontam, fim, langid, licenses, media, merkle, minhash, oracles, repeats, toxicity, urlfilter, warc
 from quire.llm.text import bounded_batches, shared_dir
 from quire.session import table
 
@@ -71,6 +71,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of the whole rows; what is presented for verification lacks its line ends where the id's CRC is even."""
+    docs = table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = docs.select("doc_id", "source", merkle.leaf_digest(columns).alias("leaf"), merkle.leaf_digest([*columns[:-1], tampered]).alias("presented"))
+    found = merkle.verify(merkle.manifest(leaves, carry=["presented"]), "in_presented")
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 _ALL = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_license_scan": op2_license_scan,
@@ -82,6 +97,8 @@ _ALL = {
     "op8_warc": op8_warc,
     "op9_media_columns": op9_media_columns,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 
@@ -101,6 +118,8 @@ ORACLES = {
     "op4_decontamination": oracles.CONTAMINATION,
     "op2_license_scan": licenses.oracle(),
     "op6_url_filter": urlfilter.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
     "op8_warc": """
 WITH x AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM x WHERE strlen(h) >= 100 GROUP BY h)
 SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest,
