@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bytebpe, decontam, fim, langid, licenses, media, merkle, minhash, oracles, repeats, toxicity, urlfilter, warc
+from quire.llm import bytebpe, decontam, fim, langid, licenses, media, merkle, minhash, oracles, repeats, toxicity, urlfilter, warc, wrappers
 from quire.llm.text import bounded_batches, shared_dir
 from quire.session import table
 
@@ -86,6 +86,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 _ALL = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_license_scan": op2_license_scan,
@@ -99,6 +103,7 @@ _ALL = {
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 
@@ -120,6 +125,7 @@ ORACLES = {
     "op6_url_filter": urlfilter.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
     "op12_fill_in_middle": fim.ORACLE,
+    "op13_html_extraction": wrappers.ORACLE,
     "op8_warc": """
 WITH x AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM x WHERE strlen(h) >= 100 GROUP BY h)
 SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest,
