@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog import query, rows, values_sql
 from quire.functions import values as V
+from quire.operators.statements import fill, sections, template_zones
 from quire.plans.matching import match_columns
 from quire.session import table
 
@@ -215,86 +216,96 @@ def x10_cell_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- text sections to zones, words to cells -----------------------------------------------------------------------------------------------
 
 
-def parse_sections(docs: DataFrame, zones: list[str]) -> DataFrame:
-    """doc_id, zone, pos, label, value: the items of each zone of a text, by one ordered fold over its lines.
-
-    A line that is like a zone's name (half of the words of both, word counts within 0.7) opens it, as does a line in
-    capitals that speaks of the same kind of section, unless that zone has items or the line joins two kinds; a line of
-    capitals without an amount, or a total, closes it. The state of the fold is the open zone and the items so far.
-    """
-    norm = lambda x: F.trim(F.regexp_replace(F.upper(x), r"\s+", " "))
-    names = F.array(*[F.struct(F.lit(z).alias("zone"), V.words(norm(F.lit(z))).alias("w"), V.stem(F.lit(z)).alias("stem")) for z in zones])
-    state = "struct<open:string,items:array<struct<zone:string,label:string,value:string>>>"
-    start = F.struct(F.lit(None).cast("string").alias("open"), F.array().cast("array<struct<zone:string,label:string,value:string>>").alias("items")).cast(state)
-    amount = r"^(.*?)\s+\(?\$?([-]?[0-9][0-9,]*(?:\.[0-9]{0,2})?)\)?$"
-
-    def facts(raw: Column) -> Column:
-        """What a line says by itself; computed once for each line, before the fold."""
-        line = V.strip(raw)
-        return F.struct(line.alias("line"), V.words(norm(line)).alias("w"), F.coalesce(V.upper_share(line) > 0.5, F.lit(False)).alias("capitals"), V.stem(line).alias("kind"), line.rlike(amount).alias("has_amount"))
-
-    def like(x: Column) -> Column:
-        near = F.filter(names, lambda z: (V.jaccard(z["w"], x["w"]) >= 0.5) & (V.count_ratio(z["w"], x["w"]) >= 0.7))
-        best = F.element_at(F.array_sort(F.transform(near, lambda z: F.struct((-V.jaccard(z["w"], x["w"])).alias("s"), F.array_position(names, z).alias("p"), z["zone"].alias("zone")))), 1)["zone"]
-        # a zone is looked for only where a line can open one
-        return x.withField("best", F.when(~x["has_amount"] & (F.size(near) > 0), best)).withField("label", F.when(x["has_amount"], F.regexp_extract(x["line"], amount, 1))).withField("value", F.when(x["has_amount"], F.replace(F.regexp_extract(x["line"], amount, 2), F.lit(","), F.lit(""))))
-
-    def step(acc: Column, x: Column) -> Column:
-        same = F.struct(acc["open"].alias("open"), acc["items"].alias("items")).cast(state)
-        opens = lambda zone: F.struct(zone.alias("open"), acc["items"].alias("items")).cast(state)
-        spoken = F.filter(names, lambda z: (z["stem"] == x["kind"]) & ~F.exists(acc["items"], lambda i: i["zone"] == z["zone"]))
-        heading = ~x["has_amount"] & x["capitals"] & ~x["line"].contains("&") & x["kind"].isNotNull()
-        item = F.struct(acc["open"].alias("zone"), x["label"].alias("label"), x["value"].alias("value"))
-        return (
-            F.when(x["line"].startswith("---"), same)
-            .when(x["best"].isNotNull(), opens(x["best"]))
-            .when(heading & (F.size(spoken) > 0), opens(F.get(spoken, F.lit(0))["zone"]))
-            .when(acc["open"].isNull(), same)
-            .when(F.lower(x["line"]).startswith("total") | (x["capitals"] & ~x["has_amount"]), opens(F.lit(None).cast("string")))
-            .when(x["has_amount"], F.struct(acc["open"].alias("open"), F.concat(acc["items"], F.array(item)).alias("items")).cast(state))
-            .otherwise(same)
-        )
-
-    read = docs.select("doc_id", F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), facts).alias("f")).select("doc_id", F.transform("f", like).alias("f"))
-    out = read.select("doc_id", F.aggregate("f", start, step)["items"].alias("items"))
-    w = Window.partitionBy("doc_id", "zone").orderBy("at")
-    return out.select("doc_id", F.posexplode("items").alias("at", "x")).select("doc_id", "x.zone", "at", "x.label", "x.value").withColumn("pos", F.row_number().over(w)).drop("at")
-
-
-ZONES = ["Current assets", "Non current assets", "Current liabilities", "Non current liabilities"]
-_SIDES = "l AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 2 = 0 THEN 'Current assets' ELSE 'Current liabilities' END AS zone, 'Item ' || l_partkey AS label, printf('%.2f', l_extendedprice) AS value, l_linenumber, l_partkey, l_extendedprice FROM lineitem)"
+#: Two templates of a balance sheet; in the second one, zones of assets end in different rows, slots are few, and one
+#: section has blank rows before and after its name: the first ones take its items, its total goes below the others.
+_SHEETS = [
+    *[(0, r, c, v) for r, c, v in [(0, 0, "Current assets"), (0, 1, "Amount"), (0, 2, "Non current assets"), (0, 3, "Amount"), (9, 0, "Total"), (9, 2, "Total"), (9, 4, "Final Total"), (10, 0, "Current liabilities"), (10, 2, "Non current liabilities"), (20, 0, "Total"), (20, 2, "Total"), (20, 4, "Final Total")]],
+    *[(1, r, c, v) for r, c, v in [(0, 0, "Non current assets"), (3, 0, "Total"), (3, 6, "Grand total"), (4, 0, "Non current liabilities"), (7, 0, "Total"), (7, 6, "Grand  Total:"), (0, 3, "Current assets"), (4, 3, "Total"), (5, 3, " "), (7, 3, "Current liabilities"), (7, 9, "Final total"), (11, 3, "Total")]],
+]
+_GROUPS = [(0, 0, 0, 1), (0, 1, 2, 3), (1, 0, 0, 1), (1, 1, 3, 5)]
+#: template, zone, order, label and value column, first row, slots, header row, total row (from zero), as the templates have them.
+_ZONES = [(0, "Current assets", 1, "A", "B", 2, 8, 1, 10), (0, "Current liabilities", 2, "A", "B", 12, 9, 11, 21), (0, "Non current assets", 3, "C", "D", 2, 8, 1, 10), (0, "Non current liabilities", 4, "C", "D", 12, 9, 11, 21), (1, "Non current assets", 1, "A", "B", 2, 2, 1, 4), (1, "Non current liabilities", 2, "A", "B", 6, 2, 5, 8), (1, "Current assets", 3, "D", "F", 2, 3, 1, 5), (1, "Current liabilities", 4, "D", "F", 6, 2, 8, 12)]
+#: What the statements of ``order_statements`` hold, told from how they are made: items by zone, totals, and the line after the end.
+_STATEMENTS = """
+k AS (SELECT l_orderkey AS doc_id, l_orderkey % 5 AS v, l_orderkey // 5 % 2 AS t, l_partkey AS part, l_extendedprice AS price, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS i FROM lineitem),
+f AS (SELECT *, i % 4 AS s, (i + part) % 6 AS f, min(i) OVER (PARTITION BY doc_id, i % 4) AS first FROM k),
+g AS (SELECT doc_id, v, t, s, i, CASE f WHEN 2 THEN 'Less: Item ' WHEN 4 THEN 'Totally item ' ELSE 'Item ' END || part AS label, CASE WHEN f IN (1, 2, 3) THEN '-' ELSE '' END || printf('%.2f', price) AS value
+  FROM f WHERE (f <> 5 OR price < 999.995) AND NOT (v = 3 AND s = 2) AND NOT (v = 4 AND s = 0 AND i > first)),
+d AS (SELECT DISTINCT doc_id, v, t FROM k),
+c AS (SELECT d.doc_id, d.v, d.t, count(*) FILTER (WHERE s = 0) AS n0, count(*) FILTER (WHERE s = 2) AS n2 FROM d LEFT JOIN g USING (doc_id) GROUP BY ALL),
+z AS (SELECT doc_id, v, t, n0, n2, v = 2 OR (v = 1 AND t = 0 AND n0 = 0) AS a, v = 1 AND t = 0 AND n2 = 0 AS b FROM c),
+y AS (SELECT g.doc_id, g.t, CASE WHEN s = 0 OR (s = 1 AND a) THEN 'Current assets' WHEN s = 1 THEN 'Non current assets' WHEN s = 2 OR b THEN 'Current liabilities' ELSE 'Non current liabilities' END AS zone, s, i, label, value FROM g JOIN z USING (doc_id)),
+e AS (SELECT z.doc_id, z.t, count(*) FILTER (WHERE zone = 'Current liabilities') AS cl, count(*) FILTER (WHERE zone = 'Non current liabilities') AS nl FROM z LEFT JOIN y USING (doc_id) GROUP BY ALL),
+x AS (SELECT * FROM y UNION ALL SELECT doc_id, t, CASE WHEN t = 0 AND cl = 0 OR nl > 0 THEN 'Current liabilities' ELSE 'Non current liabilities' END, 4, 0, 'Stray', '7' FROM e WHERE cl = 0 OR nl = 0),
+items AS (SELECT doc_id, t, zone, row_number() OVER (PARTITION BY doc_id, zone ORDER BY s, i) AS pos, label, value FROM x),
+totals AS (SELECT doc_id, t, 'Current assets' AS zone, CASE WHEN a THEN '1006' WHEN v = 4 THEN '10' ELSE '5' END AS value FROM z
+  UNION ALL SELECT doc_id, t, 'Non current assets', '1006' FROM z WHERE NOT a
+  UNION ALL SELECT doc_id, t, 'Current liabilities', CASE WHEN b THEN '8.50' ELSE '-7' END FROM z WHERE v <> 3 OR b
+  UNION ALL SELECT doc_id, t, 'Non current liabilities', '8.50' FROM z WHERE NOT b)"""
 
 
 def order_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A statement for each order, with a heading, a section of assets in capitals, one of liabilities, their totals and a stray line."""
-    price = F.concat(F.lit("Item "), F.col("l_partkey").cast("string"), F.lit(" $"), F.format_number("l_extendedprice", 2))
-    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", price.alias("line"))))
-    side = lambda n: F.array_join(F.transform(F.filter("all", lambda x: x["l_linenumber"] % 2 == n), lambda x: F.concat(x["line"], F.lit("\n"))), "")
-    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(listed.alias("all"))
-    text = F.concat(F.lit("ACME LTD\nBALANCE SHEET\n\nCURRENT ASSETS\n"), side(0), F.lit("Total Current Assets $5\n--- page\nCurrent  Liabilities\n"), side(1), F.lit("Total liabilities 9\nstray 7"))
-    return docs.select("doc_id", text.alias("text"))
-
+    """doc_id, template_id, text: a statement for each order, in five shapes by key, with items in six forms and in four sections.
 
-@query("e8_section_parse", f"WITH {_SIDES} SELECT doc_id, zone, row_number() OVER (PARTITION BY doc_id, zone ORDER BY l_linenumber, l_partkey, l_extendedprice) AS pos, label, value FROM l")
+    Headings come in other cases, with colons and dashes, by another name in capitals, or not at all; sections end with
+    totals of several kinds, with a subtotal in their midst, or by a line for two kinds of account; two grand totals and a line
+    after them follow. Items have signs, brackets, colons, "Less:", words like "Totally", and amounts that are none.
+    """
+    price = F.format_number("price", 2)
+    named = lambda label, value: F.concat(F.lit(label), F.col("part"), F.lit(" "), value)
+    form = (F.col("i") + F.col("part").cast("int")) % 6
+    item = F.when(form == 0, named("Item ", F.concat(F.lit(" $"), price))).when(form == 1, named("Item ", F.concat(F.lit("("), price, F.lit(")")))).when(form == 2, named("Less: Item ", price)).when(form == 3, F.concat(F.lit("Item "), F.col("part"), F.lit(":\t($"), price, F.lit(")"))).when(form == 4, named("Totally item ", price)).otherwise(named("Item ", F.replace(price, F.lit(","), F.lit(""))))
+    docs = ranked_lines(spark, sf_dir).withColumn("line", item).groupBy(F.col("page").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("all"))
+    v = F.col("doc_id") % 5
+    side = lambda n: F.transform(F.filter("all", lambda x: x.i % 4 == n), lambda x: x.line)
+    said = lambda *x: F.array(*map(F.lit, x))
+    none = F.array().cast("array<string>")
+    current = F.when(v == 4, F.concat(F.slice(side(0), 1, 1), said("Subtotal 10"), F.slice(side(0), 2, 1 << 20))).otherwise(side(0))
+    parts = [
+        said("ACME LTD", "BALANCE SHEET", ""),
+        F.when(v == 0, said("Current assets:")).otherwise(said("CURRENT  ASSETS")),
+        current,
+        F.when(v == 2, none).otherwise(said("Total current assets $5", "--- page")),
+        F.when(v == 0, said("Non-current assets")).when(v == 1, said("FIXED ASSETS")).when(v == 2, said("Intangibles and such")).when(v == 3, said("NON CURRENT ASSETS")).otherwise(said("  Non current  assets ")),
+        side(1),
+        said("Total 1,006"),
+        F.when(v == 3, said("Current Liabilities", "LIABILITIES & EQUITY")).otherwise(said("Current Liabilities")),
+        side(2),
+        said("TOTAL (7)"),
+        F.when(v == 0, said("NON-CURRENT LIABILITIES:")).when(v == 1, said("LONG-TERM LIABILITIES")).otherwise(said("Non-current liabilities")),
+        side(3),
+        said("Grand total 8.50", "Total liabilities 9", "TOTAL ASSETS $1,608,600", "OTHER NOTES", "TOTAL LIABILITIES 557,400", "TOTAL LIABILITIES 1", "Stray 7"),
+    ]
+    return docs.select("doc_id", (F.floor(F.col("doc_id") / 5) % 2).cast("int").alias("template_id"), F.array_join(F.concat(*parts), "\n").alias("text"))
+
+
+def read_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = template_zones(rows(spark, "template_id int, r int, c int, value string", _SHEETS), rows(spark, "template_id int, g int, label_col int, value_col int", _GROUPS))
+    return sections(order_statements(spark, sf_dir).join(zones, "template_id"))
+
+
+@query("e8_section_parse", f"WITH {_STATEMENTS} SELECT doc_id, zone, 'item' AS kind, pos, label, value FROM items UNION ALL SELECT doc_id, zone, 'total', 0, '', value FROM totals")
 def e8_section_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_sections(order_statements(spark, sf_dir), ZONES)
-
-
-_SLOTS = [(zone, k + 1, f"{left}{k + first}", f"{right}{k + first}") for zone, left, right, first, n in [("Current assets", "A", "B", 2, 3), ("Non current assets", "C", "D", 2, 3), ("Current liabilities", "A", "B", 12, 2)] for k in range(n)]
+    each = read_statements(spark, sf_dir).select("doc_id", F.explode_outer("sections").alias("s"))
+    items = F.transform("s.items", lambda x, i: F.struct(F.lit("item").alias("kind"), (i + 1).cast("long").alias("pos"), x.label.alias("label"), x.value.alias("value")))
+    total = F.filter(F.array(F.struct(F.lit("total").alias("kind"), F.lit(0).cast("long").alias("pos"), F.lit("").alias("label"), F.col("s.total").alias("value"))), lambda x: x.value.isNotNull())
+    return each.select("doc_id", "s.zone", F.inline_outer(F.concat(items, total))).filter("kind IS NOT NULL")
 
 
 @query(
     "e9_dynamic_fill",
     f"""
-WITH {_SIDES}, i AS (SELECT doc_id, zone, row_number() OVER (PARTITION BY doc_id, zone ORDER BY l_linenumber, l_partkey, l_extendedprice) AS pos, label, value FROM l),
-p AS (SELECT doc_id, label, value, label_ref, value_ref FROM i JOIN {values_sql("zone, pos, label_ref, value_ref", _SLOTS)} USING (zone, pos))
-SELECT doc_id, label_ref AS ref, label AS value FROM p UNION ALL SELECT doc_id, value_ref, value FROM p""",
+WITH {_STATEMENTS}, o AS (SELECT * FROM {values_sql("t, zone, k, label_col, value_col, first_row, slots, header_row, total_row", _ZONES)}),
+p AS (SELECT i.doc_id, label, value, label_col || (first_row + pos - 1) AS label_ref, value_col || (first_row + pos - 1) AS value_ref FROM items i JOIN o ON o.t = i.t AND o.zone = i.zone AND pos <= slots),
+w AS (SELECT doc_id, label_ref AS ref, label AS value FROM p UNION ALL SELECT doc_id, value_ref, value FROM p
+  UNION ALL SELECT doc_id, value_col || total_row, value FROM totals JOIN o USING (t, zone)
+  UNION ALL SELECT doc_id, value_col || header_row, '' FROM d JOIN o USING (t)
+  UNION ALL SELECT doc_id, 'F10', '1608600' FROM d WHERE t = 0 UNION ALL SELECT doc_id, 'F21', '557400' FROM d WHERE t = 0)
+SELECT * FROM w""",
 )
 def e9_dynamic_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The i-th item of a zone goes into its i-th free row; what is over is left out."""
-    slots = rows(spark, "zone string, pos int, label_ref string, value_ref string", _SLOTS)
-    placed = parse_sections(order_statements(spark, sf_dir), ZONES).join(F.broadcast(slots), ["zone", "pos"])
-    return placed.select("doc_id", F.inline(F.array(F.struct(F.col("label_ref").alias("ref"), F.col("label").alias("value")), F.struct(F.col("value_ref").alias("ref"), F.col("value").alias("value")))))
+    """Statements into templates: items to blank rows, totals below them, grand totals beside their names where the template is clear."""
+    return fill(read_statements(spark, sf_dir), ["doc_id"])
 
 
 _RANKED = "k AS (SELECT l_orderkey AS page, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS i FROM lineitem)"

@@ -42,6 +42,6 @@ def same(df, con, sql: str) -> str | None:
     at = [names.index(c) for c in columns]
     b = sorted(tuple(cell(r[i]) for i in at) for r in want)
     if len(a) != len(b):
-        return f"{len(a)} and {len(b)} rows; only here {[x for x in a if x not in set(b)][:2]}, only there {[x for x in b if x not in set(a)][:2]}"
+        return f"{len(a)} and {len(b)} rows; only here {sorted(set(a) - set(b))[:2]}, only there {sorted(set(b) - set(a))[:2]}"
     bad = [(x, y) for x, y in zip(a, b) if x != y]
     return f"{len(bad)} rows differ, as {columns} {bad[0]}" if bad else None

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog import rows
 from quire.functions import values as V
-from quire.operators import grid, model
+from quire.operators import grid, model, statements
 from quire.operators.assign import greedy
 from quire.plans import documents, matching, placement, streams, windows
 from quire.session import table
@@ -231,9 +231,11 @@ STATEMENT = "ACME LTD\nBALANCE SHEET\nCURRENT ASSETS\nCash $1,200\nInventory 300
 
 
 def test_sections_of_a_statement(spark):
-    docs = rows(spark, "doc_id int, text string", [(1, STATEMENT), (2, ""), (3, "CURRENT ASSETS\nno items\n"), (4, None)])
-    got = placement.parse_sections(docs, placement.ZONES).collect()
-    assert sorted((r.doc_id, r.zone, r.pos, r.label, r.value) for r in got) == [(1, "Current assets", 1, "Cash", "1200"), (1, "Current assets", 2, "Inventory", "300.50"), (1, "Current liabilities", 1, "Payables", "40"), (1, "Non current assets", 1, "Plant", "2000"), (1, "Non current liabilities", 1, "Loan", "900")]
+    zones = F.transform(F.array(*map(F.lit, ["Current assets", "Non current assets", "Current liabilities", "Non current liabilities"])), lambda z: F.struct(z.alias("zone")))
+    docs = rows(spark, "doc_id int, text string", [(1, STATEMENT), (2, ""), (3, "CURRENT ASSETS\nno items\n"), (4, None)]).withColumn("zones", zones)
+    got = {r.doc_id: {s.zone: ([tuple(i) for i in s["items"]], s.total) for s in r.sections if s.opened is not None} for r in statements.sections(docs).collect()}
+    assert got[2] == got[4] == {} and got[3] == {"Current assets": ([], None)}
+    assert got[1] == {"Current assets": ([("Cash", "1200"), ("Inventory", "300.50")], "1500.50"), "Non current assets": ([("Plant", "-2000")], "2000"), "Current liabilities": ([("Payables", "40")], None), "Non current liabilities": ([("Loan", "900")], "940")}
 
 
 def test_value_column_without_a_label_leaves_the_others_free(spark):
