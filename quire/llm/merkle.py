@@ -3,11 +3,12 @@
 Rows of a group (``source``) in the order of their ids are the leaves of a tree in which every three consecutive nodes
 have a parent; the roots of the groups, in the order of the groups, are the leaves of one more such tree.
 
-Going up, every node sends its digest to its parent, and a parent that has its children hashes them and sends on. A node
-is the top of its tree if it is the first and the last of its level, which children tell their parents, so no node needs the
-size of its group. Going down, every parent sends each child the siblings on its way to the root. Vertices are dealt by a
-hash of group and place, so a group that holds most rows is spread like any other; what meets in a vertex are three
-children. The driver sees two numbers a partition (where groups continue across partitions), counts and one root.
+Going up, every node sends its digest to its vertex, which holds the ``LEVELS`` levels above ``BLOCK`` consecutive nodes; a
+vertex that has its nodes hashes them level by level and sends the last digest on. A vertex is the top of its tree if it is the
+first and the last of its step, which nodes tell their vertices, so none needs the size of its group. Going down, every
+vertex sends each node the siblings on its way to the root. Vertices are dealt by a hash of group and place, so a group
+that holds most rows is spread like any other; what meets in a vertex are ``BLOCK`` nodes at most. The driver sees two numbers a
+partition (where groups continue across partitions), counts and one root.
 
 Vertices of each superstep are checkpointed, leaves are a written table: a lost executor costs the step at hand.
 
@@ -31,6 +32,9 @@ from pyspark.sql.types import StructType
 from quire.llm.text import carried, shared_dir
 
 ARITY = 3
+#: Levels of the tree, and so nodes, that one vertex holds; a superstep climbs that many.
+LEVELS = 3
+BLOCK = ARITY**LEVELS
 #: The group of the groups' own tree.
 DATASET = -1
 
@@ -81,7 +85,7 @@ def _starts(summaries: list[tuple]) -> tuple[dict[int, tuple[int, int, bool]], i
 
 
 def _numbered(starts: dict[int, tuple[int, int, bool]]):
-    """Rows as messages to their first parents: ((group, place of the parent), (slot, digest, last of its level, payload))."""
+    """Rows as messages to their first vertices: ((group, place of the vertex), (slot, digest, last of its group, payload))."""
 
     def run(index: int, rows: Iterator) -> Iterator[tuple]:
         if index not in starts:
@@ -91,11 +95,11 @@ def _numbered(starts: dict[int, tuple[int, int, bool]]):
         for row in rows:
             if held is not None:
                 same = held[0] == row[0]
-                yield (group, place // ARITY), (place % ARITY, bytes(held[1]), not same, tuple(held[2:]))
+                yield (group, place // BLOCK), (place % BLOCK, bytes(held[1]), not same, tuple(held[2:]))
                 group, place = (group, place + 1) if same else (group + 1, 0)
             held = row
         if held is not None:
-            yield (group, place // ARITY), (place % ARITY, bytes(held[1]), not goes_on, tuple(held[2:]))
+            yield (group, place // BLOCK), (place % BLOCK, bytes(held[1]), not goes_on, tuple(held[2:]))
 
     return run
 
@@ -103,24 +107,41 @@ def _numbered(starts: dict[int, tuple[int, int, bool]]):
 # -- supersteps ---------------------------------------------------------------------------------------------------------------
 
 
-def _levels(n: int) -> int:
-    """Levels of parents over n leaves; a lone leaf has one, which hands its digest on."""
-    levels = 1
-    while n > ARITY:
-        n, levels = -(-n // ARITY), levels + 1
-    return levels
+def _steps(n: int) -> int:
+    """Supersteps until a group of n leaves is one vertex."""
+    steps = 1
+    while n > BLOCK:
+        n, steps = -(-n // BLOCK), steps + 1
+    return steps
 
 
-def _lone(level: int, place: int, children: list) -> bool:
-    return level == 1 and place == 0 and len(children) == 1 and children[0][2]
+def _whole(place: int, nodes: list) -> bool:
+    """Whether a vertex has all nodes of its group's level."""
+    return place == 0 and nodes[-1][2]
 
 
-def _digest(level: int, place: int, children: list) -> bytes:
-    return children[0][1] if _lone(level, place, children) else _hash([c[1] for c in children])
+def _climb(place: int, nodes: list) -> tuple[bytes, list[bytes]]:
+    """The digest that a vertex sends on, and for each node the way there: slot, number of siblings and their digests, level by level.
+
+    A vertex with all nodes of its group climbs until one is left, a lone leaf not at all; any other climbs ``LEVELS`` levels.
+    """
+    digests, ways, under = [n[1] for n in nodes], [b""] * len(nodes), [[k] for k in range(len(nodes))]
+    climbed = 0
+    while len(digests) > 1 if _whole(place, nodes) else climbed < LEVELS:
+        runs = [range(k, min(k + ARITY, len(digests))) for k in range(0, len(digests), ARITY)]
+        for run in runs:
+            for slot, k in enumerate(run):
+                step = bytes([slot, len(run) - 1]) + b"".join(digests[x] for x in run if x != k)
+                for leaf in under[k]:
+                    ways[leaf] += step
+        digests = [_hash([digests[k] for k in run]) for run in runs]
+        under = [sum((under[k] for k in run), []) for run in runs]
+        climbed += 1
+    return digests[0], ways
 
 
 def _vertices(messages: RDD, partitions: int) -> tuple[RDD, int]:
-    """Messages brought together at their parents, in order, and how many parents there are."""
+    """Messages brought together at their vertices, in order, and how many vertices there are."""
     met = messages.combineByKey(lambda m: [m], lambda got, m: [*got, m], lambda a, b: a + b, partitions).mapValues(lambda got: sorted(got, key=lambda m: m[0]))
     met.persist(StorageLevel.MEMORY_AND_DISK)
     met.checkpoint()
@@ -129,43 +150,37 @@ def _vertices(messages: RDD, partitions: int) -> tuple[RDD, int]:
     return met, count
 
 
-def _rise(messages: RDD, levels: int) -> tuple[list[RDD], RDD]:
-    """The vertices of every level, and (group, (digest, level)) of those at the top of their group."""
+def _rise(messages: RDD, supersteps: int) -> tuple[list[RDD], RDD]:
+    """The vertices of every superstep, and (group, (digest, superstep)) of those at the top of their group."""
     steps, tops, partitions, share = [], [], messages.getNumPartitions(), 0.0
-    for level in range(1, levels + 1):
+    for level in range(1, supersteps + 1):
         vertices, count = _vertices(messages, partitions)
         share = share or max(1.0, count / partitions)
-        partitions = max(1, min(partitions, math.ceil(count / ARITY / share)))
-        finished = lambda v: v[0][1] == 0 and v[1][-1][2]
-        tops.append(vertices.filter(finished).map(lambda v, level=level: (v[0][0], (_digest(level, v[0][1], v[1]), level))))
-        up = lambda v, level=level: ((v[0][0], v[0][1] // ARITY), (v[0][1] % ARITY, _digest(level, v[0][1], v[1]), v[1][-1][2], None))
+        partitions = max(1, min(partitions, math.ceil(count / BLOCK / share)))
+        finished = lambda v: _whole(v[0][1], v[1])
+        tops.append(vertices.filter(finished).map(lambda v, level=level: (v[0][0], (_climb(v[0][1], v[1])[0], level))))
+        up = lambda v: ((v[0][0], v[0][1] // BLOCK), (v[0][1] % BLOCK, _climb(v[0][1], v[1])[0], v[1][-1][2], None))
         messages = vertices.filter(lambda v: not finished(v)).map(up)
         steps.append(vertices)
-    return steps, messages.context.union(tops)
-
+    return steps, messages.context.union(tops).coalesce(steps[0].getNumPartitions())
 
-def _down(level: int):
-    """From ((group, place), (children, [context, path])) a row for each child: its place, context, path from it to the root, and itself."""
 
-    def run(vertex: tuple) -> Iterator[tuple]:
-        (group, place), (children, (context, path)) = vertex
-        digests = [c[1] for c in children]
-        for k, child in enumerate(children):
-            own = b"" if _lone(level, place, children) else bytes([k, len(digests) - 1]) + b"".join(digests[:k] + digests[k + 1 :])
-            yield (group, place * ARITY + child[0]), context, own + path, child
-
-    return run
+def _down(vertex: tuple) -> Iterator[tuple]:
+    """From ((group, place), (nodes, (context, path))) a row for each node: its place, context, path from it to the root, and itself."""
+    (group, place), (nodes, (context, path)) = vertex
+    for node, way in zip(nodes, _climb(place, nodes)[1]):
+        yield (group, place * BLOCK + node[0]), context, way + path, node
 
 
 def _sink(steps: list[RDD], starts: RDD):
     """Paths from the tops in ``starts`` ((level, ((group, 0), (context, path)))) down to the leaves."""
-    paths, rows = None, None
+    paths = rows = None
     for level in range(len(steps), 0, -1):
         vertices = steps[level - 1]
         here = starts.filter(lambda s, level=level: s[0] == level).map(lambda s: s[1])
         paths = here if paths is None else here.union(paths)
         n = vertices.getNumPartitions()
-        rows = vertices.join(paths.partitionBy(n), n).flatMap(_down(level))
+        rows = vertices.join(paths.partitionBy(n), n).flatMap(_down)
         paths = rows.map(lambda r: (r[0], (r[1], r[2])))
     return rows
 
@@ -190,9 +205,9 @@ def manifest(leaves: DataFrame, group_col: str = "source", id_col: str = "doc_id
     starts, groups, most = _starts(ordered.mapPartitionsWithIndex(_summary).collect())
     if not groups:
         return spark.createDataFrame([], schema)
-    steps, tops = _rise(ordered.mapPartitionsWithIndex(_numbered(starts)), _levels(most))
-    subroots = tops.map(lambda t: ((DATASET, t[0] // ARITY), (t[0] % ARITY, t[1][0], t[0] == groups - 1, (t[0], t[1][1]))))
-    over, [(_, (root, height))] = (found := _rise(subroots, _levels(groups)))[0], found[1].collect()
+    steps, tops = _rise(ordered.mapPartitionsWithIndex(_numbered(starts)), _steps(most))
+    subroots = tops.map(lambda t: ((DATASET, t[0] // BLOCK), (t[0] % BLOCK, t[1][0], t[0] == groups - 1, (t[0], t[1][1]))))
+    over, [(_, (root, height))] = (found := _rise(subroots, _steps(groups)))[0], found[1].collect()
 
     top = spark.sparkContext.parallelize([(height, ((DATASET, 0), (None, b"")))], 1)
     placed = _sink(over, top).map(lambda r: (r[3][3][1], ((r[3][3][0], 0), (r[3][1], r[2]))))
