@@ -317,22 +317,6 @@ def ranked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.row_number().over(w).alias("i"), F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").cast("int").cast("string").alias("qty"), F.col("l_extendedprice").alias("price"))
 
 
-@query("e10_spatial_cells", f"WITH {_RANKED} SELECT page, i AS line_no, 1 AS col_no, 'Part ' || l_partkey AS text FROM k UNION ALL SELECT page, i, 2, printf('%.2f', l_extendedprice) FROM k")
-def e10_spatial_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words with their places to lines (multiples of four points) and columns (gaps of over twenty), wide words left out; a page for each order."""
-    from quire.plans.windows import islands
-
-    number = F.regexp_replace(F.format_number("price", 2), ",", "")
-    word = lambda text, x0, x1, shift: F.struct(text.alias("text"), F.lit(x0).alias("x0"), x1.cast("double").alias("x1"), (F.col("i") * 20 + 100 + F.col("i") % 3 * shift).cast("double").alias("top"))
-    banner = F.struct(F.lit("banner across the page").alias("text"), F.lit(5.0).alias("x0"), F.lit(500.0).alias("x1"), F.lit(10.0).alias("top"))
-    printed = F.array(word(F.lit("Part"), 10.0, F.lit(40), 0.5), word(F.col("part"), 42.0, F.length("part") * 6 + 42, -0.5), word(number, 200.0, F.length(number) * 6 + 200, 0.25), banner)
-    words = ranked_lines(spark, sf_dir).select("page", F.inline(printed)).filter("x1 - x0 <= 0.6 * 600").withColumn("line", F.bround(F.col("top") / 4, 0) * 4)
-    order = ["x0", "x1", "top"]
-    cols = words.withColumn("new", islands(F.col("x0"), F.col("x1"), 20, ["page"], order)).withColumn("col_no", F.sum("new").over(Window.partitionBy("page").orderBy(*order)))
-    cell = cols.groupBy("page", "line", "col_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return cell.select("page", F.dense_rank().over(Window.partitionBy("page").orderBy("line")).alias("line_no"), F.col("col_no").cast("int").alias("col_no"), "text")
-
-
 SKIPPED = ["subtotal", "grand total", "shipping", "discount", "charges", "refund", "paid", "free", "balance due"]
 
 
