@@ -11,18 +11,11 @@ from pyspark.sql import functions as F
 from quire.catalog import query, rows, values_sql
 from quire.functions import values as V
 from quire.operators.statements import fill, sections, template_zones
+from quire.operators.writers import cell_map_cells, cell_value, layout_cells
 from quire.plans.matching import match_columns
 from quire.session import table
 
 
-def cell_value(raw: Column) -> list[Column]:
-    """text and num of a written cell: currency signs and commas go, brackets are a minus; text only where it is no number."""
-    s = V.strip(F.regexp_replace(V.strip(F.coalesce(raw, F.lit(""))), "[$£€₹¥,]", ""))
-    s = F.when(s.rlike(r"^\(.*\)$"), F.concat(F.lit("-"), V.strip(F.regexp_replace(s, r"^\(|\)$", "")))).otherwise(s)
-    numeric = s.rlike(r"^-?[0-9]+\.?[0-9]*$")
-    return [F.when(~numeric, raw).alias("text"), F.when(numeric, s.try_cast("double")).alias("num")]
-
-
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as the documents of a customer's job, numbered within it, with two form fields."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
@@ -107,40 +100,74 @@ def x4_mixed_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.withColumn("offset", offset).select("job", "offset", F.inline(every)).select("job", (F.col("offset") + F.col("r")).alias("row"), "part")
 
 
+#: A template with two sections side by side, one below them, and a total; one whose group takes nothing; one without groups.
+_LAYOUT_CELLS = [(0, 0, 0, "Report"), (0, 1, 0, " Current assets"), (0, 1, 2, "Liabilities"), (0, 2, 0, "x"), (0, 2, 4, "  "), (0, 3, 0, "Total"), (0, 4, 0, "Equity"), (0, 6, 0, "End"), (1, 0, 0, "Head"), (1, 2, 0, "Foot"), (2, 0, 0, "Plain")]
+_LAYOUT_GROUPS = [(0, 0, "Current assets", 2, 2, 0, 1), (0, 1, "Liabilities", 2, 2, 2, 3), (0, 2, "Equity", 5, 5, 0, 1), (1, 0, "Lines", 1, 2, 0, 1)]
+
+
 @query(
     "x5_layout_placement",
     f"""
-WITH {_BLOCKS}, {_LINES}, k AS (SELECT doc, count(*) AS n FROM i GROUP BY doc), b AS (SELECT d.*, coalesce(n, 0) AS n, greatest(0, coalesce(n, 0) - 3) AS over FROM d LEFT JOIN k USING (doc)),
-o AS (SELECT *, coalesce(sum(6 + over + 2) OVER (PARTITION BY job ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM b)
-SELECT job, CAST(off + 1 + i AS BIGINT) AS row, 1 AS col, -round(price, 2) AS num FROM o JOIN i USING (doc) UNION ALL SELECT job, off + 5 + over, 1, round(o_totalprice, 2) FROM o""",
+WITH {_BLOCKS}, {_LINES}, k AS (SELECT doc, count(*) FILTER (WHERE i % 3 = 0) AS n0, count(*) FILTER (WHERE i % 3 = 1) AS n1, count(*) FILTER (WHERE i % 3 = 2) AS n2, count(*) AS n FROM i GROUP BY doc),
+b AS (SELECT d.job, d.doc, block, doc % 3 AS t, o_totalprice AS price, o_orderpriority AS p, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(n, 0) AS n FROM d LEFT JOIN k USING (doc)),
+c AS (SELECT *, CASE WHEN t = 0 THEN greatest(n0, n1, 1) - 1 ELSE 0 END AS o1, CASE WHEN t = 0 THEN greatest(n2, 1) - 1 ELSE 0 END AS o2 FROM b),
+h AS (SELECT *, CASE t WHEN 0 THEN 7 + o1 + o2 + CASE WHEN doc % 2 = 0 THEN 4 ELSE 0 END WHEN 1 THEN 3 + CASE WHEN n > 0 THEN n + 2 ELSE 0 END ELSE 1 + CASE WHEN n > 0 THEN n + 2 ELSE 0 END END AS high FROM c),
+o AS (SELECT *, coalesce(sum(high + 2) OVER (PARTITION BY job ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM h),
+m AS (SELECT job, off, o1, o2, t, i, (i + 1) || '-' || item AS label, -round(price, 2) AS num FROM (SELECT o.* EXCLUDE (price), i, item, i.price FROM o JOIN i USING (doc))),
+w AS (
+  SELECT job, off + unnest([0, 1, 1, 3 + o1, 4 + o1, 6 + o1 + o2]) AS row, unnest([0, 0, 2, 0, 0, 0]) AS col, unnest(['Report', 'Current assets', 'Liabilities', 'Total', 'Equity', 'End']) AS text, CAST(NULL AS DOUBLE) AS num FROM o WHERE t = 0
+  UNION ALL SELECT job, off + 2, 0, 'x', NULL FROM o WHERE t = 0 AND n0 = 0
+  UNION ALL SELECT job, off + unnest([0, 2]), 0, unnest(['Head', 'Foot']), NULL FROM o WHERE t = 1 UNION ALL SELECT job, off, 0, 'Plain', NULL FROM o WHERE t = 2
+  UNION ALL SELECT job, off + CASE WHEN i % 3 = 2 THEN 5 + o1 ELSE 2 END + i // 3, CASE WHEN i % 3 = 1 THEN 2 ELSE 0 END, label, NULL FROM m WHERE t = 0
+  UNION ALL SELECT job, off + CASE WHEN i % 3 = 2 THEN 5 + o1 ELSE 2 END + i // 3, CASE WHEN i % 3 = 1 THEN 3 ELSE 1 END, NULL, num FROM m WHERE t = 0
+  UNION ALL SELECT job, off + unnest([0, 3 + o1]), 1, unnest([p, NULL]), unnest([NULL, round(price, 2)]) FROM o WHERE t = 0
+  UNION ALL SELECT job, off + 8 + o1 + o2 + unnest([0, 0, 1]), unnest([0, 1, 0]), unnest(['Note', p, 'Memo']), NULL FROM o WHERE t = 0 AND doc % 2 = 0
+  UNION ALL SELECT job, off + CASE t WHEN 1 THEN 4 ELSE 2 END + i, unnest([0, 1]), unnest([label, NULL]), unnest([NULL, num]) FROM m WHERE t > 0
+  UNION ALL SELECT job, off + 2 + i, unnest([2, 3]), unnest([label, NULL]), unnest([NULL, num]) FROM m WHERE t = 2 AND i % 2 = 1
+  UNION ALL SELECT job, off + 2 + i, 3, NULL, num FROM m WHERE t = 2 AND i % 2 = 0)
+SELECT job, CAST(row AS BIGINT) AS row, col, text, num FROM w""",
 )
 def x5_layout_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A band of three rows grows with its items and pushes the total below it down; documents follow each other after two rows."""
-    counts = lines(spark, sf_dir).groupBy("doc").agg(F.count("*").alias("n"))
-    b = jobs(spark, sf_dir).join(counts, "doc", "left").withColumn("over", F.greatest(F.lit(0), F.coalesce("n", F.lit(0)) - 3))
-    w = Window.partitionBy("job").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    o = b.withColumn("offset", F.coalesce(F.sum(8 + F.col("over")).over(w), F.lit(0)))
-    items = o.join(lines(spark, sf_dir), "doc").select("job", (F.col("offset") + 1 + F.col("i")).alias("row"), F.col("amount").alias("raw"))
-    totals = o.select("job", (F.col("offset") + 5 + F.col("over")).alias("row"), F.col("total").alias("raw"))
-    return items.union(totals).select("job", "row", F.lit(1).alias("col"), *cell_value(F.col("raw"))).drop("text")
-
-
-_TABLES = [("Lines", 7, "A", "item"), ("Lines", 7, "C", "amount"), ("Other Table", 20, "B", "item")]
+    """Documents of a job in three layouts: sections of their own names and of longer ones, one that repeats another, one that has no place, and fixed cells."""
+    docs = jobs(spark, sf_dir).withColumn("template_id", (F.col("doc") % 3).cast("int"))
+    found = lines(spark, sf_dir).withColumn("t", F.col("doc") % 3).withColumn("label", F.concat((F.col("i") + 1).cast("string"), F.lit("-"), F.col("item")))
+    side = F.col("i") % 3
+    none = F.lit(None).cast("string")
+    odd = (F.col("t") == 2) & (F.col("i") % 2 == 0)  # the answer's label letter is no column
+    placed = found.select("doc", F.when(F.col("t") > 0, 0).when(side == 0, 0).when(side == 1, 2).otherwise(3).alias("section"), F.when(F.col("t") > 0, "Goods").when(side == 0, "CURRENT ASSETS").when(side == 1, "Liabilities (short)").otherwise("Shareholders' equity").alias("key"), "i", "label", F.col("amount").alias("value"), (F.col("i") + 3).alias("at_row"), F.when(odd, none).otherwise("c").alias("label_at"), F.lit("D").alias("value_at"))
+    again = placed.filter((F.col("doc") % 3 == 0) & (F.col("section") == 0)).withColumns({"section": F.lit(1), "key": F.lit("Total current assets")})
+    total = again.filter("i = 0").withColumns({"i": F.lit(1 << 20), "label": F.lit("Total")})
+    extra = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(label).alias("label"), value.alias("value")) for i, label, value in [(0, "Note", F.col("o_orderpriority")), (1, "Memo", F.lit(""))]])
+    notes = docs.filter("doc % 6 = 0").select("doc", F.lit(4).alias("section"), F.lit("Notes").alias("key"), F.inline(extra), F.lit(None).cast("int").alias("at_row"), none.alias("label_at"), none.alias("value_at"))
+    fields = docs.filter("template_id = 0").select("doc", F.inline(F.array(*[F.struct(F.lit(r).alias("ref"), v.alias("value")) for r, v in [("B4", F.col("total")), ("b1", F.col("o_orderpriority")), ("C9", F.lit("")), ("?", F.lit("7"))]])))
+    sheet = rows(spark, "template_id int, r int, c int, value string", _LAYOUT_CELLS), rows(spark, "template_id int, grp int, section_label string, start_row int, end_row int, label_col int, value_col int", _LAYOUT_GROUPS)
+    return layout_cells(docs, placed.unionByName(again).unionByName(total).unionByName(notes), fields, *sheet)
+
+
+#: template, table, name, first row, column letter, column name.
+_TABLES = [(0, 0, "Lines", 7, "A", "item"), (0, 0, "Lines", 7, "C", "amount"), (0, 0, "Lines", 7, "?", "qty"), (0, 1, "Other Table", 20, "B", "item"), (0, 1, "Other Table", 20, "AA", "price"), (1, 0, "Only", 3, "B", "amount"), (1, 0, "Only", 3, "D", "item")]
 
 
 @query(
     "x6_cell_map_placement",
     f"""
-WITH {_LINES}, s AS (SELECT *, CASE WHEN i % 2 = 0 THEN 'lines' ELSE 'other_table' END AS source FROM i), n AS (SELECT *, row_number() OVER (PARTITION BY doc, source ORDER BY i) - 1 AS k FROM s)
-SELECT doc, CASE source WHEN 'lines' THEN 7 ELSE 20 END + k AS row, c.letter, CASE c.name WHEN 'item' THEN item ELSE printf('-%.2f', price) END AS value FROM n JOIN (VALUES ('lines', 'A', 'item'), ('lines', 'C', 'amount'), ('other_table', 'B', 'item')) c(t, letter, name) ON c.t = source""",
+WITH {_LINES}, r AS (SELECT doc, i, doc % 2 AS t, i % 5 AS k, CASE WHEN i % 5 IN (0, 1) THEN CAST(item AS DOUBLE) END AS item, CASE WHEN i % 5 IN (0, 2) THEN '(' || format('{{:,.2f}}', price) || ')' END AS amount, CASE WHEN i % 5 = 4 THEN round(price, 2) END AS price FROM i),
+m AS (SELECT *, 0 AS table_no FROM r WHERE t = 1 OR k <= 2 UNION ALL SELECT *, 1 FROM r WHERE t = 0 AND k IN (0, 1, 4)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc, table_no ORDER BY i) - 1 AS pos FROM m),
+w AS (SELECT doc, table_no, 7 + pos AS row, unnest(['A', 'C']) AS letter, unnest([NULL, amount]) AS text, unnest([item, NULL]) AS num FROM n WHERE t = 0 AND table_no = 0
+  UNION ALL SELECT doc, table_no, 20 + pos, unnest(['B', 'AA']), NULL, unnest([item, price]) FROM n WHERE t = 0 AND table_no = 1
+  UNION ALL SELECT doc, table_no, 3 + pos, unnest(['B', 'D']), unnest([amount, NULL]), unnest([NULL, item]) FROM n WHERE t = 1)
+SELECT doc, table_no, row, letter, CASE WHEN num IS NULL THEN coalesce(text, '') END AS text, num FROM w""",
 )
 def x6_cell_map_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The i-th row of a table goes i rows below its first, in the columns that the cell map names; rows find their table by slug."""
-    defs = rows(spark, "table_id string, start int, letter string, name string", _TABLES).withColumn("source", V.slug(F.col("table_id")))
-    tagged = lines(spark, sf_dir).withColumn("source", F.when(F.col("i") % 2 == 0, "lines").otherwise("other_table"))
-    n = tagged.withColumn("k", F.row_number().over(Window.partitionBy("doc", "source").orderBy("i")) - 1)
-    num = cell_value(F.col("amount"))[1]
-    return n.join(F.broadcast(defs), "source").select("doc", (F.col("start") + F.col("k")).alias("row"), "letter", F.when(F.col("name") == "item", F.col("item")).otherwise(F.format_string("%.2f", num)).alias("value"))
+    """Records of five kinds by name or columns into one table, two or none; every other document's template has one table for all."""
+    k = F.col("i") % 5
+    found = lines(spark, sf_dir)
+    price = F.concat(F.lit("$"), F.regexp_replace("amount", "[()]", ""))
+    entries = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), F.when(on, v).alias("value")) for n, on, v in [("item", k.isin(0, 1), F.col("item")), ("amount", k.isin(0, 2), F.col("amount")), ("note", k.isin(3, 4), F.lit("n")), ("price", k == 4, price)]]), lambda e: e.value.isNotNull())
+    source = F.when(k == 0, "lines").when(k == 2, None).when(k == 4, " OTHER-table!").otherwise("none")
+    records = found.select("doc", (F.col("doc") % 2).cast("int").alias("template_id"), "i", source.alias("source"), F.map_from_entries(entries).alias("values"))
+    return cell_map_cells(records, rows(spark, "template_id int, table_no int, table_id string, start int, letter string, name string", _TABLES))
 
 
 @query("x7_fallback_placement", f"WITH {_LINES} SELECT doc, i AS row, 0 AS col, item AS value FROM i UNION ALL SELECT doc, i, 1, '(' || format('{{:,.2f}}', price) || ')' FROM i")
