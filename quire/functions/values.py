@@ -223,3 +223,27 @@ def presence(value: Column, text: Column) -> Column:
     """high, medium or low: by letters and figures, by figures alone, or not at all in the text."""
     v, d = squeeze(value), digits(value)
     return F.when(v == "", "high").when(squeeze(text).contains(v), "high").when((d != "") & digits(text).contains(d), "medium").otherwise("low")
+
+
+_MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
+def variant_in_text(value: Column, text: Column) -> Column:
+    """Whether the text has another writing of an ISO date (in figures, or its day and month by name) or the whole part, of four figures or more, of an amount with cents."""
+    date, amount = r"^(\d{4})-(\d{2})-(\d{2})", r"^(\d+)\.\d{2}$"
+    y, m, d = (F.regexp_extract(value, date, i) for i in (1, 2, 3))
+    name = F.get(F.array(*map(F.lit, _MONTH_NAMES)), m.try_cast("int") - 1)
+    day = d.try_cast("int").cast("string")
+    short = F.substring(name, 1, 3)
+    numeric = [F.concat_ws("/", d, m, y), F.concat_ws("/", m, d, y), F.concat_ws("-", d, m, y)]
+    forms = F.array(*numeric, F.concat_ws(" ", name, day), F.concat_ws(" ", day, name), F.concat_ws(" ", short, day), F.concat_ws(" ", day, short))
+    small = F.lower(text)
+    whole = F.regexp_extract(value, amount, 1)
+    return F.when(value.rlike(date), name.isNotNull() & F.exists(forms, small.contains)).otherwise((F.length(whole) >= 4) & F.replace(text, F.lit(","), F.lit("")).contains(whole))
+
+
+def text_check(value: Column, text: Column) -> Column:
+    """struct(level, confirmed) of a value against its document's text: high (empty, or in the text), medium (in another writing), or low."""
+    v = strip(F.coalesce(value, F.lit("")))
+    row = lambda level, how: F.struct(F.lit(level).alias("level"), F.lit(how).alias("confirmed"))
+    return F.when(v == "", row("high", "empty")).when(in_text(v, text), row("high", "text")).when(variant_in_text(v, text), row("medium", "variant")).otherwise(row("low", "none"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.catalog import query, rows
 from quire.functions import values as V
 from quire.session import table
+from quire.sources.sinks import average_confidence
 
 NOW = "2024-01-30"
 
@@ -46,12 +47,6 @@ def a2_job_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("success_rate", F.coalesce(F.try_divide("successful", "total"), F.lit(0.0)))
 
 
-def average_confidence(level: Column) -> Column:
-    """High from 2.5, Medium from 1.5, else Low; N/A for none. Unknown levels count as medium."""
-    mean = F.avg(F.when(level.isNotNull(), V.confidence_rank(level)))
-    return F.when(mean.isNull(), "N/A").when(mean >= 2.5, "High").when(mean >= 1.5, "Medium").otherwise("Low")
-
-
 @query(
     "a3_average_confidence",
     """
@@ -128,12 +123,14 @@ def a9_job_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a10_users_by_company",
     """
-SELECT coalesce(CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END, '(no company)') AS company, count(*) AS users, string_agg(c_custkey, ',' ORDER BY c_custkey) FILTER (c_custkey <= 40) AS first_ids FROM customer GROUP BY 1""",
+WITH c AS (SELECT c_custkey, coalesce(CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END, '(no company)') AS company FROM customer)
+SELECT company, c_custkey, count(*) OVER (PARTITION BY company) AS users FROM c""",
 )
 def a10_users_by_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user with the company and how many users it has; a company may have most of them, so they stay rows and are counted before the join."""
     company = F.coalesce(F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")), F.lit("(no company)"))
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("c_custkey") <= 40, F.col("c_custkey")))), lambda x: x.cast("string")), ",")
-    return table(spark, sf_dir, "customer").groupBy(company.alias("company")).agg(F.count("*").alias("users"), F.nullif(ids, F.lit("")).alias("first_ids"))
+    users = table(spark, sf_dir, "customer").select(company.alias("company"), "c_custkey")
+    return users.join(users.groupBy("company").agg(F.count("*").alias("users")), "company")
 
 
 @query(

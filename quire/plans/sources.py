@@ -150,10 +150,10 @@ def k1_flat_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "k2_combined_sheet",
-    """
-WITH v AS (SELECT l_orderkey AS doc, sum(l_quantity) FILTER (l_linenumber = 1) AS a, sum(l_quantity) FILTER (l_linenumber = 2) AS b FROM lineitem GROUP BY 1)
+    f"""
+WITH v AS (SELECT l_orderkey AS doc, {', '.join(f'sum(l_quantity) FILTER (l_linenumber = {n}) AS c{n}' for n in _LABELS)} FROM lineitem GROUP BY 1)
 SELECT 'order' || o_orderkey || '.pdf' AS "File", CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'order' END AS "Doc Type", CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE '' END AS "Confidence",
-  CASE WHEN o_orderpriority LIKE '1%' THEN 'Review' ELSE 'OK' END AS "Status", coalesce(CAST(CAST(a AS BIGINT) AS VARCHAR), '') AS "1", coalesce(CAST(CAST(b AS BIGINT) AS VARCHAR), '') AS "2" FROM orders LEFT JOIN v ON doc = o_orderkey""",
+  CASE WHEN o_orderpriority LIKE '1%' THEN 'Review' ELSE 'OK' END AS "Status", {', '.join(f"""coalesce(CAST(CAST(c{n} AS BIGINT) AS VARCHAR), '') AS "{n}" """ for n in _LABELS)} FROM orders LEFT JOIN v ON doc = o_orderkey""",
 )
 def k2_combined_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: file, type, confidence, status, then a column for every key that occurs; what is missing is empty."""
@@ -162,17 +162,22 @@ def k2_combined_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("doc_id"), F.concat(F.lit("order"), key.cast("string"), F.lit(".pdf")).alias("file"), F.when(key % 5 != 0, "order").alias("doc_type"),
         F.when(key % 3 == 0, "high").when(key % 3 == 1, "low").alias("confidence"), F.col("o_orderpriority").startswith("1").alias("needs_review"),
     )
-    values = _line_values(spark, sf_dir).filter("label in ('1', '2')").withColumn("pos", F.col("label").cast("int"))
-    return sinks.combined_sheet(docs, values, "doc_id", "pos")
+    return sinks.combined_sheet(docs, _line_values(spark, sf_dir).withColumn("pos", F.col("label").cast("int")), "doc_id", "pos")
 
 
 @query(
     "k2_summary_sheet",
-    """SELECT o_custkey AS job, count(*) AS "Total Documents", count_if(o_orderstatus <> 'P') AS "Successful", count_if(o_orderstatus = 'P') AS "Failed", count_if(o_orderpriority LIKE '1%') AS "Needs Review" FROM orders GROUP BY 1""",
+    """
+WITH j AS (SELECT o_custkey AS job, count(*) AS n, count_if(o_orderstatus <> 'P') AS ok, count_if(o_orderstatus = 'P') AS bad, count_if(o_orderpriority LIKE '1%') AS review, avg(CASE o_orderkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 END) AS mean, sum(o_orderkey % 50) AS halves FROM orders GROUP BY 1)
+SELECT job, n AS "Total Documents", ok AS "Successfully Extracted", bad AS "Failed", review AS "Needs Review", CASE WHEN mean IS NULL THEN 'N/A' WHEN mean >= 2.5 THEN 'High' WHEN mean >= 1.5 THEN 'Medium' ELSE 'Low' END AS "Average Confidence",
+  halves // 2 || CASE WHEN halves % 2 = 0 THEN '.0s' ELSE '.5s' END AS "Total Processing Time", coalesce(c_name, 'N/A') AS "Client", CASE WHEN job % 2 = 0 THEN 'local' ELSE 'N/A' END AS "LLM Provider" FROM j LEFT JOIN customer ON c_custkey = job""",
 )
 def k2_summary_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job"), (F.col("o_orderstatus") == "P").alias("failed"), F.col("o_orderpriority").startswith("1").alias("needs_review"))
-    return sinks.summary_sheet(docs, "job")
+    """The eight figures of each job."""
+    key = F.col("o_orderkey")
+    docs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job"), (F.col("o_orderstatus") == "P").alias("failed"), F.col("o_orderpriority").startswith("1").alias("needs_review"), F.when(key % 3 == 0, "high").when(key % 3 == 1, "low").alias("confidence"), (key % 50 / 2).alias("seconds"))
+    facts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job"), F.col("c_name").alias("client"), F.when(F.col("c_custkey") % 2 == 0, "local").alias("provider"))
+    return sinks.summary_sheet(docs, facts, "job")
 
 
 @query("k3_per_file_rows", "SELECT p_partkey, unnest(['p_name', 'p_brand', 'p_size']) AS field, unnest([p_name, p_brand, CAST(p_size AS VARCHAR)]) AS value FROM part")

@@ -88,23 +88,32 @@ def v3_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.filter((F.col("l_partkey") + F.length("f")) % 10 == 0).select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("line_items["), F.col("i").cast("string"), F.lit("]."), F.col("f")).alias("field"))
 
 
-_SNIPPETS = "SELECT item_id, d.doc_id, CASE item_id % 4 WHEN 0 THEN b.text[11:40] WHEN 1 THEN translate(d.text[5:30], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN 'a' ELSE '90210' || item_id END AS value, d.text FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id"
+_SNIPPETS = """SELECT item_id, d.doc_id, CASE item_id % 8 WHEN 0 THEN b.text[11:40] WHEN 1 THEN translate(d.text[5:30], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN 'a' WHEN 3 THEN '90210' || item_id WHEN 4 THEN '2024-01-05' WHEN 5 THEN '8410.00' WHEN 6 THEN '2024-13-05' ELSE ' ' END AS value,
+  d.text || CASE d.doc_id % 5 WHEN 0 THEN ' dated 05/01/2024, sum $8,410' WHEN 1 THEN ' on JAN 5, $8,410.00 due' WHEN 2 THEN ' the 5 January' WHEN 3 THEN ' 05-01-2024' ELSE '' END AS text
+FROM documents d JOIN benchmark b ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id"""
 
 
 @query(
     "v4_value_in_text",
-    f"WITH s AS ({_SNIPPETS}) SELECT item_id, doc_id, length(value) < 2 OR contains(lower(text), lower(trim(value))) OR (length(regexp_replace(value, '[^0-9.]', '', 'g')) >= 4 AND contains(regexp_replace(text, '[^0-9.]', '', 'g'), regexp_replace(value, '[^0-9.]', '', 'g'))) AS found FROM s",
+    f"""
+WITH s AS ({_SNIPPETS}), t AS (SELECT *, trim(value) AS v, lower(text) AS low FROM s),
+f AS (SELECT *, length(v) < 2 OR contains(low, lower(v)) OR (length(regexp_replace(v, '[^0-9.]', '', 'g')) >= 4 AND contains(regexp_replace(text, '[^0-9.]', '', 'g'), regexp_replace(v, '[^0-9.]', '', 'g'))) AS found,
+  CASE item_id % 8 WHEN 4 THEN regexp_matches(low, '05/01/2024|01/05/2024|05-01-2024|january 5|5 january|jan 5|5 jan') WHEN 5 THEN contains(replace(text, ',', ''), '8410') ELSE false END AS variant FROM t)
+SELECT item_id, doc_id, CASE WHEN v = '' OR found THEN 'high' WHEN variant THEN 'medium' ELSE 'low' END AS level, CASE WHEN v = '' THEN 'empty' WHEN found THEN 'text' WHEN variant THEN 'variant' ELSE 'none' END AS confirmed FROM f""",
 )
 def v4_value_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snippets(spark, sf_dir).select("item_id", "doc_id", V.in_text(F.col("value"), F.col("text")).alias("found"))
+    """Every document is asked for a value of one item, of eight kinds: parts of texts, dates and amounts in other writings, figures, blanks."""
+    return _snippets(spark, sf_dir).select("item_id", "doc_id", V.text_check(F.col("value"), F.col("text")).alias("c")).select("item_id", "doc_id", "c.level", "c.confirmed")
 
 
 def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "item")
-    docs = table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40)
-    k = F.col("item_id") % 4
-    value = F.when(k == 0, F.substring("item", 11, 30)).when(k == 1, F.translate(F.substring("text", 5, 26), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(k == 2, "a").otherwise(F.concat(F.lit("90210"), F.col("item_id").cast("string")))
-    return docs.join(b, "item_id").select("item_id", "doc_id", value.alias("value"), "text")
+    many = b.agg((F.max("item_id") + 1).alias("many"))  # one row
+    docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(many)).withColumn("item_id", F.col("doc_id") % F.col("many"))
+    k, d = F.col("item_id") % 8, F.col("doc_id") % 5
+    value = F.when(k == 0, F.substring("item", 11, 30)).when(k == 1, F.translate(F.substring("text", 5, 26), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(k == 2, "a").when(k == 3, F.concat(F.lit("90210"), F.col("item_id").cast("string"))).when(k == 4, "2024-01-05").when(k == 5, "8410.00").when(k == 6, "2024-13-05").otherwise(" ")
+    text = F.concat("text", F.when(d == 0, " dated 05/01/2024, sum $8,410").when(d == 1, " on JAN 5, $8,410.00 due").when(d == 2, " the 5 January").when(d == 3, " 05-01-2024").otherwise(""))
+    return docs.join(b, "item_id").select("item_id", "doc_id", value.alias("value"), text.alias("text"))
 
 
 @query(

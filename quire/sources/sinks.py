@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import values as V
@@ -24,13 +24,20 @@ def per_file(wide: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     return wide.select(by, F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])))
 
 
-def key_union(values: DataFrame, by: str, order: str) -> list[str]:
+#: Columns of a spreadsheet.
+MOST_COLUMNS = 16_384
+
+
+def key_union(values: DataFrame, by: str, order: str, most: int = MOST_COLUMNS) -> list[str]:
     """The labels of all documents in the order in which they are first met: documents by id, labels by ``order`` in each; private ones left out.
 
-    One aggregate; only the distinct labels, which become columns, come to the driver.
+    One aggregate; only the distinct labels, which become columns, come to the driver. More than ``most`` fit in no sheet and are an error.
     """
     first = values.filter(~F.col("label").startswith("_")).groupBy("label").agg(F.min(F.struct(by, order)).alias("met"))
-    return [r["label"] for r in first.orderBy("met", "label").select("label").collect()]
+    found = [r["label"] for r in first.orderBy("met", "label").select("label").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"over {most} labels, which fit in no sheet: keep them as rows")
+    return found
 
 
 def combined_sheet(docs: DataFrame, values: DataFrame, by: str, order: str) -> DataFrame:
@@ -41,9 +48,20 @@ def combined_sheet(docs: DataFrame, values: DataFrame, by: str, order: str) -> D
     return wide.select(F.col("file").alias("File"), empty(F.col("doc_type")).alias("Doc Type"), empty(F.col("confidence")).alias("Confidence"), F.when(F.coalesce("needs_review", F.lit(False)), "Review").otherwise("OK").alias("Status"), *[empty(F.col(f"`{n}`")).alias(n) for n in names])
 
 
-def summary_sheet(docs: DataFrame, by: str) -> DataFrame:
-    """The counts of the summary sheet of each job, from documents with failed and needs_review."""
-    return docs.groupBy(by).agg(F.count("*").alias("Total Documents"), F.count_if(~F.col("failed")).alias("Successful"), F.count_if("failed").alias("Failed"), F.count_if("needs_review").alias("Needs Review"))
+def average_confidence(level: Column) -> Column:
+    """High from 2.5, Medium from 1.5, else Low; N/A for none. Unknown levels count as medium."""
+    mean = F.avg(F.when(level.isNotNull(), V.confidence_rank(level)))
+    return F.when(mean.isNull(), "N/A").when(mean >= 2.5, "High").when(mean >= 1.5, "Medium").otherwise("Low")
+
+
+def summary_sheet(docs: DataFrame, facts: DataFrame, by: str) -> DataFrame:
+    """The eight figures of each job's summary sheet, from documents with failed, needs_review, confidence and seconds, and jobs with client and provider."""
+    unknown = lambda c: F.coalesce(c, F.lit("N/A"))
+    counts = docs.groupBy(by).agg(
+        F.count("*").alias("Total Documents"), F.count_if(~F.col("failed")).alias("Successfully Extracted"), F.count_if("failed").alias("Failed"), F.count_if("needs_review").alias("Needs Review"),
+        average_confidence(F.col("confidence")).alias("Average Confidence"), F.format_string("%.1fs", F.coalesce(F.sum("seconds"), F.lit(0.0))).alias("Total Processing Time"),
+    )
+    return counts.join(facts, by, "left").select(*counts.columns, unknown(F.col("client")).alias("Client"), unknown(F.col("provider")).alias("LLM Provider"))
 
 
 def typed_sheets(docs: DataFrame, fields: dict[str, bool], lines: DataFrame, line_fields: Sequence[str]) -> DataFrame:
