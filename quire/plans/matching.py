@@ -142,28 +142,47 @@ def j10_zone_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_sections(n.select("doc", k.alias("zone"), pick(_ZONES, (d + k * (1 + d % 3)) % 7).alias("label")), n.select("doc", k.alias("section"), pick(_PRINTED, (d * 3 + k * (1 + d % 5)) % 7).alias("heading")))
 
 
-def similar_labels(labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, k, score: ordered pairs of rows whose word sets have a Jaccard of 0.5 and a count ratio of 0.7 at least.
+def label_classes(labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, w (words in small letters, sorted), class_id (the smallest id with these words), members. Labels without words are in no class."""
+    a = labels.select(F.col(id_col).alias("id"), F.array_sort(V.words(F.lower(F.coalesce(text_col, F.lit(""))))).alias("w"))
+    named = a.filter(F.size("w") > 0).groupBy("w").agg(F.min("id").alias("class_id"), F.count("*").alias("members"))
+    return a.join(named, "w", "left").select("id", "w", "class_id", "members")
 
-    Equal word sets are one class. Classes meet on the rarest words of their sets, as many as a Jaccard of 0.5 needs
-    (of n words, n less half of n, and one); only classes that are alike are dealt back to their rows, so the work on
-    words does not grow with the copies of a label.
+
+def label_links(classes: DataFrame) -> DataFrame:
+    """class_id, other, score of the two-way links between classes whose word sets have a Jaccard of 0.5 and a count ratio of 0.7 at least.
+
+    Classes meet on the rarest words of their sets, as many as a Jaccard of 0.5 needs (of n words, n less half of n, and one), so
+    the work does not grow with the copies of a label, which are not paired at all.
     """
-    a = labels.select(F.col(id_col).alias("id"), F.array_sort(V.words(F.lower(text_col))).alias("w")).filter(F.size("w") > 0)
-    classes = a.select("w").distinct()
-    word = classes.select("w", F.explode("w").alias("word"))
+    own = classes.filter("class_id IS NOT NULL").select("class_id", "w").distinct()
+    word = own.select("class_id", "w", F.explode("w").alias("word"))
     count = word.groupBy("word").agg(F.count("*").alias("n"))
-    ranked = word.join(count, "word").groupBy("w").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("r"))
-    first = ranked.select("w", F.explode(F.slice("r", 1, F.size("r") - F.ceil(F.size("r") / 2).cast("int") + 1)).alias("s")).select("w", F.col("s.word").alias("word"))
-    meet = first.join(first.select(F.col("w").alias("v"), "word"), "word").filter("size(w) >= 0.7 * size(v) and size(v) >= 0.7 * size(w)").select("w", "v").distinct()
-    alike = meet.select("w", "v", V.jaccard(F.col("w"), F.col("v")).alias("score"), V.count_ratio(F.col("w"), F.col("v")).alias("ratio")).filter("score >= 0.5 and ratio >= 0.7")
-    return a.join(alike, "w").join(a.select(F.col("id").alias("k"), F.col("w").alias("v")), "v").filter("k != id").select("id", "k", F.round("score", 6).alias("score"))
+    ranked = word.join(count, "word").groupBy("class_id", "w").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("r"))
+    first = ranked.select("class_id", "w", F.explode(F.slice("r", 1, F.size("r") - F.ceil(F.size("r") / 2).cast("int") + 1)).alias("s")).select("class_id", "w", F.col("s.word").alias("word"))
+    others = first.select(F.col("class_id").alias("other"), F.col("w").alias("v"), "word")
+    near = F.col("class_id") < F.col("other")
+    meet = first.join(others, "word").filter(near & (F.size("w") >= 0.7 * F.size("v")) & (F.size("v") >= 0.7 * F.size("w"))).select("class_id", "w", "other", "v").distinct()
+    alike = meet.select("class_id", "other", V.jaccard(F.col("w"), F.col("v")).alias("score"), V.count_ratio(F.col("w"), F.col("v")).alias("ratio")).filter("score >= 0.5 and ratio >= 0.7")
+    both = F.array(F.struct("class_id", "other", F.round("score", 6).alias("score")), F.struct(F.col("other").alias("class_id"), F.col("class_id").alias("other"), F.round("score", 6).alias("score")))
+    return alike.select(F.inline(both))
 
 
-@query("j10_j11_similar_labels")
+@query(
+    "j10_j11_similar_labels",
+    """
+WITH a AS (SELECT p_partkey, list_sort(list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' '), lambda x: x <> ''))) AS w FROM part),
+c AS (SELECT w, min(p_partkey) AS class_id, count(*) AS members FROM a GROUP BY w),
+p AS (SELECT x.class_id, len(list_intersect(x.w, y.w)) AS common, len(x.w) AS n, len(y.w) AS m FROM c x JOIN c y ON x.class_id <> y.class_id),
+l AS (SELECT class_id, count(*) AS links, round(max(common / (n + m - common)), 6) AS closest FROM p WHERE 2 * common >= n + m - common AND least(n, m) >= 0.7 * greatest(n, m) GROUP BY class_id)
+SELECT p_partkey, c.class_id, members, coalesce(links, 0) AS links, closest FROM a JOIN c USING (w) LEFT JOIN l ON l.class_id = c.class_id""",
+)
 def j10_similar_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every label with every other one; the SQL would be a cross product, so a test compares with one on few labels."""
-    return similar_labels(table(spark, sf_dir, "part"), "p_partkey", "p_name").withColumnRenamed("id", "p_partkey")
+    """Every label with its class, the rows of that class, and how many other classes are like it."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("label"))
+    classes = label_classes(parts, "p_partkey", "label")
+    links = label_links(classes).groupBy("class_id").agg(F.count("*").alias("links"), F.max("score").alias("closest"))
+    return classes.join(links, "class_id", "left").select(F.col("id").alias("p_partkey"), "class_id", "members", F.coalesce("links", F.lit(0)).alias("links"), "closest")
 
 
 def close_match(pairs: DataFrame, a: str, b: str, cutoff: float = 0.6) -> DataFrame:

@@ -308,7 +308,9 @@ def order_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = template_zones(rows(spark, "template_id int, r int, c int, value string", _SHEETS), rows(spark, "template_id int, g int, label_col int, value_col int", _GROUPS))
-    return sections(order_statements(spark, sf_dir).join(zones, "template_id"))
+    # reading is long work on few bytes, by which Spark would put many statements into few tasks
+    docs = order_statements(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return sections(docs.join(zones, "template_id"))
 
 
 @query("e8_section_parse", f"WITH {_STATEMENTS} SELECT doc_id, zone, 'item' AS kind, pos, label, value FROM items UNION ALL SELECT doc_id, zone, 'total', 0, '', value FROM totals")

@@ -35,6 +35,39 @@ def split_failures(out: str, dead: str, ok) -> Callable[[DataFrame, int], None]:
     return handle
 
 
+def take_new(listings: DataFrame) -> DataFrame:
+    """folder, listing, id of a stream of listings (folder, listing, id, ok): what has to be taken at each listing.
+
+    Listings of a folder are numbered without gaps. An id is taken if it was not taken yet, or was absent from the listing before, as
+    what is listed no more is forgotten; one whose taking failed (``ok`` is false) counts as not taken. State is one number for
+    each folder and id, the last listing that had it as taken, and lives in the query's checkpoint, so a restart takes nothing
+    twice. Listings of a batch are taken in order. With a watermark on a column ``seen``, ids that are in no listing for ``KEEP_DAYS``
+    beyond it leave the state, which changes no result.
+    """
+    timed = "seen" in listings.columns
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else -1
+        rows = pd.concat(list(batches)).groupby("listing", as_index=False).agg(ok=("ok", "max"), **({"seen": ("seen", "max")} if timed else {})).sort_values("listing")
+        taken = []
+        for number, ok in zip(rows["listing"], rows["ok"]):
+            new = last < 0 or last != number - 1
+            if new:
+                taken.append(int(number))
+            last = int(number) if ok or not new else -1
+        state.update((last,))
+        if timed:
+            state.setTimeoutTimestamp(max(int(rows["seen"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + KEEP_DAYS * 86_400_000)
+        yield pd.DataFrame({"folder": [key[0]] * len(taken), "listing": taken, "id": [key[1]] * len(taken)}).astype({"listing": "int64"})
+
+    kinds = dict(listings.dtypes)
+    out = f"folder {kinds['folder']}, listing long, id {kinds['id']}"
+    return listings.groupBy("folder", "id").applyInPandasWithState(step, out, "last long", "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
+
+
 def job_states(log: DataFrame) -> DataFrame:
     """job, status of a log (job, seq, status): the last status, but the first of those that end a job is final."""
     ended = F.min(F.when(F.col("status").isin(TERMINAL), F.struct("seq", "status")))
