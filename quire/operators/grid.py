@@ -24,16 +24,19 @@ def parse_cells(sheets: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return cells.filter("r is not null and c is not null")
 
 
-def neighbour(cells: DataFrame, dr: int, dc: int, name: str) -> DataFrame:
-    """The cells with struct ``name`` (value, target) of the cell dr rows down and dc columns to the right; null where there is none."""
-    other = cells.select("template", (F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), F.struct("value", "target").alias(name))
-    return other
-
-
 def with_neighbours(cells: DataFrame, offsets: dict[str, tuple[int, int]]) -> DataFrame:
+    """The cells with a struct (value, target) for each name: the cell dr rows down or dc columns to the right, null where there is none.
+
+    Offsets go along a row or a column. A place has one cell at most, so one that is k places off is among the next k that
+    there are: a window over the row or the column finds it, and every offset of a direction shares one exchange.
+    """
+    row, col = Window.partitionBy("template", "r").orderBy("c"), Window.partitionBy("template", "c").orderBy("r")
     out = cells
     for name, (dr, dc) in offsets.items():
-        out = out.join(neighbour(cells, dr, dc, name), ["template", "r", "c"], "left")
+        way, at, far = (row, "c", dc) if dr == 0 else (col, "r", dr)
+        step = F.lead if far > 0 else F.lag
+        near = [F.when(step(at, k).over(way) == F.col(at) + far, step(F.struct("value", "target"), k).over(way)) for k in range(1, abs(far) + 1)]
+        out = out.withColumn(name, F.coalesce(*near))
     return out
 
 
@@ -144,13 +147,13 @@ def parallel_groups(cells: DataFrame) -> DataFrame:
 
 def modes(cells: DataFrame) -> DataFrame:
     """template, mode, and the counts it follows from; parallel groups come before everything else."""
-    count = lambda df, name: df.groupBy("template").agg(F.count("*").alias(name))
     shown = pairs(cells).join(above_headers(cells, 4), ["template", "r"], "left_anti")
     parts = {"n_targets": targets(cells), "n_pairs": shown, "n_double": double_pairs(cells), "n_tables": tables(cells), "n_groups": parallel_groups(cells)}
-    out = cells.select("template").distinct()
+    # rows of all parts are counted in one exchange, instead of a count and a join for each
+    found = cells.select("template", F.lit("").alias("part"))
     for name, df in parts.items():
-        out = out.join(count(df, name), "template", "left")
-    out = out.select("template", *[F.coalesce(n, F.lit(0)).alias(n) for n in parts])
+        found = found.unionByName(df.select("template", F.lit(name).alias("part")))
+    out = found.groupBy("template").agg(*[F.count_if(F.col("part") == name).alias(name) for name in parts])
     t, k, d, tab = (F.col(n) > 0 for n in ("n_targets", "n_pairs", "n_double", "n_tables"))
     mode = F.when(F.col("n_groups") > 0, "parallel_groups").when(tab & (t | k), "mixed").when(~tab & t, "form_with_targets").when(~tab & k, "form_kv").when(tab, "table").when(d, "form_kv").otherwise("unguided")
     return out.withColumn("mode", mode)

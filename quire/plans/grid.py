@@ -65,9 +65,9 @@ TARGETS = f"""targets AS MATERIALIZED (SELECT k.template, {_REF.format(r="k.r",
   FROM cells k WHERE k.target AND k.value = '' AND NOT EXISTS (SELECT 1 FROM cells h WHERE h.template = k.template AND h.r = k.r AND h.lab AND h.span_cols >= 2))"""
 PAIRS = f"""pairs AS MATERIALIZED (SELECT a.template, a.r, a.c, a.value AS label, {_REF.format(r="b.r", c="b.c")} AS value_ref
   FROM cells a JOIN cells b ON b.template = a.template AND b.r = a.r AND b.c = a.c + 1 WHERE a.lab AND (b.target OR b.value = ''))"""
-DOUBLE = f"""doubles AS (SELECT a.template, a.r, a.value AS left_label, b.value AS right_label, {_REF.format(r="a.r", c="a.c + 2")} AS left_ref, {_REF.format(r="a.r", c="a.c + 3")} AS right_ref
-  FROM cells a JOIN cells b ON b.template = a.template AND b.r = a.r AND b.c = a.c + 1 AND b.lab JOIN cells x ON x.template = a.template AND x.r = a.r AND x.c = a.c + 2 AND (x.target OR x.value = '')
-  JOIN cells y ON y.template = a.template AND y.r = a.r AND y.c = a.c + 3 AND (y.target OR y.value = '') WHERE a.lab)"""
+DOUBLE = f"""doubles AS (SELECT template, r, value AS left_label, v1 AS right_label, {_REF.format(r="r", c="c + 2")} AS left_ref, {_REF.format(r="r", c="c + 3")} AS right_ref
+  FROM (SELECT *, lead(c, 1) OVER w AS c1, lead(lab, 1) OVER w AS l1, lead(value, 1) OVER w AS v1, lead(c, 2) OVER w AS c2, lead(target OR value = '', 2) OVER w AS o2, lead(c, 3) OVER w AS c3, lead(target OR value = '', 3) OVER w AS o3 FROM cells WINDOW w AS (PARTITION BY template, r ORDER BY c))
+  WHERE lab AND c1 = c + 1 AND l1 AND c2 = c + 2 AND o2 AND c3 = c + 3 AND o3)"""
 TABLES = """lines AS MATERIALIZED (SELECT template, r, count(*) FILTER (lab) AS n, bool_or(target) AS targeted, bool_or(lab AND span_cols >= 2) AS merged, min(c) FILTER (lab) AS start_col, max(c) FILTER (lab) AS end_col,
     string_agg(value, '|' ORDER BY c) FILTER (lab) AS names FROM cells GROUP BY template, r),
 heads AS MATERIALIZED (SELECT * FROM lines l WHERE NOT targeted AND n >= 2 AND (SELECT count(*) FROM lines b WHERE b.template = l.template AND b.r IN (l.r + 1, l.r + 2) AND b.n > 0) < 2),

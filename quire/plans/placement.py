@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog import query, rows, values_sql
 from quire.functions import values as V
+from quire.operators.ruled import page_tables
 from quire.operators.statements import fill, sections, template_zones
 from quire.operators.writers import cell_map_cells, cell_value, layout_cells
 from quire.plans.matching import match_columns
@@ -378,14 +379,27 @@ SELECT page AS tbl, CAST(i + 1 AS INTEGER) AS r, 'Part ' || l_partkey AS item, C
 FROM k WHERE page % 3 <> 2""",
 )
 def e11_header_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a printed table for each order: with a title, one of three headers (the last names no column), a subtotal, a gift, a page number and a row without a first cell."""
+    """Rows of a printed table for each order: with a title, one of three headers (the last names no column), a subtotal, a gift, a page number and a row without a first cell.
+
+    Tables come from the page: every other one is ruled, with lines a little off their places and, on some, a title across all columns;
+    the others have words only. Both ways give the same rows.
+    """
     cell = lambda *x: F.array(*[F.lit(c) if isinstance(c, str) else c for c in x])
     line = cell(F.concat(F.lit("Part  "), F.col("part")), F.col("qty"), F.concat(F.lit("$"), F.format_number("price", 2)))
     header = F.when(F.col("page") % 3 == 0, cell("Item", "Qty", "Unit price")).when(F.col("page") % 3 == 1, cell("Name of item", "Quantity", "Pricing")).otherwise(cell("Product", "Rate", "Sum"))
     lines_ = ranked_lines(spark, sf_dir).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("all"))
-    whole = F.concat(F.array(cell("ACME", " ", ""), header), F.transform("all", lambda x: x["line"]), F.array(cell("Subtotal", "", "$7"), cell("Free gift", "1", "0"), cell("12", "1", "2"), cell("", "1", "2")))
-    found = table_rows(lines_.select(F.col("page").alias("tbl"), F.posexplode(whole).alias("r", "line")), ["item", "qty", "price"])
-    return found.select("tbl", "r", *[F.col("cells")[n].alias(n) for n in ("item", "qty", "price")])
+    whole = F.concat(F.array(cell("ACME", " ", ""), header), F.transform("all", lambda x: x.line), F.array(cell("Subtotal", "", "$7"), cell("Free gift", "1", "0"), cell("12", "1", "2"), cell("", "1", "2")))
+    page = lines_.select("page", whole.alias("rows")).withColumn("n", F.size("rows"))
+    left = F.array(*[F.lit(x) for x in (50.0, 200.0, 300.0, 400.0)])
+    word = lambda t, k, r, c: F.struct(t.alias("text"), (left[c] + 5 + k * 36).alias("x0"), (left[c] + 35 + k * 36).alias("x1"), (r * 20 + 103).cast("double").alias("top"), (r * 20 + 113).cast("double").alias("bottom"))
+    words = page.select("page", F.inline(F.flatten(F.flatten(F.transform("rows", lambda x, r: F.transform(x, lambda t, c: F.transform(F.filter(F.split(t, " "), lambda w: w != ""), lambda w, k: word(w, k, r, c))))))))
+    ruled = page.filter("page % 2 = 0")
+    line_at = lambda x0, y0, x1, y1: F.struct(*[v.cast("double").alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1))])
+    level = F.transform(F.sequence(F.lit(0), F.col("n")), lambda r: line_at(F.lit(50), r * 20 + 100 + r % 2, F.lit(400), r * 20 + 100 + r % 2))
+    titled = lambda k, r: (F.col("page") % 4 == 0) & (r == 0) & k.isin(1, 2)
+    upright = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda r: ~titled(k, r)), lambda r: line_at(left[k] + r % 2, r * 20 + 100, left[k] + r % 2, r * 20 + 119))))
+    found = table_rows(page_tables(words, ruled.select("page", F.inline(F.concat(level, upright)))), ["item", "qty", "price"])
+    return found.select("tbl.page", "r", *[F.col("cells")[n].alias(n) for n in ("item", "qty", "price")]).withColumnRenamed("page", "tbl")
 
 
 @query(
