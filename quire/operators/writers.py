@@ -144,3 +144,119 @@ def cell_map_cells(records: DataFrame, tables: DataFrame) -> DataFrame:
     bare = V.strip(F.regexp_replace(raw, "[$£€₹,]", ""))
     numeric = bare.rlike(r"^-?[0-9]+\.?[0-9]*$")
     return cells.select("doc", "table_no", "row", F.col("c.letter").alias("letter"), F.when(~numeric, raw).alias("text"), F.when(numeric, bare.try_cast("double")).alias("num"))
+
+
+# -- mixed ----------------------------------------------------------------------------------------------------------------------
+
+AMOUNT_WORDS = ["amount", "total", "subtotal", "balance", "price", "cost", "tax", "freight", "fee", "charge", "payment", "salary", "gross", "net", "deduction", "rate"]
+QUANTITY_WORDS = ["qty", "quantity"]
+#: Rows before the line that names the next document, and from there to its first row.
+DIVIDER, CONTENT = 3, 5
+
+
+def _amount(label: Column, words: list[str]) -> Column:
+    small = F.lower(F.coalesce(label, F.lit("")))
+    return F.exists(F.array(*map(F.lit, words)), lambda w: small.contains(w))
+
+
+def _typed(raw: Column, signs: str, numbers: Column) -> list[Column]:
+    """raw as text and num: a number without ``signs``, where numbers are wanted."""
+    bare = V.strip(F.regexp_replace(raw, f"[{signs}]", ""))
+    numeric = numbers & bare.rlike(r"^-?[0-9]+\.?[0-9]*$")
+    return [F.when(~numeric, raw).alias("text"), F.when(numeric, bare.try_cast("double")).alias("num")]
+
+
+def table_records(records: DataFrame, tables: DataFrame) -> DataFrame:
+    """doc, table_no, k, values: the records of each table in order, k from zero.
+
+    A table takes the records tagged with its section; without any, the only table of a template takes all, and one of several those that
+    are not tagged and fill its first column. Records that only repeat headings are none.
+    """
+    named = tables.withColumn("tag", F.regexp_replace(F.regexp_replace(F.lower("section"), "[^a-z0-9]", "_"), "^_+|_+$", "")).withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy("template_id")) == 1)
+    both = records.join(named.select("template_id", "table_no", "names", "section", "tag", "alone"), "template_id")
+    own = F.coalesce(F.col("source") == F.col("tag"), F.lit(False))
+    filled = F.coalesce(F.try_element_at("values", F.get("names", F.lit(0))), F.lit("")) != ""
+    kinds = both.withColumn("own", own).withColumn("tagged", F.bool_or("own").over(Window.partitionBy("doc", "table_no")))
+    mine = kinds.filter(F.when(F.col("tagged"), F.col("own")).otherwise(F.col("alone") | (filled & (F.coalesce("source", F.lit("")) == ""))))
+    said = F.filter(F.transform(F.map_values("values"), lambda v: V.strip(F.coalesce(v, F.lit("")))), lambda v: v != "")
+    real = mine.filter(~F.forall(said, lambda v: F.array_contains("names", v) | (v == F.col("section"))))
+    return real.withColumn("k", F.row_number().over(Window.partitionBy("doc", "table_no").orderBy("i")) - 1).select("doc", "table_no", "k", "values")
+
+
+def _places(cells: DataFrame, tables: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where a template's rows go: (template_id, r, unit, after) and per template its frame. A row lies ``unit`` rows, and the rows of the first ``after`` tables, below the start."""
+    size = cells.groupBy("template_id").agg(F.max("r").alias("max_r"), F.max("c").alias("max_c"))
+    marks = labels.groupBy("template_id").agg(F.array_sort(F.collect_set("r")).alias("labels"))
+    whole = size.join(marks, "template_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<int>")))
+    heads = tables.join(whole, "template_id").withColumn("tno", F.row_number().over(Window.partitionBy("template_id").orderBy("header_row", "start_col")) - 1)
+    heads = heads.withColumn("own", F.filter("labels", lambda r: (r >= F.col("header_row") - 2) & (r < F.col("header_row"))))
+    first = heads.groupBy("template_id").agg(F.min("header_row").alias("first"), F.max("header_row").alias("last"), F.count(F.lit(1)).alias("many"), F.sum(F.size("own") + 1 + F.when(F.col("tno") > 0, 1).otherwise(0)).alias("between"))
+    frame = whole.join(first, "template_id", "left").withColumns({"first": F.coalesce("first", F.col("max_r") + 1), "last": F.coalesce("last", F.col("max_r")), "many": F.coalesce("many", F.lit(0)), "between": F.coalesce("between", F.lit(0))})
+    above = F.least("first", F.col("max_r") + 1)
+    frame = frame.withColumn("above", (above - F.size(F.filter("labels", lambda r: r < above))).cast("long")).withColumn("end", F.col("above") + F.col("between"))
+    before = Window.partitionBy("template_id").orderBy("tno").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.size("own") + 1 + F.when(F.col("tno") > 0, 1).otherwise(0)).over(before), F.lit(0)) + F.when(F.col("tno") > 0, 1).otherwise(0)
+    headed = heads.withColumn("start", start).join(frame.select("template_id", "above"), "template_id").withColumn("start", F.col("start") + F.col("above"))
+    tops = headed.select("template_id", "tno", F.posexplode(F.concat("own", F.array("header_row"))).alias("at", "r"), "start").select("template_id", "r", (F.col("start") + F.col("at")).cast("long").alias("unit"), F.col("tno").alias("after"))
+    data = headed.select("template_id", "table_no", "tno", "names", "start_col", (F.col("start") + F.size("own") + 1).cast("long").alias("unit"))
+    used = cells.select("template_id", "r").distinct().join(frame, "template_id")
+    over = used.filter((F.col("r") < F.col("first")) & ~F.array_contains("labels", F.col("r"))).select("template_id", "r", (F.col("r") - F.size(F.filter("labels", lambda q: q < F.col("r")))).cast("long").alias("unit"), F.lit(0).alias("after"))
+    under = used.filter(F.col("r") > F.col("last")).select("template_id", "r", (F.col("end") + F.col("r") - F.col("last") - 1).alias("unit"), F.col("many").cast("int").alias("after"))
+    return over.unionByName(tops).unionByName(under), frame.join(data.groupBy("template_id").agg(F.array_sort(F.collect_list(F.struct("tno", "table_no", "unit", "start_col", "names"))).alias("data")), "template_id", "left")
+
+
+def mixed_cells(docs: DataFrame, cells: DataFrame, tables: DataFrame, labels: DataFrame, fields: DataFrame, answers: DataFrame, records: DataFrame) -> DataFrame:
+    """The sheets of docs(job, doc, block, template_id, file, flagged) in templates of form rows and tables.
+
+    cells(template_id, r, c, value, target), tables(template_id, table_no, header_row, start_col, names, section), labels(template_id, r): rows
+    of labels above tables. fields(doc, ref, value), answers(doc, label, value), records(doc, template_id, i, source, values map).
+
+    A document's rows run down one cursor: rows above the first table, then for each table its labels, its header and its records, one row
+    at least and one between tables, then the rows below. Targets take their field, else the answer to their label, as a number only where the
+    label speaks of an amount; blank cells take their field; other cells stay, formulas too. Fields that are no cell of the template go as
+    far below the nearest form row as in the template. Later documents have a line with their file before them; a flag stands beside a
+    document with doubtful values. Templates without a table are rows only. Empty values leave no cell.
+    """
+    places, frame = _places(cells, tables, labels)
+    taken = table_records(records, tables)
+    counts = taken.groupBy("doc", "table_no").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("table_no", "n"))).alias("counts"))
+    whole = docs.join(frame, "template_id").join(counts, "doc", "left").withColumn("data", F.coalesce("data", F.array().cast(frame.schema["data"].dataType)))
+    high = F.transform("data", lambda t: F.greatest(F.lit(1), F.coalesce(F.try_element_at("counts", t.table_no), F.lit(0))).cast("long"))
+    whole = whole.withColumn("high", high).withColumn("tall", F.col("end") + F.aggregate("high", F.lit(0).cast("long"), lambda a, n: a + n) + F.greatest(F.lit(0), F.col("max_r") - F.col("last")))
+    before = Window.partitionBy("job").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.when(F.col("block") > 0, CONTENT).otherwise(0)
+    placed = whole.withColumn("begin", F.coalesce(F.sum(F.col("tall") + gap).over(before), F.lit(0))).withColumn("start", F.col("begin") + gap)
+    placed = placed.select("job", "doc", "block", "template_id", "file", "flagged", "max_r", "max_c", "labels", "first", "last", "end", "many", "data", "high", "begin", "start")
+    upto = lambda k: F.aggregate(F.slice("high", F.lit(1), k), F.lit(0).cast("long"), lambda a, n: a + n)
+    out = lambda unit, after: F.col("start") + unit + upto(after)
+    columns = ["job", "block", "kind", "order", "row", "col", "text", "num"]
+
+    given = fields.filter(F.coalesce("value", F.lit("")) != "").select("doc", F.upper("ref").alias("ref"), "value")
+    known = answers.groupBy("doc", "label").agg(F.first("value").alias("answer"))
+    shown = cells.withColumn("value", V.strip(F.coalesce("value", F.lit("")))).withColumn("ref", V.cell_ref(F.col("r"), F.col("c")))
+    rows = placed.join(shown.join(places, ["template_id", "r"]), "template_id").join(given.withColumnRenamed("value", "field"), ["doc", "ref"], "left").join(known, (known.doc == placed.doc) & (known.label == F.col("value")) & F.col("target"), "left").drop(known.doc)
+    target = F.col("target")
+    raw = F.when(target, F.coalesce("field", F.nullif("answer", F.lit("")), F.lit(""))).when(F.col("value") == "", F.coalesce("field", F.lit(""))).otherwise(F.col("value"))
+    numbers = F.when(target, _amount(F.col("value"), AMOUNT_WORDS)).otherwise(F.col("value") == "")
+    form = rows.withColumn("raw", raw).filter("raw != ''").select("job", "block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("order"), out(F.col("unit"), F.col("after")).alias("row"), F.col("c").alias("col"), *_typed(F.col("raw"), ",", numbers))
+
+    table_of = placed.select("job", "doc", "block", "start", "high", F.explode("data").alias("t")).select("*", F.col("t.table_no").alias("table_no"))
+    lines = table_of.join(taken, ["doc", "table_no"]).select("job", "block", "t.tno", "k", (out(F.col("t.unit"), F.col("t.tno")) + F.col("k")).alias("row"), "values", "t.start_col", "t.names", F.posexplode("t.names").alias("at", "name"))
+    value = V.strip(F.coalesce(F.try_element_at("values", F.col("name")), F.lit("")))
+    lines = lines.withColumn("raw", F.when(F.array_contains("names", value), "").otherwise(value)).filter("raw != ''")
+    body = lines.select("job", "block", F.lit(1).alias("kind"), (F.col("tno") * (1 << 40) + F.col("k")).cast("long").alias("order"), "row", (F.col("start_col") + F.col("at")).alias("col"), *_typed(F.col("raw"), ",$£", _amount(F.col("name"), AMOUNT_WORDS + QUANTITY_WORDS)))
+
+    loose = given.filter(F.col("ref").rlike("^[A-Z]+[1-9][0-9]*$")).join(placed, "doc").join(shown.select("template_id", "ref"), ["template_id", "ref"], "left_anti").withColumn("r", V.ref_row(F.col("ref")))
+    top = F.least("r", "first")
+    anchor = F.array_max(F.filter(F.sequence(top - 1, F.greatest(F.lit(0), top - 1 - F.size("labels"))), lambda q: ~F.array_contains("labels", q)))
+    under = (F.col("max_r") > F.col("last")) & (F.col("r") > F.col("last") + 1)
+    anchored = loose.withColumn("anchor", F.when(top > 0, anchor)).filter(under | F.col("anchor").isNotNull())
+    unit = F.when(under, F.col("end") + F.col("r") - F.col("last") - 1).otherwise(F.col("anchor") - F.size(F.filter("labels", lambda q: q < F.col("anchor"))) + F.col("r") - F.col("anchor"))
+    extra = anchored.select("job", "block", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("order"), (F.col("start") + unit + F.when(under, upto(F.size("high"))).otherwise(0)).alias("row"), V.column_number(F.regexp_extract("ref", "^([A-Z]+)", 1)).alias("col"), *_typed(F.col("value"), ",$", F.lit(True)))
+
+    note = lambda kind, row, col, text: F.struct(F.lit(kind).alias("kind"), row.cast("long").alias("row"), col.cast("int").alias("col"), text.alias("text"))
+    notes = F.filter(F.array(F.when(F.col("block") > 0, note(3, F.col("begin") + DIVIDER, F.lit(0), F.concat(F.lit("Document: "), "file"))), F.when(F.col("flagged") > 0, note(4, F.col("begin"), F.col("max_c") + 1, F.concat(F.lit("! "), F.col("flagged").cast("string"), F.lit(" low-confidence"))))), lambda x: x.isNotNull())
+    told = placed.select("job", "block", F.inline(notes)).select("job", "block", "kind", F.lit(0).cast("long").alias("order"), "row", "col", "text", F.lit(None).cast("double").alias("num"))
+    every = form.select(*columns).unionByName(body.select(*columns)).unionByName(extra.select(*columns)).unionByName(told)
+    last = every.groupBy("job", F.col("row").cast("long").alias("row"), F.col("col").cast("int").alias("col")).agg(F.max_by(F.struct("text", "num"), F.struct("block", "kind", "order")).alias("v"))
+    return last.select("job", "row", "col", "v.text", "v.num")

@@ -12,7 +12,7 @@ from quire.catalog import query, rows, values_sql
 from quire.functions import values as V
 from quire.operators.ruled import page_tables
 from quire.operators.statements import fill, sections, template_zones
-from quire.operators.writers import cell_map_cells, cell_value, layout_cells
+from quire.operators.writers import cell_map_cells, cell_value, layout_cells, mixed_cells
 from quire.plans.matching import match_columns
 from quire.session import table
 
@@ -82,23 +82,47 @@ def x3_table_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.select("job", "row", "col", *cell_value(F.col("raw")))
 
 
+_MIXED_CELLS = [
+    *[(0, r, c, v, t) for r, c, v, t in [(0, 0, "Order no", False), (0, 1, "", True), (1, 0, "Total", False), (1, 1, "Total amount", True), (2, 3, " ", False), (3, 0, "Lines", False), (4, 0, "Item", False), (4, 1, "Amount", False), (6, 0, "Extras!", False), (7, 0, "Note", False), (7, 1, "Qty", False), (8, 0, "Sum", False), (8, 1, "=SUM(B5:B6)", False), (9, 0, "Priority", False), (9, 1, "", False)]],
+    *[(1, r, c, v, False) for r, c, v in [(0, 0, "Head"), (1, 1, "Item"), (1, 2, "Amount")]],
+]
+_MIXED_TABLES = [(0, 5, 7, 0, "Note|Qty", "Extras!"), (0, 9, 4, 0, "Item|Amount", "Lines"), (1, 1, 1, 1, "Item|Amount", "All")]
+
+
 @query(
     "x4_mixed_placement",
     f"""
-WITH {_BLOCKS}, {_LINES}, k AS (SELECT doc, count(*) AS n FROM i GROUP BY doc), b AS (SELECT d.*, coalesce(n, 0) AS n FROM d LEFT JOIN k USING (doc)),
-o AS (SELECT *, coalesce(sum(4 + greatest(n, 1)) OVER (PARTITION BY job ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM b)
-SELECT job, CAST(off AS BIGINT) AS row, 'above' AS part FROM o UNION ALL SELECT job, off + 1, 'header' FROM o UNION ALL SELECT job, off + 2 + i, 'data' FROM o JOIN i USING (doc)
-UNION ALL SELECT job, off + 2, 'blank' FROM o WHERE n = 0 UNION ALL SELECT job, off + 2 + greatest(n, 1), 'below' FROM o""",
+WITH {_BLOCKS}, {_LINES}, k AS (SELECT doc, count(*) FILTER (WHERE i % 3 = 0) AS n0, count(*) FILTER (WHERE i % 3 = 1) AS n1, count(*) AS n FROM i GROUP BY doc),
+b AS (SELECT d.job, d.doc, block, doc % 2 AS t, o_totalprice AS price, o_orderpriority AS p, greatest(coalesce(n0, 0), 1) AS h0, greatest(coalesce(n1, 0), 1) AS h1, greatest(coalesce(n, 0), 1) AS h FROM d LEFT JOIN k USING (doc)),
+g AS (SELECT *, CASE t WHEN 0 THEN 10 + h0 + h1 ELSE 2 + h END + CASE WHEN block > 0 THEN 5 ELSE 0 END AS high FROM b),
+o AS (SELECT *, coalesce(sum(high) OVER (PARTITION BY job ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM g), s AS (SELECT *, begin + CASE WHEN block > 0 THEN 5 ELSE 0 END AS s FROM o),
+m AS (SELECT s.* EXCLUDE (price), i, item, i.price AS each FROM s JOIN i USING (doc)),
+w AS (
+  SELECT job, s + unnest([0, 0, 1, 1, 3, 4, 4, 6 + h0, 7 + h0, 7 + h0, 8 + h0 + h1, 8 + h0 + h1, 9 + h0 + h1, 9 + h0 + h1]) AS row, unnest([0, 1, 0, 1, 0, 0, 1, 0, 0, 1, 0, 1, 0, 1]) AS col,
+    unnest(['Order no', CAST(doc AS VARCHAR), 'Total', NULL, 'Lines', 'Item', 'Amount', 'Extras!', 'Note', 'Qty', 'Sum', '=SUM(B5:B6)', 'Priority', p]) AS text, unnest([NULL, NULL, NULL, round(price, 2), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL]) AS num FROM s WHERE t = 0
+  UNION ALL SELECT job, s + 5 + i // 3, unnest([0, 1]), unnest([item, '(' || format('{{:,.2f}}', each) || ')']), NULL FROM m WHERE t = 0 AND i % 3 = 0
+  UNION ALL SELECT job, s + 8 + h0 + i // 3, unnest([0, 1]), unnest([item, NULL]), unnest([NULL, round(each, 2)]) FROM m WHERE t = 0 AND i % 3 = 1
+  UNION ALL SELECT job, s + unnest([0, 1, 1]), unnest([0, 1, 2]), unnest(['Head', 'Item', 'Amount']), NULL FROM s WHERE t = 1
+  UNION ALL SELECT job, s + 2 + i, unnest([1, 2]), unnest([item, '(' || format('{{:,.2f}}', each) || ')']), NULL FROM m WHERE t = 1
+  UNION ALL SELECT job, s + 2, 4, NULL, round(price, 2) FROM s WHERE t = 1
+  UNION ALL SELECT job, begin + 3, 0, 'Document: ' || doc || '.pdf', NULL FROM s WHERE block > 0
+  UNION ALL SELECT job, begin, CASE t WHEN 0 THEN 4 ELSE 3 END, '! 2 low-confidence', NULL FROM s WHERE doc % 3 = 0)
+SELECT job, CAST(row AS BIGINT) AS row, col, text, num FROM w""",
 )
 def x4_mixed_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: the rows above the table, its header, its rows (one blank at least), the rows below, and a gap; offsets are running sums of heights."""
-    counts = lines(spark, sf_dir).groupBy("doc").agg(F.collect_list("i").alias("at"))
-    b = jobs(spark, sf_dir).select("job", "doc", "block").join(counts, "doc", "left").withColumn("n", F.coalesce(F.size("at"), F.lit(0)))
-    offset = F.coalesce(F.sum(4 + F.greatest("n", F.lit(1))).over(Window.partitionBy("job").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = lambda r, name: F.struct(r.cast("long").alias("r"), F.lit(name).alias("part"))
-    data = F.when(F.col("n") > 0, F.transform("at", lambda i: part(2 + i, "data"))).otherwise(F.array(part(F.lit(2), "blank")))
-    every = F.concat(F.array(part(F.lit(0), "above"), part(F.lit(1), "header"), part(2 + F.greatest("n", F.lit(1)), "below")), data)
-    return b.withColumn("offset", offset).select("job", "offset", F.inline(every)).select("job", (F.col("offset") + F.col("r")).alias("row"), "part")
+    """Documents of a job in a template of form rows and two tables, every other one in a template of one table: fields, answers, formulas and records."""
+    key = F.col("doc")
+    docs = jobs(spark, sf_dir).withColumns({"template_id": (key % 2).cast("int"), "file": F.concat(key.cast("string"), F.lit(".pdf")), "flagged": F.when(key % 3 == 0, 2).otherwise(0)})
+    side = F.col("i") % 3
+    pairs = lambda a, x, b, y: F.create_map(F.lit(a), x, F.lit(b), y)
+    plain = F.concat(F.lit("$"), F.regexp_replace("amount", "[()]", ""))
+    listed = lines(spark, sf_dir).withColumn("template_id", (key % 2).cast("int")).select("doc", "template_id", "i", F.when(F.col("template_id") == 1, None).when(side == 0, "lines").when(side == 1, "extras").alias("source"), F.when((F.col("template_id") == 0) & (side == 1), pairs("Note", F.col("item"), "Qty", plain)).otherwise(pairs("Item", F.col("item"), "Amount", F.col("amount"))).alias("values"))
+    heads = docs.select("doc", "template_id", F.lit(-1).alias("i"), F.when(F.col("template_id") == 0, "lines").alias("source"), pairs("Item", F.lit("Item"), "Amount", F.lit(" Amount ")).alias("values"))
+    fields = docs.select("doc", F.inline(F.when(F.col("template_id") == 0, F.array(*[F.struct(F.lit(r).alias("ref"), v.alias("value")) for r, v in [("B1", key.cast("string")), ("b10", F.col("o_orderpriority")), ("A1", F.lit("kept"))]])).otherwise(F.array(F.struct(F.lit("E3").alias("ref"), F.concat(F.lit("$"), "total").alias("value"))))))
+    answers = docs.select("doc", F.lit("Total amount").alias("label"), F.col("total").alias("value"))
+    tables = rows(spark, "template_id int, table_no int, header_row int, start_col int, names string, section string", _MIXED_TABLES).withColumn("names", F.split("names", "[|]"))
+    labels = rows(spark, "template_id int, r int", [(0, 3), (0, 6)])
+    return mixed_cells(docs, rows(spark, "template_id int, r int, c int, value string, target boolean", _MIXED_CELLS), tables, labels, fields, answers, heads.unionByName(listed))
 
 
 #: A template with two sections side by side, one below them, and a total; one whose group takes nothing; one without groups.
