@@ -19,18 +19,25 @@ from quire.llm.text import bounded_batches, remove_folder, shared_dir
 from quire.session import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-MIN_SCORE = 0.3
+#: The least score of a document in ``LANGUAGES`` languages or fewer.
+MIN_SCORE, LANGUAGES = 0.3, 4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told, with the predicted language as ``lang``.
+    """Documents whose language can be told; a missing ``lang`` becomes the predicted one, a given one stays.
 
     Those without a text or a letter go, and those to which the network gives no language ``MIN_SCORE`` on average (of
-    four languages the best has 0.25 at least; on the tables of sf0.1 and the check no document is below).
+    four languages the best has 0.25 at least; on the tables of sf0.1 and the check no document is below). With more
+    languages the floor is lower in proportion, as an even share is. Where no row has a
+    language to learn from, nothing can be told, and every document with a letter stays as it is.
     """
     bounded_batches(spark)
-    found = langid.identify(docs, carry=COLUMNS).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    return found.select(*[(F.col("lang_pred") if c == "lang" else F.col(f"in_{c}")).alias(c) for c in COLUMNS])
+    known = langid.learnable(docs, "doc_id", "text", "lang").select("l").distinct().count()
+    if not known:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    floor = min(MIN_SCORE, MIN_SCORE * LANGUAGES / known)
+    found = langid.identify(docs, carry=COLUMNS).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= floor))
+    return found.select(*[(F.coalesce("in_lang", "lang_pred") if c == "lang" else F.col(f"in_{c}")).alias(c) for c in COLUMNS])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

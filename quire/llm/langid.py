@@ -4,7 +4,7 @@ The network reads each text in segments of ``SEGMENT`` bytes, one direction from
 a distribution over languages, and a text's distribution is the mean over all its bytes. It is trained in numpy by
 backpropagation through time, on a bounded sample: about ``SAMPLE`` texts of each language, chosen by a hash of
 the id over the whole table, ``SPANS`` spans of each at hashed places. Prediction reads every byte of every text.
-Of very many labels the ``LANGS`` most frequent are learned. State begins anew with every segment.
+Every label that occurs is learned. State begins anew with every segment.
 
 Arrays hold features by rows and segments by columns, so that one step of thousands of segments is one product.
 """
@@ -26,7 +26,8 @@ SEGMENT = 64
 HIDDEN = 8
 SAMPLE = 500
 SPANS = 3
-LANGS = 256
+#: Counts of so many labels are sent to every task, those of more are joined by a shuffle.
+BROADCAST_LABELS = 10_000
 STEPS = 260
 BATCH = 128
 FOLDS, HELD_OUT = 5, 0
@@ -111,7 +112,8 @@ def train(spans: list[tuple[str, bytes]], hidden: int = HIDDEN, steps: int = STE
     if not spans:
         return None
     langs = sorted({lang for lang, _ in spans})
-    label = np.array([langs.index(lang) for lang, _ in spans])
+    number = {lang: k for k, lang in enumerate(langs)}
+    label = np.array([number[lang] for lang, _ in spans])
     data = np.stack([np.frombuffer(s[:SEGMENT].ljust(SEGMENT), np.uint8) for _, s in spans])
     rng = np.random.default_rng(seed)
     net = start(langs, hidden, rng)
@@ -201,16 +203,22 @@ def fold(id_col: str | Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(-1))
 
 
+def learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """k, t, l of the rows that may be learned from: those with a text and a language outside the held-out fold."""
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), fold(id_col).alias("f"))
+    return rows.filter((F.col("f") != HELD_OUT) & F.col("l").isNotNull() & (F.length("t") > 0)).select("k", "t", "l")
+
+
 def sample_spans(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> list[tuple[str, bytes]]:
     """About ``sample`` texts of each language outside the held-out fold, a few spans of each, at hashed places of the text."""
-    learn = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), fold(id_col).alias("f")).filter((F.col("f") != HELD_OUT) & F.col("l").isNotNull() & (F.length("t") > 0))
-    share = {r["l"]: sample / r["n"] for r in learn.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGS).collect()}
-    if not share:
-        return []
-    chance = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("l"))
+    learn = learnable(docs, id_col, text_col, lang_col)
+    counts = learn.groupBy("l").agg(F.count("*").alias("n"))
     room = F.greatest(F.length("t") - SEGMENT, F.lit(0)) + 1
     spots = [F.substring(F.col("t"), (F.pmod(F.xxhash64("k", F.lit(i)), room) + 1).cast("int"), F.lit(SEGMENT)) for i in range(SPANS)]
-    rows = learn.filter(F.coalesce(F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 20)) < chance * (1 << 20), F.lit(False))).select("l", F.array(*spots).alias("s")).collect()
+    # only spans, not texts, meet the counts; a label's share of its rows is drawn before anything is collected
+    drawn = learn.select("l", F.pmod(F.xxhash64("k", F.lit("sample")), F.lit(1 << 20)).alias("draw"), F.array(*spots).alias("s"))
+    few = counts.count() <= BROADCAST_LABELS
+    rows = drawn.join(F.broadcast(counts) if few else counts, "l").filter(F.coalesce(F.col("draw") < F.lit(float(sample)) / F.col("n") * (1 << 20), F.lit(False))).select("l", "s").collect()
     return [(r["l"], s.encode()[:SEGMENT]) for r in rows for s in r["s"]]
 
 

@@ -269,3 +269,16 @@ def test_pipeline(spark, docs, texts):
     last = pipeline.STAGES[-1][1](spark, kept, SF_DIR)
     for r, t in zip(last.orderBy("doc_id").collect(), kept.orderBy("doc_id").collect()):
         assert r.decoded_sha256 == hashlib.sha256(t.text.encode()).hexdigest() and r.n_tokens == len(r.ids)
+
+
+def test_more_labels_than_are_sent_to_tasks(spark, monkeypatch):
+    """Every label is learned, however many there are, and the counts of many are joined by a shuffle."""
+    rows = [(i, f"text {i % 300} of label", f"l{i % 300}", 1.0, True) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, held_out boolean")
+    spans = langid.sample_spans(docs, "doc_id", "text", "lang")
+    assert {lang for lang, _ in spans} == {f"l{k}" for k in range(300)}
+    monkeypatch.setattr(langid, "BROADCAST_LABELS", 0)
+    assert sorted(langid.sample_spans(docs, "doc_id", "text", "lang")) == sorted(spans)
+    few = docs.filter("doc_id % 300 < 3")
+    got = langid.identify(few, carry=["score", "held_out"]).collect()
+    assert len(got) == 15 and all(r.in_score == 1.0 and r.in_held_out and r.lang_pred in ("l0", "l1", "l2") for r in got)
