@@ -1,6 +1,6 @@
 """Queries run over the whole of their tables."""
 
-from collections import defaultdict
+import random
 
 from oracle import SF_DIR
 from pyspark.sql import functions as F
@@ -10,8 +10,9 @@ from quire.session import table
 
 
 def test_similar_labels_of_the_whole_table(spark):
-    vocabulary = "red blue old new rod bolt ring".split()
-    labels = [(i, " ".join(vocabulary[(i * (j + 3) + j * j) % 7] for j in range(i % 5 + 1))) for i in range(1, 601, 7)] + [(700, "Red  rod"), (701, "rod red"), (702, ""), (703, None), (704, "unlike")]
+    rng = random.Random(6)
+    vocabulary = "red blue old new rod bolt ring steel brass long".split()
+    labels = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 6)))) for i in range(1, 601, 7)] + [(700, "Red  rod"), (701, "rod red"), (702, ""), (703, None), (704, "unlike")]
     sets = {i: frozenset((t or "").lower().split()) for i, t in labels}
     least = {w: min(i for i in sets if sets[i] == w) for w in sets.values() if w}
     df = spark.createDataFrame(labels, "id long, label string")
