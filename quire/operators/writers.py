@@ -74,7 +74,7 @@ def band_plan(docs: DataFrame, groups: DataFrame, kept: DataFrame) -> tuple[Data
     return starts, band.groupBy("doc").agg(F.collect_set(F.struct("end", "over")).alias("steps"))
 
 
-def layout_cells(docs: DataFrame, rows: DataFrame, fields: DataFrame, cells: DataFrame, groups: DataFrame) -> DataFrame:
+def layout_cells(docs: DataFrame, rows: DataFrame, fields: DataFrame, cells: DataFrame, groups: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """The sheets of docs(job, doc, block, template_id).
 
     rows(doc, section, key, i, label, value, at_row, label_at, value_at): extracted sections in order; the last three are where the
@@ -82,10 +82,11 @@ def layout_cells(docs: DataFrame, rows: DataFrame, fields: DataFrame, cells: Dat
     c, value). groups(template_id, grp, section_label, start_row, end_row, label_col, value_col).
 
     Static cells and fields move down with the bands above them; sections of a group follow each other in its band; sections
-    that no group takes come below the template in A and B, a row between them. Of several writes to a cell the last counts: documents
+    that no group takes come below the template in A and B, a row between them. ``kept`` has them if they are known, as from a
+    written table: plans, offsets and cells all need them. Of several writes to a cell the last counts: documents
     in order, and in each static cells, sections, fields, other sections. Empty values leave a cell as it is.
     """
-    kept = kept_sections(rows, docs, groups)
+    kept = kept_sections(rows, docs, groups) if kept is None else kept
     starts, steps = band_plan(docs, groups, kept)
     bottom = cells.groupBy("template_id").agg((F.max("r") + 1).alias("height"))
     rest = kept.filter("grp IS NULL").groupBy("doc").agg((F.sum("n") + F.count(F.lit(1)) + 1).alias("rest"))

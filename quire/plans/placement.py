@@ -12,8 +12,9 @@ from quire.catalog import query, rows, values_sql
 from quire.functions import values as V
 from quire.operators.ruled import page_tables
 from quire.operators.statements import fill, sections, template_zones
-from quire.operators.writers import cell_map_cells, cell_value, layout_cells, mixed_cells
+from quire.operators.writers import cell_map_cells, cell_value, kept_sections, layout_cells, mixed_cells
 from quire.plans.matching import match_columns
+from quire.plans.sources import scratch
 from quire.session import table
 
 
@@ -166,7 +167,10 @@ def x5_layout_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = docs.filter("doc % 6 = 0").select("doc", F.lit(4).alias("section"), F.lit("Notes").alias("key"), F.inline(extra), F.lit(None).cast("int").alias("at_row"), none.alias("label_at"), none.alias("value_at"))
     fields = docs.filter("template_id = 0").select("doc", F.inline(F.array(*[F.struct(F.lit(r).alias("ref"), v.alias("value")) for r, v in [("B4", F.col("total")), ("b1", F.col("o_orderpriority")), ("C9", F.lit("")), ("?", F.lit("7"))]])))
     sheet = rows(spark, "template_id int, r int, c int, value string", _LAYOUT_CELLS), rows(spark, "template_id int, grp int, section_label string, start_row int, end_row int, label_col int, value_col int", _LAYOUT_GROUPS)
-    return layout_cells(docs, placed.unionByName(again).unionByName(total).unionByName(notes), fields, *sheet)
+    every = placed.unionByName(again).unionByName(total).unionByName(notes)
+    kept, path = kept_sections(every, docs, sheet[1]), scratch(spark)
+    kept.write.parquet(path)
+    return layout_cells(docs, every, fields, *sheet, kept=spark.read.schema(kept.schema).parquet(path))
 
 
 #: template, table, name, first row, column letter, column name.
