@@ -17,7 +17,7 @@ from quire.functions import values as V
 from quire.operators import model
 from quire.plans import placement
 from quire.session import table
-from quire.sources import files, images, sinks
+from quire.sources import files, images, sinks, workbooks
 
 
 def scratch(spark: SparkSession) -> str:
@@ -210,6 +210,42 @@ def k4_typed_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.typed_sheets(docs, {"order_status": True, "total_price": False}, lines, ["line", "part_key"])
 
 
+@query(
+    "k4_job_workbooks",
+    """
+WITH d AS (SELECT o_orderkey AS doc, o_custkey % 90 AS job, o_orderpriority AS type, 'order' || o_orderkey || '.pdf' AS file, CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' END AS confidence, o_orderstatus, round(o_totalprice, 2) AS total, o_orderpriority LIKE '1%' AS review, o_orderkey % 8 = 0 AS failed FROM orders),
+l AS (SELECT doc, job, type, file, l_linenumber, l_partkey FROM lineitem JOIN d ON doc = l_orderkey),
+f AS (SELECT job, CAST(ceil(sum(n) / 600.0) AS BIGINT) AS files FROM (SELECT job, count(*) AS n FROM d GROUP BY job UNION ALL SELECT job, count(*) FROM l GROUP BY job) GROUP BY job),
+b AS (SELECT doc, job || CASE WHEN files > 1 THEN '-' || (1 + CAST('0x' || md5(CAST(doc AS VARCHAR))[1:8] AS BIGINT) % files) ELSE '' END AS book FROM d JOIN f USING (job)),
+x AS (SELECT book, type AS sheet, doc, NULL AS ln, NULL AS pk, file || '|' || coalesce(confidence, 'unknown') || '|' || CASE WHEN review THEN 'Yes' ELSE 'No' END || '|' || o_orderstatus || '|' || printf('%.2f', total) || '|' || CASE WHEN review THEN ' | ERRORS: urgent' ELSE '' END AS told FROM d JOIN b USING (doc)
+  UNION ALL SELECT book, type || '_lines', doc, l_linenumber, l_partkey, file || '|' || l_linenumber || '|' || l_partkey FROM l JOIN b USING (doc)),
+n AS (SELECT *, row_number() OVER (PARTITION BY book, sheet ORDER BY doc, ln, pk) - 1 AS i FROM x),
+p AS (SELECT book, sheet, i // 99 AS part, count(*) + 1 AS rows, string_agg(told, chr(10) ORDER BY i) AS told FROM n GROUP BY ALL),
+s AS (SELECT job, count(*) AS n, count_if(NOT failed) AS good, count_if(failed) AS bad, count_if(review) AS review, avg(CASE confidence WHEN 'high' THEN 3 WHEN 'low' THEN 1 END) AS mean, sum(doc % 100) / 2.0 AS seconds FROM d GROUP BY job)
+SELECT book, CASE WHEN part = 0 THEN sheet ELSE sheet[1:29] || '_' || (part + 1) END AS sheet, CAST(rows AS BIGINT) AS rows,
+  md5(CASE WHEN ends_with(sheet, '_lines') THEN 'Source File|Line|Part Key' ELSE 'Source File|Confidence|Needs Review|Order Status *|Total Price|Notes' END || chr(10) || told) AS digest FROM p
+UNION ALL SELECT job || CASE WHEN files > 1 THEN '-1' ELSE '' END, 'Summary', 8, md5('Total Documents|' || n || chr(10) || 'Successfully Extracted|' || good || chr(10) || 'Failed|' || bad || chr(10) || 'Needs Review|' || review || chr(10)
+  || 'Average Confidence|' || CASE WHEN mean IS NULL THEN 'N/A' WHEN mean >= 2.5 THEN 'High' WHEN mean >= 1.5 THEN 'Medium' ELSE 'Low' END || chr(10) || 'Total Processing Time|' || printf('%.1fs', seconds) || chr(10) || 'Client|' || CASE WHEN job % 10 = 0 THEN 'N/A' ELSE 'client ' || job END || chr(10) || 'LLM Provider|' || CASE WHEN job % 10 = 0 THEN 'N/A' ELSE 'primary' END) FROM s JOIN f USING (job)""",
+)
+def k4_job_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed workbooks of jobs as files, read back: Summary, a sheet for each type and its lines, sheets of at most 100 rows, and further files for jobs of over 600."""
+    key = F.col("o_orderkey")
+    review = F.col("o_orderpriority").startswith("1")
+    docs = table(spark, sf_dir, "orders").select(
+        key.alias("doc"), (F.col("o_custkey") % 90).alias("job"), F.col("o_orderpriority").alias("doc_type"), F.concat(F.lit("order"), key.cast("string"), F.lit(".pdf")).alias("file"),
+        F.when(key % 3 == 0, "high").when(key % 3 == 1, "low").alias("confidence"), review.alias("needs_review"), F.lit("").alias("notes"), F.when(review, F.array(F.lit("urgent"))).alias("errors"),
+        F.col("o_orderstatus").alias("order_status"), F.format_string("%.2f", F.round("o_totalprice", 2)).alias("total_price"), (key % 8 == 0).alias("failed"), ((key % 100) / 2.0).alias("seconds"),
+    )
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part_key"))
+    job = F.col("job")
+    facts = docs.select("job").distinct().filter(job % 10 != 0).select("job", F.concat(F.lit("client "), job.cast("string")).alias("client"), F.lit("primary").alias("provider"))
+    folder = scratch(spark)
+    workbooks.write(sinks.typed_books(docs, {"order_status": True, "total_price": False}, lines, ["line", "part_key"], facts, most_rows=600), folder, sinks.BOOK_ORDER, rows_per_sheet=100)
+    back = workbooks.read(spark, folder).select("book", "sheet", F.struct("row", F.array_join("cells", "|").alias("told")).alias("r"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["told"]), "\n")
+    return back.groupBy("book", "sheet").agg(F.count("*").alias("rows"), F.md5(told).alias("digest"))
+
+
 @query("k5_k6_workbooks", "SELECT o_custkey AS job, CAST(count(*) AS INTEGER) AS files, CAST(6 * count(*) AS BIGINT) AS cells FROM orders GROUP BY o_custkey")
 def k5_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form writer's cells as a spreadsheet file for each document, and a ZIP of the files of each job; what the ZIP holds is read back from it."""

@@ -85,6 +85,49 @@ def typed_sheets(docs: DataFrame, fields: dict[str, bool], lines: DataFrame, lin
     return main.unionByName(top(docs, sheet, heads)).unionByName(rest).unionByName(top(child, line_sheet, [F.lit("Source File"), *title_row(line_fields)]))
 
 
+#: Places of the rows of ``typed_books`` in their file.
+BOOK_ORDER = ["part", "kind", "place", "line"]
+
+
+def typed_books(docs: DataFrame, fields: dict[str, bool], lines: DataFrame, line_fields: Sequence[str], facts: DataFrame, most_rows: int = 4 * 1_048_576) -> DataFrame:
+    """book, sheet, head, cells and ``BOOK_ORDER``: the files of jobs, each with Summary, a sheet for each type and one for its lines.
+
+    ``docs`` is as for ``typed_sheets``, with job, failed and seconds besides; ``lines`` has doc and the line fields (numbers or texts), ``facts``
+    a job's client and provider. Nothing numbers rows here: the writer counts them. A job of over ``most_rows``
+    rows is cut into several files, its documents dealt by their digests, so that no task writes a whole large job; the summary is in the first.
+    """
+    cell = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    known = docs.withColumns({"job": cell(F.col("job")), "doc_type": F.coalesce("doc_type", F.lit("other"))})
+    own = lines.join(known.select("doc", "job", "doc_type", "file"), "doc")
+    sizes = known.select("job").unionAll(own.select("job")).groupBy("job").agg(F.ceil(F.count("*") / most_rows).cast("long").alias("files"))
+    number = F.pmod(F.conv(F.substring(F.md5(F.col("doc").cast("string")), 1, 8), 16, 10).cast("long"), F.col("files"))
+    book = F.when(F.col("files") > 1, F.concat("job", F.lit("-"), (F.col("number") + 1).cast("string"))).otherwise(F.col("job"))
+    dealt = lambda df: df.join(sizes, "job").withColumn("number", number).withColumn("book", book)
+
+    notes = F.concat(cell(F.col("notes")), F.when(F.size("errors") > 0, F.concat(F.lit(" | ERRORS: "), F.array_join("errors", "; "))).otherwise(""))
+    shown = [cell(F.col("file")), F.coalesce("confidence", F.lit("unknown")), F.when(F.coalesce("needs_review", F.lit(False)), "Yes").otherwise("No"), *[cell(F.col(f)) for f in fields], notes]
+    heads = [F.lit(h) for h in ("Source File", "Confidence", "Needs Review")] + [F.concat(V.title(F.lit(f)), F.lit(" *" if need else "")) for f, need in fields.items()] + [F.lit("Notes")]
+    kind_of = lines.select(*[F.col(f).alias(f) for f in line_fields]).schema
+    no_line = F.lit(None).cast(kind_of)
+    main_sheet, line_sheet = F.col("doc_type"), F.concat("doc_type", F.lit("_lines"))
+
+    def row(sheet: Column, kind: int, head: bool, cells: list[Column], place: Column, line: Column) -> list[Column]:
+        return [F.col("book"), sheet.alias("sheet"), F.lit(head).alias("head"), F.array(*cells).alias("cells"), F.col("doc_type").alias("part"), F.lit(kind).alias("kind"), place.alias("place"), line.alias("line")]
+
+    none = F.lit(None).cast(docs.schema["doc"].dataType)
+    ours, theirs = dealt(known), dealt(own)
+    main = ours.select(*row(main_sheet, 1, False, shown, F.col("doc"), no_line))
+    rest = theirs.select(*row(line_sheet, 2, False, [cell(F.col("file")), *[cell(F.col(f)) for f in line_fields]], F.col("doc"), F.struct(*line_fields)))
+    main_head = ours.select("book", "doc_type").distinct().select(*row(main_sheet, 1, True, heads, none, no_line))
+    rest_head = theirs.select("book", "doc_type").distinct().select(*row(line_sheet, 2, True, [F.lit("Source File"), *title_row(line_fields)], none, no_line))
+
+    summary = summary_sheet(known, facts.withColumn("job", cell(F.col("job"))), "job").join(sizes, "job").withColumn("number", F.lit(0)).withColumn("book", book).withColumn("doc_type", F.lit(None).cast("string"))
+    figures = [c for c in summary.columns if c not in ("job", "files", "number", "book", "doc_type")]
+    listed = F.posexplode(F.array(*[F.array(F.lit(c), F.col(c).cast("string")) for c in figures])).alias("at", "cells")
+    told = summary.select("book", "doc_type", listed).select("book", F.lit("Summary").alias("sheet"), F.lit(False).alias("head"), "cells", F.col("doc_type").alias("part"), F.col("at").alias("kind"), none.alias("place"), no_line.alias("line"))
+    return told.unionByName(main_head).unionByName(main).unionByName(rest_head).unionByName(rest)
+
+
 def workbook(rows: list[tuple[int, int, object]] | dict[str, list[tuple[int, int, object]]]) -> bytes:
     """A minimal spreadsheet file of (row, column, value) cells, by sheet name or of one sheet, by the standard library alone."""
     sheets = rows if isinstance(rows, dict) else {"Sheet1": rows}
