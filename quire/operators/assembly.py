@@ -5,7 +5,7 @@ Every question to an outside model goes through ``model.respond``: its recorded
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import values as V
@@ -81,7 +81,7 @@ def boundaries(files: DataFrame, answers: DataFrame, providers: list[str]) -> Da
 
 
 def document_map(files: DataFrame, answers: DataFrame, providers: list[str]) -> DataFrame:
-    """doc_id, doc (place in the file), doc_index, file_name, doc_type, identifier, page_nos, groups, sections of every document that the inventory of a file (task ``map``) lists.
+    """doc_id, doc (place in the file), doc_index, file_name, doc_type, identifier, page_nos, groups, sections, taken (for each group the place of its section or -1) of every document that the inventory of a file (task ``map``) lists.
 
     ``files`` has doc_id, kind, n (pages), stem, suffix and groups (``GROUP``: column groups of its template, null for none).
     Without a usable inventory a file is one document of type other with all pages and a section for each group of its
@@ -106,29 +106,36 @@ def document_map(files: DataFrame, answers: DataFrame, providers: list[str]) ->
     found = _list(F.col("parsed"), "$.documents")
     mapped = told.select("doc_id", "stem", "suffix", "groups", F.when(F.coalesce(F.size(found) > 0, F.lit(False)), F.transform(found, read)).otherwise(plain).alias("documents"))
     out = mapped.select("doc_id", "stem", "suffix", "groups", (F.size("documents") > 1).alias("several"), F.posexplode("documents").alias("doc", "d")).select("*", "d.*")
-    return out.select("doc_id", "doc", "doc_index", _file_name(F.col("stem"), F.col("suffix"), F.col("several"), F.col("doc_index")).alias("file_name"), "doc_type", "identifier", "page_nos", "groups", "sections")
+    # names are squeezed once, in a projection of their own, not again for every pair
+    out = out.withColumns({"keys": F.transform("sections", lambda s: V.squeeze(s["heading"])), "names": F.transform("groups", lambda g: V.squeeze(g["label"]))})
+    return out.select("doc_id", "doc", "doc_index", _file_name(F.col("stem"), F.col("suffix"), F.col("several"), F.col("doc_index")).alias("file_name"), "doc_type", "identifier", "page_nos", "groups", "sections", "keys", "names").withColumn("taken", _group_sections(F.col("names"), F.col("keys"))).drop("keys", "names")
 
 
-def _group_sections(groups: Column, sections: Column) -> Column:
-    """For each group, in order, the place of the section it takes or -1: the first free one of its name, else the first free one that holds its name or lies in it."""
-    keys = F.transform(sections, lambda s: V.squeeze(s["heading"]))
-    places = _numbers(F.size(sections))
+def _group_sections(names: Column, keys: Column) -> Column:
+    """For each name, in order, the place of the key it takes or -1: the first free one that is the name, else the first free one that holds it or lies in it."""
+    places = _numbers(F.size(keys))
 
-    def step(taken: Column, g: Column) -> Column:
-        name = V.squeeze(g["label"])
+    def step(taken: Column, name: Column) -> Column:
         free = lambda test: F.get(F.filter(places, lambda i: test(F.get(keys, i)) & ~F.array_contains(taken, i)), 0)
         exact = free(lambda k: (k != "") & (k == name))
         near = free(lambda k: (name != "") & (k.contains(name) | name.contains(k)))
         return F.concat(taken, F.array(F.coalesce(exact, near, F.lit(-1))))
 
-    return F.aggregate(groups, F.array().cast("array<int>"), step)
+    return F.aggregate(names, F.array().cast("array<int>"), step)
 
 
 def section_tasks(documents: DataFrame) -> DataFrame:
-    """doc_id, doc, section (its place), task, heading, page, item_count, structure, group: a row for every section of ``document_map``, with the group of the template that it fills."""
-    matched = documents.withColumn("taken", _group_sections(F.col("groups"), F.col("sections")))
-    out = matched.select("doc_id", "doc", "groups", "taken", F.posexplode("sections").alias("section", "s")).select("doc_id", "doc", "section", "s.*", F.get("groups", F.array_position("taken", F.col("section")).cast("int") - 1).alias("group"))
-    return out.withColumn("task", F.concat_ws(":", F.lit("section"), F.col("doc").cast("string"), F.col("section").cast("string")))
+    """doc_id, doc, section (its place), task, heading, page, item_count, structure, group, label, first, last: a row for every section of ``document_map``.
+
+    Its label is the name of the template's group that it fills, else its heading; of the sections with one label ``first`` is the place of
+    the first, and ``last`` marks the last.
+    """
+    each = documents.select("doc_id", "doc", "groups", "taken", F.posexplode("sections").alias("section", "s"))
+    out = each.select("doc_id", "doc", "section", "s.*", F.get("groups", F.array_position("taken", F.col("section")).cast("int") - 1).alias("group"))
+    label = F.coalesce(F.nullif(F.col("group.label"), F.lit("")), F.nullif(F.col("heading"), F.lit("")), F.lit("section"))
+    same = Window.partitionBy("doc_id", "doc", "label")
+    marked = out.withColumn("label", label).withColumns({"first": F.min("section").over(same), "last": F.col("section") == F.max("section").over(same)})
+    return marked.withColumn("task", F.concat_ws(":", F.lit("section"), F.col("doc").cast("string"), F.col("section").cast("string")))
 
 
 def _rows(group: Column) -> Column:
@@ -160,17 +167,16 @@ def assemble(documents: DataFrame, answers: DataFrame, providers: list[str]) ->
     answer have no rows. A document's sections are collected in one row, which is its result.
     """
     told = model.respond(section_tasks(documents), answers, providers)
-    label = F.coalesce(F.nullif(F.col("group.label"), F.lit("")), F.nullif(F.col("heading"), F.lit("")), F.lit("section"))
-    parts = told.select("doc_id", "doc", F.struct("section", label.alias("label"), _rows(F.col("group")).alias("rows"), _fields().alias("fields")).alias("part"), F.col("group").isNotNull().alias("filled"))
-    listed = parts.groupBy("doc_id", "doc").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    out = documents.join(listed, ["doc_id", "doc"], "left").withColumn("parts", F.coalesce("parts", F.array().cast(listed.schema["parts"].dataType)))
+    rows = F.when(F.col("last"), F.struct("first", "label", _rows(F.col("group")).alias("rows")))
+    parts = told.groupBy("doc_id", "doc").agg(F.array_sort(F.collect_list(rows)).alias("kept"), F.array_sort(F.collect_list(F.struct("section", _fields().alias("fields")))).alias("parts"))
+    out = documents.join(parts, ["doc_id", "doc"], "left")
+    for name in ("kept", "parts"):
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(parts.schema[name].dataType)))
 
     empty = F.array().cast("array<struct<label_col:string,value_col:string,row:int,label:string,value:string>>")
-    names = F.array_distinct(F.transform("parts", lambda p: p["label"]))
-    kept = F.transform(names, lambda n: F.struct(n.alias("label"), F.element_at(F.filter("parts", lambda p: p["label"] == n), -1)["rows"].alias("rows")))
-    taken = _group_sections(F.col("groups"), F.col("sections"))
-    unfilled = F.array_distinct(F.filter(F.transform("groups", lambda g, i: F.when(F.get(taken, i) < 0, F.coalesce(g["label"], F.concat(F.lit("group_"), i.cast("string"))))), lambda g: g.isNotNull()))
-    rest = F.transform(F.array_except(unfilled, names), lambda n: F.struct(n.alias("label"), empty.alias("rows")))
+    kept = F.transform("kept", lambda p: F.struct(p["label"].alias("label"), p["rows"].alias("rows")))
+    unfilled = F.array_distinct(F.filter(F.transform("groups", lambda g, i: F.when(F.get("taken", i) < 0, F.coalesce(g["label"], F.concat(F.lit("group_"), i.cast("string"))))), lambda g: g.isNotNull()))
+    rest = F.transform(F.array_except(unfilled, F.transform("kept", lambda p: p["label"])), lambda n: F.struct(n.alias("label"), empty.alias("rows")))
     fields = F.flatten(F.transform("parts", lambda p: p["fields"]))
     return out.select("doc_id", "doc", "doc_index", "file_name", "doc_type", "identifier", "page_nos", F.concat(kept, rest).alias("layout_sections"), fields.alias("fields"))
 
