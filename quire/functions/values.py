@@ -206,9 +206,10 @@ def decimal_repair(text: Column) -> Column:
 
 def response_json(raw: Column) -> Column:
     """The JSON text in a model's answer: without thoughts and fences, from the first to the last brace."""
-    s = strip(F.regexp_replace(F.regexp_replace(raw, r"(?is)<think>.*?</think>", ""), r"(?is)<thought>.*?</thought>", ""))
+    # the patterns are tried only where their signs occur: most answers are plain
+    s = strip(F.when(raw.contains("<"), F.regexp_replace(F.regexp_replace(raw, r"(?is)<think>.*?</think>", ""), r"(?is)<thought>.*?</thought>", "")).otherwise(raw))
     fenced = F.regexp_extract(s, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    s = F.when(s.rlike(r"(?s)```(?:json)?\s*.*?```"), strip(fenced)).otherwise(s)
+    s = F.when(s.contains("```") & s.rlike(r"(?s)```(?:json)?\s*.*?```"), strip(fenced)).otherwise(s)
     braces = F.regexp_extract(s, r"(?s)(\{.*\})", 1)
     return F.when(braces != "", braces).otherwise(s)
 
