@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-ATTEMPTS, LOCK_MINUTES, KEEP_DAYS = 5, 15, 30
+ATTEMPTS, LOCK_MINUTES, KEEP_DAYS, BUCKETS = 5, 15, 30, 1024
 TERMINAL = ["completed", "failed", "cancelled"]
 
 
@@ -35,37 +35,58 @@ def split_failures(out: str, dead: str, ok) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def take_new(listings: DataFrame) -> DataFrame:
+def take_new(listings: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """folder, listing, id of a stream of listings (folder, listing, id, ok): what has to be taken at each listing.
 
     Listings of a folder are numbered without gaps. An id is taken if it was not taken yet, or was absent from the listing before, as
-    what is listed no more is forgotten; one whose taking failed (``ok`` is false) counts as not taken. State is one number for
-    each folder and id, the last listing that had it as taken, and lives in the query's checkpoint, so a restart takes nothing
+    what is listed no more is forgotten; one whose taking failed (``ok`` is false) counts as not taken. State is one number for each
+    folder and id, the last listing that had it as taken, and lives in the query's checkpoint, so a restart takes nothing
     twice. Listings of a batch are taken in order. With a watermark on a column ``seen``, ids that are in no listing for ``KEEP_DAYS``
     beyond it leave the state, which changes no result.
+
+    A call of ``step`` costs milliseconds and a row in it microseconds, so folders share ``buckets`` by their hash. A batch reads and writes
+    the state of the buckets that it has rows of; their number belongs to a checkpoint.
     """
     timed = "seen" in listings.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else -1
-        rows = pd.concat(list(batches)).groupby("listing", as_index=False).agg(ok=("ok", "max"), **({"seen": ("seen", "max")} if timed else {})).sort_values("listing")
+        known = {(folder, i): (last, until) for folder, i, last, until in zip(*state.get)} if state.exists else {}
+        found: dict[tuple, dict[int, bool | None]] = {}
+        seen: dict[tuple, int] = {}
+        for batch in [] if state.hasTimedOut else batches:
+            for folder, i, number, ok in zip(*(batch[c].tolist() for c in ("folder", "id", "listing", "ok"))):
+                listed = found.setdefault((folder, i), {})
+                listed[number] = ok if listed.get(number) is None else listed[number] or bool(ok)
+            if timed:
+                for folder, i, at in zip(*(batch[c].tolist() for c in ("folder", "id", "seen"))):
+                    seen[folder, i] = max(seen.get((folder, i), 0), int(at.timestamp() * 1000))
+        now = state.getCurrentWatermarkMs() if timed else 0
         taken = []
-        for number, ok in zip(rows["listing"], rows["ok"]):
-            new = last < 0 or last != number - 1
-            if new:
-                taken.append(int(number))
-            last = int(number) if ok or not new else -1
-        state.update((last,))
+        for x, listed in found.items():
+            last = known[x][0] if x in known else -1
+            for number in sorted(listed):
+                new = last < 0 or last != number - 1
+                if new:
+                    taken.append((x[0], number, x[1]))
+                last = -1 if new and listed[number] is False else number
+            known[x] = last, max(seen[x], now) + KEEP_DAYS * 86_400_000 if timed else 0
         if timed:
-            state.setTimeoutTimestamp(max(int(rows["seen"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + KEEP_DAYS * 86_400_000)
-        yield pd.DataFrame({"folder": [key[0]] * len(taken), "listing": taken, "id": [key[1]] * len(taken)}).astype({"listing": "int64"})
+            known = {x: k for x, k in known.items() if k[1] > now}
+        if known:
+            state.update(([x[0] for x in known], [x[1] for x in known], [k[0] for k in known.values()], [k[1] for k in known.values()]))
+            if timed:
+                state.setTimeoutTimestamp(min(k[1] for k in known.values()))
+        elif state.exists:
+            state.remove()
+        if taken:
+            yield pd.DataFrame(taken, columns=["folder", "listing", "id"])
 
     kinds = dict(listings.dtypes)
-    out = f"folder {kinds['folder']}, listing long, id {kinds['id']}"
-    return listings.groupBy("folder", "id").applyInPandasWithState(step, out, "last long", "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
+    # as texts, folders and ids stay exact beside missing ones
+    told = listings.filter("listing IS NOT NULL").withColumns({"folder": F.col("folder").cast("string"), "id": F.col("id").cast("string"), "listing": F.col("listing").cast("long")})
+    kept = "folders array<string>, ids array<string>, lasts array<long>, untils array<long>"
+    out = told.withColumn("bucket", F.pmod(F.hash("folder"), F.lit(buckets))).groupBy("bucket").applyInPandasWithState(step, "folder string, listing long, id string", kept, "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
+    return out.select(F.col("folder").cast(kinds["folder"]), "listing", F.col("id").cast(kinds["id"]))
 
 
 def job_states(log: DataFrame) -> DataFrame:
