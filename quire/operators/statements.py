@@ -45,7 +45,10 @@ def template_zones(cells: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _best(zones: Column, words: Column, least: float) -> Column:
     """The place of the first zone with the highest similarity to the words; null below ``least`` or where word counts differ by more than 0.7."""
-    scored = F.transform(zones, lambda z, i: F.struct(F.when(V.count_ratio(z.w, words) >= 0.7, V.jaccard(z.w, words)).alias("score"), (-i).alias("at")))
+    met = F.transform(zones, lambda z: F.struct(F.size(z.w).alias("n"), F.size(F.array_intersect(z.w, words)).alias("both")))
+    many = F.size(words)
+    ratio = lambda z: F.least(z.n, many) / F.greatest(z.n, many)
+    scored = F.transform(met, lambda z, i: F.struct(F.when((z.both > 0) & (ratio(z) >= 0.7), z.both / (z.n + many - z.both)).alias("score"), (-i).alias("at")))
     return -F.array_max(F.filter(scored, lambda s: s.score >= least)).at
 
 
@@ -59,10 +62,14 @@ def _named(zones: Column) -> Column:
     return F.transform(whole, lambda z: F.struct(z.zone.alias("zone"), z.norm.alias("norm"), F.array_distinct(F.split(z.norm, " ")).alias("w")))
 
 
-def _lines(text: Column, zones: Column) -> Column:
-    """What each line says by itself: the zone it could open, and what it is inside of one. Every step looks at a text once."""
+def _lines(text: Column, zones: Column, known: Column) -> Column:
+    """What each line says by itself: the zone it could open, and what it is inside of one. Every step looks at a text once.
+
+    ``known`` has all words of the zones' names. What few lines need is asked for only where a cheap sign of it is there.
+    """
     kept = F.filter(F.transform(F.split(F.translate(F.coalesce(text, F.lit("")), "\x01", " "), "\r\n|\r|\n"), V.strip), lambda x: (x != "") & ~x.startswith("---"))
     cut = F.transform(kept, lambda x: F.struct(x.alias("line"), norm(x).alias("norm"), F.split(F.regexp_replace(x, _AMOUNT, "$1\x01$2"), "\x01").alias("m")))
+    spoken_of = lambda x: F.exists(F.array(*map(F.lit, ("total", "sum", "aggregate"))), F.lower(x).contains)
     part = lambda x, i: F.coalesce(F.get(x.m, F.lit(i)), F.lit(""))
     has = lambda x: F.size(x.m) == 2
     label = lambda x: F.when(has(x), V.strip(F.regexp_replace(V.strip(part(x, 0)), ":+$", ""))).otherwise("")
@@ -70,17 +77,18 @@ def _lines(text: Column, zones: Column) -> Column:
 
     def more(x: Column) -> Column:
         kind = F.when((x.capitals > 0.5) & ~x.line.contains("&"), V.stem(x.norm))
-        minus = F.when(x.has & x.line.rlike(_BRACKETS) & ~x.value.startswith("-"), F.concat(F.lit("-"), x.value)).otherwise(x.value)
-        return F.struct(*[x[c].alias(c) for c in ("w", "has", "label", "value", "capitals")], kind.alias("kind"), minus.alias("minus"), F.when(x.label != "", norm(x.label)).otherwise("").alias("item"), F.when(x.label != "", _capitals(x.label)).otherwise(0.0).alias("label_capitals"))
+        minus = F.when(x.has & x.line.contains("(") & x.line.rlike(_BRACKETS) & ~x.value.startswith("-"), F.concat(F.lit("-"), x.value)).otherwise(x.value)
+        return F.struct(*[x[c].alias(c) for c in ("w", "has", "label", "value", "capitals")], kind.alias("kind"), minus.alias("minus"), F.when(spoken_of(x.label), norm(x.label)).otherwise("").alias("summed"))
 
     def judge(x: Column) -> Column:
         spoken = F.filter(F.transform(zones, lambda z, i: F.when(z.norm.contains(x.kind), i)), lambda i: i.isNotNull())
         counts = x.has & (x.label != "")
-        total = counts & (x["item"].isin("total", "grand total", "subtotal") | x["item"].startswith("total ") | x["item"].contains("subtotal"))
-        less = ~total & F.lower(x.label).rlike("^less[: -]") & ~x.minus.startswith("-")
-        grand = F.when(counts & (x.label_capitals >= 0.6) & x["item"].rlike("total|sum|aggregate") & ~F.exists(zones, lambda z: z.norm == x["item"]), V.stem(x["item"]))
+        total = counts & (x.summed.isin("total", "grand total", "subtotal") | x.summed.startswith("total ") | x.summed.contains("subtotal"))
+        less = ~total & F.lower(F.substring(x.label, 1, 5)).isin("less:", "less ", "less-") & ~x.minus.startswith("-")
+        a_zone = F.arrays_overlap(known, F.split(x.summed, " ")) & F.exists(zones, lambda z: z.norm == x.summed)
+        grand = F.when((x.summed != "") & counts & (_capitals(x.label) >= 0.6) & ~a_zone, V.stem(x.summed))
         return F.struct(
-            _best(zones, x.w, 0.5).alias("best"),
+            F.when(F.arrays_overlap(known, x.w), _best(zones, x.w, 0.5)).alias("best"),
             F.when(x.kind.isNotNull(), spoken).otherwise(F.array().cast("array<int>")).alias("spoken"),
             (~x.has & (x.capitals > 0.5)).alias("closes"),
             total.alias("total"),
@@ -103,7 +111,7 @@ def _step(acc: Column, x: Column) -> Column:
 
     def state(opened: Column, filled: Column = acc.filled, total: Column | None = None, mark: bool = True) -> Column:
         marks = F.concat(acc.marks, F.array(F.struct(acc.i.alias("at"), opened.alias("zone"), (F.lit(False) if total is None else total).alias("total")))) if mark else acc.marks
-        return F.struct((acc.i + 1).alias("i"), opened.alias("open"), filled.alias("filled"), marks.alias("marks")).cast(_STATE)
+        return F.struct((acc.i + 1).alias("i"), opened.alias("open"), filled.alias("filled"), marks.alias("marks"))
 
     same = state(acc.open, mark=False)
     return (
@@ -127,7 +135,8 @@ def sections(docs: DataFrame) -> DataFrame:
     with "less" are negative. Blank lines and those that begin with three dashes are passed over.
     """
     named = docs.withColumn("_zones", _named(F.array_distinct(F.transform("zones", lambda z: z.zone))))
-    read = named.withColumn("_lines", _lines(F.col("text"), F.col("_zones")))
+    known = named.withColumn("_known", F.array_distinct(F.flatten(F.transform("_zones", lambda z: z.w))))
+    read = known.withColumn("_lines", _lines(F.col("text"), F.col("_zones"), F.col("_known")))
     start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("open"), F.array().cast("array<int>").alias("filled"), F.array().cast("array<struct<at:int,zone:int,total:boolean>>").alias("marks")).cast(_STATE)
     folded = read.withColumn("_marks", F.aggregate("_lines", start, _step).marks)
     end = lambda i: F.coalesce(F.get("_marks", i + 1).at, F.size("_lines"))
