@@ -28,16 +28,19 @@ def cells(rulings: DataFrame) -> DataFrame:
     """page, x0, y0, x1, y1: the smallest rectangle below and right of each crossing whose four sides are ruled; a cell that spans columns or rows is one."""
     upright = rulings.filter((F.abs(F.col("x1") - F.col("x0")) <= THIN) & (F.abs(F.col("y1") - F.col("y0")) > THIN)).select("page", ((F.col("x0") + F.col("x1")) / 2).alias("p"), F.least("y0", "y1").alias("low"), F.greatest("y0", "y1").alias("high"))
     level = rulings.filter((F.abs(F.col("y1") - F.col("y0")) <= THIN) & (F.abs(F.col("x1") - F.col("x0")) > THIN)).select("page", ((F.col("y0") + F.col("y1")) / 2).alias("p"), F.least("x0", "x1").alias("low"), F.greatest("x0", "x1").alias("high"))
-    v = _segments(upright).select("page", F.struct("k", "piece").alias("v"), F.col("at").alias("x"), F.col("low").alias("v0"), F.col("high").alias("v1"))
-    h = _segments(level).select("page", F.struct("k", "piece").alias("h"), F.col("at").alias("y"), F.col("low").alias("h0"), F.col("high").alias("h1"))
-    inside = lambda p, low, high: (p >= F.col(low) - SNAP) & (p <= F.col(high) + SNAP)
-    cross = v.join(h, "page").filter(inside(F.col("y"), "v0", "v1") & inside(F.col("x"), "h0", "h1")).select("page", "v", "h", "x", "y")
-    right = cross.select("page", "v", "h", "x", "y").join(cross.select("page", "h", F.col("v").alias("v2"), F.col("x").alias("x2")), ["page", "h"]).filter("x2 > x")
-    down = cross.select("page", "v", F.col("h").alias("h2"), F.col("y").alias("y2"))
-    # a corner below on the left line, joined to one on the right line by a ruled bottom
-    bottom = right.join(down, ["page", "v"]).filter("y2 > y")
-    closed = bottom.join(cross.select("page", F.col("v").alias("v2"), F.col("h").alias("h2")), ["page", "v2", "h2"], "left_semi")
-    return closed.groupBy("page", "x", "y").agg(F.min(F.struct("y2", "x2")).alias("m")).select("page", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("m.x2").alias("x1"), F.col("m.y2").alias("y1"))
+    v = _segments(upright).groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("p"), "low", "high"))).alias("v"))
+    h = _segments(level).groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("p"), "low", "high"))).alias("h"))
+    meet = lambda v, h: (h.p >= v.low - SNAP) & (h.p <= v.high + SNAP) & (v.p >= h.low - SNAP) & (v.p <= h.high + SNAP)
+    # the lines of a page are arrays in its rows, so that corners meet without a join: there are far more of them than cells
+    top = v.join(h, "page").select("page", "v", "h", F.explode("h").alias("top")).withColumn("on", F.filter("v", lambda x: meet(x, F.col("top"))))
+    corner = top.select("page", "h", "top", "on", F.explode("on").alias("left"))
+    right, under = F.filter("on", lambda x: x.p > F.col("left.p")), F.filter("h", lambda y: (y.p > F.col("top.p")) & meet(F.col("left"), y))
+    cell = corner.withColumn("right", right).withColumn("under", F.filter(under, lambda y: F.exists("right", lambda x: meet(x, y))))
+    low = F.get("under", F.lit(0))
+    # pieces of one line lie at the same height, so all of the first height are asked for the nearest right side
+    near = F.array_min(F.transform(F.filter("right", lambda x: F.exists("under", lambda y: (y.p == low.p) & meet(x, y))), lambda x: x.p))
+    closed = cell.filter(F.size("under") > 0).select("page", F.col("left.p").alias("x"), F.col("top.p").alias("y"), F.struct(low.p.alias("y2"), near.alias("x2")).alias("m"))
+    return closed.groupBy("page", "x", "y").agg(F.min("m").alias("m")).select("page", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("m.x2").alias("x1"), F.col("m.y2").alias("y1"))
 
 
 def _text(words: Column) -> Column:

@@ -206,7 +206,9 @@ def match_columns(pairs: DataFrame) -> DataFrame:
     sure = pairs.withColumn("tier", F.when(F.col("c") == F.col("h"), 0).when(F.col("h").contains(F.col("c")) | F.col("c").contains(F.col("h")), 1)).filter("tier is not null")
     known = sure.groupBy("tbl", "col").agg(F.min(F.struct("tier", "header"))["header"].alias("header"))
     rest = pairs.join(known.select("tbl", "col"), ["tbl", "col"], "left_anti").select("tbl", "col", "c", "h", "header")
-    near = close_match(rest, "c", "h").groupBy("tbl", "col").agg(F.max(F.struct("ratio", "h", (-F.col("header")).alias("first")))["first"].alias("first"))
+    # tables share their texts, so two texts are compared once, however many tables have them
+    ratios = close_match(rest.select("c", "h").distinct(), "c", "h")
+    near = rest.join(ratios, ["c", "h"]).groupBy("tbl", "col").agg(F.max(F.struct("ratio", "h", (-F.col("header")).alias("first")))["first"].alias("first"))
     return known.union(near.select("tbl", "col", -F.col("first")))
 
 

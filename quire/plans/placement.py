@@ -387,12 +387,13 @@ def table_rows(printed: DataFrame, names: list[str]) -> DataFrame:
     """
     g = printed.select("tbl", "r", F.transform("line", V.collapse).alias("v"))
     hit = lambda n: F.exists("v", lambda x: (x != "") & (F.lower(x).contains(n.lower()) | F.lit(n.lower()).contains(F.lower(x)))).cast("int")
-    scored = g.filter("r < 8").withColumn("score", sum((hit(n) for n in names), F.lit(0)))
-    head = scored.groupBy("tbl").agg(F.max(F.struct("score", (-F.col("r")).alias("first"), "v")).alias("b")).filter(F.col("b.score") >= max(1, len(names) // 2))
-    head = head.select("tbl", (-F.col("b.first")).alias("header_row"), F.col("b.v").alias("headers"))
-    pairs = head.select("tbl", F.posexplode("headers").alias("header", "h")).select("tbl", "header", "h", F.explode(F.array(*map(F.lit, names))).alias("col"))
-    places = match_columns(pairs).groupBy("tbl").agg(F.map_from_entries(F.collect_list(F.struct("col", "header"))).alias("at"))
-    below = g.join(head.select("tbl", "header_row"), "tbl").join(places, "tbl").filter("r > header_row")
+    # the header goes to its rows by a window, and columns are found for each list of headers, which tables share
+    head = F.max(F.when(F.col("r") < 8, F.struct(sum((hit(n) for n in names), F.lit(0)).alias("score"), (-F.col("r")).alias("first"), "v"))).over(Window.partitionBy("tbl"))
+    headed = g.withColumn("b", head).filter(F.col("b.score") >= max(1, len(names) // 2)).select("tbl", "r", "v", (-F.col("b.first")).alias("header_row"), F.col("b.v").alias("headers"))
+    kinds = headed.filter("r = header_row").select(F.col("headers").alias("tbl")).distinct()
+    pairs = kinds.select("tbl", F.posexplode("tbl").alias("header", "h")).select("tbl", "header", "h", F.explode(F.array(*map(F.lit, names))).alias("col"))
+    places = match_columns(pairs).groupBy(F.col("tbl").alias("headers")).agg(F.map_from_entries(F.collect_list(F.struct("col", "header"))).alias("at"))
+    below = headed.filter("r > header_row").join(places, "headers")
     first = F.coalesce(F.get("v", F.lit(0)), F.lit(""))
     kept = below.filter((first != "") & ~F.exists(F.array(*map(F.lit, SKIPPED)), lambda w: F.lower(first).contains(w)) & ~first.rlike("^[0-9]{1,4}$"))
     text = lambda n: F.coalesce(F.regexp_replace(F.regexp_replace(F.get("v", F.col("at")[n]), "^[$]", ""), ",", ""), F.lit(""))
