@@ -93,25 +93,30 @@ def extract(words: DataFrame, pages: DataFrame, cells: DataFrame, groups: DataFr
     """
     lines = printed(words, bands(words, pages, cells, groups, widths))
     layout = layouts(cells, groups, items)
-    each = lines.join(layout, "template_id").withColumn("label", F.col("cols")[F.col("label_col")].label).withColumn("value", F.col("cols")[F.col("value_col")].value).filter("label IS NOT NULL").drop("cols").withColumn("norm", norm(F.col("label")))
-    words_of = V.words(F.col("norm"))
-    scored = F.transform("expected", lambda e, i: F.struct(F.when(e.norm == F.col("norm"), 2.0).otherwise(V.jaccard(e.w, words_of)).alias("score"), (-i).alias("first"), e.r.alias("r")))
-    best = F.array_max(F.filter(scored, lambda s: s.score >= ALIKE)).r
-    total = F.col("norm").startswith("TOTAL") & F.col("total_row").isNotNull()
-    write = lambda phase, line, slot, r, c, value: F.struct(F.struct(F.col("g"), F.lit(phase).alias("phase"), line.alias("line"), slot.alias("slot")).alias("at"), V.cell_ref(r, c).alias("ref"), value.alias("value"))
-    none, top = F.lit(0), F.lit(-1e9)
-    matched = each.filter("value IS NOT NULL").withColumn("row", F.when(total, F.col("total_row")).otherwise(best)).filter("row IS NOT NULL").select("page", write(1, F.col("line"), none, F.col("row"), F.col("value_col"), F.col("value")).alias("x"))
-    on_page = pages.select("page", "template_id").join(lines.select("page").distinct(), "page", "left_semi").join(layout, "template_id")
-    cleared = on_page.filter("header_row IS NOT NULL").select("page", write(0, top, none, F.col("header_row"), F.col("value_col"), F.lit("")).alias("x"))
-    beside = on_page.select("page", "g", "value_col", F.posexplode("spans").alias("k", "s")).select("page", write(2, F.col("k").cast("double"), F.lit(-1), F.col("s.r"), F.col("value_col"), F.lit("")).alias("x"))
-
-    span = Window.partitionBy("page", "g", "k")
-    told = each.select("page", "g", "label_col", "value_col", "line", "label", "value", "norm", F.posexplode("spans").alias("k", "s"))
-    near = lambda w: V.jaccard(w, words_of) >= HEADING
-    placed = told.withColumn("start", F.min(F.when(near(F.col("s.w")), F.col("line"))).over(span)).withColumn("end", F.min(F.when(near(F.col("s.next_w")), F.col("line"))).over(span))
-    listed = placed.filter((F.col("line") > F.col("start")) & (F.col("end").isNull() | (F.col("line") < F.col("end"))) & F.col("value").isNotNull() & ~F.col("norm").rlike("^(SUB)?TOTAL"))
-    slotted = listed.withColumn("slot", F.row_number().over(span.orderBy("line"))).filter("slot < s.until - s.r")
-    at = (2, F.col("k").cast("double"), F.col("slot"), F.col("s.r") + F.col("slot"))
-    filled = slotted.select("page", F.explode(F.array(write(*at, F.col("label_col"), F.col("label")), write(*at, F.col("value_col"), F.col("value")))).alias("x"))
-    every = matched.unionByName(cleared).unionByName(beside).unionByName(filled)
+    whole = layout.groupBy("template_id").agg(F.collect_list(F.struct(*[c for c in layout.columns if c != "template_id"])).alias("groups"))
+    # all that a page says of a group is made in one row, so that words and lines are read once
+    each = lines.groupBy("page", "template_id").agg(F.collect_list(F.struct("line", "cols")).alias("lines")).join(F.broadcast(whole), "template_id").select("page", "lines", F.inline("groups"))
+    told = F.filter(F.transform("lines", lambda x: F.struct(x.line.alias("line"), F.try_element_at(x.cols, F.col("label_col")).label.alias("label"), F.try_element_at(x.cols, F.col("value_col")).value.alias("value"))), lambda x: x.label.isNotNull())
+    normed = F.transform(F.array_sort(told), lambda x: F.struct(x.line.alias("line"), x.label.alias("label"), x.value.alias("value"), norm(x.label).alias("norm")))
+    said = each.withColumn("said", F.transform(normed, lambda x: F.struct(x.line.alias("line"), x.label.alias("label"), x.value.alias("value"), x.norm.alias("norm"), V.words(x.norm).alias("w")))).drop("lines")
+
+    write = lambda phase, line, slot, r, c, value: F.struct(F.struct(F.col("g"), F.lit(phase).alias("phase"), line.cast("double").alias("line"), slot.cast("int").alias("slot")).alias("at"), V.cell_ref(r, c).alias("ref"), value.alias("value"))
+    none, top, blank = F.lit(0), F.lit(-1e9), F.lit("")
+
+    def row(x: Column) -> Column:
+        scored = F.transform("expected", lambda e, i: F.struct(F.when(e.norm == x.norm, 2.0).otherwise(V.jaccard(e.w, x.w)).alias("score"), (-i).alias("first"), e.r.alias("r")))
+        return F.when(x.norm.startswith("TOTAL") & F.col("total_row").isNotNull(), F.col("total_row")).otherwise(F.array_max(F.filter(scored, lambda s: s.score >= ALIKE)).r)
+
+    rows = F.transform(F.filter("said", lambda x: x.value.isNotNull()), lambda x: F.struct(x.line.alias("line"), x.value.alias("value"), row(x).alias("r")))
+    matched = F.transform(F.filter(rows, lambda x: x.r.isNotNull()), lambda x: write(1, x.line, none, x.r, F.col("value_col"), x.value))
+    cleared = F.filter(F.array(write(0, top, none, F.col("header_row"), F.col("value_col"), blank)), lambda _: F.col("header_row").isNotNull())
+    beside = F.transform("spans", lambda s, k: write(2, k, F.lit(-1), s.r, F.col("value_col"), blank))
+
+    near = lambda w: F.array_min(F.transform(F.filter("said", lambda x: V.jaccard(w, x.w) >= HEADING), lambda x: x.line))
+    framed = F.transform("spans", lambda s, k: F.struct(s.r.alias("r"), s.until.alias("until"), k.alias("k"), near(s.w).alias("start"), near(s.next_w).alias("end")))
+    inside = lambda s: F.filter("said", lambda x: (x.line > s.start) & (s.end.isNull() | (x.line < s.end)) & x.value.isNotNull() & ~x.norm.rlike("^(SUB)?TOTAL"))
+    placed = lambda s: F.flatten(F.transform(F.slice(inside(s), F.lit(1), s.until - s.r - 1), lambda x, i: F.array(write(2, s.k, i + 1, s.r + i + 1, F.col("label_col"), x.label), write(2, s.k, i + 1, s.r + i + 1, F.col("value_col"), x.value))))
+    filled = F.flatten(F.transform(framed, placed))
+    # outer: else Spark would test the arrays for rows before it makes them, and so make them twice
+    every = said.select("page", F.explode_outer(F.concat(cleared, matched, beside, filled)).alias("x")).filter("x IS NOT NULL")
     return every.groupBy("page", F.col("x.ref").alias("ref")).agg(F.max_by("x.value", "x.at").alias("value"))

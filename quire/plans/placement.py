@@ -15,7 +15,7 @@ from quire.operators.statements import fill, sections, template_zones
 from quire.operators.writers import cell_map_cells, cell_value, kept_sections, layout_cells, mixed_cells
 from quire.plans.matching import match_columns
 from quire.plans.sources import scratch
-from quire.session import table
+from quire.session import dealt, table
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,9 +337,7 @@ def order_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = template_zones(rows(spark, "template_id int, r int, c int, value string", _SHEETS), rows(spark, "template_id int, g int, label_col int, value_col int", _GROUPS))
-    # reading is long work on few bytes, by which Spark would put many statements into few tasks
-    docs = order_statements(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    return sections(docs.join(zones, "template_id"))
+    return sections(order_statements(spark, sf_dir).join(F.broadcast(zones), "template_id"))
 
 
 @query("e8_section_parse", f"WITH {_STATEMENTS} SELECT doc_id, zone, 'item' AS kind, pos, label, value FROM items UNION ALL SELECT doc_id, zone, 'total', 0, '', value FROM totals")
@@ -369,10 +367,14 @@ def e9_dynamic_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANKED = "k AS (SELECT l_orderkey AS page, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS i FROM lineitem)"
 
 
+LINES = 40_000  # of one task
+
+
 def ranked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page, i, part, qty, price: the lines of each order by number."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.row_number().over(w).alias("i"), F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").cast("int").cast("string").alias("qty"), F.col("l_extendedprice").alias("price"))
+    items = dealt(spark, table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"), "l_orderkey", LINES)
+    return items.select(F.col("l_orderkey").alias("page"), F.row_number().over(w).alias("i"), F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").cast("int").cast("string").alias("qty"), F.col("l_extendedprice").alias("price"))
 
 
 SKIPPED = ["subtotal", "grand total", "shipping", "discount", "charges", "refund", "paid", "free", "balance due"]

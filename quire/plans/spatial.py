@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog import query, rows
 from quire.operators import spatial
-from quire.session import table
+from quire.session import dealt, table
 
 _CELLS = [
     *[(0, r, 0, v) for r, v in enumerate(["Assets", "Cash at bank", "Trade debtors", "Total assets"])], (0, 0, 1, "Amount"),
@@ -18,6 +18,7 @@ _GROUPS = [(0, 0, 0, 1), (1, 0, 0, 1), (1, 1, 2, 3), (2, 0, 0, 1), (2, 1, 2, 3),
 _ITEMS = [(0, 0, 1), (0, 0, 2), (1, 1, 1), (1, 1, 2), (2, 0, 0), (2, 1, 0), (2, 2, 0)]
 _WIDTHS = [(1, [150.0, 50.0, 150.0, 50.0])]
 _WIDE = {0: 600.0, 1: 800.0, 2: 900.0}
+LINES = 40_000  # of one task
 
 
 def _sheets(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -30,7 +31,8 @@ def _sheets(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataF
 def order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """words and pages: an order's lines on a page of its template, with a banner across it; every other page has a mark in a column of its own."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.row_number().over(w).alias("i"), F.col("l_partkey").cast("string").alias("part"), F.format_number("l_extendedprice", 2).alias("price"))
+    items = dealt(spark, table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), "l_orderkey", LINES)
+    lines = items.select(F.col("l_orderkey").alias("page"), F.row_number().over(w).alias("i"), F.col("l_partkey").cast("string").alias("part"), F.format_number("l_extendedprice", 2).alias("price"))
     listed = lines.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("i", "part", "price"))).alias("all")).withColumn("n", F.size("all"))
     t, odd = F.col("page") % 3, F.floor(F.col("page") / 3) % 2 == 1
     signed = lambda x: F.when(x.i % 3 == 1, x.price).when(x.i % 3 == 2, F.concat(F.lit("("), x.price, F.lit(")"))).otherwise(F.concat(F.lit("$"), x.price))
