@@ -99,7 +99,9 @@ def typed_books(docs: DataFrame, fields: dict[str, bool], lines: DataFrame, line
     cell = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     known = docs.withColumns({"job": cell(F.col("job")), "doc_type": F.coalesce("doc_type", F.lit("other"))})
     own = lines.join(known.select("doc", "job", "doc_type", "file"), "doc")
-    sizes = known.select("job").unionAll(own.select("job")).groupBy("job").agg(F.ceil(F.count("*") / most_rows).cast("long").alias("files"))
+    # lines are counted by document, so that they meet the documents once and not for sizes and headings again
+    counted = known.join(lines.groupBy("doc").agg(F.count("*").alias("lines")), "doc", "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+    sizes = counted.groupBy("job").agg(F.ceil(F.sum(F.col("lines") + 1) / most_rows).cast("long").alias("files"))
     number = F.pmod(F.conv(F.substring(F.md5(F.col("doc").cast("string")), 1, 8), 16, 10).cast("long"), F.col("files"))
     book = F.when(F.col("files") > 1, F.concat("job", F.lit("-"), (F.col("number") + 1).cast("string"))).otherwise(F.col("job"))
     dealt = lambda df: df.join(sizes, "job").withColumn("number", number).withColumn("book", book)
@@ -116,10 +118,11 @@ def typed_books(docs: DataFrame, fields: dict[str, bool], lines: DataFrame, line
 
     none = F.lit(None).cast(docs.schema["doc"].dataType)
     ours, theirs = dealt(known), dealt(own)
+    headed = dealt(counted).groupBy("book", "doc_type").agg(F.max("lines").alias("lines"))
     main = ours.select(*row(main_sheet, 1, False, shown, F.col("doc"), no_line))
     rest = theirs.select(*row(line_sheet, 2, False, [cell(F.col("file")), *[cell(F.col(f)) for f in line_fields]], F.col("doc"), F.struct(*line_fields)))
-    main_head = ours.select("book", "doc_type").distinct().select(*row(main_sheet, 1, True, heads, none, no_line))
-    rest_head = theirs.select("book", "doc_type").distinct().select(*row(line_sheet, 2, True, [F.lit("Source File"), *title_row(line_fields)], none, no_line))
+    main_head = headed.select(*row(main_sheet, 1, True, heads, none, no_line))
+    rest_head = headed.filter("lines > 0").select(*row(line_sheet, 2, True, [F.lit("Source File"), *title_row(line_fields)], none, no_line))
 
     summary = summary_sheet(known, facts.withColumn("job", cell(F.col("job"))), "job").join(sizes, "job").withColumn("number", F.lit(0)).withColumn("book", book).withColumn("doc_type", F.lit(None).cast("string"))
     figures = [c for c in summary.columns if c not in ("job", "files", "number", "book", "doc_type")]

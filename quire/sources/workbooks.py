@@ -1,9 +1,10 @@
 """Spreadsheet files as a PySpark Python data source, ``format("workbooks")``.
 
 Rows to write are (book, sheet, head, cells): those of a book come together and in order, so a task streams them into one
-file after another and holds one row of each at a time. A sheet that is full goes on in the next one, under the same
+file after another and holds some ``HELD`` characters of one at a time. A sheet that is full goes on in the next one, under the same
 headings. Files are staged by each attempt and get their names when the job commits, so a lost executor or a repeated
-task leaves none behind. Folders are reached through pyarrow.fs. Reading gives (book, sheet, row, cells), one row at a time as well.
+task leaves none behind. Folders are reached through pyarrow.fs. Reading gives (book, sheet, row, cells) in Arrow batches; the
+plain rows that this writer makes are read as text, all others by an XML parser.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from typing import Any
 from urllib.parse import quote, unquote
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -27,10 +30,16 @@ SCHEMA = "book string, sheet string, row long, cells array<string>"
 #: Rows of a sheet and characters of its name.
 MOST_ROWS, MOST_NAME = 1_048_576, 31
 SPLIT, TASKS = 128 << 20, 32
+#: Characters of a sheet that are held before they are written, bytes read at once, and rows and characters of a batch.
+HELD, READ_AT_ONCE, BATCH_ROWS, BATCH_TEXT = 1 << 18, 1 << 20, 10_000, 4 << 20
 _SPREAD = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+_BEGIN, _END = f'{_HEAD}<worksheet xmlns="{_SPREAD}"><sheetData>', "</sheetData></worksheet>"
+_CELL, _CELL_END = '" t="inlineStr"><is><t xml:space="preserve">', "</t></is></c>"
+#: Texts with any of these are not written as they are; texts with any of the others are left to the XML parser.
+_SPECIAL, _STRANGE = r"[&<>\x00-\x08\x0b-\x1f\x{fffe}\x{ffff}]|_x", re.compile("&(?!amp;|lt;|gt;)|[\x00-\x08\x0b-\x1f\ufffe\uffff]")
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -48,6 +57,7 @@ def _escaped(text: str) -> str:
     return escape(re.sub("[\x00-\x08\x0b-\x1f\ufffe\uffff]", lambda m: f"_x{ord(m[0]):04X}_", text))
 
 
+@cache
 def _letters(column: int) -> str:
     out = ""
     while column >= 0:
@@ -55,6 +65,14 @@ def _letters(column: int) -> str:
     return out
 
 
+@cache
+def _column(letters: str) -> int:
+    column = 0
+    for letter in letters:
+        column = column * 26 + ord(letter) - 64
+    return column - 1
+
+
 class _Stream:
     """A file that zipfile writes to without going back."""
 
@@ -63,16 +81,16 @@ class _Stream:
 
 
 class Book:
-    """One file while it is written, row by row. Texts are kept whole, also those over the 32,767 characters that some programs read."""
+    """One file while it is written, sheet after sheet. Texts are kept whole, also those over the 32,767 characters that some programs read."""
 
     def __init__(self, file: pa.NativeFile, most: int) -> None:
         self.file, self.most = _Stream(file), most
-        self.zip = zipfile.ZipFile(self.file, "w", zipfile.ZIP_DEFLATED)  # type: ignore[arg-type]
+        self.zip = zipfile.ZipFile(self.file, "w", zipfile.ZIP_DEFLATED, compresslevel=1)  # type: ignore[arg-type]
         self.titles: list[str] = []
         self.sheet: str | None = None
         self.head: list[str | None] | None = None
         self.out: Any = None
-        self.row = 0
+        self.row, self.held, self.rows = 0, 0, []
 
     def _open(self, part: int) -> None:
         self._end()
@@ -85,18 +103,26 @@ class Book:
         self.titles.append(title)
         self.part, self.row = part, 0
         self.out = self.zip.open(f"xl/worksheets/sheet{len(self.titles)}.xml", "w", force_zip64=True)
-        self.out.write(f'{_HEAD}<worksheet xmlns="{_SPREAD}"><sheetData>'.encode())
+        self.rows.append(_BEGIN)
 
     def _end(self) -> None:
         if self.out is not None:
-            self.out.write(b"</sheetData></worksheet>")
+            self.rows.append(_END)
+            self._flush()
             self.out.close()
             self.out = None
 
+    def _flush(self) -> None:
+        self.out.write("".join(self.rows).encode())
+        self.held, self.rows = 0, []
+
     def _write(self, cells: list[str | None]) -> None:
         self.row += 1
-        told = "".join(f'<c r="{_letters(i)}{self.row}" t="inlineStr"><is><t xml:space="preserve">{_escaped(v)}</t></is></c>' for i, v in enumerate(cells) if v is not None)
-        self.out.write(f'<row r="{self.row}">{told}</row>'.encode())
+        told = "".join([f'<c r="{_letters(i)}{self.row}{_CELL}{v}{_CELL_END}' for i, v in enumerate(cells) if v is not None])
+        self.rows.append(f'<row r="{self.row}">{told}</row>')
+        self.held += len(told)
+        if self.held > HELD:
+            self._flush()
 
     def add(self, sheet: str | None, head: bool | None, cells: list[str | None] | None) -> None:
         if self.out is None or sheet != self.sheet:
@@ -139,6 +165,17 @@ class Written(WriterCommitMessage):
     files: dict[str, str]
 
 
+def _lists(cells: pa.ListArray) -> Iterator[list[str | None]]:
+    """The lists of a batch, empty where they are null, from one array of all their texts, which XML can hold."""
+    whole, end = cells.flatten(), 0
+    texts = whole.to_numpy(zero_copy_only=False).tolist()
+    if pc.any(pc.match_substring_regex(whole, _SPECIAL)).as_py():
+        texts = [v and _escaped(v) for v in texts]
+    for n in cells.value_lengths().fill_null(0).to_pylist():
+        yield texts[end : end + n]
+        end += n
+
+
 class WorkbookWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
         self.path, self.overwrite = options["path"], overwrite
@@ -154,8 +191,8 @@ class WorkbookWriter(DataSourceArrowWriter):
         files: dict[str, str] = {}
         book, here = None, None
         for batch in iterator:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("book", "sheet", "head", "cells")]
-            for name, sheet, head, cells in zip(*columns):
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("book", "sheet", "head", "cells")]
+            for name, sheet, head, cells in zip(*[c.to_numpy(zero_copy_only=False).tolist() for c in columns[:3]], _lists(columns[3])):
                 name = name or ""
                 if book is None or name != here:
                     if book is not None:
@@ -223,16 +260,101 @@ class WorkbookReader(DataSourceReader):
                 paths, size = [], 0
         return [*out, Files(paths)] if paths or not out else out
 
-    def read(self, partition: Files) -> Iterator[tuple[str, str, int, list[str | None]]]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        books, sheets, rows, lists, size = [], [], [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(books, pa.string()), pa.array(sheets, pa.string()), pa.array(rows, pa.int64()), pa.array(lists, pa.list_(pa.string()))], ["book", "sheet", "row", "cells"])
+
         store, _ = filesystem(self.path)
         for path in partition.paths:
             book = unquote(path.rsplit("/", 1)[1][: -len(".xlsx")])
+            book = "" if book == "%" else book
             with store.open_input_file(path) as file, zipfile.ZipFile(file) as z:
                 targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
                 for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{_SPREAD}}}sheet"):
-                    with z.open(f"xl/{targets[sheet.get(f'{{{_OFFICE}}}id')]}") as part:
-                        for row, cells in sheet_rows(part):
-                            yield "" if book == "%" else book, sheet.get("name"), row, cells
+                    title, part = sheet.get("name"), f"xl/{targets[sheet.get(f'{{{_OFFICE}}}id')]}"
+                    for row, cells, n in _any_rows(z, part):
+                        books.append(book)
+                        sheets.append(title)
+                        rows.append(row)
+                        lists.append(cells)
+                        size += n
+                        if len(rows) >= BATCH_ROWS or size > BATCH_TEXT:
+                            yield batch()
+                            books, sheets, rows, lists, size = [], [], [], [], 0
+        if rows:
+            yield batch()
+
+
+def _any_rows(z: zipfile.ZipFile, part: str) -> Iterator[tuple[int, list[str | None], int]]:
+    """Row numbers, cells and the size of each row of a sheet, as text as far as it has the plain form, then by the parser."""
+    done = 0
+    with z.open(part) as file:
+        for found in _plain_rows(file):
+            if found is None:
+                break
+            yield found
+            done += 1
+        else:
+            return
+    with z.open(part) as file:
+        for at, (row, cells) in enumerate(sheet_rows(file)):
+            if at >= done:
+                yield row, cells, sum(map(len, filter(None, cells)))
+
+
+def _plain_rows(file: Any) -> Iterator[tuple[int, list[str | None], int] | None]:
+    """The rows of a sheet as ``Book`` writes them; null, and then nothing more, where it has another form."""
+    if file.read(len(_BEGIN)) != _BEGIN.encode():
+        yield None
+        return
+    left, more = b"", b" "
+    while more:
+        more = file.read(READ_AT_ONCE)
+        head, cut, rest = (left + more).rpartition(b"</row>") if more else (left, b"", b"")
+        text, left = (head + cut).decode(), rest
+        if not more:
+            if text != _END:
+                yield None
+            return
+        if _STRANGE.search(text):
+            yield None
+            return
+        for told in text.split("</row>")[:-1]:
+            number, opened, cells = told.partition('">')
+            number = number[8:] if opened and number.startswith('<row r="') else ""
+            found = _plain_cells(cells, number) if number.isdecimal() else None
+            if found is None:
+                yield None
+                return
+            yield int(number) - 1, found, len(told)
+
+
+def _plain_cells(told: str, number: str) -> list[str | None] | None:
+    out: list[str | None] = []
+    *cells, end = told.split(_CELL_END)
+    if end:
+        return None
+    if "&" not in told and "_x" not in told:
+        # no text has another form if they make the same row again
+        texts = [cell.partition(_CELL)[2] for cell in cells]
+        if "".join([f'<c r="{_letters(i)}{number}{_CELL}{v}{_CELL_END}' for i, v in enumerate(texts)]) == told and told.count("<") == 6 * len(texts):
+            return texts  # type: ignore[return-value]
+    for cell in cells:
+        place, _, text = cell.partition(_CELL)
+        letters = place[6 : -len(number)]
+        if not (place.startswith('<c r="') and place.endswith(number) and letters.isascii() and letters.isupper() and letters.isalpha()) or "<" in text or _column(letters) < len(out):
+            return None
+        out += [None] * (_column(letters) - len(out))
+        if "&" in text:
+            text = text.replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&")
+        out.append(_unescaped(text) if "_x" in text else text)
+    return out
+
+
+def _unescaped(text: str) -> str:
+    return re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text)
 
 
 def sheet_rows(part: Any) -> Iterator[tuple[int, list[str | None]]]:
@@ -245,12 +367,10 @@ def sheet_rows(part: Any) -> Iterator[tuple[int, list[str | None]]]:
         if event == "end" and element.tag == f"{{{_SPREAD}}}row":
             cells: list[str | None] = []
             for c in element:
-                column = 0
-                for letter in re.match("[A-Z]+", c.get("r"))[0]:  # type: ignore[index, arg-type]
-                    column = column * 26 + ord(letter) - 64
+                column = _column(re.match("[A-Z]+", c.get("r"))[0]) + 1  # type: ignore[index, arg-type]
                 text = "".join(t.text or "" for t in c.iter() if t.tag in (f"{{{_SPREAD}}}t", f"{{{_SPREAD}}}v"))
                 cells += [None] * (column - 1 - len(cells))
-                cells.append(re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text))
+                cells.append(_unescaped(text))
             yield int(element.get("r")) - 1, cells
             if holder is not None:
                 holder.clear()

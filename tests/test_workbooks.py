@@ -55,3 +55,43 @@ def test_scattered_rows_fail_and_publish_nothing(spark, tmp_path):
         with pytest.raises(Exception, match="book 'a'"):
             parts.select("book", "sheet", "head", "cells").write.format("workbooks").option("path", str(tmp_path)).mode("append").save()
         assert list(tmp_path.iterdir()) == []
+
+
+def test_plain_rows_are_read_as_text_and_others_parsed(tmp_path, monkeypatch):
+    """Rows as they are written need no parser; from the first row of another form on, the parser reads."""
+    parsed = []
+    general = workbooks.sheet_rows
+    monkeypatch.setattr(workbooks, "sheet_rows", lambda part: parsed.append(1) or general(part))
+    path = tmp_path / "a.xlsx"
+    for at_once in (1, 50, 1 << 20):
+        monkeypatch.setattr(workbooks, "READ_AT_ONCE", at_once)
+        for odd in (None, '<c r="B2"><v>5</v></c>', '<c r="B2" t="inlineStr"><is><t xml:space="preserve">5&#48;<!-- x --></t></is></c>'):
+            parsed.clear()
+            book = workbooks.Book(workbooks.fs.LocalFileSystem().open_output_stream(str(path)), 100)
+            for n in range(3):
+                book.add("s", False, ["a &amp; _x0041_", None, "ü"] if n < 2 else [])
+            if odd:
+                book.rows.insert(2, f'<row r="9">{odd.replace("B2", "B9")}</row>')
+            book.close()
+            got = [r for p in workbooks.WorkbookReader({"path": str(tmp_path)}).partitions() for b in workbooks.WorkbookReader({"path": str(tmp_path)}).read(p) for r in b.to_pylist()]
+            want = [(0, ["a & A", None, "ü"]), *([(8, [None, "5" if "<v>" in odd else "50"])] if odd else []), (1, ["a & A", None, "ü"]), (2, [])]
+            assert [(r["row"], r["cells"]) for r in got] == want and {r["book"] + r["sheet"] for r in got} == {"as"}
+            assert len(parsed) == bool(odd)
+
+
+def test_lines_meet_documents_once(spark):
+    """The lines of jobs are joined with their documents for their rows, and for sizes and headings only counted."""
+    from pyspark.sql import functions as F
+
+    from quire.sources import sinks
+
+    docs = spark.createDataFrame([(1, "j", "a", "f1"), (2, "j", "b", "f2"), (3, "k", "a", "f3")], "doc long, job string, doc_type string, file string").withColumns({"confidence": F.lit("high"), "needs_review": F.lit(False), "notes": F.lit(""), "errors": F.array().cast("array<string>"), "failed": F.lit(False), "seconds": F.lit(1.0)})
+    lines = spark.createDataFrame([(1, n) for n in range(9)] + [(3, 0), (None, 1), (7, 2)], "doc long, line int")
+    facts = spark.createDataFrame([("j", "c", "p")], "job string, client string, provider string")
+    out = sinks.typed_books(docs, {}, lines, ["line"], facts, most_rows=20)
+    got = sorted((r.book, r.sheet, r.head, r.cells[0], len(r.cells)) for r in out.filter("sheet <> 'Summary'").collect())
+    lined = [("j", "a_lines", False, "f1", 2)] * 9 + [("j", "a_lines", True, "Source File", 2), ("k", "a_lines", False, "f3", 2), ("k", "a_lines", True, "Source File", 2)]
+    main = [(b, t, h, n, 4) for b, t, f in (("j", "a", "f1"), ("j", "b", "f2"), ("k", "a", "f3")) for h, n in ((False, f), (True, "Source File"))]
+    assert got == sorted(lined + main)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner, (doc") == 1
