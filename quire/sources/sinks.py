@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,31 +135,80 @@ def typed_books(docs: DataFrame, fields: dict[str, bool], lines: DataFrame, line
     return told.unionByName(main_head).unionByName(main).unionByName(rest_head).unionByName(rest)
 
 
-def workbook(rows: list[tuple[int, int, object]] | dict[str, list[tuple[int, int, object]]]) -> bytes:
-    """A minimal spreadsheet file of (row, column, value) cells, by sheet name or of one sheet, by the standard library alone."""
-    sheets = rows if isinstance(rows, dict) else {"Sheet1": rows}
-
-    def ref(r: int, c: int) -> str:
-        letters = ""
-        while c >= 0:
-            letters, c = chr(65 + c % 26) + letters, c // 26 - 1
-        return f"{letters}{r + 1}"
-
-    def cell(r: int, c: int, v: object) -> str:
-        if isinstance(v, (int, float)):
-            return f'<c r="{ref(r, c)}"><v>{v}</v></c>'
-        return f'<c r="{ref(r, c)}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
-
-    def data(cells: list[tuple[int, int, object]]) -> str:
-        by_row: dict[int, list[tuple[int, object]]] = {}
-        for r, c, v in sorted(cells, key=lambda x: x[:2]):
-            by_row.setdefault(r, []).append((c, v))
-        return "".join(f'<row r="{r + 1}">{"".join(cell(r, c, v) for c, v in found)}</row>' for r, found in by_row.items())
-
+#: Name, bytes as they are stored, checksum and length of a file in a ZIP, and whether it is deflated.
+Member = tuple[str, bytes, int, int, bool]
+_XML = '<?xml version="1.0" encoding="UTF-8"?>'
+
+
+def deflated(name: str, text: str) -> Member:
+    raw, press = text.encode(), zlib.compressobj(1, zlib.DEFLATED, -15)
+    return name, press.compress(raw) + press.flush(), zlib.crc32(raw), len(raw), True
+
+
+def stored(name: str, raw: bytes) -> Member:
+    return name, raw, zlib.crc32(raw), len(raw), False
+
+
+def zipped(members: Sequence[Member]) -> bytes:
+    """A ZIP of files that are compressed already, so that parts which many files share are compressed once."""
+    if len(members) > 65_000 or sum(len(m[1]) + 2 * len(m[0]) for m in members) > 1 << 31:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            for name, kept, _, _, deflate in members:
+                z.writestr(zipfile.ZipInfo(name), zlib.decompress(kept, -15) if deflate else kept)
+        return out.getvalue()
+    body, table, at = [], [], 0
+    for name, kept, check, size, deflate in members:
+        called = name.encode()
+        same = struct.pack("<5H3L2H", 20, 0x800, 8 if deflate else 0, 0, 33, check, len(kept), size, len(called), 0)
+        body += (b"PK\3\4", same, called, kept)
+        table += (b"PK\1\2\24\3", same, struct.pack("<3H2L", 0, 0, 0, 0o600 << 16, at), called)
+        at += 30 + len(called) + len(kept)
+    listed = b"".join(table)
+    return b"".join([*body, listed, struct.pack("<4s4H2LH", b"PK\5\6", 0, 0, len(members), len(members), len(listed), at, 0)])
+
+
+def unzipped(raw: bytes, prefix: str = "") -> Iterator[tuple[str, bytes]]:
+    """Names and bytes of the files in a ZIP whose names begin with ``prefix``; whatever is not in the plain form of ``zipped`` is left to zipfile."""
+    begin = prefix.encode()
+    mark, _, _, _, n, size, at, _ = struct.unpack("<4s4H2LH", raw[-22:]) if len(raw) >= 22 else (b"", 0, 0, 0, 0, 0, 0, 0)
+    entries, plain = [], mark == b"PK\5\6" and at + size + 22 == len(raw)
+    for _ in range(n if plain else 0):
+        sign, flags, method, check, packed, full, named, extra, comment, local = struct.unpack_from("<4s4x2H4x3L3H8xL", raw, at)
+        called = raw[at + 46 : at + 46 + named]
+        if sign != b"PK\1\2" or flags & ~0x800 or method not in (0, 8) or extra or comment or raw[local : local + 4] != b"PK\3\4" or raw[local + 28 : local + 30] != b"\0\0":
+            plain = False
+            break
+        at += 46 + named
+        if called.startswith(begin):
+            entries.append((called, method, check, full, local + 30 + named, packed))
+    if not plain:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            yield from ((name, z.read(name)) for name in z.namelist() if name.startswith(prefix))
+        return
+    for called, method, check, full, begins, packed in entries:
+        kept = raw[begins : begins + packed]
+        kept = zlib.decompress(kept, -15, full) if method else kept
+        if zlib.crc32(kept) != check:
+            raise zipfile.BadZipFile(f"bad checksum of {called!r}")
+        yield called.decode(), kept
+
+
+@lru_cache(1000)
+def _letters(c: int) -> str:
+    letters = ""
+    while c >= 0:
+        letters, c = chr(65 + c % 26) + letters, c // 26 - 1
+    return letters
+
+
+@lru_cache(1000)
+def _book_parts(names: tuple[str, ...]) -> list[Member]:
+    """The parts of a spreadsheet file that say what sheets it has."""
     spread = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
-    number = list(enumerate(sheets, 1))
+    number = list(enumerate(names, 1))
     named = lambda template: "".join(template.format(i=i, name=escape(name, {'"': "&quot;"})) for i, name in number)
     types = named('<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>')
     listed = named('<sheet name="{name}" sheetId="{i}" r:id="r{i}"/>')
@@ -165,12 +218,28 @@ def workbook(rows: list[tuple[int, int, object]] | dict[str, list[tuple[int, int
         "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
         "xl/workbook.xml": f'<workbook xmlns="{spread}" xmlns:r="{office}"><sheets>{listed}</sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships">{related}</Relationships>',
-    } | {f"xl/worksheets/sheet{i}.xml": f'<worksheet xmlns="{spread}"><sheetData>{data(sheets[name])}</sheetData></worksheet>' for i, name in number}
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts.items():
-            z.writestr(zipfile.ZipInfo(name), '<?xml version="1.0" encoding="UTF-8"?>' + text)
-    return out.getvalue()
+    }
+    return [deflated(name, _XML + text) for name, text in parts.items()]
+
+
+def workbook(rows: list[tuple[int, int, object]] | dict[str, list[tuple[int, int, object]]]) -> bytes:
+    """A minimal spreadsheet file of (row, column, value) cells, by sheet name or of one sheet, by the standard library alone."""
+    sheets = rows if isinstance(rows, dict) else {"Sheet1": rows}
+
+    def cell(r: int, c: int, v: object) -> str:
+        if isinstance(v, (int, float)):
+            return f'<c r="{_letters(c)}{r + 1}"><v>{v}</v></c>'
+        return f'<c r="{_letters(c)}{r + 1}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+
+    def data(cells: list[tuple[int, int, object]]) -> str:
+        by_row: dict[int, list[str]] = {}
+        for r, c, v in sorted(cells, key=lambda x: x[:2]):
+            by_row.setdefault(r, []).append(cell(r, c, v))
+        return "".join([f'<row r="{r + 1}">{"".join(found)}</row>' for r, found in by_row.items()])
+
+    spread = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    told = [deflated(f"xl/worksheets/sheet{i}.xml", f'{_XML}<worksheet xmlns="{spread}"><sheetData>{data(cells)}</sheetData></worksheet>') for i, cells in enumerate(sheets.values(), 1)]
+    return zipped([*_book_parts(tuple(sheets)), *told])
 
 
 def workbooks(cells: DataFrame, by: str) -> DataFrame:
@@ -199,17 +268,44 @@ def archive(files: DataFrame, name: str, group: str) -> DataFrame:
         for batch in batches:
             zips = []
             for found in batch["found"]:
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    for x in found:
-                        z.writestr(zipfile.ZipInfo(x["name"]), bytes(x["file"]))
-                zips.append(out.getvalue())
+                zips.append(zipped([stored(x["name"], bytes(x["file"])) for x in found]))
             yield pd.DataFrame({group: batch[group], "zip": zips, "files": batch["found"].map(len)})
 
     grouped = files.select(group, F.col(name).alias("name"), "file").groupBy(group).agg(F.array_sort(F.collect_list(F.struct("name", "file"))).alias("found"))
     return grouped.mapInPandas(run, f"{group} {files.schema[group].dataType.simpleString()}, zip binary, files long")
 
 
+#: Groups whose archives are in one batch of results.
+ARCHIVES_AT_ONCE = 200
+
+
+def book_archives(docs: DataFrame, name: str, group: str) -> DataFrame:
+    """group, zip, files: one ZIP for each group with a spreadsheet file for each document (name, cells: an array of row, col, text, num).
+
+    Documents are dealt once, as cells; files are made where their archive is, so that no file is shuffled. A group is one task's, as in ``archive``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), ARCHIVES_AT_ONCE):
+                some = batch.slice(at, ARCHIVES_AT_ONCE)
+                found = some.column(1).flatten()
+                cells = found.field("cells").flatten()
+                told = zip(*[cells.field(f).to_numpy(zero_copy_only=False).tolist() for f in ("row", "col")], *[cells.field(f).to_pylist() for f in ("text", "num")])
+                files = []
+                for called, n in zip(found.field("name").to_pylist(), found.field("cells").value_lengths().to_pylist()):
+                    own = [next(told) for _ in range(n)]
+                    files.append(stored(called, workbook([(r, c, text if num is None else num) for r, c, text, num in own if num is not None or text is not None])))
+                zips, end, many = [], 0, some.column(1).value_lengths().to_pylist()
+                for n in many:
+                    zips.append(zipped(files[end : end + n]))
+                    end += n
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(zips, pa.binary()), pa.array(many, pa.int64())], [group, "zip", "files"])
+
+    grouped = docs.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), "cells"))).alias("found"))
+    return grouped.mapInArrow(run, f"{group} {docs.schema[group].dataType.simpleString()}, zip binary, files long")
+
+
 def listed(archives: DataFrame, group: str) -> DataFrame:
     """group, name, cells of the workbooks in each archive, read from its bytes."""
 
@@ -217,10 +313,8 @@ def listed(archives: DataFrame, group: str) -> DataFrame:
         for batch in batches:
             out = []
             for key, raw in zip(batch[group], batch["zip"]):
-                with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
-                    for name in z.namelist():
-                        with zipfile.ZipFile(io.BytesIO(z.read(name))) as book:
-                            out.append((key, name, sum(book.read(part).count(b"<c r=") for part in book.namelist() if part.startswith("xl/worksheets/"))))
+                for name, book in unzipped(bytes(raw)):
+                    out.append((key, name, sum(part.count(b"<c r=") for _, part in unzipped(book, "xl/worksheets/"))))
             yield pd.DataFrame(out, columns=[group, "name", "cells"])
 
     return archives.select(group, "zip").mapInPandas(run, f"{group} {archives.schema[group].dataType.simpleString()}, name string, cells long")
