@@ -150,6 +150,8 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NUMBER = r"([-]?[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{0,2})?)"
 LINE_PATTERNS = [rf"^(.*?)\t\$?{_NUMBER}$", rf"^(.*?)\s+\$\(?{_NUMBER}\)?$", rf"^(.*?)\s+\(?\$?{_NUMBER}\)?$"]
+#: All of them in order; a line end that ``$`` leaves out goes too.
+_ANY_PATTERN = f"(?:{'|'.join(LINE_PATTERNS)})[\\r\\n\\x{{85}}\\x{{2028}}\\x{{2029}}]*"
 
 
 def label_key(x: Column) -> Column:
@@ -159,20 +161,21 @@ def label_key(x: Column) -> Column:
 def parse_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, label, value, line_no of the lines that end in an amount; the last line of a label counts.
 
-    Patterns are tried in order: a tab, a dollar sign, any blank. An amount in brackets is negative, commas go.
+    Patterns are tried in order: a tab, a dollar sign, any blank. An amount in brackets is negative, commas go. Lines are read in their
+    array, step by step, so that each step is taken once for a line: filters behind it would be pushed below with copies of the patterns.
     """
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "raw")).select("doc_id", "line_no", V.strip(F.col("raw")).alias("line"))
-    lines = lines.filter((F.col("line") != "") & ~F.col("line").startswith("---"))
-    # the place of the first pattern that the line matches, then one extract for the label and one for the value
-    which = F.lit(None).cast("int")
-    for i, p in reversed(list(enumerate(LINE_PATTERNS))):
-        which = F.when(F.col("line").rlike(p), i).otherwise(which)
-    lines = lines.withColumn("which", which).filter("which is not null")
-    part = lambda n: F.coalesce(*[F.when(F.col("which") == i, F.regexp_extract("line", p, n)) for i, p in enumerate(LINE_PATTERNS)])
-    found = lines.select("doc_id", "line_no", "line", part(1).alias("label"), part(2).alias("value")).select("doc_id", "line_no", "line", V.strip(F.regexp_replace(V.strip(F.col("label")), ":+$", "")).alias("label"), F.replace("value", F.lit(","), F.lit("")).alias("plain"), "value").filter("label != '' and value != ''")
+    lines = F.transform(F.split(F.col(text_col), "\n"), lambda raw, i: F.struct(i.alias("line_no"), V.strip(raw).alias("line")))
+    lines = F.filter(lines, lambda x: (x["line"] != "") & ~F.startswith(x["line"], F.lit("---")))
+    # the label and the value of the first pattern that fits stand in place of the line; where a pattern fits, the mark takes the place of a blank
+    lines = F.transform(lines, lambda x: F.struct(x["line_no"], x["line"], F.regexp_replace(x["line"], _ANY_PATTERN, "$1$3$5\x01$2$4$6").alias("said")))
+    lines = F.transform(F.filter(lines, lambda x: x["said"] != x["line"]), lambda x: F.struct(x["line_no"], x["line"], x["said"], F.substring_index(x["said"], "\x01", -1).alias("value")))
+    lines = F.transform(lines, lambda x: F.struct(x["line_no"], x["line"], x["value"], F.replace(x["value"], F.lit(","), F.lit("")).alias("plain"), V.strip(F.regexp_replace(V.strip(F.substr(x["said"], F.lit(1), F.length(x["said"]) - F.length(x["value"]) - 1)), ":+$", "")).alias("label")))
     # brackets count where the amount was printed without commas, or with them inside the brackets
-    negative = F.col("line").contains(F.concat(F.lit("("), F.col("plain"), F.lit(")"))) | F.col("line").contains(F.concat(F.lit("($"), F.col("plain"), F.lit(")"))) | F.col("line").contains(F.concat(F.lit("("), F.col("value"), F.lit(")")))
-    found = found.select("doc_id", "line_no", label_key(F.col("label")).alias("label"), F.when(negative & ~F.col("plain").startswith("-"), F.concat(F.lit("-"), F.col("plain"))).otherwise(F.col("plain")).alias("value")).filter("label != ''")
+    held = lambda x, begin, amount: F.contains(x["line"], F.concat(F.lit(begin), amount, F.lit(")")))
+    negative = lambda x: held(x, "(", x["plain"]) | held(x, "($", x["plain"]) | held(x, "(", x["value"])
+    lines = F.transform(F.filter(lines, lambda x: (x["label"] != "") & (x["value"] != "")), lambda x: F.struct(x["line_no"], label_key(x["label"]).alias("label"), F.when(negative(x) & ~F.startswith(x["plain"], F.lit("-")), F.concat(F.lit("-"), x["plain"])).otherwise(x["plain"]).alias("value")))
+    # outer: else Spark would test the arrays for rows before it makes them, and so make them twice
+    found = docs.select(F.col(id_col).alias("doc_id"), F.inline_outer(F.filter(lines, lambda x: x["label"] != ""))).filter("line_no IS NOT NULL")
     return found.groupBy("doc_id", "label").agg(F.max(F.struct("line_no", "value")).alias("last")).select("doc_id", "label", F.col("last.value").alias("value"), F.col("last.line_no").alias("line_no"))
 
 
