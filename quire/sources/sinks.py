@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import values as V
+from quire.session import scratch
 
 
 def flat_sheet(values: DataFrame, columns: Sequence[str], by: str = "doc_id") -> DataFrame:
@@ -68,21 +69,45 @@ def summary_sheet(docs: DataFrame, facts: DataFrame, by: str) -> DataFrame:
     return counts.join(facts, by, "left").select(*counts.columns, unknown(F.col("client")).alias("Client"), unknown(F.col("provider")).alias("LLM Provider"))
 
 
+#: Rows that one task of ``numbered`` sorts.
+NUMBERED_AT_ONCE = 500_000
+
+
+def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """The rows with their number (row, from one) in their group by ``order``, each group spread over tasks.
+
+    Rows are dealt by ranges of group and order and written once with their places; the first number of each task in a group follows from the
+    counts of the tasks before it, a row for each of them.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.count() // NUMBERED_AT_ONCE + 1)
+    path = scratch(spark)
+    placed = df.repartitionByRange(tasks, group, *order).sortWithinPartitions(group, *order).withColumn("place", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    kept = spark.read.schema(placed.schema).parquet(path).withColumn("part", F.shiftright("place", 33))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    each = kept.groupBy(group, "part").agg(F.count("*").alias("n"), F.min("place").alias("first")).withColumn("above", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = each.select(F.col(group).alias("of"), F.col("part").alias("at"), (F.col("above") - F.col("first") + 1).alias("shift"))
+    return kept.join(F.broadcast(starts), (F.col("part") == F.col("at")) & F.col(group).eqNullSafe(F.col("of"))).select(*df.columns, (F.col("place") + F.col("shift")).alias("row"))
+
+
 def typed_sheets(docs: DataFrame, fields: dict[str, bool], lines: DataFrame, line_fields: Sequence[str]) -> DataFrame:
     """sheet, row, col, value of a workbook with a sheet for each type and one for its lines, headings in row 0.
 
     ``docs`` has doc, doc_type, file, confidence, needs_review, notes, errors and the fields (true: required, marked in
     the heading); ``lines`` has doc and the line fields, in whose order the lines of a document come. Row numbers run
-    over a type, so a window over each type's documents is needed; it carries ids only.
+    over a type, which may be most of the table, so they are counted by ``numbered``.
     """
     cell = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     notes = F.concat(cell(F.col("notes")), F.when(F.size("errors") > 0, F.concat(F.lit(" | ERRORS: "), F.array_join("errors", "; "))).otherwise(""))
     own = [F.col("file"), F.coalesce("confidence", F.lit("unknown")), F.when(F.coalesce("needs_review", F.lit(False)), "Yes").otherwise("No"), *[cell(F.col(f)) for f in fields], notes]
     heads = [F.lit(h) for h in ("Source File", "Confidence", "Needs Review")] + [F.concat(V.title(F.lit(f)), F.lit(" *" if need else "")) for f, need in fields.items()] + [F.lit("Notes")]
     sheet = F.substring(F.col("doc_type"), 1, 31)
-    numbered = lambda df, *order: df.withColumn("row", F.row_number().over(Window.partitionBy("doc_type").orderBy(*order)).cast("long"))
-    main = numbered(docs, "doc").select(sheet.alias("sheet"), "row", F.posexplode(F.array(*own)).alias("col", "value"))
-    child = numbered(lines.join(docs.select("doc", "doc_type", "file"), "doc"), "doc", *line_fields)
+    own = [c.alias(f"cell{i}") for i, c in enumerate(own)]
+    main = numbered(docs.select("doc_type", "doc", *own), "doc_type", "doc")
+    cells = [F.col(f"cell{i}") for i in range(len(own))]
+    main = main.select(sheet.alias("sheet"), "row", F.posexplode(F.array(*cells)).alias("col", "value"))
+    child = numbered(lines.join(docs.select("doc", "doc_type", "file"), "doc").select("doc_type", "doc", "file", *line_fields), "doc_type", "doc", *line_fields)
     line_sheet = F.substring(F.concat("doc_type", F.lit("_lines")), 1, 31)
     rest = child.select(line_sheet.alias("sheet"), "row", F.posexplode(F.array("file", *[cell(F.col(f)) for f in line_fields])).alias("col", "value"))
     top = lambda df, name, cells: df.select("doc_type").distinct().select(name.alias("sheet"), F.lit(0).cast("long").alias("row"), F.posexplode(F.array(*cells)).alias("col", "value"))
