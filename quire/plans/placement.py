@@ -12,7 +12,7 @@ from quire.catalog import query, rows, values_sql
 from quire.functions import values as V
 from quire.operators.ruled import page_tables
 from quire.operators.statements import fill, sections, template_zones
-from quire.operators.writers import cell_map_cells, cell_value, kept_sections, layout_cells, mixed_cells
+from quire.operators.writers import cell_map_cells, cell_value, layout_cells, mixed_cells
 from quire.plans.matching import match_columns
 from quire.plans.sources import scratch
 from quire.session import dealt, table
@@ -30,6 +30,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.row_number().over(w) - 1).alias("i"), F.col("l_partkey").cast("string").alias("item"), F.concat(F.lit("("), F.format_number("l_extendedprice", 2), F.lit(")")).alias("amount"))
 
 
+#: Line items of a task where they are dealt by document.
+LINES_A_TASK = 400_000
+
+
+def with_lines(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """Documents with their line items as an array, in the order of ``lines``: dealt by document once, while they are narrow."""
+    narrow = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_linenumber", F.col("l_partkey").alias("item"), F.col("l_extendedprice").alias("price"))
+    listed = dealt(spark, narrow, "doc", LINES_A_TASK).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "item", "price"))).alias("lines"))
+    # merged, not sent to all: the lines are the larger side, and stay where they were dealt
+    return docs.join(listed.hint("merge"), "doc", "left").withColumn("lines", F.coalesce("lines", F.array().cast(listed.schema["lines"].dataType)))
+
+
 _BLOCKS = "d AS (SELECT o_custkey AS job, o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS block, o_totalprice, o_orderpriority FROM orders)"
 _LINES = "i AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1 AS i, CAST(l_partkey AS VARCHAR) AS item, l_extendedprice AS price FROM lineitem)"
 
@@ -113,17 +125,24 @@ SELECT job, CAST(row AS BIGINT) AS row, col, text, num FROM w""",
 def x4_mixed_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a job in a template of form rows and two tables, every other one in a template of one table: fields, answers, formulas and records."""
     key = F.col("doc")
-    docs = jobs(spark, sf_dir).withColumns({"template_id": (key % 2).cast("int"), "file": F.concat(key.cast("string"), F.lit(".pdf")), "flagged": F.when(key % 3 == 0, 2).otherwise(0)})
-    side = F.col("i") % 3
+    docs = with_lines(spark, sf_dir, jobs(spark, sf_dir)).withColumns({"template_id": (key % 2).cast("int"), "file": F.concat(key.cast("string"), F.lit(".pdf")), "flagged": F.when(key % 3 == 0, 2).otherwise(0)})
+    two = F.col("template_id") == 0
     pairs = lambda a, x, b, y: F.create_map(F.lit(a), x, F.lit(b), y)
-    plain = F.concat(F.lit("$"), F.regexp_replace("amount", "[()]", ""))
-    listed = lines(spark, sf_dir).withColumn("template_id", (key % 2).cast("int")).select("doc", "template_id", "i", F.when(F.col("template_id") == 1, None).when(side == 0, "lines").when(side == 1, "extras").alias("source"), F.when((F.col("template_id") == 0) & (side == 1), pairs("Note", F.col("item"), "Qty", plain)).otherwise(pairs("Item", F.col("item"), "Amount", F.col("amount"))).alias("values"))
-    heads = docs.select("doc", "template_id", F.lit(-1).alias("i"), F.when(F.col("template_id") == 0, "lines").alias("source"), pairs("Item", F.lit("Item"), "Amount", F.lit(" Amount ")).alias("values"))
-    fields = docs.select("doc", F.inline(F.when(F.col("template_id") == 0, F.array(*[F.struct(F.lit(r).alias("ref"), v.alias("value")) for r, v in [("B1", key.cast("string")), ("b10", F.col("o_orderpriority")), ("A1", F.lit("kept"))]])).otherwise(F.array(F.struct(F.lit("E3").alias("ref"), F.concat(F.lit("$"), "total").alias("value"))))))
-    answers = docs.select("doc", F.lit("Total amount").alias("label"), F.col("total").alias("value"))
+    record = lambda source, values: F.struct(source.alias("source"), values.alias("values"))
+
+    def listed(x: Column, i: Column) -> Column:
+        item, price, side = x["item"].cast("string"), F.format_number(x.price, 2), i % 3
+        source = F.when(two & (side == 0), "lines").when(two & (side == 1), "extras")
+        return record(source, F.when(two & (side == 1), pairs("Note", item, "Qty", F.concat(F.lit("$"), price))).otherwise(pairs("Item", item, "Amount", F.concat(F.lit("("), price, F.lit(")")))))
+
+    head = record(F.when(two, "lines"), pairs("Item", F.lit("Item"), "Amount", F.lit(" Amount ")))
+    field = lambda ref, value: F.struct(F.lit(ref).alias("ref"), value.alias("value"))
+    fields = F.when(two, F.array(field("B1", key.cast("string")), field("b10", F.col("o_orderpriority")), field("A1", F.lit("kept")))).otherwise(F.array(field("E3", F.concat(F.lit("$"), "total"))))
+    answers = F.array(F.struct(F.lit("Total amount").alias("label"), F.col("total").alias("value")))
+    docs = docs.select("job", "doc", "block", "template_id", "file", "flagged", fields.alias("fields"), answers.alias("answers"), F.concat(F.array(head), F.transform("lines", listed)).alias("records"))
     tables = rows(spark, "template_id int, table_no int, header_row int, start_col int, names string, section string", _MIXED_TABLES).withColumn("names", F.split("names", "[|]"))
     labels = rows(spark, "template_id int, r int", [(0, 3), (0, 6)])
-    return mixed_cells(docs, rows(spark, "template_id int, r int, c int, value string, target boolean", _MIXED_CELLS), tables, labels, fields, answers, heads.unionByName(listed))
+    return mixed_cells(docs, rows(spark, "template_id int, r int, c int, value string, target boolean", _MIXED_CELLS), tables, labels)
 
 
 #: A template with two sections side by side, one below them, and a total; one whose group takes nothing; one without groups.
@@ -155,22 +174,25 @@ SELECT job, CAST(row AS BIGINT) AS row, col, text, num FROM w""",
 )
 def x5_layout_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a job in three layouts: sections of their own names and of longer ones, one that repeats another, one that has no place, and fixed cells."""
-    docs = jobs(spark, sf_dir).withColumn("template_id", (F.col("doc") % 3).cast("int"))
-    found = lines(spark, sf_dir).withColumn("t", F.col("doc") % 3).withColumn("label", F.concat((F.col("i") + 1).cast("string"), F.lit("-"), F.col("item")))
-    side = F.col("i") % 3
-    none = F.lit(None).cast("string")
-    odd = (F.col("t") == 2) & (F.col("i") % 2 == 0)  # the answer's label letter is no column
-    placed = found.select("doc", F.when(F.col("t") > 0, 0).when(side == 0, 0).when(side == 1, 2).otherwise(3).alias("section"), F.when(F.col("t") > 0, "Goods").when(side == 0, "CURRENT ASSETS").when(side == 1, "Liabilities (short)").otherwise("Shareholders' equity").alias("key"), "i", "label", F.col("amount").alias("value"), (F.col("i") + 3).alias("at_row"), F.when(odd, none).otherwise("c").alias("label_at"), F.lit("D").alias("value_at"))
-    again = placed.filter((F.col("doc") % 3 == 0) & (F.col("section") == 0)).withColumns({"section": F.lit(1), "key": F.lit("Total current assets")})
-    total = again.filter("i = 0").withColumns({"i": F.lit(1 << 20), "label": F.lit("Total")})
-    extra = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(label).alias("label"), value.alias("value")) for i, label, value in [(0, "Note", F.col("o_orderpriority")), (1, "Memo", F.lit(""))]])
-    notes = docs.filter("doc % 6 = 0").select("doc", F.lit(4).alias("section"), F.lit("Notes").alias("key"), F.inline(extra), F.lit(None).cast("int").alias("at_row"), none.alias("label_at"), none.alias("value_at"))
-    fields = docs.filter("template_id = 0").select("doc", F.inline(F.array(*[F.struct(F.lit(r).alias("ref"), v.alias("value")) for r, v in [("B4", F.col("total")), ("b1", F.col("o_orderpriority")), ("C9", F.lit("")), ("?", F.lit("7"))]])))
+    docs = with_lines(spark, sf_dir, jobs(spark, sf_dir)).withColumn("template_id", (F.col("doc") % 3).cast("int"))
+    t, none = F.col("template_id"), F.lit(None).cast("string")
+    row = lambda i, label, value, at, label_at, value_at: F.struct(i.alias("i"), label.alias("label"), value.alias("value"), at.alias("at_row"), label_at.alias("label_at"), value_at.alias("value_at"))
+
+    def line(x: Column, i: Column) -> Column:
+        odd = (t == 2) & (i % 2 == 0)  # the answer's label letter is no column
+        label, value = F.concat((i + 1).cast("string"), F.lit("-"), x["item"].cast("string")), F.concat(F.lit("("), F.format_number(x.price, 2), F.lit(")"))
+        return row(i, label, value, i + 3, F.when(odd, none).otherwise("c"), F.lit("D"))
+
+    found = docs.withColumn("found", F.transform("lines", line))
+    side = lambda n: F.filter("found", lambda r: r.i % 3 == n)
+    total = F.transform(F.slice("found", 1, 1), lambda r: row(r.i, F.lit("Total"), r.value, r.at_row, r.label_at, r.value_at))
+    notes = F.when(F.col("doc") % 6 == 0, F.array(*[row(F.lit(i), F.lit(label), value, F.lit(None).cast("int"), none, none) for i, label, value in [(0, "Note", F.col("o_orderpriority")), (1, "Memo", F.lit(""))]])).otherwise(F.array().cast(found.schema["found"].dataType))
+    section = lambda key, rows_: F.struct(F.lit(key).alias("key"), rows_.alias("rows"))
+    three = F.array(section("CURRENT ASSETS", side(0)), section("Total current assets", F.concat(side(0), total)), section("Liabilities (short)", side(1)), section("Shareholders' equity", side(2)), section("Notes", notes))
+    sections_ = F.filter(F.when(t == 0, three).otherwise(F.array(section("Goods", F.col("found")))), lambda s: F.size(s.rows) > 0)
+    fields = F.when(t == 0, F.array(*[F.struct(F.lit(r).alias("ref"), v.alias("value")) for r, v in [("B4", F.col("total")), ("b1", F.col("o_orderpriority")), ("C9", F.lit("")), ("?", F.lit("7"))]]))
     sheet = rows(spark, "template_id int, r int, c int, value string", _LAYOUT_CELLS), rows(spark, "template_id int, grp int, section_label string, start_row int, end_row int, label_col int, value_col int", _LAYOUT_GROUPS)
-    every = placed.unionByName(again).unionByName(total).unionByName(notes)
-    kept, path = kept_sections(every, docs, sheet[1]), scratch(spark)
-    kept.write.parquet(path)
-    return layout_cells(docs, every, fields, *sheet, kept=spark.read.schema(kept.schema).parquet(path))
+    return layout_cells(found.select("job", "doc", "block", "template_id", sections_.alias("sections"), fields.alias("fields")), *sheet)
 
 
 #: template, table, name, first row, column letter, column name.
