@@ -141,9 +141,11 @@ def section_tasks(documents: DataFrame) -> DataFrame:
 def _rows(group: Column) -> Column:
     """The rows of the first section in an answer, numbered by their places; what is no object is left out, but keeps its number."""
     inner = F.coalesce(_at(F.col("parsed"), "$.documents[0]", "variant"), F.col("parsed"))
-    json = V.response_json(F.col("raw"))
-    blocks = F.coalesce(F.get_json_object(json, "$.documents[0].layout_sections"), F.get_json_object(json, "$.layout_sections"))
-    first = F.get(F.json_object_keys(blocks), 0)
+    # variants have their keys in order of the alphabet: the text tells which came first, and its beginning is enough where the key is plain
+    wrapped = _at(F.col("parsed"), "$.documents[0]", "variant").isNotNull()
+    blocks = F.when(wrapped, F.get_json_object("json", "$.documents[0].layout_sections")).otherwise(F.get_json_object("json", "$.layout_sections"))
+    plain = F.regexp_extract(blocks, r'^\{"([^"\\]+)":', 1)
+    first = F.when(plain != "", plain).otherwise(F.get(F.json_object_keys(blocks), 0))
     rows = _list(F.try_element_at(_at(inner, "$.layout_sections", "map<string,variant>"), first), "$.rows")
     text = lambda r, path: F.coalesce(_at(r, path), F.lit(""))
     column = lambda r, path, given, plain: F.upper(F.coalesce(F.nullif(given, F.lit("")), F.when(group.isNull(), F.nullif(text(r, path), F.lit(""))), F.lit(plain)))
@@ -166,7 +168,7 @@ def assemble(documents: DataFrame, answers: DataFrame, providers: list[str]) ->
     last is kept, at the place of the first. Groups that no section fills come last and are empty. Sections without an
     answer have no rows. A document's sections are collected in one row, which is its result.
     """
-    told = model.respond(section_tasks(documents), answers, providers)
+    told = model.read_answers(section_tasks(documents), answers, providers)
     rows = F.when(F.col("last"), F.struct("first", "label", _rows(F.col("group")).alias("rows")))
     parts = told.groupBy("doc_id", "doc").agg(F.array_sort(F.collect_list(rows)).alias("kept"), F.array_sort(F.collect_list(F.struct("section", _fields().alias("fields")))).alias("parts"))
     out = documents.join(parts, ["doc_id", "doc"], "left")
@@ -181,10 +183,15 @@ def assemble(documents: DataFrame, answers: DataFrame, providers: list[str]) ->
     return out.select("doc_id", "doc", "doc_index", "file_name", "doc_type", "identifier", "page_nos", F.concat(kept, rest).alias("layout_sections"), fields.alias("fields"))
 
 
-def facts(results: DataFrame) -> DataFrame:
-    """doc_id, doc, place, key, value, ref: what the results say by label, then their single fields; of one key the last value counts, at the place of the first. Rows without a label are left out."""
+def facts(results: DataFrame, about: str | None = None) -> DataFrame:
+    """doc_id, doc, place, key, value, ref: what the results say by label, then their single fields; of one key the last value counts, at the place of the first. Rows without a label are left out.
+
+    With ``about``, a column of results, it stands beside each fact, and a document without facts has one row without a key.
+    """
     entry = lambda key, value, ref: F.struct(key.alias("key"), value.alias("value"), ref.alias("ref"))
     rows = F.filter(F.flatten(F.transform("layout_sections", lambda s: s["rows"])), lambda r: r["label"] != "")
     said = F.concat(F.transform(rows, lambda r: entry(r["label"], r["value"], F.concat(r["value_col"], r["row"].cast("string")))), F.transform("fields", lambda f: entry(f["key"], f["value"], f["key"])))
-    each = results.select("doc_id", "doc", F.posexplode(said).alias("place", "e")).select("doc_id", "doc", "place", "e.*")
-    return each.groupBy("doc_id", "doc", "key").agg(F.min("place").alias("place"), F.max_by(F.struct("value", "ref"), "place").alias("last")).select("doc_id", "doc", "place", "key", "last.*")
+    keys = ["doc_id", "doc", *([about] if about else [])]
+    each = results.select(*keys, F.posexplode_outer(said).alias("place", "e")).select(*keys, "place", "e.*")
+    told = each if about else each.filter("place IS NOT NULL")
+    return told.groupBy(*keys, "key").agg(F.min("place").alias("place"), F.max_by(F.struct("value", "ref"), "place").alias("last")).select(*keys, "place", "key", "last.*")

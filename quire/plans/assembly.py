@@ -135,7 +135,8 @@ def e20_assembled_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = assembly.document_map(files, maps, PROVIDERS)
     results = assembly.assemble(documents, sections, PROVIDERS)
     line = F.concat("key", F.lit("="), "value", F.lit("@"), "ref")
-    said = assembly.facts(results).groupBy("doc_id", "doc").agg(F.count("*").alias("facts"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), ";")).alias("digest"))
     layout = F.array_join(F.transform("layout_sections", lambda s: F.concat(s["label"], F.lit(":"), F.size(s["rows"]).cast("string"))), ";")
-    out = results.select("doc_id", "doc", F.col("doc_index").alias("idx"), "file_name", "doc_type", "identifier", F.size("page_nos").alias("page_count"), layout.alias("layout"))
-    return out.join(said, ["doc_id", "doc"], "left").select("doc_id", "idx", "file_name", "doc_type", "identifier", "page_count", "layout", F.coalesce("facts", F.lit(0)).alias("facts"), "digest")
+    about = F.struct(F.col("doc_index").alias("idx"), "file_name", "doc_type", "identifier", F.size("page_nos").alias("page_count"), layout.alias("layout"))
+    # what is shown of a document goes along with its facts, so that its answers are read for both at once
+    said = assembly.facts(results.withColumn("about", about), "about").groupBy("doc_id", "doc", "about").agg(F.count("place").alias("facts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", line.alias("line"))))), lambda x: x["line"]), ";").alias("text"))
+    return said.select("doc_id", "about.*", "facts", F.when(F.col("facts") > 0, F.md5("text")).alias("digest"))
