@@ -14,7 +14,6 @@ from quire.operators.ruled import page_tables
 from quire.operators.statements import fill, sections, template_zones
 from quire.operators.writers import cell_map_cells, cell_value, layout_cells, mixed_cells
 from quire.plans.matching import match_columns
-from quire.plans.sources import scratch
 from quire.session import dealt, table
 
 
