@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -212,6 +212,26 @@ def match_columns(pairs: DataFrame) -> DataFrame:
     return known.union(near.select("tbl", "col", -F.col("first")))
 
 
+def column_places(names: list[str]) -> Callable[[Column | str], Column]:
+    """A function of a table's headers, in small letters, to the places of the names among them, by the rule of ``match_columns``; null where none is like a name.
+
+    It is for tables that are dear to make: they are read once, while pairs of their headers would need them again. Lists of headers recur and are compared once in a batch.
+    """
+
+    def place(name: str, headers: tuple[str, ...]) -> int | None:
+        sure = [(h != name, i) for i, h in enumerate(headers) if name in h or h in name]
+        near = [] if sure else [(difflib.SequenceMatcher(None, h, name).ratio(), h, -i) for i, h in enumerate(headers)]
+        best = max([x for x in near if x[0] >= 0.6], default=None)
+        return min(sure)[1] if sure else best and -best[2]
+
+    def run(headers: pd.Series) -> pd.Series:
+        lists = [tuple(x) for x in headers]
+        known = {x: [place(n.lower(), x) for n in names] for x in set(lists)}
+        return pd.Series([known[x] for x in lists], dtype=object)
+
+    return F.pandas_udf(run, "array<int>")
+
+
 @query(
     "j9_column_headers",
     f"""

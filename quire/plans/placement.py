@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from quire.catalog import query, rows, values_sql
 from quire.functions import values as V
-from quire.operators.ruled import page_tables
+from quire.operators.ruled import page_rows
 from quire.operators.statements import fill, sections, template_zones
 from quire.operators.writers import cell_map_cells, cell_value, layout_cells, mixed_cells
-from quire.plans.matching import match_columns
+from quire.plans.matching import column_places
 from quire.session import dealt, table
 
 
@@ -402,25 +402,29 @@ SKIPPED = ["subtotal", "grand total", "shipping", "discount", "charges", "refund
 
 
 def table_rows(printed: DataFrame, names: list[str]) -> DataFrame:
-    """tbl, r, cells (map of name to text) from printed(tbl, r, line array): rows below the header that name something.
+    """tbl, r, cells (map of name to text) from printed(tbl, r, line array), by ``named_rows``."""
+    return named_rows(printed.groupBy("tbl").agg(F.collect_list(F.struct("r", "line")).alias("rows")), names)
+
+
+def named_rows(tables: DataFrame, names: list[str]) -> DataFrame:
+    """tbl, r, cells (map of name to text) from tables(tbl, rows (r, line array)): rows below the header that name something.
 
     The header is the first of the first eight rows that names most columns, half of them (and one) at least; tables
     without one give no rows. Rows without a first cell, of summaries, or that begin with a number of up to four figures
     are left out; amounts lose a leading ``$`` and their commas.
     """
-    g = printed.select("tbl", "r", F.transform("line", V.collapse).alias("v"))
-    hit = lambda n: F.exists("v", lambda x: (x != "") & (F.lower(x).contains(n.lower()) | F.lit(n.lower()).contains(F.lower(x)))).cast("int")
-    # the header goes to its rows by a window, and columns are found for each list of headers, which tables share
-    head = F.max(F.when(F.col("r") < 8, F.struct(sum((hit(n) for n in names), F.lit(0)).alias("score"), (-F.col("r")).alias("first"), "v"))).over(Window.partitionBy("tbl"))
-    headed = g.withColumn("b", head).filter(F.col("b.score") >= max(1, len(names) // 2)).select("tbl", "r", "v", (-F.col("b.first")).alias("header_row"), F.col("b.v").alias("headers"))
-    kinds = headed.filter("r = header_row").select(F.col("headers").alias("tbl")).distinct()
-    pairs = kinds.select("tbl", F.posexplode("tbl").alias("header", "h")).select("tbl", "header", "h", F.explode(F.array(*map(F.lit, names))).alias("col"))
-    places = match_columns(pairs).groupBy(F.col("tbl").alias("headers")).agg(F.map_from_entries(F.collect_list(F.struct("col", "header"))).alias("at"))
-    below = headed.filter("r > header_row").join(places, "headers")
-    first = F.coalesce(F.get("v", F.lit(0)), F.lit(""))
-    kept = below.filter((first != "") & ~F.exists(F.array(*map(F.lit, SKIPPED)), lambda w: F.lower(first).contains(w)) & ~first.rlike("^[0-9]{1,4}$"))
-    text = lambda n: F.coalesce(F.regexp_replace(F.regexp_replace(F.get("v", F.col("at")[n]), "^[$]", ""), ",", ""), F.lit(""))
-    return kept.select("tbl", "r", F.create_map(*[x for n in names for x in (F.lit(n), text(n))]).alias("cells")).filter(F.exists(F.map_values("cells"), lambda x: x != ""))
+    hit = lambda x, n: F.exists(x, lambda c: (c != "") & (c.contains(n.lower()) | F.lit(n.lower()).contains(c))).cast("int")
+    small = F.transform(F.filter("rows", lambda x: x.r < 8), lambda x: F.struct(x.r.alias("r"), F.transform(x.line, lambda c: F.lower(V.collapse(c))).alias("v")))
+    head = F.array_max(F.transform(small, lambda x: F.struct(sum((hit(x.v, n) for n in names), F.lit(0)).alias("score"), (-x.r).alias("first"), x.v.alias("v"))))
+    headed = tables.withColumn("b", head).filter(F.col("b.score") >= max(1, len(names) // 2)).select("tbl", "rows", (-F.col("b.first")).alias("header_row"), column_places(names)("b.v").alias("at"))
+    below = headed.select("tbl", "header_row", "at", F.inline("rows")).filter("r > header_row")
+    cell = lambda i: V.collapse(F.get("line", i))
+    first = F.col("first")
+    kept = below.withColumn("first", cell(F.lit(0))).filter((first != "") & ~F.lower(first).rlike("|".join(SKIPPED)) & ~first.rlike("^[0-9]{1,4}$"))
+    amount = lambda x: F.replace(F.when(x.startswith("$"), F.substring(x, 2, 1 << 30)).otherwise(x), F.lit(","), F.lit(""))
+    texts = kept.select("tbl", "r", *[amount(cell(F.get("at", F.lit(k)))).alias(f"c{k}") for k in range(len(names))])
+    named = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.col(f"c{k}"))])
+    return texts.filter(F.concat(*[f"c{k}" for k in range(len(names))]) != "").select("tbl", "r", named.alias("cells"))
 
 
 @query(
@@ -437,21 +441,27 @@ def e11_header_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     the others have words only. Both ways give the same rows.
     """
     cell = lambda *x: F.array(*[F.lit(c) if isinstance(c, str) else c for c in x])
-    line = cell(F.concat(F.lit("Part  "), F.col("part")), F.col("qty"), F.concat(F.lit("$"), F.format_number("price", 2)))
+    row = lambda r, line: F.struct(r.cast("int").alias("r"), line.alias("line"))
     header = F.when(F.col("page") % 3 == 0, cell("Item", "Qty", "Unit price")).when(F.col("page") % 3 == 1, cell("Name of item", "Quantity", "Pricing")).otherwise(cell("Product", "Rate", "Sum"))
-    lines_ = ranked_lines(spark, sf_dir).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("all"))
-    whole = F.concat(F.array(cell("ACME", " ", ""), header), F.transform("all", lambda x: x.line), F.array(cell("Subtotal", "", "$7"), cell("Free gift", "1", "0"), cell("12", "1", "2"), cell("", "1", "2")))
-    page = lines_.select("page", whole.alias("rows")).withColumn("n", F.size("rows"))
+    items = ranked_lines(spark, sf_dir)
+    line = cell(F.concat(F.lit("Part  "), F.col("part")), F.col("qty"), F.concat(F.lit("$"), F.format_number("price", 2)))
+    listed = items.groupBy("page").agg(F.collect_list(row(F.col("i") + 1, line)).alias("all"), F.count("*").alias("n"))
+    after = [cell("Subtotal", "", "$7"), cell("Free gift", "1", "0"), cell("12", "1", "2"), cell("", "1", "2")]
+    whole = F.concat(F.array(row(F.lit(0), cell("ACME", " ", "")), row(F.lit(1), header)), "all", F.array(*[row(F.col("n") + 2 + k, x) for k, x in enumerate(after)]))
     left = F.array(*[F.lit(x) for x in (50.0, 200.0, 300.0, 400.0)])
-    word = lambda t, k, r, c: F.struct(t.alias("text"), (left[c] + 5 + k * 36).alias("x0"), (left[c] + 35 + k * 36).alias("x1"), (r * 20 + 103).cast("double").alias("top"), (r * 20 + 113).cast("double").alias("bottom"))
-    words = page.select("page", F.inline(F.flatten(F.flatten(F.transform("rows", lambda x, r: F.transform(x, lambda t, c: F.transform(F.filter(F.split(t, " "), lambda w: w != ""), lambda w, k: word(w, k, r, c))))))))
-    ruled = page.filter("page % 2 = 0")
-    line_at = lambda x0, y0, x1, y1: F.struct(*[v.cast("double").alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1))])
-    level = F.transform(F.sequence(F.lit(0), F.col("n")), lambda r: line_at(F.lit(50), r * 20 + 100 + r % 2, F.lit(400), r * 20 + 100 + r % 2))
-    titled = lambda k, r: (F.col("page") % 4 == 0) & (r == 0) & k.isin(1, 2)
-    upright = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda r: ~titled(k, r)), lambda r: line_at(left[k] + r % 2, r * 20 + 100, left[k] + r % 2, r * 20 + 119))))
-    found = table_rows(page_tables(words, ruled.select("page", F.inline(F.concat(level, upright)))), ["item", "qty", "price"])
-    return found.select("tbl.page", "r", *[F.col("cells")[n].alias(n) for n in ("item", "qty", "price")]).withColumnRenamed("page", "tbl")
+    r, c, k = F.col("r"), F.col("c"), F.col("k")
+    cells_ = listed.select("page", F.inline(whole)).select("page", "r", F.posexplode("line").alias("c", "cell"))
+    each = cells_.select("page", "r", "c", F.posexplode(F.array_remove(F.split("cell", " "), "")).alias("k", "text"))
+    words = each.select("page", "text", (left[c] + 5 + k * 36).alias("x0"), (left[c] + 35 + k * 36).alias("x1"), (r * 20 + 103).cast("double").alias("top"), (r * 20 + 113).cast("double").alias("bottom"))
+    # k is -1 for a level line, else the place of an upright one, which is drawn row by row
+    n = items.filter("page % 2 = 0").groupBy("page").agg((F.count("*") + 2 + len(after)).cast("int").alias("n"))
+    lines_ = n.select("page", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("r")).select("page", "n", "r", F.explode(F.sequence(F.lit(-1), F.lit(3))).alias("k"))
+    drawn = lines_.filter((k < 0) | (r < F.col("n")) & ~((F.col("page") % 4 == 0) & (r == 0) & k.isin(1, 2)))
+    level, x, y = k < 0, left[k] + r % 2, (r * 20 + 100).cast("double")
+    rulings = drawn.select("page", F.when(level, 50.0).otherwise(x).alias("x0"), F.when(level, y + r % 2).otherwise(y).alias("y0"), F.when(level, 400.0).otherwise(x).alias("x1"), F.when(level, y + r % 2).otherwise(y + 19).alias("y1"))
+    tables = page_rows(words, rulings).select(F.struct("page", "n").alias("tbl"), F.transform("rows", lambda x, i: F.struct(i.alias("r"), x.alias("line"))).alias("rows"))
+    found = named_rows(tables, ["item", "qty", "price"])
+    return found.select(F.col("tbl.page").alias("tbl"), "r", *[F.col("cells")[n].alias(n) for n in ("item", "qty", "price")])
 
 
 @query(
