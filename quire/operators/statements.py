@@ -1,12 +1,19 @@
 """Statements in running text: their sections and totals, and the blank rows of a template that they fill.
 
 A template is a relation of cells(template_id, r, c, value) with column groups(template_id, g, label_col, value_col). Blank rows of
-two or more between two labels of a group are a zone. A statement's lines are read once each; one fold over a document's
-lines then tells which zone is open where, and keeps only the places where that changes.
+two or more between two labels of a group are a zone. A statement is one row, and a state (the open zone) goes through its lines:
+Python does that in Arrow batches, where a line that recurs is read once. Functions on arrays did the same at five times the cost.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import string
+import unicodedata
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +21,6 @@ from quire.functions import values as V
 from quire.functions.registry import STEMS
 
 ZONE = "struct<zone:string,label_col:int,value_col:int,first_row:int,slots:int,header_row:int,next_row:int>"
-_AMOUNT = r"^(.*?)\s+\(?\$?(-?[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{0,2})?)\)?$"
-_BRACKETS = r"\(\$?[0-9,]+(?:\.[0-9]{1,2})?\)"
 TOTALS = ["total", "grand total", "subtotal", "final total"]
 
 
@@ -43,84 +48,167 @@ def template_zones(cells: DataFrame, groups: DataFrame) -> DataFrame:
 # -- sections -----------------------------------------------------------------------------------------------------------------
 
 
-def _best(zones: Column, words: Column, least: float) -> Column:
-    """The place of the first zone with the highest similarity to the words; null below ``least`` or where word counts differ by more than 0.7."""
-    met = F.transform(zones, lambda z: F.struct(F.size(z.w).alias("n"), F.size(F.array_intersect(z.w, words)).alias("both")))
-    many = F.size(words)
-    ratio = lambda z: F.least(z.n, many) / F.greatest(z.n, many)
-    scored = F.transform(met, lambda z, i: F.struct(F.when((z.both > 0) & (ratio(z) >= 0.7), z.both / (z.n + many - z.both)).alias("score"), (-i).alias("at")))
-    return -F.array_max(F.filter(scored, lambda s: s.score >= least)).at
-
-
-def _capitals(x: Column) -> Column:
-    return F.coalesce(V.upper_share(x), F.lit(0.0))
-
-
-def _named(zones: Column) -> Column:
-    """Names with what is compared of them."""
-    whole = F.transform(zones, lambda z: F.struct(z.alias("zone"), norm(z).alias("norm")))
-    return F.transform(whole, lambda z: F.struct(z.zone.alias("zone"), z.norm.alias("norm"), F.array_distinct(F.split(z.norm, " ")).alias("w")))
-
-
-def _lines(text: Column, zones: Column, known: Column) -> Column:
-    """What each line says by itself: the zone it could open, and what it is inside of one. Every step looks at a text once.
-
-    ``known`` has all words of the zones' names. What few lines need is asked for only where a cheap sign of it is there.
-    """
-    kept = F.filter(F.transform(F.split(F.translate(F.coalesce(text, F.lit("")), "\x01", " "), "\r\n|\r|\n"), V.strip), lambda x: (x != "") & ~x.startswith("---"))
-    cut = F.transform(kept, lambda x: F.struct(x.alias("line"), norm(x).alias("norm"), F.split(F.regexp_replace(x, _AMOUNT, "$1\x01$2"), "\x01").alias("m")))
-    spoken_of = lambda x: F.exists(F.array(*map(F.lit, ("total", "sum", "aggregate"))), F.lower(x).contains)
-    part = lambda x, i: F.coalesce(F.get(x.m, F.lit(i)), F.lit(""))
-    has = lambda x: F.size(x.m) == 2
-    label = lambda x: F.when(has(x), V.strip(F.regexp_replace(V.strip(part(x, 0)), ":+$", ""))).otherwise("")
-    read = F.transform(cut, lambda x: F.struct(x.line.alias("line"), x.norm.alias("norm"), F.array_distinct(F.split(x.norm, " ")).alias("w"), has(x).alias("has"), label(x).alias("label"), F.replace(part(x, 1), F.lit(","), F.lit("")).alias("value"), _capitals(x.line).alias("capitals")))
-
-    def more(x: Column) -> Column:
-        kind = F.when((x.capitals > 0.5) & ~x.line.contains("&"), V.stem(x.norm))
-        minus = F.when(x.has & x.line.contains("(") & x.line.rlike(_BRACKETS) & ~x.value.startswith("-"), F.concat(F.lit("-"), x.value)).otherwise(x.value)
-        return F.struct(*[x[c].alias(c) for c in ("w", "has", "label", "value", "capitals")], kind.alias("kind"), minus.alias("minus"), F.when(spoken_of(x.label), norm(x.label)).otherwise("").alias("summed"))
-
-    def judge(x: Column) -> Column:
-        spoken = F.filter(F.transform(zones, lambda z, i: F.when(z.norm.contains(x.kind), i)), lambda i: i.isNotNull())
-        counts = x.has & (x.label != "")
-        total = counts & (x.summed.isin("total", "grand total", "subtotal") | x.summed.startswith("total ") | x.summed.contains("subtotal"))
-        less = ~total & F.lower(F.substring(x.label, 1, 5)).isin("less:", "less ", "less-") & ~x.minus.startswith("-")
-        a_zone = F.arrays_overlap(known, F.split(x.summed, " ")) & F.exists(zones, lambda z: z.norm == x.summed)
-        grand = F.when((x.summed != "") & counts & (_capitals(x.label) >= 0.6) & ~a_zone, V.stem(x.summed))
-        return F.struct(
-            F.when(F.arrays_overlap(known, x.w), _best(zones, x.w, 0.5)).alias("best"),
-            F.when(x.kind.isNotNull(), spoken).otherwise(F.array().cast("array<int>")).alias("spoken"),
-            (~x.has & (x.capitals > 0.5)).alias("closes"),
-            total.alias("total"),
-            (counts & ~total).alias("item"),
-            x.label.alias("label"),
-            F.when(less, F.concat(F.lit("-"), x.minus)).otherwise(x.minus).alias("value"),
-            grand.alias("grand"),
-            x.value.alias("plain"),
-        )
-
-    return F.transform(F.transform(read, more), judge)
-
-
-_STATE = "struct<i:int,open:int,filled:array<int>,marks:array<struct<at:int,zone:int,total:boolean>>>"
-
-
-def _step(acc: Column, x: Column) -> Column:
-    """The open zone after a line; ``marks`` has every line at which it changes."""
-    target = F.coalesce(x.best, F.get(F.filter(x.spoken, lambda z: ~F.array_contains(acc.filled, z)), F.lit(0)))
-
-    def state(opened: Column, filled: Column = acc.filled, total: Column | None = None, mark: bool = True) -> Column:
-        marks = F.concat(acc.marks, F.array(F.struct(acc.i.alias("at"), opened.alias("zone"), (F.lit(False) if total is None else total).alias("total")))) if mark else acc.marks
-        return F.struct((acc.i + 1).alias("i"), opened.alias("open"), filled.alias("filled"), marks.alias("marks"))
-
-    same = state(acc.open, mark=False)
-    return (
-        F.when(target.isNotNull(), state(target))
-        .when(acc.open < 0, same)
-        .when(x.closes | x.total, state(F.lit(-1), total=x.total))
-        .when(x["item"] & ~F.array_contains(acc.filled, acc.open), state(acc.open, F.concat(acc.filled, F.array(acc.open)), mark=False))
-        .otherwise(same)
-    )
+def with_names(rows: DataFrame) -> DataFrame:
+    """Rows with zones get what is compared of their names: _zones (each name once, with its words), _known (all their words), _names (as JSON), and by zone
+    _norms and _alike, its similarity to each of _zones, null where word counts differ by more than 0.7. Templates are few: it is for them, before documents join."""
+    read = lambda names: F.transform(F.transform(names, lambda z: F.struct(z.alias("zone"), norm(z).alias("norm"))), lambda z: F.struct(z.zone.alias("zone"), z.norm.alias("norm"), F.array_distinct(F.split(z.norm, " ")).alias("w")))
+    names = F.transform("zones", lambda z: z.zone)
+    named = rows.withColumns({"_zones": read(F.array_distinct(names)), "_all": read(names)})
+    alike = F.transform("_all", lambda z: F.transform("_zones", lambda s: F.when(V.count_ratio(z.w, s.w) >= 0.7, V.jaccard(z.w, s.w))))
+    return named.withColumns({"_known": F.array_distinct(F.flatten(F.transform("_zones", lambda z: z.w))), "_names": F.to_json(F.transform("_zones", lambda z: z.zone)), "_norms": F.transform("_all", lambda z: z.norm), "_alike": alike}).drop("_all")
+
+
+_WS = " \t\n\x0b\f\r"
+_SPACES = frozenset("\t\n\x0b\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
+_LINE = re.compile(r"([^\n\r\x85\u2028\u2029]*?)[ \t\n\x0b\f\r]+\(?\$?(-?[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{0,2})?)\)?([\x85\u2028\u2029]?)\Z")
+_PLAIN, _BLANKS, _IN_BRACKETS = re.compile(r"[^A-Za-z0-9_\s]+", re.ASCII), re.compile(r"\s+", re.ASCII), re.compile(r"\(\$?[0-9,]+(?:\.[0-9]{1,2})?\)")
+_NO_CAPITALS, _NO_SMALL = str.maketrans("", "", string.ascii_uppercase), str.maketrans("", "", string.ascii_lowercase)
+
+
+class _Line(NamedTuple):
+    """What a line says by itself: the zone it could open, and what it is inside of one."""
+
+    best: int | None
+    spoken: list[int]
+    closes: bool
+    total: bool
+    item: bool
+    label: str
+    value: str
+    grand: str | None
+    plain: str
+
+
+def _of_word(c: str) -> bool:
+    return unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nl", "Nd", "Mn", "Me", "Mc", "Pc") or c in "\u200c\u200d" or "\u24b6" <= c <= "\u24e9" or "\U0001f130" <= c <= "\U0001f149" or "\U0001f150" <= c <= "\U0001f169" or "\U0001f170" <= c <= "\U0001f189"
+
+
+def _norm(x: str) -> str:
+    """As ``norm``."""
+    if x.isascii():
+        return " ".join(_PLAIN.sub(" ", x).lower().split())
+    return _BLANKS.sub(" ", "".join(c if c in _SPACES or _of_word(c) else " " for c in x).lower()).strip(_WS)
+
+
+def _share(x: str) -> float:
+    """Share of capitals among ASCII letters, 0 without letters."""
+    capitals, small = len(x) - len(x.translate(_NO_CAPITALS)), len(x) - len(x.translate(_NO_SMALL))
+    return capitals / (capitals + small) if capitals else 0.0
+
+
+def _stem(small: str) -> str | None:
+    for s in STEMS:
+        if s in small:
+            return s
+    return None
+
+
+def _read(line: str, norms: list[str], zones: list[set[str]], known: set[str]) -> _Line | None:
+    """None for a line that says nothing. What few lines need is asked for only where a cheap sign of it is there."""
+    m = _LINE.match(line)
+    label = m[1].strip(_WS).rstrip(":").strip(_WS) if m else ""
+    plain = (m[2] + m[3]).replace(",", "") if m else ""
+    words = _norm(line)
+    own = set(words.split(" "))
+    best, most = None, 0.0
+    if not known.isdisjoint(own):
+        for i, z in enumerate(zones):
+            both, n, many = len(z & own), len(z), len(own)
+            if both and min(n, many) / max(n, many) >= 0.7 and (score := both / (n + many - both)) >= 0.5 and score > most:
+                best, most = i, score
+    kind = _stem(words.lower()) if "&" not in line else None
+    loud = (kind is not None or not m) and _share(line) > 0.5
+    spoken = [i for i, z in enumerate(norms) if kind in z] if kind and loud else []
+    small, counts = label.lower(), label != ""
+    summed = _norm(label) if "total" in small or "sum" in small or "aggregate" in small else ""
+    total = counts and summed != "" and (summed in ("total", "grand total", "subtotal") or summed.startswith("total ") or "subtotal" in summed)
+    value = "-" + plain if "(" in line and m and not plain.startswith("-") and _IN_BRACKETS.search(line) else plain
+    less = not total and label[:5].lower() in ("less:", "less ", "less-") and not value.startswith("-")
+    grand = _stem(summed.lower()) if summed and counts and _share(label) >= 0.6 and summed not in norms else None
+    closes = not m and loud
+    if best is None and not (spoken or closes or counts):
+        return None
+    return _Line(best, spoken, closes, total, counts and not total, label, "-" + value if less else value, grand, plain)
+
+
+class _Reader:
+    """Statements for one list of zones. Headings and totals recur from one statement to the next, so what a line says is kept, for up to ``MOST`` lines."""
+
+    MOST = 50_000
+
+    def __init__(self, names: list[str], compares: bool) -> None:
+        self.names, self.norms, self.lines = names, [_norm(n or "") for n in names], {}
+        self.zones = [set(n.split(" ")) for n in self.norms]
+        self.known = set().union(*self.zones) if compares else set()
+
+    def line(self, text: str) -> _Line | None:
+        if len(self.lines) >= self.MOST:
+            self.lines.clear()
+        stripped = text.strip(_WS)
+        self.lines[text] = said = _read(stripped, self.norms, self.zones, self.known) if stripped and not stripped.startswith("---") else None
+        return said
+
+    def statement(self, text: str) -> tuple[dict[int, int], dict[int, list[_Line]], dict[int, str], list[_Line]]:
+        """Of the zones that open: where, their items and totals; and the grand totals."""
+        opened, items, totals, grand, here, known = {}, {}, {}, [], None, self.lines
+        if "\r" in text:
+            text = text.replace("\r\n", "\n").replace("\r", "\n")
+        for at, raw in enumerate(text.replace("\x01", " ").split("\n")):
+            x = known[raw] if raw in known else self.line(raw)
+            if x is None:
+                continue
+            target, spoken, closes, total, item, _, value, summed, _ = x
+            if summed is not None:
+                grand.append(x)
+            if target is None and spoken:
+                target = next((z for z in spoken if z not in items), None)
+            if target is not None:
+                here = target
+                if here not in opened:
+                    opened[here] = at
+            elif here is None:
+                continue
+            elif closes or total:
+                if total:
+                    totals[here] = value
+                here = None
+            elif item:
+                if here in items:
+                    items[here].append(x)
+                else:
+                    items[here] = [x]
+        return opened, items, totals, grand
+
+
+SAID = "struct<sections:array<struct<zone:string,opened:int,items:array<struct<label:string,value:string>>,total:string>>,grand:array<struct<stem:string,value:string>>>"
+
+
+def _said(texts: pa.Array, zones: pa.Array, speaks: pa.Array) -> pa.Array:
+    """What statements say (``SAID``), read one after the other into flat columns; ``zones`` has lists of names as JSON."""
+    lists = zones.dictionary_encode()
+    names = [json.loads(x) for x in lists.dictionary.to_pylist()]
+    readers = [(_Reader(n, False), _Reader(n, True)) for n in names]
+    zone, opened, labels, values, total, stems, grands, sections_, entries, sums = [], [], [], [], [], [], [], [0], [0], [0]
+    for text, which, near in zip(texts.to_pylist(), lists.indices.to_pylist(), speaks.to_pylist()):
+        at, items, totals, grand = readers[which][near].statement(text or "")
+        for i, name in enumerate(names[which]):
+            zone.append(name)
+            opened.append(at.get(i))
+            total.append(totals.get(i))
+            if i in items:
+                labels.extend([x[5] for x in items[i]])
+                values.extend([x[6] for x in items[i]])
+            entries.append(len(labels))
+        for x in grand:
+            stems.append(x.grand)
+            grands.append(x.plain)
+        sections_.append(len(zone))
+        sums.append(len(stems))
+    text, number, struct, listed = pa.string(), pa.int32(), pa.StructArray.from_arrays, pa.ListArray.from_arrays
+    item = listed(pa.array(entries, number), struct([pa.array(labels, text), pa.array(values, text)], ["label", "value"]))
+    section = struct([pa.array(zone, text), pa.array(opened, number), item, pa.array(total, text)], ["zone", "opened", "items", "total"])
+    grand = struct([pa.array(stems, text), pa.array(grands, text)], ["stem", "value"])
+    return struct([listed(pa.array(sections_, number), section), listed(pa.array(sums, number), grand)], ["sections", "grand"])
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -132,38 +220,27 @@ def sections(docs: DataFrame) -> DataFrame:
     A line like a zone's name (word sets similar by 0.5, word counts by 0.7) opens it; so does a line in capitals, without
     an ampersand, that speaks of the same kind of account, for the first such zone without items. Both go before amounts. In an open
     zone a total is kept and closes it, and so does a line in capitals without an amount. Amounts in brackets and of labels that begin
-    with "less" are negative. Blank lines and those that begin with three dashes are passed over.
+    with "less" are negative. Blank lines and those that begin with three dashes are passed over. Documents without a word of a zone's
+    name are not compared with zones.
     """
-    named = docs.withColumn("_zones", _named(F.array_distinct(F.transform("zones", lambda z: z.zone))))
-    known = named.withColumn("_known", F.array_distinct(F.flatten(F.transform("_zones", lambda z: z.w))))
-    read = known.withColumn("_lines", _lines(F.col("text"), F.col("_zones"), F.col("_known")))
-    start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("open"), F.array().cast("array<int>").alias("filled"), F.array().cast("array<struct<at:int,zone:int,total:boolean>>").alias("marks")).cast(_STATE)
-    folded = read.withColumn("_marks", F.aggregate("_lines", start, _step).marks)
-    end = lambda i: F.coalesce(F.get("_marks", i + 1).at, F.size("_lines"))
-    spans = folded.withColumn("_spans", F.filter(F.transform("_marks", lambda m, i: F.struct(m.zone.alias("zone"), (m.at + 2).alias("start"), (end(i) - m.at - 1).alias("n"), F.when(F.get("_marks", i + 1).total, F.get("_lines", end(i)).value).alias("total"))), lambda s: s.zone >= 0))
-
-    def section(z: Column, at: Column) -> Column:
-        own = F.filter("_spans", lambda s: s.zone == at)
-        items = F.flatten(F.transform(own, lambda s: F.transform(F.filter(F.slice("_lines", s.start, s.n), lambda x: x["item"]), lambda x: F.struct(x.label.alias("label"), x.value.alias("value")))))
-        told = F.filter(own, lambda s: s.total.isNotNull())
-        return F.struct(z.zone.alias("zone"), F.when(F.size(own) > 0, F.array_min(F.transform(own, lambda s: s.start))).alias("opened"), items.alias("items"), F.get(told, F.size(told) - 1).total.alias("total"))
-
-    grand = F.transform(F.filter("_lines", lambda x: x.grand.isNotNull()), lambda x: F.struct(x.grand.alias("stem"), x.plain.alias("value")))
-    return spans.select(*docs.columns, F.transform("_zones", section).alias("sections"), grand.alias("grand"))
+    named = docs if "_alike" in docs.columns else with_names(docs)
+    speaks = F.arrays_overlap("_known", F.split(norm(F.coalesce("text", F.lit(""))), " "))
+    read = F.arrow_udf(_said, SAID)("text", F.coalesce("_names", F.lit("[]")), F.coalesce(speaks, F.lit(True)))
+    return named.withColumn("_said", read).select(*docs.columns, "_said.sections", "_said.grand")
 
 
 # -- filling a template ---------------------------------------------------------------------------------------------------------
 
 
-def _chosen(zones: Column, sections_: Column) -> Column:
+def _chosen(alike: Column, sections_: Column) -> Column:
     """For each zone the place of the section that fills it: the most similar one (0.6) that is opened and not yet used; -1 if none or empty."""
 
-    def step(used: Column, zone: Column) -> Column:
-        scored = F.transform(sections_, lambda s, i: F.struct(F.when(s.opened.isNotNull() & ~F.array_contains(used, i) & (V.count_ratio(zone.w, s.w) >= 0.7), V.jaccard(zone.w, s.w)).alias("score"), (-s.opened).alias("first"), s.n.alias("n"), i.alias("at")))
+    def step(used: Column, scores: Column) -> Column:
+        scored = F.transform(sections_, lambda s, i: F.struct(F.when(s.opened.isNotNull() & ~F.array_contains(used, i), F.get(scores, i)).alias("score"), (-s.opened).alias("first"), F.size(s["items"]).alias("n"), i.alias("at")))
         best = F.array_max(F.filter(scored, lambda s: s.score >= 0.6))
-        return F.concat(used, F.array(F.when(best.n > 0, best.at).otherwise(F.lit(-1))))
+        return F.concat(used, F.array(F.when(best.n > 0, best["at"]).otherwise(F.lit(-1))))
 
-    return F.aggregate(zones, F.array().cast("array<int>"), step)
+    return F.aggregate(alike, F.array().cast("array<int>"), step)
 
 
 def fill(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,27 +250,27 @@ def fill(parsed: DataFrame, keys: list[str]) -> DataFrame:
     total to the row after them. A grand total goes beside the cell called so in the row that follows all zones of its
     kind, if they agree on one row; the first such line counts. What is written later replaces what was.
     """
-    ref = lambda r, c: V.cell_ref(r, c)
-    cell = lambda r, c, value: F.struct(ref(r, c).alias("ref"), value.alias("value"))
-    named = parsed.withColumn("_zones", _named(F.transform("zones", lambda z: z.zone))).withColumn("_known", _named(F.transform("sections", lambda s: s.zone)))
-    found = named.withColumn("_known", F.transform("_known", lambda s, i: F.struct(s.w.alias("w"), F.get("sections", i).opened.alias("opened"), F.size(F.get("sections", i)["items"]).alias("n"))))
-    chosen = found.withColumn("_chosen", _chosen(F.col("_zones"), F.col("_known")))
+    cell = lambda r, c, value: F.struct(V.cell_ref(r, c).alias("ref"), value.alias("value"))
+    none = F.array().cast("array<struct<ref:string,value:string>>")
+    named = parsed if "_alike" in parsed.columns else with_names(parsed)
+    chosen = named.withColumn("_chosen", _chosen(F.col("_alike"), F.col("sections")))
 
     def zone_cells(z: Column, i: Column) -> Column:
         at = F.get("_chosen", i)
         placed = F.when(at >= 0, F.slice(F.get("sections", at)["items"], 1, z.slots)).otherwise(F.array().cast("array<struct<label:string,value:string>>"))
         slots = F.flatten(F.transform(placed, lambda x, k: F.array(cell(z.first_row + k, z.label_col, x.label), cell(z.first_row + k, z.value_col, x.value))))
         own = F.get(F.filter("sections", lambda s: s.zone == z.zone), F.lit(0))
-        total = F.coalesce(own.total, F.when(at >= 0, F.get("sections", at).total))
-        return F.concat(F.array(cell(z.header_row, z.value_col, F.lit(""))), slots, F.when(total.isNotNull(), F.array(cell(z.next_row, z.value_col, total))).otherwise(F.array().cast("array<struct<ref:string,value:string>>")))
-
-    def grand_cell(g: Column) -> Column:
-        rows = F.array_distinct(F.filter(F.transform("zones", lambda z, i: F.when(F.get("_zones", i).norm.contains(g.stem), z.next_row)), lambda r: r.isNotNull()))
-        final = F.get(F.filter("finals", lambda f: f.r == F.get(rows, F.lit(0))), F.lit(0))
-        return F.when((F.size(rows) == 1) & final.isNotNull(), cell(final.r, final.c + 1, g.value))
-
-    chosen = chosen.withColumn("_grand", F.filter(F.transform("grand", grand_cell), lambda x: x.isNotNull()))
-    first = F.filter(F.transform("_grand", lambda x, i: F.when(F.array_position(F.transform("_grand", lambda y: y.ref), x.ref) == i + 1, x)), lambda x: x.isNotNull())
+        total = F.filter(F.array(F.coalesce(own.total, F.when(at >= 0, F.get("sections", at).total))), lambda x: x.isNotNull())
+        return F.concat(F.array(cell(z.header_row, z.value_col, F.lit(""))), slots, F.transform(total, lambda x: cell(z.next_row, z.value_col, x)))
+
+    def grand_cells(g: Column) -> Column:
+        rows = F.array_distinct(F.filter(F.transform("zones", lambda z, i: F.when(F.get("_norms", i).contains(g.stem), z.next_row)), lambda r: r.isNotNull()))
+        finals = F.slice(F.filter("finals", lambda f: f.r == F.get(rows, F.lit(0))), 1, 1)
+        return F.when(F.size(rows) == 1, F.transform(finals, lambda f: cell(f.r, f.c + 1, g.value))).otherwise(none)
+
+    # the first grand total of a cell counts, and of all that is written to a cell the last: both are the first from the end
+    written = F.concat(F.flatten(F.transform("grand", grand_cells)), F.reverse(F.flatten(F.transform("zones", zone_cells))))
+    every = chosen.select(*keys, written.alias("_cells")).withColumn("_refs", F.transform("_cells", lambda x: x.ref))
+    first = F.filter("_cells", lambda x, i: F.array_position("_refs", x.ref) == i + 1)
     # outer: else Spark would test the arrays for rows before it makes them, and so make them twice
-    cells = chosen.select(*keys, F.posexplode_outer(F.concat(F.flatten(F.transform("zones", zone_cells)), first)).alias("at", "x")).filter("x IS NOT NULL")
-    return cells.groupBy(*keys, "x.ref").agg(F.max_by("x.value", "at").alias("value"))
+    return every.select(*keys, F.explode_outer(first).alias("x")).filter("x IS NOT NULL").select(*keys, "x.ref", "x.value")

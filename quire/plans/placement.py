@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.catalog import query, rows, values_sql
 from quire.functions import values as V
 from quire.operators.ruled import page_rows
-from quire.operators.statements import fill, sections, template_zones
+from quire.operators.statements import fill, sections, template_zones, with_names
 from quire.operators.writers import cell_map_cells, cell_value, layout_cells, mixed_cells
 from quire.plans.matching import column_places
 from quire.session import dealt, table
@@ -358,7 +358,7 @@ def order_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = template_zones(rows(spark, "template_id int, r int, c int, value string", _SHEETS), rows(spark, "template_id int, g int, label_col int, value_col int", _GROUPS))
-    return sections(order_statements(spark, sf_dir).join(F.broadcast(zones), "template_id"))
+    return sections(order_statements(spark, sf_dir).join(F.broadcast(with_names(zones)), "template_id"))
 
 
 @query("e8_section_parse", f"WITH {_STATEMENTS} SELECT doc_id, zone, 'item' AS kind, pos, label, value FROM items UNION ALL SELECT doc_id, zone, 'total', 0, '', value FROM totals")
