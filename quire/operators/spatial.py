@@ -2,11 +2,20 @@
 
 words(page, text, x0, x1, top), pages(page, template_id, width), cells(template_id, r, c, value), groups(template_id, g, label_col,
 value_col), items(template_id, g, r, label): the rows of a group that have an answer; widths(template_id, widths).
-Everything of one page is bounded by that page: windows and groups are by page, templates are joined to pages.
+Everything of one page is bounded by that page: windows and groups are by page, templates are joined to pages. Columns are windows; the
+lines of a page and the cells they give are settled in its row, by a small function in Arrow batches.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import re
+from collections.abc import Set
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,21 +59,6 @@ def bands(words: DataFrame, pages: DataFrame, cells: DataFrame, groups: DataFram
     return each.select("page", "template_id", "col", low.alias("x0"), high.alias("x1"), how.alias("how"))
 
 
-def printed(words: DataFrame, columns: DataFrame) -> DataFrame:
-    """page, template_id, line, cols (map of a column to its label, words that are no numbers, and its value, the last number)."""
-    lined = words.withColumn("line", F.bround(F.col("top") / BUCKET, 0) * BUCKET).select("page", "line", "text", F.col("x0").alias("w0"), F.col("x1").alias("w1"))
-    per_page = columns.groupBy("page", "template_id").agg(F.collect_list(F.struct("col", "x0", "x1")).alias("bands"))
-    # the few columns of a page are an array in the row, so that a word meets them without a join by range
-    inside = lined.join(per_page, "page").withColumn("band", F.explode(F.filter("bands", lambda b: (F.col("w0") >= b.x0 - MARGIN) & (F.col("w1") <= b.x1 + MARGIN))))
-    number = V.looks_numeric(F.col("text"))
-    sorted_ = lambda keep: F.array_sort(F.collect_list(F.when(keep, F.struct("w0", "w1", "text"))))
-    col = inside.groupBy("page", "template_id", "line", F.col("band.col").alias("col")).agg(sorted_(~number).alias("said"), sorted_(number).alias("figures"))
-    label = F.array_join(F.transform("said", lambda x: x.text), " ")
-    value = V.signed(F.element_at("figures", -1).text)
-    parts = col.select("page", "template_id", "line", "col", F.when(F.size("said") > 0, label).alias("label"), F.when(F.size("figures") > 0, value).alias("value"))
-    return parts.groupBy("page", "template_id", "line").agg(F.map_from_entries(F.collect_list(F.struct("col", F.struct("label", "value")))).alias("cols"))
-
-
 def layouts(cells: DataFrame, groups: DataFrame, items: DataFrame) -> DataFrame:
     """Of each group: expected (labels of its items with their rows), total_row, header_row, and spans of blank rows between two labels."""
     filled = cells.select("template_id", F.col("c").alias("label_col"), "r", V.strip(F.coalesce("value", F.lit(""))).alias("v")).filter("v != ''")
@@ -84,6 +78,109 @@ def layouts(cells: DataFrame, groups: DataFrame, items: DataFrame) -> DataFrame:
     return shaped.select("template_id", "g", "label_col", "value_col", keep.alias("expected"), F.when(F.lower(after.v).contains("total"), after.r).alias("total_row"), F.element_at(F.transform(F.when(F.size(before) > 0, before), lambda x: x.r), -1).alias("header_row"), spans.alias("spans"))
 
 
+# -- one page ------------------------------------------------------------------------------------------------------------------
+
+_WS = " \t\n\x0b\f\r"
+_NUMBER, _BLANKS, _CELLS = re.compile(r"[$\-()]?[0-9,]+(?:\.[0-9]{1,2})?\)?[\n\r\x85\u2028\u2029]?\Z"), re.compile(r"\s+", re.ASCII), "array<struct<ref:string,value:string>>"
+
+
+def _signed(x: str) -> str:
+    """As ``V.signed``."""
+    t = x.strip(_WS)
+    bare = t.replace(",", "").replace("$", "")
+    return "-" + bare.replace("(", "").replace(")", "").strip(_WS) if t[:1] == "(" and t[-1:] == ")" and len(t) > 1 else bare.strip(_WS)
+
+
+@functools.lru_cache(1 << 14)
+def _spoken(label: str) -> tuple[str, frozenset[str]]:
+    """A label as ``norm`` makes it, and its words."""
+    whole = _BLANKS.sub(" ", label.upper()).strip(" ")
+    return whole, frozenset(w for w in _BLANKS.split(whole) if w)
+
+
+def _alike(a: Set[str], b: Set[str]) -> float:
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def _printed(words: list[tuple], bands: list[tuple]) -> dict[float, dict[int, tuple[str | None, str | None]]]:
+    """Of each line from the top its columns: the label, words that are no numbers, and the value, the last number."""
+    found: dict[float, dict[int, tuple[list, list]]] = {}
+    for text, x0, x1, line in words:
+        figure = None
+        for col, low, high in bands:
+            if x0 >= low and x1 <= high:
+                if figure is None:
+                    figure = _NUMBER.match(text.replace(" ", "")) is not None
+                found.setdefault(line, {}).setdefault(col, ([], []))[figure].append((x0, x1, text))
+    return {line: {col: (" ".join([w[2] for w in sorted(said)]) if said else None, _signed(max(figures)[2]) if figures else None) for col, (said, figures) in found[line].items()} for line in sorted(found)}
+
+
+def _page_cells(lines: dict[float, dict[int, tuple[str | None, str | None]]], groups: list[dict]) -> dict[tuple[int, int], str]:
+    """(r, c) and value of the cells that a page's lines give its template; what is written later counts."""
+    out: dict[tuple[int, int], str] = {}
+    for g in groups:
+        label_col, value_col, total_row = g["label_col"], g["value_col"], g.get("total_row")
+        told = []
+        for line, cols in lines.items():
+            label = cols[label_col][0] if label_col in cols else None
+            if label is not None:
+                told.append((line, label, cols[value_col][1] if value_col in cols else None, *_spoken(label)))
+        if "header_row" in g:
+            out[g["header_row"], value_col] = ""
+        for _, _, value, whole, own in told:
+            if value is None:
+                continue
+            row = total_row if total_row is not None and whole.startswith("TOTAL") else None
+            if row is None:
+                best = ALIKE
+                for e in g["expected"]:
+                    score = 2.0 if e["norm"] == whole else _alike(e["w"], own)
+                    if score >= ALIKE and (row is None or score > best):
+                        best, row = score, e["r"]
+            if row is not None:
+                out[row, value_col] = value
+        for s in g["spans"]:
+            out[s["r"], value_col] = ""
+            start, end = (min((x[0] for x in told if _alike(w, x[4]) >= HEADING), default=None) for w in (s["w"], s["next_w"]))
+            if start is not None:
+                inside = [x for x in told if x[0] > start and (end is None or x[0] < end) and x[2] is not None and not x[3].startswith(("TOTAL", "SUBTOTAL"))]
+                for r, x in enumerate(inside[: s["until"] - s["r"] - 1], s["r"] + 1):
+                    out[r, label_col], out[r, value_col] = x[1], x[2]
+    return out
+
+
+def _layout(text: str) -> list[dict]:
+    """The groups of a template in order, words as sets."""
+    groups = sorted(json.loads(text), key=lambda g: g["g"])
+    for g in groups:
+        for x in (*g["expected"], *g["spans"]):
+            x |= {k: frozenset(x[k]) for k in ("w", "next_w") if k in x}
+    return groups
+
+
+def _ref(r: int, c: int) -> str:
+    return (chr(c + 65) if c < 26 else chr(c // 26 + 64) + chr(c % 26 + 65)) + str(r + 1)
+
+
+def _cells(words: pa.Array, bands: pa.Array, layouts_: pa.Array) -> pa.Array:
+    """The cells of pages, one page after the other; ``words`` and ``bands`` are read as flat columns."""
+    coded = layouts_.dictionary_encode()
+    known = [_layout(x) for x in coded.dictionary.to_pylist()]
+    word, band = words.flatten(), bands.flatten()
+    numbers = lambda x, name: pc.struct_field(x, name).to_numpy(zero_copy_only=False).astype(float)
+    line = np.nan_to_num(np.rint(numbers(word, "top") / BUCKET) * BUCKET, nan=-np.inf)
+    said = list(zip(pc.struct_field(word, "text").to_pylist(), numbers(word, "x0").tolist(), numbers(word, "x1").tolist(), line.tolist()))
+    columns = list(zip(pc.struct_field(band, "col").to_pylist(), (numbers(band, "x0") - MARGIN).tolist(), (numbers(band, "x1") + MARGIN).tolist()))
+    refs, values, ends, i, j = [], [], [0], 0, 0
+    for n, m, which in zip(pc.list_value_length(words).to_pylist(), pc.list_value_length(bands).to_pylist(), coded.indices.to_pylist()):
+        found = _page_cells(_printed([w for w in said[i : i + n] if w[0] is not None], columns[j : j + m]), known[which])
+        refs.extend([_ref(*at) for at in found])
+        values.extend(found.values())
+        ends.append(len(refs))
+        i, j = i + n, j + m
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(refs, pa.string()), pa.array(values, pa.string())], ["ref", "value"]))
+
+
 def extract(words: DataFrame, pages: DataFrame, cells: DataFrame, groups: DataFrame, items: DataFrame, widths: DataFrame) -> DataFrame:
     """page, ref, value: what the words of a page say for its template's cells; cleared cells are empty.
 
@@ -91,32 +188,9 @@ def extract(words: DataFrame, pages: DataFrame, cells: DataFrame, groups: DataFr
     with TOTAL goes to the group's total row, where it has one. Blank rows below a label are filled with the lines between that label
     and the next one on the page. Cells beside headings are cleared. Groups are taken in order, lines from the top; what comes later counts.
     """
-    lines = printed(words, bands(words, pages, cells, groups, widths))
+    columns = bands(words, pages, cells, groups, widths).groupBy("page", "template_id").agg(F.collect_list(F.struct("col", "x0", "x1")).alias("bands"))
+    said = words.groupBy("page").agg(F.collect_list(F.struct("text", "x0", "x1", "top")).alias("words"))
     layout = layouts(cells, groups, items)
-    whole = layout.groupBy("template_id").agg(F.collect_list(F.struct(*[c for c in layout.columns if c != "template_id"])).alias("groups"))
-    # all that a page says of a group is made in one row, so that words and lines are read once
-    each = lines.groupBy("page", "template_id").agg(F.collect_list(F.struct("line", "cols")).alias("lines")).join(F.broadcast(whole), "template_id").select("page", "lines", F.inline("groups"))
-    told = F.filter(F.transform("lines", lambda x: F.struct(x.line.alias("line"), F.try_element_at(x.cols, F.col("label_col")).label.alias("label"), F.try_element_at(x.cols, F.col("value_col")).value.alias("value"))), lambda x: x.label.isNotNull())
-    normed = F.transform(F.array_sort(told), lambda x: F.struct(x.line.alias("line"), x.label.alias("label"), x.value.alias("value"), norm(x.label).alias("norm")))
-    said = each.withColumn("said", F.transform(normed, lambda x: F.struct(x.line.alias("line"), x.label.alias("label"), x.value.alias("value"), x.norm.alias("norm"), V.words(x.norm).alias("w")))).drop("lines")
-
-    write = lambda phase, line, slot, r, c, value: F.struct(F.struct(F.col("g"), F.lit(phase).alias("phase"), line.cast("double").alias("line"), slot.cast("int").alias("slot")).alias("at"), V.cell_ref(r, c).alias("ref"), value.alias("value"))
-    none, top, blank = F.lit(0), F.lit(-1e9), F.lit("")
-
-    def row(x: Column) -> Column:
-        scored = F.transform("expected", lambda e, i: F.struct(F.when(e.norm == x.norm, 2.0).otherwise(V.jaccard(e.w, x.w)).alias("score"), (-i).alias("first"), e.r.alias("r")))
-        return F.when(x.norm.startswith("TOTAL") & F.col("total_row").isNotNull(), F.col("total_row")).otherwise(F.array_max(F.filter(scored, lambda s: s.score >= ALIKE)).r)
-
-    rows = F.transform(F.filter("said", lambda x: x.value.isNotNull()), lambda x: F.struct(x.line.alias("line"), x.value.alias("value"), row(x).alias("r")))
-    matched = F.transform(F.filter(rows, lambda x: x.r.isNotNull()), lambda x: write(1, x.line, none, x.r, F.col("value_col"), x.value))
-    cleared = F.filter(F.array(write(0, top, none, F.col("header_row"), F.col("value_col"), blank)), lambda _: F.col("header_row").isNotNull())
-    beside = F.transform("spans", lambda s, k: write(2, k, F.lit(-1), s.r, F.col("value_col"), blank))
-
-    near = lambda w: F.array_min(F.transform(F.filter("said", lambda x: V.jaccard(w, x.w) >= HEADING), lambda x: x.line))
-    framed = F.transform("spans", lambda s, k: F.struct(s.r.alias("r"), s.until.alias("until"), k.alias("k"), near(s.w).alias("start"), near(s.next_w).alias("end")))
-    inside = lambda s: F.filter("said", lambda x: (x.line > s.start) & (s.end.isNull() | (x.line < s.end)) & x.value.isNotNull() & ~x.norm.rlike("^(SUB)?TOTAL"))
-    placed = lambda s: F.flatten(F.transform(F.slice(inside(s), F.lit(1), s.until - s.r - 1), lambda x, i: F.array(write(2, s.k, i + 1, s.r + i + 1, F.col("label_col"), x.label), write(2, s.k, i + 1, s.r + i + 1, F.col("value_col"), x.value))))
-    filled = F.flatten(F.transform(framed, placed))
-    # outer: else Spark would test the arrays for rows before it makes them, and so make them twice
-    every = said.select("page", F.explode_outer(F.concat(cleared, matched, beside, filled)).alias("x")).filter("x IS NOT NULL")
-    return every.groupBy("page", F.col("x.ref").alias("ref")).agg(F.max_by("x.value", "x.at").alias("value"))
+    whole = layout.groupBy("template_id").agg(F.to_json(F.collect_list(F.struct(*[c for c in layout.columns if c != "template_id"]))).alias("layout"))
+    each = said.join(columns, "page").join(F.broadcast(whole), "template_id")
+    return each.select("page", F.explode_outer(F.arrow_udf(_cells, _CELLS)("words", "bands", "layout")).alias("x")).filter("x IS NOT NULL").select("page", "x.ref", "x.value")

@@ -450,8 +450,9 @@ def e11_header_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.concat(F.array(row(F.lit(0), cell("ACME", " ", "")), row(F.lit(1), header)), "all", F.array(*[row(F.col("n") + 2 + k, x) for k, x in enumerate(after)]))
     left = F.array(*[F.lit(x) for x in (50.0, 200.0, 300.0, 400.0)])
     r, c, k = F.col("r"), F.col("c"), F.col("k")
-    cells_ = listed.select("page", F.inline(whole)).select("page", "r", F.posexplode("line").alias("c", "cell"))
-    each = cells_.select("page", "r", "c", F.posexplode(F.array_remove(F.split("cell", " "), "")).alias("k", "text"))
+    # outer: else Spark would test the arrays for entries before it makes them, and so make them twice
+    cells_ = listed.select("page", F.inline_outer(whole)).select("page", "r", F.posexplode("line").alias("c", "cell"))
+    each = cells_.select("page", "r", "c", F.posexplode_outer(F.array_remove(F.split("cell", " "), "")).alias("k", "text")).filter("text IS NOT NULL")
     words = each.select("page", "text", (left[c] + 5 + k * 36).alias("x0"), (left[c] + 35 + k * 36).alias("x1"), (r * 20 + 103).cast("double").alias("top"), (r * 20 + 113).cast("double").alias("bottom"))
     # k is -1 for a level line, else the place of an upright one, which is drawn row by row
     n = items.filter("page % 2 = 0").groupBy("page").agg((F.count("*") + 2 + len(after)).cast("int").alias("n"))

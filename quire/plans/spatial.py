@@ -33,30 +33,31 @@ def order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
     items = dealt(spark, table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), "l_orderkey", LINES)
     lines = items.select(F.col("l_orderkey").alias("page"), F.row_number().over(w).alias("i"), F.col("l_partkey").cast("string").alias("part"), F.format_number("l_extendedprice", 2).alias("price"))
-    listed = lines.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("i", "part", "price"))).alias("all")).withColumn("n", F.size("all"))
+    listed = lines.groupBy("page").agg(F.collect_list(F.struct("i", "part", "price")).alias("all"), F.count("*").cast("int").alias("n"))
     t, odd = F.col("page") % 3, F.floor(F.col("page") / 3) % 2 == 1
-    signed = lambda x: F.when(x.i % 3 == 1, x.price).when(x.i % 3 == 2, F.concat(F.lit("("), x.price, F.lit(")"))).otherwise(F.concat(F.lit("$"), x.price))
+    i, price, end = F.col("i"), F.col("price"), F.col("n") + 1
+    signed = F.when(i % 3 == 1, price).when(i % 3 == 2, F.concat(F.lit("("), price, F.lit(")"))).otherwise(F.concat(F.lit("$"), price))
     top = lambda i: (i * 20 + 100).cast("double") + F.when(i % 3 == 0, 0.5).when(i % 3 == 1, -0.5).otherwise(0.25)
+    word = lambda text, x0, x1, at: F.struct(text.alias("text"), x0.alias("x0"), x1.alias("x1"), at.alias("top"))
 
-    def label(text: Column, base: float, i: Column) -> Column:
-        return F.transform(F.split(text, " "), lambda word, k: F.struct(word.alias("text"), (k * 40 + base).cast("double").alias("x0"), (k * 40 + base + 30).cast("double").alias("x1"), top(i).alias("top")))
+    def label(text: str, base: float, i: Column, *more: Column) -> Column:
+        return F.array(*[word(w, F.lit(k * 40 + base), F.lit(k * 40 + base + 30), top(i)) for k, w in enumerate([*map(F.lit, text.split(" ")), *more])])
 
     def value(text: Column, base: float, i: Column) -> Column:
-        return F.array(F.struct(text.alias("text"), F.lit(base).alias("x0"), (F.length(text) * 6 + base).cast("double").alias("x1"), top(i).alias("top")))
-
-    of_lines = lambda make: F.flatten(F.transform("all", make))
-    end = F.col("n") + 1
-    one = of_lines(lambda x: F.concat(label(F.when(x.i % 4 == 1, "CASH AT BANK").when(x.i % 4 == 2, "Debtors trade net").when(x.i % 4 == 3, "Unknown thing").otherwise("Total 2024 assets"), 10.0, x.i), value(signed(x), 320.0, x.i)))
-    two = F.concat(
-        label(F.lit("INCOME"), 10.0, F.lit(0)), label(F.lit("Costs"), 410.0, F.lit(0)),
-        of_lines(lambda x: F.concat(label(F.concat(F.lit("Part P"), x.part), 10.0, x.i), value(signed(x), 310.0, x.i), label(F.when(x.i % 3 == 1, "Rent paid").when(x.i % 3 == 2, "Wages bill").otherwise("Other cost"), 410.0, x.i), value(x.price, 700.0, x.i))),
-        label(F.lit("Total"), 10.0, end), value(F.lit("1,000"), 310.0, end), label(F.lit("total costs"), 410.0, end), value(F.lit("(2,000)"), 700.0, end),
-    )
-    three = of_lines(lambda x: F.concat(label(F.lit("BETA"), 310.0, x.i), F.when(x.i % 2 == 1, F.concat(label(F.lit("alpha"), 10.0, x.i), value(x.price, 160.0, x.i), value(signed(x), 460.0, x.i), label(F.lit("Gamma"), 610.0, x.i), value(x.price, 760.0, x.i))).otherwise(F.array().cast("array<struct<text:string,x0:double,x1:double,top:double>>"))))
+        return F.array(word(text, F.lit(base), (F.length(text) * 6 + base).cast("double"), top(i)))
+
+    none = F.array().cast("array<struct<text:string,x0:double,x1:double,top:double>>")
+    one = F.concat(F.when(i % 4 == 1, label("CASH AT BANK", 10.0, i)).when(i % 4 == 2, label("Debtors trade net", 10.0, i)).when(i % 4 == 3, label("Unknown thing", 10.0, i)).otherwise(label("Total 2024 assets", 10.0, i)), value(signed, 320.0, i))
+    two = F.concat(label("Part", 10.0, i, F.concat(F.lit("P"), F.col("part"))), value(signed, 310.0, i), F.when(i % 3 == 1, label("Rent paid", 410.0, i)).when(i % 3 == 2, label("Wages bill", 410.0, i)).otherwise(label("Other cost", 410.0, i)), value(price, 700.0, i))
+    three = F.concat(label("BETA", 310.0, i), F.when(i % 2 == 1, F.concat(label("alpha", 10.0, i), value(price, 160.0, i), value(signed, 460.0, i), label("Gamma", 610.0, i), value(price, 760.0, i))).otherwise(none))
+    around = F.concat(label("INCOME", 10.0, F.lit(0)), label("Costs", 410.0, F.lit(0)), label("Total", 10.0, end), value(F.lit("1,000"), 310.0, end), label("total costs", 410.0, end), value(F.lit("(2,000)"), 700.0, end))
     width = F.when(t == 0, _WIDE[0]).when(t == 1, _WIDE[1]).otherwise(_WIDE[2])
-    banner = F.array(F.struct(F.lit("banner").alias("text"), F.lit(5.0).alias("x0"), (width * 0.7).alias("x1"), F.lit(10.0).alias("top")))
-    mark = F.when(odd & (t == 0), F.array(F.struct(F.lit("y").alias("text"), F.lit(450.0).alias("x0"), F.lit(458.0).alias("x1"), F.lit(50.0).alias("top")))).when(odd & (t == 1), F.array(F.struct(F.lit("x").alias("text"), F.lit(795.0).alias("x0"), F.lit(799.0).alias("x1"), F.lit(50.0).alias("top")))).otherwise(F.array().cast("array<struct<text:string,x0:double,x1:double,top:double>>"))
-    words = listed.select("page", F.inline(F.concat(F.when(t == 0, one).when(t == 1, two).otherwise(three), banner, mark)))
+    banner = F.array(word(F.lit("banner"), F.lit(5.0), width * 0.7, F.lit(10.0)))
+    mark = F.when(odd & (t == 0), F.array(word(F.lit("y"), F.lit(450.0), F.lit(458.0), F.lit(50.0)))).when(odd & (t == 1), F.array(word(F.lit("x"), F.lit(795.0), F.lit(799.0), F.lit(50.0)))).otherwise(none)
+    # a line without a number has what stands around the others
+    # outer: else Spark would test the arrays for entries before it makes them, and so make them twice
+    each = listed.select("page", "n", F.inline_outer(F.concat(F.array(F.struct(F.lit(0).alias("i"), F.lit("").alias("part"), F.lit("").alias("price"))), "all")))
+    words = each.select("page", F.inline_outer(F.when(i == 0, F.concat(F.when(t == 1, around).otherwise(none), banner, mark)).when(t == 0, one).when(t == 1, two).otherwise(three)))
     return words, listed.select("page", t.cast("int").alias("template_id"), width.alias("width"))
 
 
