@@ -108,15 +108,17 @@ def _read(line: str, norms: list[str], zones: list[set[str]], known: set[str]) -
     m = _LINE.match(line)
     label = m[1].strip(_WS).rstrip(":").strip(_WS) if m else ""
     plain = (m[2] + m[3]).replace(",", "") if m else ""
-    words = _norm(line)
-    own = set(words.split(" "))
+    low = line.lower()
+    # words are pieces of a line in ASCII, so one without a piece of them has neither a zone's word nor a kind of account
+    words = _norm(line) if not line.isascii() or any([w in low for w in known]) or _stem(low) else None
+    own = set() if words is None else set(words.split(" "))
     best, most = None, 0.0
     if not known.isdisjoint(own):
         for i, z in enumerate(zones):
             both, n, many = len(z & own), len(z), len(own)
             if both and min(n, many) / max(n, many) >= 0.7 and (score := both / (n + many - both)) >= 0.5 and score > most:
                 best, most = i, score
-    kind = _stem(words.lower()) if "&" not in line else None
+    kind = _stem(words.lower()) if words and "&" not in line else None
     loud = (kind is not None or not m) and _share(line) > 0.5
     spoken = [i for i, z in enumerate(norms) if kind in z] if kind and loud else []
     small, counts = label.lower(), label != ""

@@ -41,3 +41,16 @@ def test_cells_of_a_statement_are_settled_in_its_row(spark):
     plan = placement.e9_dynamic_fill(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
     filled = plan[: plan.index("ArrowEvalPython")]
     assert "Aggregate" not in filled and "Generate" in filled
+
+
+def test_lines_without_signs_are_not_cut_into_words(monkeypatch):
+    cut = []
+    norm = statements._norm
+    monkeypatch.setattr(sys.modules["quire.operators.statements"], "_norm", lambda x: cut.append(x) or norm(x))
+    reader = statements._Reader(["Current assets", "***"], True)
+    plain = statements._Reader(["Current assets"], True)
+    cut.clear()
+    opened, items, *_ = plain.statement("Current Assets\nCash 5\nFixed. asset 6\nCafé 7")
+    assert list(opened) == [0] and [x.label for x in items[0]] == ["Cash", "Fixed. asset", "Café"]
+    assert cut == ["Current Assets", "Fixed. asset 6", "Café 7"]
+    assert list(reader.statement("---\n--\n!!")[0]) == [1], "a name without words is like any other without words"
