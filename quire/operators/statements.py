@@ -2,7 +2,7 @@
 
 A template is a relation of cells(template_id, r, c, value) with column groups(template_id, g, label_col, value_col). Blank rows of
 two or more between two labels of a group are a zone. A statement is one row, and a state (the open zone) goes through its lines:
-Python does that in Arrow batches, where a line that recurs is read once. Functions on arrays did the same at five times the cost.
+Python does that in Arrow batches, where a line that recurs is read once. With functions on arrays `e8_section_parse` took some three times the task time.
 """
 
 from __future__ import annotations
